@@ -94,6 +94,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         new = {c: table[c] for c in keep} | {text_col: pa.array(texts, pa.binary()).cast(pa.string()), "n_lines": pa.array(counts, pa.int64()), "n_dropped": pa.array(dropped, pa.int64())}
         return pa.table(new)
 
-    sent = dealt.select("__bucket", id_col, text_col).groupBy("__bucket").applyInArrow(keys, X.SENT)
+    sent = dealt.groupBy("__bucket").applyInArrow(keys, X.SENT)
     back = X.merge(sent, reduce)
     return dealt.groupBy("__bucket").cogroup(back.groupBy("bucket")).applyInArrow(drop, out)
