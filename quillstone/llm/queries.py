@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .line_dedup import dedup_lines
+from .substring_dedup import dedup_substrings
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -41,3 +42,9 @@ judged AS (SELECT keyed.*, holder IS NOT NULL AND holder <> doc_id AS gone FROM
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id"""
+
+
+@_query
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_substrings(_table(spark, sf_dir, "documents").select("doc_id", "text"), window=50)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
