@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .line_dedup import dedup_lines
+from .ngram_join import ngram_components
 from .substring_dedup import dedup_substrings
 
 QUERIES: dict = {}
@@ -48,3 +49,8 @@ FROM judged GROUP BY doc_id"""
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_substrings(_table(spark, sf_dir, "documents").select("doc_id", "text"), window=50)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@_query
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(_table(spark, sf_dir, "documents").select("doc_id", "text"), size=4, percent=85)
