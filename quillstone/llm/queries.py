@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .line_dedup import dedup_lines
 from .ngram_join import ngram_components
 from .substring_dedup import dedup_substrings
+from .toxicity import score_toxicity, train
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -54,3 +55,21 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents").select("doc_id", "text"), size=4, percent=85)
+
+
+def _remainder(id_col: str):
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str):
+    """Trained on the labelled rows of ``docs`` whose remainder isn't 2; remainder 3 fits the weights."""
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    fold = F.when(_remainder("id") == 2, None).when(_remainder("id") == 3, 1).otherwise(0)
+    return train(docs, labels, fold)
+
+
+@_query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, toxicity_model(spark, docs, sf_dir), threshold=0.3)
+    return scored.select("doc_id", (_remainder("doc_id") == 2).alias("held_out"), "score", "predicted")
