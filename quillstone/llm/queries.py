@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .html_density import extract_text
 from .line_dedup import dedup_lines
 from .ngram_join import ngram_components
 from .substring_dedup import dedup_substrings
@@ -73,3 +74,9 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_toxicity(docs, toxicity_model(spark, docs, sf_dir), threshold=0.3)
     return scored.select("doc_id", (_remainder("doc_id") == 2).alias("held_out"), "score", "predicted")
+
+
+@_query
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
