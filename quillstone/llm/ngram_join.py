@@ -27,7 +27,7 @@ from . import exchange as X
 from .components import components, cut
 
 #: Classes of one home that one task joins at most.
-CHUNK_CLASSES = 2048
+CHUNK_CLASSES = 256
 SIGN = np.uint64(1 << 63)
 ROWS = "bucket int, doc_id long, n long, rep long, tokens binary"
 MEMBERS = "home long, of int, chunk int, doc_id long, n int, tokens binary"
