@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import find_leaks
 from .html_density import extract_text
 from .line_dedup import dedup_lines
 from .ngram_join import ngram_components
@@ -80,3 +81,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = extract_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@_query
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = find_leaks(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"), percent=10)
+    found = docs.where(F.size("leaks") > 0).select("doc_id", F.explode("leaks").alias("leak"))
+    return found.select("doc_id", "leak.item_id", "leak.start", "leak.n_chars", "leak.edits")
