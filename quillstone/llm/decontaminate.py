@@ -27,7 +27,7 @@ from . import blocks as B
 
 PIECE = 12
 #: Walks, samples of each, steps in a sample: enough for a recall over 0.95 at a twentieth of the characters edited.
-WALKS, SAMPLES, STEPS = 8, 16, 5
+WALKS, SAMPLES, STEPS = 8, 16, 8
 CLASS_GROWTH = 1.5
 ITEM_BYTES = 4 << 20
 FILTER_BITS = 22
@@ -60,9 +60,11 @@ def best_end(pattern: str, text: str, anchored: bool = False) -> tuple[int, int]
     return best
 
 
-def nearest(pattern: str, text: str) -> tuple[int, int, int]:
-    """(edits, start, end) of the nearest substring."""
+def nearest(pattern: str, text: str, most: int | None = None) -> tuple[int, int, int] | None:
+    """(edits, start, end) of the nearest substring; None if it has more than ``most`` edits."""
     edits, end = best_end(pattern, text)
+    if most is not None and edits > most:
+        return None
     _, length = best_end(pattern[::-1], text[:end][::-1], anchored=True)
     return edits, end - length, end
 
@@ -132,6 +134,8 @@ class Tables:
             found = traces(part, s, e, walk, steps)
             a, b = np.searchsorted(keys, found.ravel()), np.searchsorted(keys, found.ravel(), "right")
             some = np.flatnonzero(b > a)
+            if not len(some):
+                continue
             n = (b - a)[some]
             entry = np.repeat(a[some], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             pairs = np.unique(np.stack([of[entry], np.repeat(s[some % len(s)], n)], 1), axis=0)
@@ -148,10 +152,10 @@ class Tables:
         while a and text[a] & 0xC0 == 0x80:
             a -= 1
         region = text[a : last + len(pattern.encode()) + room].tobytes().decode("utf-8", "ignore")
-        edits, start, end = nearest(pattern, region)
-        if edits <= most:
-            start += len(text[:a].tobytes().decode("utf-8", "ignore"))
-            new = (item_id, start, end - (start - len(text[:a].tobytes().decode("utf-8", "ignore"))), edits)
+        found = nearest(pattern, region, most)
+        if found is not None:
+            before = len(text[:a].tobytes().decode("utf-8", "ignore"))
+            new = (item_id, before + found[1], found[2] - found[1], found[0])
             for k, old in enumerate(out):
                 if old[0] == item_id:
                     out[k] = min(old, new, key=lambda x: (x[3], x[1]))
