@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bitplanes import read_token_files, write_token_files
 from .decontaminate import find_leaks
 from .html_density import extract_text
 from .line_dedup import dedup_lines
@@ -88,3 +89,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = find_leaks(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"), percent=10)
     found = docs.where(F.size("leaks") > 0).select("doc_id", F.explode("leaks").alias("leak"))
     return found.select("doc_id", "leak.item_id", "leak.start", "leak.n_chars", "leak.edits")
+
+
+@_query
+def op8_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return read_token_files(write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2))
