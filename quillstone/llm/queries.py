@@ -10,6 +10,7 @@ from .decontaminate import find_leaks
 from .html_density import extract_text
 from .line_dedup import dedup_lines
 from .ngram_join import ngram_components
+from .packing import pack
 from .substring_dedup import dedup_substrings
 from .toxicity import score_toxicity, train
 
@@ -97,3 +98,8 @@ def op8_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return read_token_files(write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2))
+
+
+@_query
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), capacity=2048)
