@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
 from .bitplanes import read_token_files, write_token_files
 from .decontaminate import find_leaks
 from .html_density import extract_text
@@ -103,3 +104,8 @@ def op8_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), capacity=2048)
+
+
+@_query
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), every=20, k=20)
