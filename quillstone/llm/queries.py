@@ -14,6 +14,7 @@ from .ngram_join import ngram_components
 from .packing import pack
 from .substring_dedup import dedup_substrings
 from .toxicity import score_toxicity, train
+from .url_filter import filter_urls, host_of
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -109,3 +110,70 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+def _number(text, at: int):
+    """A number from 0 to 65535 that depends on a text; DuckDB computes the same."""
+    return F.conv(F.substring(F.md5(text), at, 4), 16, 10).cast("int")
+
+
+def url_list_changes(pages: DataFrame) -> DataFrame:
+    """Dated changes of four lists about the hosts of ``pages``: the tables hold no lists, so these stand in for them."""
+    host = host_of(F.col("url"))
+    hosts = pages.select(host.alias("host")).where("host IS NOT NULL").distinct()
+    sections = pages.select(F.concat(host, F.lit("/"), F.regexp_extract("url", "^[^:/?#]+://[^/?#]+/([^/?#]+)", 1)).alias("p")).where("p IS NOT NULL AND p NOT LIKE '%/'").distinct()
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n)
+    change = lambda df, name, allows, kind, pattern, action, n: df.select(F.lit(name).alias("list"), F.lit(allows).alias("allows"), F.lit(kind).alias("kind"), pattern.alias("pattern"), F.lit(action).alias("action"), day(n).alias("at"))
+    h, p = F.col("host"), F.col("p")
+    domain = F.substring_index(h, ".", -2)
+    a = _number(h, 1) % 500
+    some = hosts.where(_number(h, 5) % 3 < 2)
+    b = _number(p, 1) % 300
+    out = [
+        change(some, "malware", False, "host", h, "add", a),
+        change(some, "malware", False, "host", h, "remove", a + 30 + _number(h, 9) % 200),
+        change(hosts, "spam", False, "domain", domain, "add", _number(domain, 1) % 700),
+        change(sections, "sections", False, "path", p, "add", b),
+        change(sections, "sections", False, "path", p, "remove", b + 60),
+        change(sections, "sections", False, "path", p, "add", b + 200),
+        change(hosts.where(_number(h, 13) % 5 == 0), "trusted", True, "host", h, "add", _number(h, 17) % 730),
+    ]
+    for more in out[1:]:
+        out[0] = out[0].unionByName(more)
+    return out[0]
+
+
+@_query
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    captures = pages.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 730).cast("int")).alias("fetched"))
+    out = filter_urls(captures, url_list_changes(pages))
+    return out.select("page_id", "url", F.date_format("fetched", "yyyy-MM-dd").alias("fetched"), F.array_join("lists", ",").alias("lists"), "blocked")
+
+
+def _n(text: str, at: int) -> str:
+    return f"CAST('0x' || substr(md5({text}), {at}, 4) AS INTEGER)"
+
+
+_HOST = "nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '')"
+_DOMAIN = "array_to_string(list_slice(string_split(host, '.'), -2, -1), '.')"
+SQL["op2_url_filters"] = f"""
+WITH captures AS (SELECT page_id, url, {_HOST} AS host, DATE '2024-01-01' + CAST(page_id % 730 AS INTEGER) AS fetched,
+    regexp_extract(url, '^[^:/?#]+://[^/?#]+/([^/?#]+)', 1) AS section FROM pages),
+hosts AS (SELECT DISTINCT host FROM captures WHERE host IS NOT NULL),
+sections AS (SELECT DISTINCT host || '/' || section AS p FROM captures WHERE host IS NOT NULL AND section <> ''),
+spells AS (
+  SELECT 'malware' AS list, false AS allows, 'host' AS kind, host AS pattern, {_n('host', 1)} % 500 AS a,
+         {_n('host', 1)} % 500 + 30 + {_n('host', 9)} % 200 AS b FROM hosts WHERE {_n('host', 5)} % 3 < 2
+  UNION ALL SELECT DISTINCT 'spam', false, 'domain', {_DOMAIN}, {_n(_DOMAIN, 1)} % 700, 1000000 FROM hosts
+  UNION ALL SELECT 'sections', false, 'path', p, {_n('p', 1)} % 300, {_n('p', 1)} % 300 + 60 FROM sections
+  UNION ALL SELECT 'sections', false, 'path', p, {_n('p', 1)} % 300 + 200, 1000000 FROM sections
+  UNION ALL SELECT 'trusted', true, 'host', host, {_n('host', 17)} % 730, 1000000 FROM hosts WHERE {_n('host', 13)} % 5 = 0),
+active AS (
+  SELECT DISTINCT page_id, list, allows FROM captures JOIN spells ON
+    (kind = 'host' AND pattern = host OR kind = 'domain' AND (host = pattern OR ends_with(host, '.' || pattern)) AND contains(pattern, '.')
+     OR kind = 'path' AND pattern = host || '/' || section)
+    AND fetched >= DATE '2024-01-01' + CAST(a AS INTEGER) AND fetched < DATE '2024-01-01' + CAST(b AS INTEGER))
+SELECT page_id, url, strftime(fetched, '%Y-%m-%d') AS fetched, coalesce(string_agg(list, ',' ORDER BY list), '') AS lists,
+       coalesce(bool_or(NOT allows) AND NOT bool_or(allows), false) AS blocked
+FROM captures LEFT JOIN active USING (page_id) GROUP BY page_id, url, fetched"""
