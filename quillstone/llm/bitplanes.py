@@ -19,6 +19,7 @@ comes last; an empty table makes no file.
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
@@ -41,14 +42,15 @@ CHUNK_IDS = 1 << 16
 #: Stored bytes of text for one file, and the least number of files of a table that isn't tiny.
 FILE_BYTES, LEAST_FILES = 8 << 20, 16
 #: Words whose ids a worker remembers.
-REMEMBERED = 400_000
-MARKS = ".,;:!?"
+REMEMBERED = 800_000
+MARKS = b".,;:!?"
 
 
 class Encoder:
     """A tokenizer that remembers the ids of words. It must cut at white space, as word-level vocabularies do: then the ids of a
     text are those of its words. Words of plain letters are looked up in lower case and without marks behind them if the
-    tokenizer ignores case and cuts off marks, which is tried out."""
+    tokenizer ignores case and cuts off marks, which is tried out; where its tokens tell the end of a word, new ones of these
+    are encoded many at a time."""
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
@@ -56,20 +58,46 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(definition)
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.code = "I" if self.wide else "H"
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
         ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         self.by_word = ids("one Two\n three, \t four.") == [i for w in ("one", "Two", "three,", "four.") for i in ids(w)]
-        self.plain = self.by_word and ids("Étude") == ids("étude") and all(ids("Étude" + m + m) == ids("étude") + ids(m + m) for m in MARKS)
+        self.plain = self.by_word and ids("Étude") == ids("étude") and all(ids("Étude" + m + m) == ids("étude") + ids(m + m) for m in MARKS.decode())
+
+        suffix = json.loads(definition)["model"].get("end_of_word_suffix")
+        self.ends = None
+        if self.plain and suffix:
+            self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+
+    def _encode_letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words that are letters alone, so that each is one piece to the tokenizer."""
+        out: list[bytes] = []
+        for k in range(0, len(words), 1024):
+            part = words[k : k + 1024]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32 if self.wide else np.uint16)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part) or ends[-1] != len(ids):
+                out += self._encode(part)
+                continue
+            data, size, a = ids.tobytes(), ids.itemsize, 0
+            for b in (ends * size).tolist():
+                out.append(data[a:b])
+                a = b
+        return out
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _base(self, word: str) -> tuple[str, str] | None:
-        """(letters in lower case, marks) of a word that consists of these."""
+    def _parts(self, word: bytes) -> tuple[bytes, bytes, bool]:
+        """(word, its marks, are these letters alone?): the word without marks if it is letters."""
         body = word.rstrip(MARKS)
-        if body and body.isalpha() and max(body) < "Ā":
-            return body.lower(), word[len(body) :]
-        return None
+        if body.isalpha():  # of ASCII
+            return body, word[len(body) :], True
+        if not body.isascii():
+            text = body.decode()
+            if text.isalpha() and max(text) < "Ā":
+                return text.lower().encode(), word[len(body) :], True
+        return word, b"", False
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
@@ -77,16 +105,21 @@ class Encoder:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        split = [t.encode().split() for t in texts]
-        new = {w for words in split for w in words if w not in known}
+        # lower case of A-Z first, so that fewer words differ; not where it could make the name of a special token
+        split = [(t.encode().lower() if self.plain and "<|" not in t else t.encode()).split() for t in texts]
+        new = set().union(*split) - known.keys()
         if new:
-            spelled = {w: w.decode() for w in new}
-            parts = {w: (self._base(s) if self.plain else None) or (s, "") for w, s in spelled.items()}
-            need = list({p for pair in parts.values() for p in pair if p} - known.keys())
-            known.update(zip(need, self._encode(need), strict=True))
-            known[""] = b""
-            for w, (a, b) in parts.items():
-                known[w] = known[a] + known[b]
+            parts = {w: self._parts(w) if self.plain else (w, b"", False) for w in new}
+            marks = {m for _, m, _ in parts.values() if m}
+            need = ({w for w, _, letters in parts.values() if not letters or self.ends is None} | marks) - known.keys()
+            letters = ({w for w, _, letters in parts.values() if letters} - known.keys()) - need
+            need, letters = list(need), list(letters)
+            known.update(zip(need, self._encode([w.decode() for w in need]), strict=True))
+            known.update(zip(letters, self._encode_letters([w.decode() for w in letters]), strict=True))
+            known[b""] = b""
+            for w, (body, m, _) in parts.items():
+                if m or body is not w:
+                    known[w] = known[body] + known[m]
         get = known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
@@ -186,8 +219,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int | None, folde
         encoder = remembered(shared.value)
         end = b"" if end_id is None else array(encoder.code, [end_id]).tobytes()
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
+            for k in range(0, b.num_rows, 1024):
+                part = b.slice(k, 1024)
                 found = [x + end for x in encoder([t or "" for t in part["text"].to_pylist()])]
                 file = np.searchsorted(edges, B.ordered_ids(part["doc_id"]), "right")
                 yield pa.RecordBatch.from_pydict({"file": pa.array(file, pa.int32()), "doc_id": part["doc_id"].cast(pa.int64()), "wide": pa.array([encoder.wide] * part.num_rows), "ids": pa.array(found, pa.binary())})
