@@ -45,7 +45,7 @@ def macro_report(df: DataFrame, gold: str, pred: str, classes: list[str], by: li
 def confusion(df: DataFrame, gold: str, pred: str, classes: list[str]) -> DataFrame:
     """A row for each gold class, a column for each prediction; null predictions are UNPARSED."""
     shown = df.withColumn("__p", F.coalesce(F.col(pred), F.lit(UNPARSED)))
-    return shown.groupBy(gold).pivot("__p", [*classes, UNPARSED]).agg(F.count("*")).na.fill(0)
+    return shown.groupBy(gold).pivot("__p", [*classes, UNPARSED]).count().na.fill(0)
 
 
 def presence_report(df: DataFrame, gold: str, pred: str, by: str) -> DataFrame:
@@ -125,7 +125,8 @@ def bootstrap(df: DataFrame, gold: str, preds: list[str], classes: list[str], dr
     n = cells.agg(F.sum("c")).first()[0] or 0
     rows = spark.range(draws).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(1), F.lit(max(n, 1)))).alias("k")) if n else spark.range(0).select(F.col("id").alias("b"), F.lit(1).alias("k"))
     at = F.pmod(F.xxhash64(F.lit(seed), "b", "k"), F.lit(max(n, 1)))
-    ranges = F.array(*[F.struct(F.lit(r["lo"]).alias("lo"), F.lit(r["hi"]).alias("hi"), F.lit(i).alias("cell")) for i, r in enumerate(found := cells.collect())])
+    found = cells.collect()  # a row for each combination of classes
+    ranges = F.array(*[F.struct(F.lit(r["lo"]).alias("lo"), F.lit(r["hi"]).alias("hi"), F.lit(i).alias("cell")) for i, r in enumerate(found)])
     drawn = rows.groupBy("b", F.element_at(F.filter(ranges, lambda x: (at >= x["lo"]) & (at < x["hi"])), 1)["cell"].alias("cell")).agg(F.count("*").alias("m"))
     names = spark.createDataFrame([(i, *[r[c] for c in (gold, *preds)]) for i, r in enumerate(found)], "cell int, " + ", ".join(f"`{c}` string" for c in (gold, *preds)))
     joined = drawn.join(F.broadcast(names), "cell")
