@@ -37,7 +37,7 @@ def flatten_questions(raw: DataFrame, categories: list[str] | None = None) -> Da
 
 def message(messages: Column, role: str) -> Column:
     """Content of the first message of a role."""
-    return F.element_at(F.filter(messages, lambda m: m["role"] == role), 1)["content"]
+    return F.get(F.filter(messages, lambda m: m["role"] == role), F.lit(0))["content"]
 
 
 def turns(conversations: DataFrame) -> DataFrame:
