@@ -36,10 +36,10 @@ def bucket_count(df: DataFrame) -> int:
     return max(LEAST_BUCKETS, min(1 << 24, -(-stored // BUCKET_BYTES)))
 
 
-def dealt(df: DataFrame, buckets: int, *columns: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dealt(df: DataFrame, buckets: int, *columns, id_col: str = "doc_id", text_col: str = "text", name: str = "bucket") -> DataFrame:
     """The named columns with a bucket number; rows of null id are dealt by their text."""
     key = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col)))
-    return df.select(F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket"), *columns)
+    return df.select(F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias(name), *columns)
 
 
 def send(bucket: int, keys: np.ndarray, parts: int, more: np.ndarray | None = None, extra: np.ndarray | None = None, bits: int = 64) -> pa.RecordBatch:

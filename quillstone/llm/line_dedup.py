@@ -46,7 +46,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     among them; with ``n_lines`` (before) and ``n_dropped``."""
     buckets, parts = X.bucket_count(docs), X.bucket_count(docs) // 2
     keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    dealt = X.dealt(docs, buckets, *[F.col(f"`{c}`") for c in keep], id_col=id_col, text_col=text_col).withColumnRenamed("bucket", "__bucket")
+    dealt = X.dealt(docs, buckets, *[F.col(f"`{c}`") for c in keep], id_col=id_col, text_col=text_col, name="__bucket")
 
     def keys(table: pa.Table) -> pa.Table:
         bucket = table["__bucket"][0].as_py()

@@ -148,6 +148,6 @@ def pack(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col
         })
 
     columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text")]
-    dealt = X.dealt(docs, shards, *columns, id_col=id_col, text_col=text_col).withColumnRenamed("bucket", "shard")
+    dealt = X.dealt(docs, shards, *columns, id_col=id_col, text_col=text_col, name="shard")
     small = dealt.mapInArrow(measure, "shard int, doc_id long, source string, n long, cluster long")
     return small.groupBy("shard").applyInArrow(run, OUT)

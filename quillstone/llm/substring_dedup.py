@@ -58,7 +58,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     parts = max(1, buckets // 2)
     bits = min(64, 33 + max(1, (parts - 1).bit_length()))  # of a probe: false hits cost time, not results
     keep = [c for c in docs.columns if c not in ("n_words", "n_removed")]
-    dealt = X.dealt(docs, buckets, *[F.col(f"`{c}`") for c in keep], id_col=id_col, text_col=text_col).withColumnRenamed("bucket", "__bucket")
+    dealt = X.dealt(docs, buckets, *[F.col(f"`{c}`") for c in keep], id_col=id_col, text_col=text_col, name="__bucket")
 
     def probes(table: pa.Table) -> pa.Table:
         keys, marks = [], []  # per distinct rolling window: indexed somewhere, in several documents

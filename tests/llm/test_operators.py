@@ -1,0 +1,374 @@
+"""The operators against brute force, and on odd inputs."""
+
+from __future__ import annotations
+
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quillstone.llm import ann, bitplanes, decontaminate, ngram_join, packing, toxicity
+from quillstone.llm.components import components
+from quillstone.llm.html_density import extract_text, main_text
+from quillstone.llm.line_dedup import dedup_lines
+from quillstone.llm.ngram_join import ngram_components
+from quillstone.llm.substring_dedup import dedup_substrings
+from quillstone.llm.url_filter import filter_urls
+
+SCHEMA = "doc_id long, text string, source string, n_lines long, bucket int"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def low(s):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s)
+
+
+def corpus(seed, n=60, words=40, vocabulary=300):
+    """Texts with copies, near copies, shared passages and lines; nulls, empties, a long text, and a repeated row."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(vocabulary)}" + rng.choice(["", "", ",", "É", "."])
+    text = lambda k: "".join(word() + rng.choice([" ", " ", " ", "\n", "  ", "\t"]) for _ in range(k))
+    passage, line = text(60), "A common line that many have"
+    out = []
+    for i in range(n):
+        kind = rng.randrange(8)
+        t = text(rng.randrange(words * 3))
+        if kind == 0 and out:
+            t = rng.choice(out)[1] or ""
+        elif kind == 1 and out:
+            w = (rng.choice(out)[1] or "x").split(" ")
+            w[rng.randrange(len(w))] = word()
+            t = " ".join(w)
+        elif kind == 2:
+            t = t + passage + text(5)
+        elif kind == 3:
+            t = t + "\n" + rng.choice(["  ", ""]) + line + "\t\n" + line.upper() + "\n" + t
+        out.append((i * 3 + 1, t))
+    out += [(1000, None), (1001, ""), (1002, " \n\t"), (1003, "one two"), (1004, "ONE two"), (1005, text(4000)), out[3], (7, out[5][1])]
+    rng.shuffle(out)
+    return out
+
+
+def frame(spark, rows, parts=3):
+    return spark.createDataFrame([(i, t, "s", 5, 1) for i, t in rows], SCHEMA).repartition(parts)
+
+
+def distinct(rows):
+    """For comparisons by id: the first row of each."""
+    seen = {}
+    for i, t in rows:
+        seen.setdefault(i, t)
+    return sorted(seen.items())
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_lines(spark, seed):
+    rows = distinct(corpus(seed))
+    key = lambda s: low(s.strip(" \t\n\v\f\r"))
+    held = {}
+    for i, t in rows:
+        for line in (t or "").split("\n"):
+            held.setdefault(key(line), set()).add(i)
+    want = {}
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        keep = [x for x in lines if not (len(key(x)) >= 10 and len(held[key(x)]) >= 2 and min(held[key(x)]) != i)]
+        want[i] = ("\n".join(keep), len(lines), len(lines) - len(keep))
+    got = dedup_lines(frame(spark, rows))
+    assert got.columns == ["doc_id", "text", "source", "bucket", "n_lines", "n_dropped"]
+    assert {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in got.collect()} == want
+
+
+def test_lines_threshold_and_repeats(spark):
+    rows = [(i, f"a line of some length\nown {i} and only") for i in (3, 1, 2, 2)] + [(None, "a line of some length")]
+    got = [(r.doc_id, r.n_dropped) for r in dedup_lines(frame(spark, rows), min_docs=4).collect()]
+    assert sorted(got, key=str) == [(1, 0), (2, 1), (2, 1), (3, 1), (None, 1)]
+    assert all(r.n_dropped == 0 for r in dedup_lines(frame(spark, rows), min_docs=5).collect())
+
+
+@pytest.mark.parametrize(("seed", "window"), [(3, 50), (4, 8)])
+def test_substrings(spark, seed, window):
+    rows = distinct(corpus(seed))
+    first, want = {}, {}
+    for i, t in rows:
+        w = WORD.findall(t or "")
+        gone = [False] * len(w)
+        for a in range(len(w) - window + 1):
+            if first.setdefault(tuple(w[a : a + window]), i) < i:
+                gone[a : a + window] = [True] * window
+        want[i] = (" ".join(x for x, g in zip(w, gone, strict=True) if not g), len(w), sum(gone))
+    got = {r.doc_id: (r.text, r.n_words, r.n_removed) for r in dedup_substrings(frame(spark, rows), window=window).collect()}
+    assert got == want and sum(x[2] for x in got.values()) > 0
+
+
+def test_substrings_repeats(spark):
+    t = " ".join(map(str, range(70)))
+    got = sorted((str(r.doc_id), r.n_removed) for r in dedup_substrings(frame(spark, [(5, t), (5, t), (None, t), (9, t)])).collect())
+    assert got == [("5", 0), ("5", 0), ("9", 70), ("None", 70)]
+
+
+def brute_components(rows, size, percent):
+    sets = {}
+    for i, t in rows:
+        w = WORD.findall(low(t or ""))
+        sets[i] = {tuple(w[a : a + size]) for a in range(max(1, len(w) - size + 1))} if w else set()
+    up = {i: i for i in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= percent * len(sets[a] | sets[b]):
+            x, y = find(a), find(b)
+            up[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+@pytest.mark.parametrize(("seed", "chunk", "percent"), [(5, 256, 85), (6, 2, 60), (7, 1, 50)])
+def test_ngram_components(spark, monkeypatch, seed, chunk, percent):
+    monkeypatch.setattr(ngram_join, "CHUNK_CLASSES", chunk)
+    rows = distinct(corpus(seed, n=90, words=30, vocabulary=60 if percent < 85 else 300))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_components(frame(spark, rows), size=4, percent=percent).collect()}
+    assert got == brute_components(rows, 4, percent)
+
+
+def test_ngram_repeats(spark):
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in ngram_components(frame(spark, [(4, "a b c d e"), (4, "a b c d e"), (9, "A b c d e"), (None, "a b c d e")])).collect())
+    assert got == [("4", 2, "4"), ("4", 2, "4"), ("9", 2, "4"), ("None", 2, "None")]
+
+
+def test_join_chunk_brute():
+    rng = random.Random(8)
+    for _ in range(40):
+        sets = [sorted(rng.sample(range(30), rng.randrange(1, 15))) for _ in range(rng.randrange(1, 25))]
+        percent = rng.choice([30, 60, 85])
+        pairs = ngram_join.join_chunk(np.arange(len(sets)) + 10, [len(s) for s in sets], [np.array(s, np.uint64) for s in sets], percent)
+        up = list(range(len(sets)))
+        find = lambda x: x if up[x] == x else find(up[x])
+        for a, b in itertools.combinations(range(len(sets)), 2):
+            both = len(set(sets[a]) & set(sets[b]))
+            if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                up[max(x, y)] = min(x, y)
+        assert sorted(pairs) == sorted((i + 10, find(i) + 10) for i in range(len(sets)) if find(i) != i)
+
+
+def test_components(spark):
+    rng = random.Random(9)
+    edges = [(max(a, b), min(a, b)) for a, b in ((rng.randrange(80), rng.randrange(80)) for _ in range(70)) if a != b] + [(200 + i, 199 + i) for i in range(20)]
+    up = {x: x for e in edges for x in e}
+    find = lambda x: x if up[x] == x else find(up[x])
+    for a, b in edges:
+        x, y = find(a), find(b)
+        up[max(x, y)] = min(x, y)
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "hi long, lo long")).collect()}
+    assert got == {x: find(x) for x in up}
+
+
+def levenshtein_search(p, t):
+    prev = [0] * (len(t) + 1)
+    for i, x in enumerate(p):
+        cur = [i + 1]
+        for j, y in enumerate(t):
+            cur.append(min(prev[j] + (x != y), prev[j + 1] + 1, cur[j] + 1))
+        prev = cur
+    return min(prev)
+
+
+def test_best_end():
+    rng = random.Random(10)
+    for _ in range(200):
+        p, t = ("".join(rng.choice("abc") for _ in range(rng.randrange(1, m))) for m in (15, 30))
+        edits, a, b = decontaminate.nearest(p, t)
+        assert edits == levenshtein_search(p, t)
+        assert levenshtein_search(p, t[a:b]) == edits
+
+
+def edited(rng, s, rate):
+    out = []
+    for c in s:
+        r = rng.random()
+        out.append("" if r < rate / 3 else rng.choice("xyz") if r < 2 * rate / 3 else c + rng.choice("xyz") if r < rate else c)
+    return "".join(out)
+
+
+def test_decontamination(spark, monkeypatch):
+    rng = random.Random(11)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    items = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
+    clean = [t for t in (r.text for r in docs.limit(60).collect()) if not any(decontaminate.normal(x) in decontaminate.normal(t) for _, x in items)]
+    planted = [(1000 + k, "Vorspann é " + clean[k % len(clean)][:300] + " " + edited(rng, t, 0.05).replace(" ", "  " if k % 5 == 0 else " ", 1) + " " + clean[-1 - k % 7][:200], i) for k, (i, t) in enumerate(items)]
+    rows = [(i, t, 1) for i, t in enumerate(clean)] + [(i, t, 1) for i, t, _ in planted] + [(5000, None, 1), (5001, "", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, leaks int")
+    benchmark = spark.createDataFrame([*items, (900, None), (901, ""), (902, "short")], "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", 2000)  # several blocks
+    out = decontaminate.find_leaks(df, benchmark)
+    got = {r.doc_id: r.leaks for r in out.collect()}
+    assert out.columns == ["doc_id", "text", "leaks"] and len(got) == len(rows)
+    assert not any(got[i] for i in range(len(clean))) and not got[5000] and not got[5001]
+    assert sum(any(x.item_id == i for x in got[d]) for d, _, i in planted) >= 0.95 * len(planted)
+    text = {i: t for i, t, _ in planted}
+    for d, _, i in planted:
+        for x in got[d]:
+            item = decontaminate.normal(dict(items)[x.item_id])
+            assert levenshtein_search(item, decontaminate.normal(text[d][x.start : x.start + x.n_chars])) == x.edits <= len(item) // 10
+
+
+def test_urls(spark):
+    captures = [(1, "http://a.b.com/x/y", 5), (2, "https://b.com/", 15), (3, "HTTP://U:p@A.B.com:80/x", 25), (4, None, 5), (5, "nonsense", 5), (6, "http://a.b.com/x", None), (7, "http://c.com/x/yy", 12), (8, "http://a.b.com/", 20)]
+    day = lambda df, c: df.withColumn(c, F.date_add(F.lit("2024-01-01").cast("date"), F.col(c)))
+    changes = [("bad", False, "domain", "b.com", "add", 10), ("bad", False, "domain", "b.com", "remove", 20), ("bad", False, "domain", "b.com", "add", 20), ("bad", False, "domain", "b.com", "add", 22),
+               ("bad", False, "host", "a.b.com", "add", 0), ("bad", False, "host", "a.b.com", "remove", 10), ("good", True, "path", "a.b.com/x", "add", 20), ("sect", False, "path", "c.com/x/y", "add", 0), (None, False, "host", "c.com", "add", 0)]
+    c = day(spark.createDataFrame([(*x, "old") for x in captures], "page_id long, url string, fetched int, lists string"), "fetched")
+    e = day(spark.createDataFrame(changes, "list string, allows boolean, kind string, pattern string, action string, at int"), "at")
+    got = {r.page_id: (r.lists, r.blocked) for r in filter_urls(c, e).collect()}
+    assert got == {1: (["bad"], True), 2: (["bad"], True), 3: (["bad", "good"], False), 4: ([], False), 5: ([], False), 6: ([], False), 7: ([], False), 8: (["bad"], True)}
+    assert filter_urls(c, e.limit(0)).where("blocked").count() == 0 and filter_urls(c.limit(0), e).count() == 0
+
+
+def test_toxicity(spark):
+    rng = random.Random(12)
+    names = [f"word{k}" for k in range(200)]
+    rows, labels = [], []
+    for i in range(900):
+        toxic = i % 6 == 0
+        w = [rng.choice(names) for _ in range(rng.randrange(5, 80))]
+        if toxic:
+            for _ in range(3):
+                w.insert(rng.randrange(len(w)), rng.choice(["nasty!", "Horrid" + rng.choice(names)]))
+        rows.append((i, " ".join(w), 0.5))
+        labels.append((i, int(toxic)))
+    rows += [(2000, None, 0.5), (2001, "", 0.5), (2002, "x" * 100_000, 0.5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double")
+    marks = spark.createDataFrame([*labels, (1, None), (5000, 1), (0, 0)], "doc_id long, toxic int")
+    fold = F.when(F.col("id") % 7 == 2, None).otherwise((F.col("id") % 7 == 3).cast("int"))
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, toxicity.train(docs, marks, fold)).collect()}
+    held = [(got[i].predicted, t) for i, t in labels if i % 7 == 2]
+    assert sum(p == t for p, t in held) >= 0.97 * len(held)
+    assert all(0 <= r.score <= 1 for r in got.values()) and not got[2000].predicted and not got[2001].predicted and got[2000].score == got[2001].score
+    none = toxicity.score_toxicity(docs, toxicity.train(docs, marks.where("toxic = 0"), fold))
+    assert none.columns == ["doc_id", "text", "score", "predicted"] and none.agg(F.max("score")).first()[0] == 0
+
+
+PAGES = [
+    ("<body><nav><a href=x>Home</a></nav><div class='ad'>Buy</div><article><h1>T &amp; U</h1><p>One  two<br>three</p><p>Four</article><footer>&copy; x</footer>", "T & U\n\nOne two three\n\nFour"),
+    ("<div id=main><div class=sidebar><p>Side</p></div><div class='post-body'><p>" + "A long text here, " * 10 + "</p><p>Second part.</p></div><div class=comments><p>Nice!</p></div></div>", ("A long text here, " * 10).strip() + "\n\nSecond part."),
+    ("<script>var a='</p><article>';</script><style>p{}</style><main><p>Body</p><form><input>Send</form></main>", "Body"),
+    ("<article><p>cut off &amp here<p>and the en", "cut off & here\n\nand the en"), ("<article><p>text<a hr", "text"), ("just text", "just text"), ("", ""), (None, ""), ("<<<>>>&#x41;", "<<<>>>A"),
+]
+
+
+@pytest.mark.parametrize(("html", "text"), PAGES)
+def test_main_text(html, text):
+    assert main_text(html) == text
+
+
+def test_extract(spark):
+    df = spark.createDataFrame([(i, h, "old") for i, (h, _) in enumerate(PAGES)], "page_id int, html string, text string")
+    assert [r.text for r in extract_text(df).orderBy("page_id").collect()] == [t for _, t in PAGES]
+    assert extract_text(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("bits", [False, True])
+@pytest.mark.parametrize("kind", [np.uint16, np.uint32])
+def test_planes(bits, kind):
+    rng = np.random.default_rng(1)
+    for n in (1, 7, 8, 1000):
+        ids = rng.integers(0, np.iinfo(kind).max, n).astype(kind)
+        assert (bitplanes.from_planes(bitplanes.to_planes(ids, bits), n, ids.itemsize, bits) == ids).all()
+
+
+@pytest.mark.parametrize("bits", [False, True])
+def test_token_files(spark, tmp_path, monkeypatch, bits):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = distinct(corpus(13)) + [(3000, "<|ENDOFTEXT|> <|endoftext|> İst x́y ofﬁce's can't ΣΑΣ 12.5 日本。ok,,")]
+    monkeypatch.setattr(bitplanes, "CHUNK_IDS", 1000)
+    files = bitplanes.write_token_files(frame(spark, rows), path, 2, f"file://{tmp_path}", bits=bits)
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in bitplanes.read_token_files(files).collect()}
+    start, want = 0, {}
+    for (i, _), e in zip(sorted(rows), Tokenizer.from_file(path).encode_batch([t or "" for _, t in sorted(rows)], add_special_tokens=False), strict=True):
+        ids = [*e.ids, 2]
+        want[i] = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert got == want
+    assert bitplanes.read_token_files(bitplanes.write_token_files(frame(spark, rows).limit(0), path, 2, f"file://{tmp_path}")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder(name):
+    import public_tokenizers
+
+    encoder = bitplanes.Encoder(open(public_tokenizers.path(name)).read())
+    texts = [t or "" for _, t in corpus(14)] + ["naïve!!! (x). Étude, ÉTUDE", "a b x…, ''s don't."]
+    assert [list(memoryview(x).cast(encoder.code)) for x in encoder(texts)] == [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_packing_is_best_fit():
+    rng = random.Random(15)
+    for _ in range(60):
+        n, capacity = rng.choice([0, 1, 5, 60, 200]), rng.choice([16, 64])
+        docs = [(i, rng.choice([None, "a", "a", "a", "b", "c"]), int(rng.expovariate(1 / 20)), rng.randrange(max(1, n // 2)) if rng.random() < 0.5 else 10**6 + i) for i in range(n)]
+        copies = {c: sum(d[3] == c for d in docs) for _, _, _, c in docs}
+        bins: dict[int, list] = {}
+        for row, _, _, length, b, place in packing.pack_shard(docs, capacity):
+            _, source, words, cluster = docs[row]
+            fits = lambda held: (
+                sum(x[1] for x in held) + length <= capacity
+                and (source is None or all(docs[x[0]][1] != source for x in held))
+                and all(x[0] != row and (copies[cluster] < 2 or docs[x[0]][3] != cluster) for x in held)
+            )  # noqa: E731, B023
+            open_ = {k: capacity - sum(x[1] for x in held) for k, held in bins.items() if fits(held)}
+            assert place == sum(x[1] for x in bins.get(b, []))
+            assert (b in open_ and open_[b] == min(open_.values())) if open_ else b not in bins
+            bins.setdefault(b, []).append((row, length))
+        assert sum(x[1] for held in bins.values() for x in held) == sum(d[2] + 1 for d in docs)
+
+
+def test_pack(spark):
+    rows = corpus(16)
+    out = packing.pack(frame(spark, rows), capacity=50).collect()
+    total = sum(len((t or "").split()) + 1 for _, t in rows)
+    assert sum(r.n_places for r in out) == total and all(r.place + r.n_places <= 50 for r in out)
+    assert packing.pack(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_nearest(spark):
+    rng = np.random.default_rng(17)
+    centers = rng.standard_normal((5, 16))
+    x = (centers[rng.integers(0, 5, 700)] + 0.5 * rng.standard_normal((700, 16))).astype(np.float32)
+    x[100:160] = x[100]  # many equal vectors
+    rows = [(i, [float(v) for v in x[i]]) for i in range(700)] + [(2000, None), (2020, [0.0] * 16), (2040, [1.0] * 15 + [None]), (2060, [float("nan")] * 16), (2080, [1.0]), (2100, [float("inf")] + [0.0] * 15)]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, rank int")).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert sorted(got) == list(range(0, 700, 20))
+    hits = 0
+    for q, found in got.items():
+        s = x.astype(float) @ x[q].astype(float)
+        want = [int(i) for i in np.lexsort((np.arange(700), -s)) if i != q][:20]
+        found.sort()
+        assert [r for r, _, _ in found] == list(range(1, 21)) and q not in [v for _, v, _ in found]
+        assert np.allclose([c for _, _, c in found], s[[v for _, v, _ in found]])
+        assert found == sorted(found, key=lambda f: (-f[2], f[1]))
+        hits += len(set(want) & {v for _, v, _ in found})
+    assert hits >= 0.9 * 20 * len(got)
+    few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5])], "vec_id long, embedding array<float>")
+    assert [(r.query_id, r.vec_id) for r in ann.nearest(few).collect()] == [(0, 1)]
+    assert ann.nearest(few.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("operator", [dedup_lines, dedup_substrings, ngram_components, packing.pack])
+def test_empty(spark, operator):
+    assert operator(frame(spark, []).limit(0)).count() == 0
+
+
