@@ -154,12 +154,10 @@ def join_chunk(ids: np.ndarray, sizes: list[int], tokens: list[np.ndarray], perc
     order = np.lexsort((ids, np.array(sizes)))
     forest = Forest(len(order))
     sizes, tokens, ids = [sizes[i] for i in order], [tokens[i] for i in order], ids[order]
-    before = list(range(len(order)))
     if comps is not None:
         first: dict = {}
         for i, c in enumerate([comps[i] for i in order]):
             forest.join(i, first.setdefault(c, i))
-        before = [forest.find(i) for i in range(len(order))]
     trie = Trie(sizes, tokens, forest, percent)
     for x in range(len(order)):
         if x and ids[x] == ids[x - 1] and sizes[x] == sizes[x - 1]:
@@ -170,7 +168,7 @@ def join_chunk(ids: np.ndarray, sizes: list[int], tokens: list[np.ndarray], perc
     for i in range(len(order)):
         r = forest.find(i)
         least[r] = min(least.get(r, int(ids[i])), int(ids[i]))
-    return sorted({(int(ids[i]), least[r]) for i in range(len(order)) if int(ids[i]) > least[r := forest.find(i)] and (comps is None or before[i] != forest.find(before[i]) or True)})
+    return sorted({(int(ids[i]), least[r]) for i in range(len(order)) if int(ids[i]) > least[r := forest.find(i)]})
 
 
 def ngram_rows(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
@@ -328,19 +326,26 @@ def edges_of(comps: DataFrame) -> DataFrame:
     return comps.where("node > component").select(F.col("node").alias("hi"), F.col("component").alias("lo"))
 
 
+def _salted(rows: DataFrame, small: DataFrame, key: str, salts: int = 16) -> DataFrame:
+    """An inner join with a small table, a row for each key at most, whose keys may hold many rows."""
+    each = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(each, [key, "__salt"]).drop("__salt")
+
+
 def _rest(held: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     """Links that chunking may have missed: classes of chunked homes whose component isn't the home's are compared with
     all of the home, chunk by chunk; none, if every such home is one component."""
     big = held.groupBy("home").agg(F.max("of").alias("chunks")).where("chunks > 1")
-    all_ = held.join(cut(big), "home").dropDuplicates(["home", "doc_id"])
-    label = lambda c, as_: (comps.withColumnRenamed("node", c).withColumnRenamed("component", as_), c)
-    all_ = all_.join(*label("doc_id", "comp"), "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-    all_ = cut(all_.join(*label("home", "home_comp"), "left").withColumn("minor", F.col("comp") != F.coalesce("home_comp", "home")))
+    big = big.join(comps.withColumnRenamed("node", "home").withColumnRenamed("component", "home_comp"), "home", "left")
+    once = held.where("doc_id <> home OR of = 1").drop("of", "chunk")  # a home's own class is in each of its chunks
+    all_ = _salted(once, cut(big), "home").join(comps.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "comp"), "doc_id", "left")
+    all_ = all_.withColumn("comp", F.coalesce("comp", "doc_id")).withColumn("minor", F.col("comp") != F.coalesce("home_comp", "home"))
+    all_ = cut(all_.select("home", "chunks", "doc_id", "n", "tokens", "comp", "minor"))
     minors = cut(all_.where("minor").groupBy("home").agg(F.ceil(F.count("*") / F.lit(CHUNK_CLASSES)).cast("int").alias("lots")))
     if not minors.limit(1).count():
         return held.sparkSession.createDataFrame([], "hi long, lo long")
     deal = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
-    all_ = all_.join(minors, "home")
+    all_ = _salted(all_, minors, "home")
     each = all_.select("home", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), deal(F.col("chunks")).alias("chunk"), "doc_id", "n", "tokens", "comp")
     few = all_.where("minor").select("home", deal(F.col("lots")).alias("lot"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "doc_id", "n", "tokens", "comp")
     both = each.unionByName(few).dropDuplicates(["home", "lot", "chunk", "doc_id"])
