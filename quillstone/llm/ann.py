@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from .components import cut
 
-PROJECTIONS, SURE = 8, 0.995
+PROJECTIONS, SURE = 8, 0.95
+#: Leaves of a tree are verified some at a time, twice as many each time.
 SAMPLE, SHARD_ROWS, LEAF_ROWS, STEP_LEAVES = 16_384, 8_192, 64, 8
 
 
@@ -121,16 +122,20 @@ class Index:
         for i in range(len(q)):
             best_ids, best = self.ids[:0], np.zeros(0)
             floor = -np.inf if known is None else known[i]
-            for at in range(0, len(self.leaves), STEP_LEAVES):
+            at, step = 0, STEP_LEAVES
+            while at < len(self.leaves):
                 kth = max(floor, best[-1] if len(best) == k else -np.inf)
                 if kth > -np.inf:
                     d = self.projection.distance(q[i : i + 1], np.array([kth]))[0]
                     if chi_square(np.array([(gaps[i, order[i, at]] / d) ** 2]), PROJECTIONS)[0] >= SURE:
                         break
-                rows = np.sort(np.concatenate([self.leaves[j] for j in order[i, at : at + STEP_LEAVES]]))
-                ids, scores = np.concatenate([best_ids, self.ids[rows]]), np.concatenate([best, self.x[rows] @ q[i]])
+                rows = np.concatenate([self.leaves[j] for j in order[i, at : at + step]])
+                scores = self.x[rows] @ q[i]
+                near = scores >= kth
+                ids, scores = np.concatenate([best_ids, self.ids[rows[near]]]), np.concatenate([best, scores[near]])
                 top = np.lexsort((ids, -scores))[:k]
                 best_ids, best = ids[top], scores[top]
+                at, step = at + step, 2 * step
             out.append((best_ids, best))
         return out
 
