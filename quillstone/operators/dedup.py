@@ -38,6 +38,7 @@ def similar_pairs(df: DataFrame, id_col: str, tokens: Column, k: int = 5, least:
     """
     classes = shingle_classes(df, id_col, tokens, k)
     sets = classes.groupBy("digest").agg(F.min("id").alias("id"), F.first("s").alias("s")).where(F.size("s") > 0).select("id", "s")
+    sets = sets.persist()  # read four times below; recomputed where an executor is lost
     sizes = sets.withColumn("n", F.size("s"))
     counts = sizes.select(F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
     ranked = sizes.select("id", "n", F.explode("s").alias("x")).join(counts, "x")
@@ -55,8 +56,9 @@ def similar_pairs(df: DataFrame, id_col: str, tokens: Column, k: int = 5, least:
 
 def shingle_classes(df: DataFrame, id_col: str, tokens: Column, k: int = 5) -> DataFrame:
     """Each text's shingle set as sorted 64-bit hashes, with a digest that names its class."""
-    s = F.array_sort(F.transform(X.shingles(tokens, k), lambda x: F.xxhash64(x)))
-    return df.select(F.col(id_col).alias("id"), s.alias("s")).withColumn("digest", F.sha2(F.array_join(F.transform("s", lambda x: x.cast("string")), ","), 256))
+    hashes = X.bind(tokens, lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - k, F.lit(0))), lambda i: F.xxhash64(F.slice(w, i + 1, F.lit(k)))))
+    rows = df.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(hashes)).alias("s"))
+    return rows.withColumn("digest", F.concat_ws("-", F.xxhash64("s"), F.xxhash64(F.lit(1), "s"), F.size("s")))
 
 
 def containment(needles: DataFrame, hays: DataFrame, needle_id: str, needle: str, hay_id: str, hay: str, k: int = 4, broadcast_rows: int = 100_000) -> DataFrame:
