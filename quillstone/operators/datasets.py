@@ -138,3 +138,34 @@ def note_reasons(df: DataFrame, low: Column, high: Column) -> DataFrame:
     bad = F.size(F.filter(quotes, lambda q: ~F.contains(X.norm("clause"), X.norm(q))))
     found = F.array(F.when(F.col("n_sentences") != 1, F.concat(F.lit("f1_sentences_"), F.col("n_sentences").cast("string"))), F.when(F.col("n_words") < low, "f2_too_short").when(F.col("n_words") > high, "f2_too_long"), F.when(bad > 0, "f3_ungrounded_quote"))
     return out.withColumn("reasons", F.array_compact(found))
+
+
+def target_budget(n_prompt: Column, n_target: Column, budget: int) -> Column:
+    """Training bookkeeping: the target is kept whole, the prompt gives way on the left."""
+    kept = F.greatest(F.least(n_prompt, budget - n_target), F.lit(0))
+    return F.struct(kept.alias("n_prompt"), F.least(n_target, F.lit(budget)).alias("n_target"), (kept < n_prompt).alias("truncated"), X.ratio(F.least(n_target, F.lit(budget)), kept + F.least(n_target, F.lit(budget))).alias("loss_share"))
+
+
+def stratum(task: Column, verdict: Column, present: Column) -> Column:
+    """What a stratified draw keeps in proportion: the task, with its answer."""
+    return F.concat_ws(":", task, F.coalesce(verdict, F.when(present, "present").when(~present, "absent")))
+
+
+def char_windows(df: DataFrame, text: str, size: int, stride: int) -> DataFrame:
+    """Adds ``window``, ``char_start`` and ``char_end``: windows of ``size`` characters every ``stride``, the last to the end."""
+    n = F.length(text)
+    last = F.greatest(F.ceil((n - size) / F.lit(stride)), F.lit(0)).cast("int")
+    rows = df.withColumn("window", F.explode(F.sequence(F.lit(0), last)))
+    return rows.withColumn("char_start", F.col("window") * stride).withColumn("char_end", F.least(F.col("window") * stride + size, n))
+
+
+def overlap_probes(windows: DataFrame, key: str, text: str, length: int, step: int) -> DataFrame:
+    """Spans of ``length`` characters within the overlap of two windows next to each other, with their place in each: mapped back, both
+    places are one."""
+    from pyspark.sql import Window
+
+    follow = F.lead("char_start").over(Window.partitionBy(key).orderBy("window"))
+    rows = windows.withColumn("next_start", follow).where(F.col("next_start") + length <= F.col("char_end"))
+    at = F.explode(F.sequence(F.col("next_start"), F.col("char_end") - length, F.lit(step)))
+    rows = rows.withColumn("at", at).withColumn("in_first", F.col("at") - F.col("char_start")).withColumn("in_second", F.col("at") - F.col("next_start"))
+    return rows.withColumn("span", F.substring(F.col(text), F.col("at") + 1, F.lit(length)))

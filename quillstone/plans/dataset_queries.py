@@ -390,3 +390,44 @@ def _(spark, sf):
 @query("format_modes")
 def _(spark, sf):
     return rounded(replies(spark, sf).withColumn("r", P.parse_verdict_reply(F.col("raw"))).groupBy("r.parse_mode").agg(F.count("*").alias("n"), F.avg((F.col("r.verdict") == F.col("gold_verdict")).cast("int")).alias("right")))
+
+
+@query("target_bookkeeping", """WITH t AS (SELECT doc_id, length(text) // 4 AS p, 20 + doc_id % 50 AS t FROM documents), k AS (SELECT doc_id, greatest(least(p, 1000 - t), 0) AS n_prompt, t AS n_target, greatest(least(p, 1000 - t), 0) < p AS truncated FROM t)
+SELECT *, n_target / CAST(n_prompt + n_target AS DOUBLE) AS loss_share FROM k""")
+def _(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", F.floor(F.length("text") / 4).alias("p"), (20 + F.col("doc_id") % 50).alias("t"))
+    return docs.select("doc_id", DS.target_budget(F.col("p"), F.col("t"), 1000).alias("b")).select("doc_id", "b.*")
+
+
+@query("strata", f"WITH {ANSWERS} SELECT CASE WHEN doc_id % 2 = 0 THEN 'verdict:' || gold_verdict ELSE 'presence:' || CASE WHEN len(gold) > 0 THEN 'present' ELSE 'absent' END END AS stratum, count(*) AS n FROM answers GROUP BY 1")
+def _(spark, sf):
+    even = F.col("doc_id") % 2 == 0
+    s = DS.stratum(F.when(even, "verdict").otherwise("presence"), F.when(even, F.col("gold_verdict")), F.size("gold") > 0)
+    return answers(spark, sf).groupBy(s.alias("stratum")).agg(F.count("*").alias("n"))
+
+
+_CHAR = "win AS (SELECT *, CAST(w AS INTEGER) AS \"window\", CAST(w * 1500 AS INTEGER) AS char_start, CAST(least(w * 1500 + 2000, length(text)) AS INTEGER) AS char_end FROM (SELECT *, unnest(range(0, CAST(greatest(ceil((length(text) - 2000) / 1500.0), 0) AS INTEGER) + 1)) AS w FROM answers))"
+_PART = s_norm("substr(text, char_start + 1, char_end - char_start)")
+
+
+@query("windowed_labels", f"""WITH {ANSWERS}, {_CHAR}, e AS (SELECT doc_id, "window", char_start, char_end, list_filter(gold, lambda q: {s_norm('q')} <> '' AND contains({_PART}, {s_norm('q')})) AS evidence FROM win)
+SELECT doc_id, "window", char_start, char_end, CAST(len(evidence) AS INTEGER) AS n_evidence, len(evidence) > 0 AS present FROM e""")
+def _(spark, sf):
+    rows = DS.label_windows(DS.char_windows(answers(spark, sf), "text", 2000, 1500), "gold", "text")
+    return rows.select("doc_id", "window", "char_start", "char_end", F.size("evidence").alias("n_evidence"), "present")
+
+
+@query("overlap_probes", f"""WITH {ANSWERS}, {_CHAR}, f AS (SELECT doc_id, "window", char_start, char_end, text, lead(char_start) OVER (PARTITION BY doc_id ORDER BY "window") AS ns FROM win),
+p AS (SELECT doc_id, "window", text, char_start, ns, CAST(unnest(range(ns, char_end - 60 + 1, 100)) AS INTEGER) AS at_ FROM f WHERE ns + 60 <= char_end)
+SELECT doc_id, "window", CAST(at_ - char_start AS INTEGER) AS in_first, CAST(at_ - ns AS INTEGER) AS in_second, md5(substr(text, at_ + 1, 60)) AS md5 FROM p""")
+def _(spark, sf):
+    rows = DS.overlap_probes(DS.char_windows(answers(spark, sf), "text", 2000, 1500), "doc_id", "text", 60, 100)
+    return rows.select("doc_id", "window", "in_first", "in_second", F.md5("span").alias("md5"))
+
+
+@query("note_report", f"""WITH {ANSWERS}, n AS (SELECT trim(regexp_replace(coalesce(pred[1], '') || '.', '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')) AS note FROM answers WHERE len(gold) > 0)
+SELECT count(*) AS n, count(*) FILTER (len(regexp_extract_all(note, '[.!?](?:\\s|$)')) = 1) AS one_sentence, round(avg(len(list_filter(string_split(note, ' '), lambda t: t <> ''))), 6) AS mean_words FROM n""")
+def _(spark, sf):
+    a = answers(spark, sf).where(F.size("gold") > 0).select(F.array_join("gold", " ").alias("clause"), F.concat(F.coalesce(F.get("pred", F.lit(0)), F.lit("")), F.lit(".")).alias("note"))
+    rows = DS.note_reasons(a, F.lit(8), F.lit(40))
+    return rounded(rows.agg(F.count("*").alias("n"), F.count_if(F.col("n_sentences") == 1).alias("one_sentence"), F.avg("n_words").alias("mean_words")))
