@@ -16,7 +16,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, key: list[str], chunk: str = "ch
     tf = words.select(*key, chunk, "len", F.explode("w").alias("t")).groupBy(*key, chunk, "len", "t").agg(F.count("*").alias("tf"))
     df = tf.groupBy(*key, "t").agg(F.count("*").alias("df"))
     asked = queries.select(*key, query, F.explode(X.words(query_text)).alias("t")).groupBy(*key, query, "t").agg(F.count("*").alias("qf"))
-    rows = asked.join(df, [*key, "t"]).join(tf, [*key, "t"]).join(stats, key)
+    rows = tf.join(asked, [*key, "t"]).join(df, [*key, "t"]).join(stats, key)
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("qf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg")))
     return rows.groupBy(*key, query, chunk).agg(F.sum(part).alias("score"))

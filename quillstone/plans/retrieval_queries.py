@@ -12,8 +12,9 @@ from .registry import query, table
 
 def chunks(spark, sf):
     """Pieces of 60 tokens, and for each document with gold evidence a query: its first gold span's first tokens."""
-    rows = answers(spark, sf).where(F.size("gold") > 0).withColumn("w", X.tokens("text"))
-    pieces = rows.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size("w") / F.lit(60)) - 1, F.lit(0)).cast("int")), lambda i: F.array_join(F.slice("w", i * 60 + 1, F.lit(60)), " "))).alias("chunk", "text"))
+    rows = answers(spark, sf).where(F.size("gold") > 0)
+    cut = X.bind(X.tokens("text"), lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(w) / F.lit(60)) - 1, F.lit(0)).cast("int")), lambda i: F.array_join(F.slice(w, i * 60 + 1, F.lit(60)), " ")))
+    pieces = rows.select("doc_id", F.posexplode(cut).alias("chunk", "text"))
     asked = rows.select("doc_id", F.lit(0).alias("query"), F.array_join(F.slice(X.tokens(F.col("gold")[0]), 1, 8), " ").alias("query_text"), "gold")
     return pieces, asked
 
