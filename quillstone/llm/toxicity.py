@@ -8,7 +8,8 @@ of an unknown head not at all. A text's score is a logistic function of the diff
 length; its four weights are fitted on texts that the counts they are fitted with were not taken from.
 
 Counts are numbers of texts and cover every labelled training text. They are merged in a shuffle of packed distinct words (see ``exchange``) and
-kept in tables of a fixed number of hash slots, so the broadcast model is ``MODEL_BYTES`` for any corpus.
+kept whole, each key with its own counts: the driver is sent some 15 bytes for each distinct head, and the broadcast model holds
+16 bytes for each head or word that says something, however many these are. Keys are hashes, 32 bits of the head and 32 of the rest.
 
 Defined results: null and empty texts have no words and get the score of that; rows without a label don't train; of several
 labels for one id the largest counts; without training rows of both classes every score is 0; other columns pass through,
@@ -31,8 +32,6 @@ HEAD = 5
 DISCOUNT = 0.75
 #: An expression counts by itself from this many standard deviations between its classes' counts, and this log ratio.
 SURE, LEAST_RATIO = 4.0, 1.5
-SLOTS = 1 << 20
-MODEL_BYTES = 2 * SLOTS * (4 + 2 * 4)
 #: Labelled texts that the logistic weights are fitted on, at most (those of least hash).
 FIT_ROWS = 20_000
 SEPARATES = B.IS_SPACE.copy()
@@ -59,7 +58,7 @@ def _word_key(head: np.ndarray, rest: np.ndarray) -> np.ndarray:
 
 
 def _pack_counts(batches):
-    """(ascending word keys, four 16-bit counts: ordinary and toxic, of fold 0 and of fold 1)."""
+    """(ascending word keys, counts of fold 0, counts of fold 1): ordinary in the low 32 bits, toxic in the high ones."""
     keys, counts = np.zeros(0, np.uint64), np.zeros((0, 4), np.int64)
     for batch in batches:
         kind = (2 * batch["fold"].to_numpy(zero_copy_only=False) + batch["toxic"].to_numpy(zero_copy_only=False)).astype(np.int64)
@@ -79,54 +78,44 @@ def _pack_counts(batches):
         total = np.zeros((len(keys), 4), np.int64)
         np.add.at(total, group, np.concatenate(new))
         counts = total
-    shifts = np.uint64(16) * np.arange(4, dtype=np.uint64)
-    return keys, (np.minimum(counts, 65535).astype(np.uint64) << shifts).sum(1, dtype=np.uint64)
+    ordinary, toxic = counts[:, ::2].astype(np.uint64), counts[:, 1::2].astype(np.uint64)
+    both = ordinary | toxic << np.uint64(32)
+    return keys, both[:, 0], both[:, 1]
 
 
 def _counter(parts: int):
     def run(batches):
-        keys, counts = _pack_counts(batches)
-        yield from X.send(TaskContext.get().partitionId(), keys, parts, counts).to_batches()
+        keys, *counts = _pack_counts(batches)
+        yield from X.send(TaskContext.get().partitionId(), keys, parts, *counts).to_batches()
 
     return run
 
 
-#: kind (0 head, 1 word, 2 totals), slot and the 32 bits that name its owner, how often it occurs, ten counts.
-COUNTS = "kind int, slot int, name long, weight double, v array<double>"
+#: One row for each key range. heads, words: packed ascending keys; counts: of heads, packed: of fold 0 ordinary, toxic and
+#: different rests, then of all texts; ratios: of words, by fold 0 and by all texts; totals: five for fold 0, five for all.
+COUNTS = "part int, n_heads int, heads binary, counts array<binary>, n_words int, words binary, ratios binary, totals array<double>"
+COUNTS_ARROW = pa.schema([("part", pa.int32()), ("n_heads", pa.int32()), ("heads", pa.binary()), ("counts", pa.list_(pa.binary())), ("n_words", pa.int32()), ("words", pa.binary()), ("ratios", pa.binary()), ("totals", pa.list_(pa.float64()))])
 
 
 def _tables(table: pa.Table) -> pa.Table:
-    """The counts of one key range, that is of all words of its heads. A vector has five counts for fold 0, then five for all
-    texts: ordinary, toxic; and of what it stands in (for a word its head, else of all): ordinary, toxic; different rests."""
+    """The counts of one key range, that is of all words of its heads. Totals: ordinary, toxic; different heads of either;
+    different rests."""
     rows = table.to_pydict()
     keys = np.concatenate([B.unpack_sorted(d, n) for d, n in zip(rows["keys"], rows["n"], strict=True)])
-    packed = np.concatenate([B.unpack_ints(d, n) for d, n in zip(rows["more"], rows["n"], strict=True)])
-    four = (packed[:, None] >> (np.uint64(16) * np.arange(4, dtype=np.uint64)) & np.uint64(65535)).astype(np.int64)
+    packed = [np.concatenate([B.unpack_ints(d, n) for d, n in zip(rows[k], rows["n"], strict=True)]) for k in ("more", "extra")]
+    four = np.stack([x >> np.uint64(32 * k) & np.uint64(0xFFFFFFFF) for x in packed for k in range(2)], 1).astype(np.int64)
     keys, group = np.unique(keys, return_inverse=True)
     c = np.stack([np.bincount(group, four[:, k], len(keys)) for k in range(4)], 1)
     heads, head = np.unique(keys >> np.uint64(32), return_inverse=True)
-    out = {k: [] for k in ("kind", "slot", "name", "weight", "v")}
-
-    def add(kind: int, scrambled: np.ndarray, v: np.ndarray) -> None:
-        out["kind"].append(np.full(len(v), kind)), out["v"].append(v)
-        out["slot"].append((scrambled % np.uint64(SLOTS)).astype(np.int64)), out["name"].append((scrambled >> np.uint64(32)).astype(np.int64))
-        out["weight"].append(v[:, 5] / 8 + v[:, 6])
-
     both = [c[:, :2], c[:, :2] + c[:, 2:]]
     of_head = [np.stack([np.bincount(head, x[:, k], len(heads)) for k in range(2)], 1) for x in both]
     rests = [np.bincount(head, x.sum(1) > 0, len(heads)) for x in both]
-    kinds = [np.stack([np.bincount(head, x[:, k] > 0, len(heads)) for k in range(2)], 1) for x in both]
-    zero = np.zeros((len(heads), 2))
-    add(0, B.mix(heads, 12), np.concatenate([x for i in range(2) for x in (of_head[i], zero, rests[i][:, None])], 1))
-    sure = [_ratio(both[i], of_head[i][head], np.minimum(rests[i][head, None], of_head[i][head]), both[i].sum(1) / np.maximum(of_head[i][head].sum(1), 1)) != 0 for i in range(2)]
-    often = np.flatnonzero(sure[0] | sure[1])  # other words say nothing
-    add(1, B.mix(keys, 11)[often], np.concatenate([x for i in range(2) for x in (both[i][often], of_head[i][head[often]], rests[i][head[often], None])], 1))
-    sums = [np.concatenate([of_head[i].sum(0), (of_head[i] > 0).sum(0), [rests[i].sum()]]) for i in range(2)]
-    add(2, np.zeros(1, np.uint64), np.concatenate(sums)[None].astype(float))
-    values = np.concatenate(out["v"])
-    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, 10 * len(values) + 1, 10), pa.int32()), pa.array(values.ravel().astype(float)))
-    column = lambda k, kind: pa.array(np.concatenate(out[k]), kind)
-    return pa.table({"kind": column("kind", pa.int32()), "slot": column("slot", pa.int32()), "name": column("name", pa.int64()), "weight": column("weight", pa.float64()), "v": lists})
+    ratios = np.stack([_ratio(both[i], of_head[i][head], np.minimum(rests[i][head, None], of_head[i][head]), both[i].sum(1) / np.maximum(of_head[i][head].sum(1), 1)) for i in range(2)], 1)
+    says = np.flatnonzero((ratios != 0).any(1))  # other words say nothing
+    counts = [x.astype(np.uint64) for i in range(2) for x in (*of_head[i].T, rests[i])]
+    totals = np.concatenate([x for i in range(2) for x in (of_head[i].sum(0), (of_head[i] > 0).sum(0), [rests[i].sum()])])
+    row = [rows["part"][0], len(heads), B.pack_sorted(heads), [B.pack_ints(x) for x in counts], len(says), B.pack_sorted(keys[says]), ratios[says].astype(np.float32).tobytes(), totals.astype(float)]
+    return pa.table([pa.array([x], f.type) for x, f in zip(row, COUNTS_ARROW, strict=True)], schema=COUNTS_ARROW)
 
 
 def _ratio(own: np.ndarray, total: np.ndarray, kinds: np.ndarray, shared: np.ndarray) -> np.ndarray:
@@ -140,34 +129,34 @@ def _ratio(own: np.ndarray, total: np.ndarray, kinds: np.ndarray, shared: np.nda
 
 
 class Model:
-    """For heads and for words with their heads: the names of the slots' owners, and the log ratio by the counts of fold 0
-    alone (0) or of all training texts (1)."""
+    """For heads and for words with their heads: ascending keys of those that say something, and the log ratio by the counts of
+    fold 0 alone (0) or of all training texts (1)."""
 
     def __init__(self, rows: pa.Table):
-        kind = rows["kind"].to_numpy()
-        values = rows["v"].combine_chunks().flatten().to_numpy().reshape(-1, 10) if len(kind) else np.zeros((0, 10))
-        totals = values[kind == 2].sum(0)
-        self.names, self.ratios = np.zeros((2, SLOTS), np.uint32), np.zeros((2, SLOTS, 2), np.float32)
-        for k in (0, 1):
-            at = rows["slot"].to_numpy()[kind == k]
-            self.names[k, at] = rows["name"].to_numpy()[kind == k]
-            for i in (0, 1):
-                v, t = values[kind == k][:, 5 * i : 5 * i + 5], totals[5 * i : 5 * i + 5]
-                if k == 0:
-                    ratio = _ratio(v[:, :2], np.repeat(t[None, :2], len(v), 0), np.repeat(t[None, 2:4], len(v), 0), v[:, 4] / max(t[4], 1))
-                else:
-                    pooled = v[:, :2].sum(1) / np.maximum(v[:, 2:4].sum(1), 1)
-                    ratio = _ratio(v[:, :2], v[:, 2:4], np.minimum(v[:, 4:], v[:, 2:4]), pooled)
-                self.ratios[k, at, i] = ratio
+        ranges = sorted(rows.to_pylist(), key=lambda r: r["part"])
+        join = lambda arrays, kind: np.concatenate([np.zeros(0, kind), *arrays])
+        totals = np.sum([r["totals"] for r in ranges], 0) if ranges else np.zeros(10)
+        heads = join([B.unpack_sorted(r["heads"], r["n_heads"]) for r in ranges], np.uint64)
+        words = join([B.unpack_sorted(r["words"], r["n_words"]) for r in ranges], np.uint64)
+        v = np.stack([join([B.unpack_ints(r["counts"][k], r["n_heads"]) for r in ranges], np.uint64) for k in range(6)], 1).astype(float)
+        ratios = []
+        for i in (0, 1):
+            own, rests, t = v[:, 3 * i : 3 * i + 2], v[:, 3 * i + 2], totals[5 * i : 5 * i + 5]
+            ratios.append(_ratio(own, np.repeat(t[None, :2], len(v), 0), np.repeat(t[None, 2:4], len(v), 0), rests / max(t[4], 1)))
+        of_heads = np.stack(ratios, 1).astype(np.float32)
+        says = np.flatnonzero((of_heads != 0).any(1))
+        of_words = join([np.frombuffer(r["ratios"], np.float32) for r in ranges], np.float32).reshape(-1, 2)
+        self.keys, self.ratios = (heads[says], words), (of_heads[says], of_words)
 
     def differences(self, column, of: int) -> tuple[np.ndarray, np.ndarray]:
         """For each text: log-likelihood as toxic less that as ordinary, and its number of words."""
         sums, counts = [np.zeros(0)], [np.zeros(0, np.int64)]
         for first, head, rest in units(column):
             gain = np.zeros(len(head))
-            for k, key in enumerate((B.mix(head >> np.uint64(32), 12), B.mix(_word_key(head, rest), 11))):
-                at = (key % np.uint64(SLOTS)).astype(np.int64)
-                gain += np.where(self.names[k, at] == (key >> np.uint64(32)).astype(np.uint32), self.ratios[k, at, of], 0)
+            for k, key in enumerate((head >> np.uint64(32), _word_key(head, rest))):
+                at = X.find(self.keys[k], key)
+                held = np.flatnonzero(at >= 0)
+                gain[held] += self.ratios[k][at[held], of]
             total = np.concatenate(([0.0], np.cumsum(gain)))
             sums.append(total[first[1:]] - total[first[:-1]]), counts.append(np.diff(first))
         return np.concatenate(sums), np.concatenate(counts)
@@ -198,12 +187,9 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column, id_col: str = "doc_i
     marks = marks.withColumn("fold", fold).where("fold IS NOT NULL AND toxic IN (0, 1)")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("fold_", fold).where("fold_ IS NOT NULL").drop("fold_")
     rows = texts.join(marks.hint("merge"), "id")  # one plan at every size
-    parts = max(8, X.bucket_count(docs) // 4)
+    parts = 1 << max(3, (X.bucket_count(docs) // 4 - 1).bit_length())  # a power of two: no range ends within a head
     sent = rows.select("fold", "toxic", "text").mapInArrow(_counter(parts), X.SENT)
-    counted = sent.groupBy("part").applyInArrow(_tables, COUNTS)
-    slots = counted.where("kind < 2").groupBy("kind", "slot").agg(F.max(F.struct("weight", "name", "v")).alias("best")).select("kind", "slot", "best.name", "best.v")
-    totals = counted.where("kind = 2").groupBy("kind", "slot", "name").agg(F.array(*[F.sum(F.col("v")[i]) for i in range(10)]).alias("v"))
-    model = Model(slots.unionByName(totals).toArrow())
+    model = Model(sent.groupBy("part").applyInArrow(_tables, COUNTS).toArrow())
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judged(batches):

@@ -8,10 +8,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.llm import ann, bitplanes, decontaminate, ngram_join, packing, toxicity
+from quillstone.llm import ann, bitplanes, decontaminate, exchange, ngram_join, packing, toxicity
 from quillstone.llm.components import components
 from quillstone.llm.html_density import extract_text, main_text
 from quillstone.llm.line_dedup import dedup_lines
@@ -257,6 +258,26 @@ def test_toxicity(spark):
     assert none.columns == ["doc_id", "text", "score", "predicted"] and none.agg(F.max("score")).first()[0] == 0
 
 
+def test_toxicity_keeps_every_head(spark):
+    """Far more heads than chance would keep apart in 2^20 slots: each toxic one has its own counts."""
+    name = lambda k: "".join(chr(97 + k // 26**i % 26) for i in range(5))
+    heads = [name(k * 137) for k in range(60_000)]
+    rows = [(10 * g + n, " ".join(heads[2000 * g : 2000 * g + 2000]), int(g % 10 == 0)) for g in range(30) for n in range(8)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    shared, _ = toxicity.train(docs, marks, F.when(F.col("id") % 10 == 7, 1).otherwise(0))
+    for of in (0, 1):
+        d, _ = shared.value.differences(pa.array(heads), of)
+        assert ((d > 0) == (np.arange(60_000) // 2000 % 10 == 0)).all()
+
+
+def test_toxicity_counts_beyond_16_bits():
+    batch = pa.RecordBatch.from_pydict({"fold": pa.array([0] * 70_000 + [1] * 2, pa.int32()), "toxic": pa.array([0] * 70_000 + [1] * 2, pa.int32()), "text": ["hello"] * 70_002})
+    keys, *counts = toxicity._pack_counts([batch])
+    row = toxicity._tables(exchange.send(0, keys, 1, *counts)).to_pylist()[0]
+    assert row["totals"] == [70_000, 0, 1, 0, 1, 70_000, 2, 1, 1, 1]
+
+
 PAGES = [
     ("<body><nav><a href=x>Home</a></nav><div class='ad'>Buy</div><article><h1>T &amp; U</h1><p>One  two<br>three</p><p>Four</article><footer>&copy; x</footer>", "T & U\n\nOne two three\n\nFour"),
     ("<div id=main><div class=sidebar><p>Side</p></div><div class='post-body'><p>" + "A long text here, " * 10 + "</p><p>Second part.</p></div><div class=comments><p>Nice!</p></div></div>", ("A long text here, " * 10).strip() + "\n\nSecond part."),
