@@ -1,12 +1,10 @@
 """Benchmark decontamination: passages of a text within a small edit distance of a benchmark item.
 
-CGK embedding: a random walk reads a window and, at each step, either stays at a character or goes on, as a random function of
-step and character says; two windows of small edit distance soon walk in step, so their traces differ in few places. Traces of
-several walks are sampled at a few steps each (bit-sampling LSH); a window and an item that agree in any sample are verified by
-exact edit distance (bit-parallel), which alone decides.
+An edit of a character destroys at most the ``q``-byte grams that overlap it, so an occurrence keeps a known number of its item's
+grams, all within the shift that the edits allow. Stretches of a text with so many grams of one item so near each other are found
+by counting, whatever the edits are and wherever they stand, and verified by exact edit distance (bit-parallel), which alone
+decides. Nothing within the threshold is lost, and an occurrence may begin at any character, words or not.
 
-Windows begin at words and have the size of the items of a length class. Only windows that hold ``1/16`` of the class's least
-length in 12-byte pieces of items are embedded: an occurrence with up to a tenth of its characters edited holds about a fourth.
 Texts are never shuffled. The items are taken in blocks of at most ``ITEM_BYTES`` of text; each block's tables are broadcast, and
 a larger benchmark makes more blocks.
 
@@ -25,14 +23,18 @@ from pyspark.sql import types as T
 
 from . import blocks as B
 
-PIECE = 12
-#: Walks, samples of each, steps in a sample: enough for a recall over 0.95 at a twentieth of the characters edited.
-WALKS, SAMPLES, STEPS = 8, 16, 8
-CLASS_GROWTH = 1.5
+#: Bytes of a gram at most; items whose grams might all be destroyed by their edits are counted by shorter ones.
+GRAM = 8
+#: Bytes of items whose grams are looked up at once; bounds how many items a gram of the text can meet.
+GRAM_BYTES = 256 << 10
+#: Grams met at once, of whole texts; bounds the temporary arrays.
+MET = 1 << 22
 ITEM_BYTES = 4 << 20
 FILTER_BITS = 22
 NORMAL = B.LOWER.copy()
 NORMAL[np.flatnonzero(B.IS_SPACE)] = 32
+#: Bytes of the character that a byte begins, 0 within characters.
+WIDTH = np.repeat(np.array([1, 0, 2, 3, 4]), [0x80, 0x40, 0x20, 0x10, 0x10])
 LEAK = "array<struct<item_id:long,start:long,n_chars:long,edits:int>>"
 
 
@@ -70,35 +72,35 @@ def nearest(pattern: str, text: str, most: int | None = None) -> tuple[int, int,
 
 
 class Tables:
-    """What a block of items needs to be found: pieces, and for each length class the sampled traces of its items."""
+    """What a block of items needs to be found: their grams, and how many an occurrence keeps."""
 
-    def __init__(self, items: list[tuple[int, str]], percent: int, min_chars: int, seed: int = 20_240):
+    def __init__(self, items: list[tuple[int, str]], percent: int, min_chars: int):
         self.percent = percent
         self.items = [(i, normal(t)) for i, t in items]
         data = [t.encode() for _, t in self.items]
-        kept = [k for k, d in enumerate(data) if len(d) >= max(min_chars, PIECE)]
-        self.classes = []
-        pieces = [B.windows(np.frombuffer(data[k], np.uint8).astype(np.uint64) + np.uint64(1), PIECE) for k in kept]
-        self.pieces = np.unique(B.mix(np.concatenate(pieces))) if kept else np.zeros(0, np.uint64)
-        self.filter = np.zeros(1 << FILTER_BITS, bool)
-        self.filter[(self.pieces >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-        rng = np.random.default_rng(seed)
-        low = max(min_chars, PIECE)
-        while kept:
-            high = int(low * CLASS_GROWTH) + 1
-            own = [k for k in kept if low <= len(data[k]) < high]
-            kept = [k for k in kept if len(data[k]) >= high]
-            if own:
-                steps = int(1.25 * low)
-                walk = rng.integers(0, 2, (WALKS, steps, 256)).astype(np.int64)
-                at = np.sort(rng.integers(0, steps, (WALKS, SAMPLES, STEPS)), 2)
-                raw = np.concatenate([np.frombuffer(data[k], np.uint8) for k in own])
-                edges = np.cumsum([0, *[len(data[k]) for k in own]])
-                found = traces(raw, edges[:-1], edges[1:], walk, at)
-                of = np.tile(np.array(own), WALKS * SAMPLES)
-                order = np.argsort(found.ravel(), kind="stable")
-                self.classes.append((low, high, walk, at, found.ravel()[order], of[order]))
-            low = high
+        kept = [k for k, d in enumerate(data) if len(d) >= max(min_chars, 1)]
+        self.need, self.most, self.width, self.sizes = (np.ones(len(data), np.int64) for _ in range(4))
+        grouped: dict[int, list[int]] = {}
+        for k in kept:
+            widths = np.sort(WIDTH[np.frombuffer(data[k], np.uint8)])[::-1]
+            self.most[k], self.width[k], self.sizes[k] = len(self.items[k][1]) * percent // 100, widths[0], len(data[k])
+            hurt = widths[: self.most[k]]
+            left = {q: len(data[k]) - q + 1 - int((q - 1 + hurt).sum()) for q in range(1, GRAM + 1)}
+            q = max((q for q in left if left[q] >= 1), default=1)
+            self.need[k] = max(1, left[q])
+            grouped.setdefault(q, []).append(k)
+        self.grams = []
+        for q, own in sorted(grouped.items()):
+            sizes = np.cumsum([len(data[k]) for k in own]) // GRAM_BYTES
+            for part in np.unique(sizes):
+                some = [own[x] for x in np.flatnonzero(sizes == part)]
+                found = [_grams(np.frombuffer(data[k], np.uint8), q) for k in some]
+                n = [len(x) for x in found]
+                gram, of, at = np.concatenate(found), np.repeat(some, n), np.concatenate([np.arange(x) for x in n])
+                order = np.argsort(gram, kind="stable")
+                seen = np.zeros(1 << FILTER_BITS, bool)
+                seen[(gram >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+                self.grams.append((q, seen, gram[order], of[order], at[order]))
 
     def leaks(self, column) -> list[list[tuple[int, int, int, int]]]:
         raw, offsets = B.text_bytes(column)
@@ -110,39 +112,42 @@ class Tables:
         return out
 
     def _candidates(self, part: np.ndarray, edges: np.ndarray):
-        """(row, item, first start, last start) for each run of window starts near each other that agree with an item."""
-        if len(part) < PIECE or not len(self.pieces):
+        """(row, item, first start, last start) of each stretch that has the grams an occurrence must have."""
+        width = np.array([WIDTH[part[a:b]].max(initial=1) for a, b in zip(edges[:-1], edges[1:], strict=True)])
+        for q, seen, grams, of, offset in self.grams:
+            here = _grams(part, q)
+            at = np.flatnonzero(seen[(here >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
+            a, b = np.searchsorted(grams, here[at]), np.searchsorted(grams, here[at], "right")
+            at, a, n = at[b > a], a[b > a], (b - a)[b > a]
+            first = np.searchsorted(at, edges)
+            for i, j in B.chunks(np.concatenate(([0], np.cumsum(n)))[first], MET):
+                own = slice(first[i], first[j])
+                m = n[own]
+                if len(m):
+                    entry = np.repeat(a[own], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                    yield from self._stretches(edges, width, np.repeat(at[own], m), of[entry], offset[entry])
+
+    def _stretches(self, edges: np.ndarray, width: np.ndarray, at: np.ndarray, item: np.ndarray, offset: np.ndarray):
+        pad = 2 * int(self.sizes.max()) + 8 * int(self.most.max()) + 8  # no stretch goes on in the next row
+        span = int(edges[-1]) + pad * (len(edges) + 1)
+        row = np.searchsorted(edges, at, "right") - 1
+        start = np.sort(item * span + at - offset + (row + 1) * pad)  # where the item would begin, by this gram
+        item = start // span
+        row = np.searchsorted(edges[:-1] + np.arange(len(edges) - 1) * pad + pad // 2, start - item * span, "right") - 1
+        shift = self.most[item] * np.maximum(width[row], self.width[item])
+        last = np.arange(len(start)) + self.need[item] - 1
+        enough = np.flatnonzero(last < len(start))
+        enough = enough[start[last[enough]] - start[enough] <= shift[enough]]
+        if not len(enough):
             return
-        piece = B.mix(B.windows(part.astype(np.uint64) + np.uint64(1), PIECE))
-        at = np.flatnonzero(self.filter[(piece >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
-        at = at[self.pieces[np.minimum(np.searchsorted(self.pieces, piece[at]), len(self.pieces) - 1)] == piece[at]]
-        if not len(at):
-            return
-        hit = np.zeros(len(part) + 1, np.int32)
-        hit[at + 1] = 1
-        hits = np.cumsum(hit, dtype=np.int32)
-        starts, _, _ = B.word_spans(part, edges)
-        ends = edges[1:][np.searchsorted(edges, starts, "right") - 1]
-        for low, high, walk, steps, keys, of in self.classes:
-            reach = int(0.9 * low)
-            fits = starts + reach <= ends
-            s, e = starts[fits], ends[fits]
-            near = hits[np.minimum(s + reach, len(part))] - hits[s] >= max(2, low // 16)
-            s, e = s[near], np.minimum(e[near], s[near] + int(1.1 * high))
-            if not len(s):
-                continue
-            found = traces(part, s, e, walk, steps)
-            a, b = np.searchsorted(keys, found.ravel()), np.searchsorted(keys, found.ravel(), "right")
-            some = np.flatnonzero(b > a)
-            if not len(some):
-                continue
-            n = (b - a)[some]
-            entry = np.repeat(a[some], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            pairs = np.unique(np.stack([of[entry], np.repeat(s[some % len(s)], n)], 1), axis=0)
-            rows = np.searchsorted(edges, pairs[:, 1], "right") - 1
-            new = np.flatnonzero(np.concatenate(([True], (np.diff(pairs[:, 0]) != 0) | (np.diff(rows) != 0) | (np.diff(pairs[:, 1]) > high))))
-            for x, y in zip(new.tolist(), [*(new[1:] - 1).tolist(), len(pairs) - 1], strict=True):
-                yield int(rows[x]), int(pairs[x, 0]), int(pairs[x, 1]), int(pairs[y, 1])
+        first, last, item, row, shift = start[enough], start[last[enough]], item[enough], row[enough], shift[enough]
+        new = np.flatnonzero(np.concatenate(([True], np.diff(first) > shift[:-1])))
+        end = np.append(new[1:], len(first)) - 1
+        item, row, shift = item[new], row[new], shift[new]
+        back = item * span + (row + 1) * pad
+        a, b = first[new] - shift - back, last[end] + shift - back
+        a, b = np.maximum(a, edges[row]), np.minimum(b, edges[row + 1])
+        yield from zip(row.tolist(), item.tolist(), a.tolist(), np.maximum(a, b).tolist(), strict=True)
 
     def _verify(self, out: list, item: int, text: np.ndarray, first: int, last: int) -> None:
         item_id, pattern = self.items[item]
@@ -163,31 +168,12 @@ class Tables:
             out.append(new)
 
 
-def normal(text: str) -> str:
-    return NORMAL[np.frombuffer(text.encode(), np.uint8)].tobytes().decode()
+def _grams(raw: np.ndarray, q: int) -> np.ndarray:
+    return B.mix(B.windows(raw.astype(np.uint64) + np.uint64(1), q))
 
 
-def traces(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, walk: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """For each walk and sample, a hash of the sampled symbols of each window: an array (walks * samples, windows)."""
-    walks, steps, _ = walk.shape
-    samples = at.shape[1]
-    out = np.zeros((walks * samples, len(starts)), np.uint64)
-    padded = np.append(raw, np.uint8(0))
-    where = np.repeat(starts[None], walks, 0)
-    wanted: dict[int, list[int]] = {}
-    for w in range(walks):
-        for s in range(samples):
-            for step in at[w, s]:
-                wanted.setdefault(int(step), []).append(w * samples + s)
-    line = np.arange(walks)[:, None]
-    with np.errstate(over="ignore"):
-        for step in range(max(wanted) + 1):
-            symbol = np.where(where < ends, padded[np.minimum(where, len(raw))], np.uint8(0))
-            for k in wanted.get(step, ()):
-                out[k] = out[k] * B.WORD_MUL + symbol[k // samples] + np.uint64(1)
-            where += walk[line, step, symbol]
-        salt = B.mix(np.arange(walks * samples, dtype=np.uint64), 21)
-        return B.mix(out + salt[:, None])
+def normal(text: str) -> str:
+    return NORMAL[np.frombuffer(text.encode(), np.uint8)].tobytes().decode()
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", percent: int = 10, min_chars: int = 32) -> DataFrame:

@@ -222,6 +222,18 @@ def test_decontamination(spark, monkeypatch):
             assert levenshtein_search(item, decontaminate.normal(text[d][x.start : x.start + x.n_chars])) == x.edits <= len(item) // 10
 
 
+@pytest.mark.parametrize("step", [10, 11, 12])
+def test_decontamination_spread_edits(spark, step):
+    """Edits spread evenly up to the threshold, between words and in a text without any."""
+    items = [(r.item_id, decontaminate.normal(r.text)) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
+    bare = [(i + 1000, "".join(chr(0x4E00 + zlib.crc32(f"{i}-{k}".encode()) % 900) for k in range(90))) for i, _ in items]
+    spoilt = lambda t: "".join(("", "#", c + "é")[k // step % 3] if k % step == step - 1 else c for k, c in enumerate(t))
+    rows = [(i, ("\u5b57" * 70 if i >= 1000 else "Vorspann é ") + spoilt(t) + "\u5b57" * 40) for i, t in [*items, *bare]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = decontaminate.find_leaks(docs, spark.createDataFrame([*items, *bare], "item_id long, text string")).collect()
+    assert all(r.doc_id in {x.item_id for x in r.leaks} for r in found) and len(found) == 2 * len(items)
+
+
 def test_urls(spark):
     captures = [(1, "http://a.b.com/x/y", 5), (2, "https://b.com/", 15), (3, "HTTP://U:p@A.B.com:80/x", 25), (4, None, 5), (5, "nonsense", 5), (6, "http://a.b.com/x", None), (7, "http://c.com/x/yy", 12), (8, "http://a.b.com/", 20)]
     day = lambda df, c: df.withColumn(c, F.date_add(F.lit("2024-01-01").cast("date"), F.col(c)))
