@@ -1,7 +1,8 @@
 """Main text of web pages by composite text density.
 
 The tag soup is read in one pass into a tree of block elements. Chrome that a page declares itself (navigation, footers, forms,
-scripts, adverts, reader comments) is cut off; what is left is judged by density: the characters of a node over its tags, adjusted
+scripts) is cut off, and so is what classes and ids name as chrome (adverts, reader comments), unless it holds the page's main or
+largest article or, without these, nearly all the text around the core; what is left is judged by density: the characters of a node over its tags, adjusted
 by the share of its characters and tags that are links. The node whose children's densities have the largest sum is the core;
 the least density on the path from it to the body is the threshold, and every subtree as dense as that contributes its own
 node of largest sum. Nothing inside a chosen subtree is dropped but declared chrome.
@@ -37,16 +38,23 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget footer masthead cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments disqus respond replies pagination pager toolbar skip".split()
 )
+#: Before a word of chrome in a name these say that an element has it or not, not that it is it.
+ABOUT = frozenset("has have no not with without layout hide show".split())
+#: Elements of running text: only a name of that word alone marks them.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt figcaption".split())
+#: Names stand if they leave one in so many characters outside links; else what holds the core is no chrome.
+LEFT = 5
 NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)|'([^']*)|([^\s\"'>]+)))?", re.I)
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("chars", "chrome", "density", "kids", "link_chars", "link_tags", "order", "sum", "tag", "tags", "texts", "up")
+    __slots__ = ("chars", "chrome", "density", "kids", "link_chars", "link_tags", "named", "order", "own", "sum", "tag", "tags", "texts", "up")
 
     def __init__(self, tag: str, up: Node | None, chrome: bool, order: int):
         self.tag, self.up, self.chrome, self.order = tag, up, chrome, order
         self.kids, self.texts = [], []
+        self.named, self.own = False, None
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.sum = 0.0
 
@@ -60,8 +68,19 @@ def is_chrome(tag: str, attributes: str, in_article: bool) -> bool:
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id") and tag not in ("body", "html", "article", "main") and any(w.lower() in WORDS for w in SPLIT.split(value) if w):
-            return True
+    return False
+
+
+def is_named(tag: str, attributes: str) -> bool:
+    """Does a class or id call this chrome?"""
+    if "=" not in attributes or tag in ("body", "html", "article", "main"):
+        return False
+    for m in NAMED.finditer(attributes):
+        if m[1].lower() in ("class", "id"):
+            for name in (m[2] or m[3] or m[4] or "").split():
+                words = [w.lower() for w in SPLIT.split(name) if w]
+                if not (tag in PROSE and len(words) > 1) and any(w in WORDS and not ABOUT.intersection(words[:k]) for k, w in enumerate(words)):
+                    return True
     return False
 
 
@@ -136,11 +155,39 @@ def parse(html: str) -> Node:
         order += 1
         links = 0
         kid = Node(tag, node, node.chrome or is_chrome(tag, m[3], inside is not root), order)
+        kid.named = not kid.chrome and is_named(tag, m[3])
         node.kids.append(kid)
         node = kid
+    judge_names(root)
     return root
 
 
+def judge_names(root: Node) -> None:
+    """Named elements become chrome with all below them, but for those that hold the article."""
+    nodes = _every(root)
+    if not any(x.named for x in nodes):
+        return
+    size = {id(x): 0 if x.chrome else x.chars - x.link_chars for x in nodes}
+    for x in reversed(nodes[1:]):
+        size[id(x.up)] += size[id(x)]
+    articles = [x for x in nodes if x.tag in ("article", "main") and not x.chrome]
+    keep = max(articles, key=lambda x: (x.tag == "main", size[id(x)]), default=None)
+    if keep is None:
+        inside = {}
+        for x in nodes:
+            inside[id(x)] = x.named or x.up is not None and inside[id(x.up)]
+        left = size[id(root)] - sum(size[id(x)] for x in nodes if x.named and not inside[id(x.up)])
+        if left * LEFT < size[id(root)]:
+            measure(root)
+            keep = _core(root)
+            if not left and not inside[id(keep)]:  # several named elements hold all there is
+                keep = max((x for x in nodes if x.named), key=lambda x: size[id(x)])
+    while keep is not None:
+        keep.named, keep = False, keep.up
+    for x in nodes[1:]:
+        x.chrome = x.chrome or x.named or x.up.chrome
+
+
 def _every(root: Node):
     """All nodes, parents first."""
     out = [root]
@@ -151,6 +198,11 @@ def _every(root: Node):
 
 def measure(root: Node) -> list[Node]:
     nodes = _every(root)
+    for node in nodes:
+        if node.own is None:
+            node.own = node.chars, node.link_chars, node.tags, node.link_tags
+        node.chars, node.link_chars, node.tags, node.link_tags = node.own
+        node.density = 0.0
     for node in reversed(nodes):
         if node.up is not None and not node.chrome:
             up = node.up

@@ -303,6 +303,23 @@ def test_main_text(html, text):
     assert main_text(html) == text
 
 
+LONG = "A long text here, with much to say, " * 6
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f"<div class='layout has-sidebar'><div><p>{LONG}</p><p>{LONG}</p></div><div class=sidebar><p>Side</p></div></div>",
+        f"<div id='no-comments'><p>{LONG}</p><p>{LONG}</p></div><div class=comments><p>Nice!</p></div>",
+        f"<div class='sidebar-layout'><div><p>{LONG}</p><p>{LONG}</p></div></div><p>Imprint</p>",
+        f"<div class='widget'><article><p>{LONG}</p><p class='related-work'>{LONG}</p><div class=related><p>More</p></div></article></div><div class=comments><article>Nice!</article></div>",
+        f"<div><p>{LONG}</p><p>{LONG}</p></div><div class='comment-list'><p>{'Nice! ' * 90}</p><p>{'Good! ' * 90}</p></div>",
+    ],
+)
+def test_names_are_no_proof(html):
+    assert [t for t in main_text(html).split("\n\n") if t != "Imprint"] == [LONG.strip()] * 2
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(i, h, "old") for i, (h, _) in enumerate(PAGES)], "page_id int, html string, text string")
     assert [r.text for r in extract_text(df).orderBy("page_id").collect()] == [t for _, t in PAGES]
