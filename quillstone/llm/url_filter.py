@@ -46,10 +46,15 @@ def patterns(url: Column, depth: int) -> Column:
     return F.when(host.isNotNull(), F.concat(F.array(F.concat(F.lit("host:"), host)), domains, paths))
 
 
+def _folded(pattern: Column) -> Column:
+    """Hosts in lower case; paths as they are, for their case counts."""
+    return F.concat(F.lower(F.regexp_extract(pattern, "^[^/]*", 0)), F.regexp_replace(pattern, "^[^/]*", ""))
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """``(list, allows, pattern, since, until)`` from changes ``(list, allows, kind, pattern, action, at)``; until: null if open."""
     changes = entries.where(F.col("kind").isin(*KINDS) & F.col("action").isin("add", "remove")).select(
-        "list", "allows", F.concat("kind", F.lit(":"), F.lower("pattern")).alias("pattern"), F.col("at").cast("timestamp").alias("at"), (F.col("action") == "add").alias("on")
+        "list", "allows", F.concat("kind", F.lit(":"), _folded(F.col("pattern"))).alias("pattern"), F.col("at").cast("timestamp").alias("at"), (F.col("action") == "add").alias("on")
     )
     changes = changes.dropna().groupBy("list", "allows", "pattern", "at").agg(F.max("on").alias("on"))
     key = ["list", "allows", "pattern"]

@@ -246,6 +246,15 @@ def test_urls(spark):
     assert filter_urls(c, e.limit(0)).where("blocked").count() == 0 and filter_urls(c.limit(0), e).count() == 0
 
 
+def test_urls_case(spark):
+    """Hosts in any case, paths in their own."""
+    captures = spark.createDataFrame([(1, "http://EXAMPLE.com/Docs/a"), (2, "http://example.com/docs/a"), (3, "http://example.com/Docs/A"), (4, "http://b.Example.com/")], "page_id long, url string").withColumn("fetched", F.lit("2024-01-05"))
+    changes = [("docs", False, "path", "Example.com/Docs", "add"), ("deep", True, "path", "example.com/Docs/A", "add"), ("host", False, "host", "B.example.com", "add")]
+    entries = spark.createDataFrame(changes, "list string, allows boolean, kind string, pattern string, action string").withColumn("at", F.lit("2024-01-01"))
+    got = {r.page_id: (r.lists, r.blocked) for r in filter_urls(captures, entries).collect()}
+    assert got == {1: (["docs"], True), 2: ([], False), 3: (["deep", "docs"], False), 4: (["host"], True)}
+
+
 def test_toxicity(spark):
     rng = random.Random(12)
     names = [f"word{k}" for k in range(200)]
