@@ -234,6 +234,14 @@ def test_decontamination_spread_edits(spark, step):
     assert all(r.doc_id in {x.item_id for x in r.leaks} for r in found) and len(found) == 2 * len(items)
 
 
+def test_decontamination_short_items(spark):
+    """Items under 32 bytes, with ``min_chars`` lowered: exactly or by as many edits as their length allows."""
+    items = spark.createDataFrame([(1, "tiny"), (2, "quartz lamp"), (3, "nineteen letters ok")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a Tiny one"), (2, "the quarz lamp"), (3, "the qarz lamp"), (4, "字字ninetXen letters ok字"), (5, "tinny")], "doc_id long, text string")
+    got = {r.doc_id: [(x.item_id, x.start, x.edits) for x in r.leaks] for r in decontaminate.find_leaks(docs, items, min_chars=1).collect()}
+    assert got == {1: [(1, 2, 0)], 2: [(2, 4, 1)], 3: [], 4: [(3, 2, 1)], 5: []}
+
+
 def test_urls(spark):
     captures = [(1, "http://a.b.com/x/y", 5), (2, "https://b.com/", 15), (3, "HTTP://U:p@A.B.com:80/x", 25), (4, None, 5), (5, "nonsense", 5), (6, "http://a.b.com/x", None), (7, "http://c.com/x/yy", 12), (8, "http://a.b.com/", 20)]
     day = lambda df, c: df.withColumn(c, F.date_add(F.lit("2024-01-01").cast("date"), F.col(c)))
