@@ -21,19 +21,21 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 
-#: Stored (compressed) bytes of input for one bucket, and the least number of buckets.
-BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 96
+#: Bytes of text for one bucket, and the least number of buckets.
+BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 96
 SENT = "part int, bucket int, n int, keys binary, more binary, extra binary"
 ANSWER = "bucket int, part int, n int, keys binary, more binary, extra binary"
 
 
-def bucket_count(df: DataFrame) -> int:
-    """Follows the planner's size of the input, so that a bucket's text stays bounded."""
-    try:
-        stored = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # no classic session: only the balance suffers
-        stored = 0
-    return max(LEAST_BUCKETS, min(1 << 24, -(-stored // BUCKET_BYTES)))
+def pieces(df: DataFrame, size: int, least: int, text_col: str = "text") -> int:
+    """How many pieces of about ``size`` bytes the texts make, ``least`` at least: counted, so that the rows alone decide."""
+    total = df.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    return max(least, min(1 << 24, -(-int(total) // size)))
+
+
+def bucket_count(df: DataFrame, text_col: str = "text") -> int:
+    """Follows the bytes of text, so that a bucket's stay bounded."""
+    return pieces(df, BUCKET_BYTES, LEAST_BUCKETS, text_col)
 
 
 def dealt(df: DataFrame, buckets: int, *columns, id_col: str = "doc_id", text_col: str = "text", name: str = "bucket") -> DataFrame:

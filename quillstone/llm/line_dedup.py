@@ -44,7 +44,8 @@ def _lines(texts: list[bytes], min_chars: int) -> tuple[np.ndarray, np.ndarray,
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 2, min_chars: int = 10) -> DataFrame:
     """``docs`` with the text less the lines held by ``min_docs`` documents or more, except in the document of least id
     among them; with ``n_lines`` (before) and ``n_dropped``."""
-    buckets, parts = X.bucket_count(docs), X.bucket_count(docs) // 2
+    buckets = X.bucket_count(docs, text_col)
+    parts = buckets // 2
     keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     dealt = X.dealt(docs, buckets, *[F.col(f"`{c}`") for c in keep], id_col=id_col, text_col=text_col, name="__bucket")
 

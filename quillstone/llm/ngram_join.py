@@ -173,7 +173,7 @@ def join_chunk(ids: np.ndarray, sizes: list[int], tokens: list[np.ndarray], perc
 
 def ngram_rows(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     """ROWS: for each document its set's size and class; for classes that may have a partner their ordered set."""
-    buckets = X.bucket_count(docs)
+    buckets = X.bucket_count(docs, text_col)
     parts = max(1, buckets // 2)
     bits = min(64, 33 + max(1, (parts - 1).bit_length()))
     dealt = X.dealt(docs, buckets, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), id_col=id_col, text_col=text_col)

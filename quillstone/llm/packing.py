@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import exchange as X
 
-SHARD_BYTES, LEAST_SHARDS = 8 << 20, 16
+SHARD_BYTES, LEAST_SHARDS = 48 << 20, 16
 OUT = "doc_id long, piece int, n_pieces int, first_word long, n_places int, shard int, bin int, place int"
 
 
@@ -126,7 +126,7 @@ def pack_shard(docs: list[tuple[int, str | None, int, int]], capacity: int) -> l
 
 def pack(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """A row for each piece: of which document, from which word on, in which bin (``shard``, ``bin``) and at which place."""
-    shards = max(LEAST_SHARDS, -(-X.bucket_count(docs) * X.BUCKET_BYTES // SHARD_BYTES) if X.bucket_count(docs) > X.LEAST_BUCKETS else LEAST_SHARDS)
+    shards = X.pieces(docs, SHARD_BYTES, LEAST_SHARDS, text_col)
 
     def measure(batches):
         for b in batches:

@@ -54,7 +54,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """``docs`` with the words covered by a run of ``window`` words that also starts in a document of smaller id removed;
     the words kept are joined by one space. Adds ``n_words`` (before) and ``n_removed``."""
     block = window // 2
-    buckets = X.bucket_count(docs)
+    buckets = X.bucket_count(docs, text_col)
     parts = max(1, buckets // 2)
     bits = min(64, 33 + max(1, (parts - 1).bit_length()))  # of a probe: false hits cost time, not results
     keep = [c for c in docs.columns if c not in ("n_words", "n_removed")]
