@@ -11,10 +11,11 @@ ids are whose, so a reader fetches the chunks it needs.
     documents = i64 ids, u64 lengths, u8 nulls, as one zstandard frame
 
 Files are written under another name and moved, so a task that is run again leaves one whole file. They are in the folder that
-driver and executors share. The driver sees a row for each file.
+driver and executors share. Where a file's ids begin is a sum over runs of files, then within them; the driver holds 8 bytes for
+each file, the least id in it, which is all that is broadcast besides the tokenizer.
 
-Defined results: null and empty texts have the end id alone; rows of equal id stand in the order of their ids' bytes; a null id
-comes last; an empty table makes no file.
+Defined results: null and empty texts have the end id alone; rows of equal id stand in the order of their token ids' bytes; a null
+id comes last; an empty table makes no file.
 """
 
 from __future__ import annotations
@@ -30,98 +31,149 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks as B
 from . import exchange as X
-from .components import shared_folder
+from .components import cut, shared_folder
 
 MAGIC = b"QSPLANE1"
 CHUNK_IDS = 1 << 16
-#: Stored bytes of text for one file, and the least number of files of a table that isn't tiny.
-FILE_BYTES, LEAST_FILES = 8 << 20, 16
-#: Words whose ids a worker remembers.
-REMEMBERED = 800_000
-MARKS = b".,;:!?"
+#: Bytes of text for one file, the least number of files, and files whose ids are summed up together.
+FILE_BYTES, LEAST_FILES, RUN_FILES = 32 << 20, 16, 1024
+#: Words whose ids a worker remembers, and bytes of text whose words are numbered at once.
+REMEMBERED, PART_BYTES = 800_000, 16 << 20
+#: Marks that are pieces by themselves beside letters (none that special tokens begin with), and a word that is one token.
+MARKS, BETWEEN = b"!\"#$%&()*+,-./:;=>?@[\\]^_`{}~", "™"
+IS_MARK = np.isin(np.arange(256), list(MARKS))
+IS_LETTER = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
 
 
 class Encoder:
     """A tokenizer that remembers the ids of words. It must cut at white space, as word-level vocabularies do: then the ids of a
-    text are those of its words. Words of plain letters are looked up in lower case and without marks behind them if the
-    tokenizer ignores case and cuts off marks, which is tried out; where its tokens tell the end of a word, new ones of these
-    are encoded many at a time."""
+    text are those of its words, and only words that differ are encoded: a whole column is cut into words at once, these are
+    numbered by Arrow, and the ids of the distinct ones are dealt out to where they stand. Words of plain letters are looked up in
+    lower case and without marks behind them if the tokenizer ignores case and cuts off marks, which is tried out; new ones of
+    these are encoded many at a time, where the tokens tell the end of a word."""
 
     def __init__(self, definition: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
+        self.kind = np.uint32 if self.wide else np.uint16
         self.code = "I" if self.wide else "H"
         self.known: dict[bytes, bytes] = {}
         ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         self.by_word = ids("one Two\n three, \t four.") == [i for w in ("one", "Two", "three,", "four.") for i in ids(w)]
-        self.plain = self.by_word and ids("Étude") == ids("étude") and all(ids("Étude" + m + m) == ids("étude") + ids(m + m) for m in MARKS.decode())
-
+        self.plain = self.by_word and ids("Étude") == ids("étude") and all(ids(m + "Étude" + m + m) == ids(m) + ids("étude") + ids(m + m) for m in MARKS.decode())
         suffix = json.loads(definition)["model"].get("end_of_word_suffix")
         self.ends = None
         if self.plain and suffix:
             self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
             self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+            self.bare = Tokenizer.from_str(definition)  # for letters alone, in lower case and composed
+            self.bare.normalizer = normalizers.Sequence([])
+            self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            tried = ["étude", "ñandú", "thorough", "x", "weißer"]
+            if [x.ids for x in self.bare.encode_batch_fast(tried, add_special_tokens=False)] != [ids(w) for w in tried]:
+                self.ends = None
+        between = ids(BETWEEN)
+        self.between = between[0] if self.by_word and len(between) == 1 else None
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_letters(self, words: list[str]) -> list[bytes]:
-        """Ids of words that are letters alone, so that each is one piece to the tokenizer."""
+    def _together(self, words: list[bytes], letters: bool) -> list[bytes]:
+        """Ids of words encoded many at a time, cut where a word ends: by the tokens, if each word is letters alone and so one piece
+        to the tokenizer, or by a mark put between them. Where the cuts don't fit the words these are encoded each."""
         out: list[bytes] = []
         for k in range(0, len(words), 1024):
             part = words[k : k + 1024]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32 if self.wide else np.uint16)
-            ends = np.flatnonzero(self.ends[ids]) + 1
+            text = (b" " if letters else f" {BETWEEN} ".encode()).join(part).decode()
+            ids = np.array((self.bare if letters else self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.flatnonzero(self.ends[ids]) + 1 if letters else np.append(np.flatnonzero(ids == self.between), len(ids))
             if len(ends) != len(part) or ends[-1] != len(ids):
-                out += self._encode(part)
+                out += self._encode([w.decode() for w in part])
                 continue
-            data, size, a = ids.tobytes(), ids.itemsize, 0
-            for b in (ends * size).tolist():
-                out.append(data[a:b])
-                a = b
+            data, size = ids.tobytes(), ids.itemsize
+            starts = np.concatenate(([0], ends[:-1] + (not letters)))
+            out += [data[a:b] for a, b in zip((starts * size).tolist(), (ends * size).tolist(), strict=True)]
         return out
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _parts(self, word: bytes) -> tuple[bytes, bytes, bool]:
-        """(word, its marks, are these letters alone?): the word without marks if it is letters."""
-        body = word.rstrip(MARKS)
-        if body.isalpha():  # of ASCII
-            return body, word[len(body) :], True
-        if not body.isascii():
-            text = body.decode()
-            if text.isalpha() and max(text) < "Ā":
-                return text.lower().encode(), word[len(body) :], True
-        return word, b"", False
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if not self.by_word:
-            return self._encode(texts)
+    def _learn(self, words: list[bytes]) -> None:
+        """Puts the ids of distinct unknown words among those known."""
         known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        # lower case of A-Z first, so that fewer words differ; not where it could make the name of a special token
-        split = [(t.encode().lower() if self.plain and "<|" not in t else t.encode()).split() for t in texts]
-        new = set().union(*split) - known.keys()
+        if not self.plain or self.ends is None or self.between is None:
+            known.update(zip(words, self._encode([w.decode() for w in words]), strict=True))
+            return
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        ends = np.cumsum(size)
+        starts = ends - size
+        here = np.arange(len(raw))
+        begin = np.minimum.reduceat(np.where(IS_MARK[raw], len(raw), here), starts)  # of what isn't marks before or behind
+        stop = np.maximum.reduceat(np.where(IS_MARK[raw], -1, here), starts) + 1
+        begin, stop = np.minimum(begin, ends), np.maximum(stop, np.minimum(begin, ends))
+        latin = np.zeros(len(raw) + 1, bool)  # the second bytes of letters from À to ÿ
+        latin[1:-1] = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0xBF) & (raw[1:] & 0x1F != 0x17)
+        fine = np.concatenate(([0], np.cumsum(IS_LETTER[raw] | latin[:-1] | latin[1:])))
+        letters = (stop > begin) & (fine[stop] - fine[begin] == stop - begin)
+        plain = letters.tolist()
+        a, b = (begin - starts).tolist(), (stop - starts).tolist()
+        body = [w[x:y] if p else w for w, x, y, p in zip(words, a, b, plain, strict=True)]
+        upper = np.concatenate(([0], np.cumsum((latin[:-1] & (raw < 0x9F)) | (raw >= 65) & (raw <= 90))))
+        for k in np.flatnonzero(letters & (upper[stop] > upper[begin])).tolist():
+            body[k] = body[k].decode().lower().encode()
+        marked = [(w, w[:x], c, w[y:]) for w, x, y, c, p in zip(words, a, b, body, plain, strict=True) if p and c != w]
+        new = list({c for c, p in zip(body, plain, strict=True) if p} - known.keys())
+        other = list(({w for w, p in zip(words, plain, strict=True) if not p} | {m for x in marked for m in x[1::2] if m}) - known.keys())
+        known.update(zip(other, self._together(other, False), strict=True))
+        known.update(zip(new, self._together(new, True), strict=True))
+        known[b""] = b""
+        known.update([(w, known[x] + known[c] + known[y]) for w, x, c, y in marked])
+
+    def _words(self, part: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of each word's text among the distinct ones, first word of each row, ids of the distinct ones, their edges)."""
+        if self.plain:  # lower case of A-Z first, so that fewer words differ; not where it could make the name of a special token
+            lower = B.LOWER[part]
+            for r in np.unique(np.searchsorted(edges, np.flatnonzero((part[:-1] == 60) & (part[1:] == 124)), "right") - 1):
+                lower[edges[r] : edges[r + 1]] = part[edges[r] : edges[r + 1]]
+            part = lower
+        starts, ends, first = B.word_spans(part, edges)
+        at = np.concatenate(([0], np.cumsum(ends - starts)))
+        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(part[~B.IS_SPACE[part]]))]).dictionary_encode()
+        words = found.dictionary.to_pylist()
+        if len(self.known) > REMEMBERED:
+            self.known = {w: self.known[w] for w in words if w in self.known}
+        new = [w for w in words if w not in self.known]
         if new:
-            parts = {w: self._parts(w) if self.plain else (w, b"", False) for w in new}
-            marks = {m for _, m, _ in parts.values() if m}
-            need = ({w for w, _, letters in parts.values() if not letters or self.ends is None} | marks) - known.keys()
-            letters = ({w for w, _, letters in parts.values() if letters} - known.keys()) - need
-            need, letters = list(need), list(letters)
-            known.update(zip(need, self._encode([w.decode() for w in need]), strict=True))
-            known.update(zip(letters, self._encode_letters([w.decode() for w in letters]), strict=True))
-            known[b""] = b""
-            for w, (body, m, _) in parts.items():
-                if m or body is not w:
-                    known[w] = known[body] + known[m]
-        get = known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+            self._learn(new)
+        ids = [self.known[w] for w in words]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind().itemsize
+        return found.indices.to_numpy(), first, np.frombuffer(b"".join(ids), self.kind), np.concatenate(([0], np.cumsum(size)))
+
+    def __call__(self, column, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of an Arrow column, an end id behind each, and where each text's begin (one more than rows)."""
+        raw, offsets = B.text_bytes(column)
+        end = np.array([] if end_id is None else [end_id], self.kind)
+        out, sizes = [np.zeros(0, self.kind)], [np.zeros(0, np.int64)]
+        for i, j in B.chunks(offsets, PART_BYTES):
+            part, edges = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            if not self.by_word:
+                found = [np.frombuffer(x, self.kind) for x in self._encode([part[a:b].tobytes().decode() for a, b in zip(edges[:-1], edges[1:], strict=True)])]
+                out += [np.concatenate([x, end]) for x in found]
+                sizes.append(np.array([len(x) + len(end) for x in found]))
+                continue
+            word, first, ids, at = self._words(part, edges)
+            ids, at = np.concatenate([ids, end]), np.append(at, at[-1] + len(end))  # the end is one more word
+            word = np.insert(word.astype(np.int64), first[1:], len(at) - 2)
+            size = np.diff(at)[word]
+            to = np.concatenate(([0], np.cumsum(size)))
+            out.append(ids[np.arange(to[-1]) + np.repeat(at[word] - to[:-1], size)])
+            sizes.append(np.diff(to[first + np.arange(len(first))]))
+        return np.concatenate(out), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
 
 
 def to_planes(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -208,25 +260,26 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int | None, folde
     tokenizer: path of a tokenizer's definition, read here and broadcast (a few MB, whatever the corpus)."""
     spark = docs.sparkSession
     folder = f"{(folder or shared_folder(spark)).rstrip('/')}/tokens-{uuid.uuid4().hex}"
-    files = max(LEAST_FILES, -(-X.bucket_count(docs) * X.BUCKET_BYTES // FILE_BYTES) if X.bucket_count(docs) > X.LEAST_BUCKETS else LEAST_FILES)
     with open(tokenizer, encoding="utf-8") as f:
         shared = spark.sparkContext.broadcast(f.read())
     key = F.col(id_col).cast("long")
+    files = X.pieces(docs, FILE_BYTES, LEAST_FILES, text_col)
     cuts = docs.select(F.percentile_approx(key, [k / files for k in range(1, files)], F.lit(20 * files)).alias("cuts")).first()["cuts"] or []
     edges = np.array(sorted(set(cuts)), np.int64).view(np.uint64) ^ np.uint64(1 << 63)
 
     def encode(batches):
         encoder = remembered(shared.value)
-        end = b"" if end_id is None else array(encoder.code, [end_id]).tobytes()
         for b in batches:
-            for k in range(0, b.num_rows, 1024):
-                part = b.slice(k, 1024)
-                found = [x + end for x in encoder([t or "" for t in part["text"].to_pylist()])]
-                file = np.searchsorted(edges, B.ordered_ids(part["doc_id"]), "right")
-                yield pa.RecordBatch.from_pydict({"file": pa.array(file, pa.int32()), "doc_id": part["doc_id"].cast(pa.int64()), "wide": pa.array([encoder.wide] * part.num_rows), "ids": pa.array(found, pa.binary())})
+            ids, at = encoder(b["text"], end_id)
+            found = pa.BinaryArray.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer((at * ids.itemsize).astype(np.int32)), pa.py_buffer(ids)])
+            file = np.searchsorted(edges, B.ordered_ids(b["doc_id"]), "right")
+            yield pa.RecordBatch.from_pydict({"file": pa.array(file, pa.int32()), "doc_id": b["doc_id"].cast(pa.int64()), "wide": pa.array([encoder.wide] * b.num_rows), "ids": found})
 
     def write(table: pa.Table) -> pa.Table:
-        order = np.lexsort((np.array([zlib.crc32(x) for x in table["ids"].to_pylist()]), B.ordered_ids(table["doc_id"])))
+        doc_ids = B.ordered_ids(table["doc_id"])
+        order = np.argsort(doc_ids, kind="stable")
+        if (np.diff(doc_ids[order]) == 0).any():
+            order = np.array(sorted(order.tolist(), key=lambda k: (int(doc_ids[k]), table["ids"][k].as_py())), np.int64)
         table = table.take(pa.array(order))
         found = table["ids"].to_pylist()
         kind = np.uint32 if table["wide"][0].as_py() else np.uint16
@@ -243,9 +296,11 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int | None, folde
 
     texts = docs.select(key.alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     encoded = texts.mapInArrow(encode, "file int, doc_id long, wide boolean, ids binary")
-    written = sorted(encoded.groupBy("file").applyInArrow(write, "file int, path string, n_ids long").collect())
-    starts = np.cumsum([0, *[r["n_ids"] for r in written]]).tolist()
-    return spark.createDataFrame([(r["file"], r["path"], r["n_ids"], s) for r, s in zip(written, starts, strict=False)], "file int, path string, n_ids long, start long")
+    written = cut(encoded.groupBy("file").applyInArrow(write, "file int, path string, n_ids long")).withColumn("run", F.floor(F.col("file") / RUN_FILES))
+    before = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)  # a row for a run of files
+    runs = written.groupBy("run").agg(F.sum("n_ids").alias("n")).select("run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    within = Window.partitionBy("run").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    return written.join(runs, "run").select("file", "path", "n_ids", (F.col("before") + F.coalesce(F.sum("n_ids").over(within), F.lit(0))).alias("start"))
 
 
 _ENCODERS: dict[int, Encoder] = {}

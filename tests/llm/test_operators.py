@@ -368,16 +368,25 @@ def test_token_files(spark, tmp_path, monkeypatch, bits):
         want[i] = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     assert got == want
+    monkeypatch.setattr(bitplanes, "RUN_FILES", 3)
+    again = bitplanes.read_token_files(bitplanes.write_token_files(frame(spark, rows), path, 2, f"file://{tmp_path}", bits=bits))
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in again.collect()} == want
+    odd = bitplanes.read_token_files(bitplanes.write_token_files(frame(spark, [(None, "b"), (4, "a b"), (4, None), (4, "a")]), path, 2, f"file://{tmp_path}", bits=bits)).collect()
+    assert sorted((r.start, r.n_tokens, str(r.doc_id)) for r in odd) == [(0, 1, "4"), (1, 2, "4"), (3, 3, "4"), (6, 2, "None")]
     assert bitplanes.read_token_files(bitplanes.write_token_files(frame(spark, rows).limit(0), path, 2, f"file://{tmp_path}")).count() == 0
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_encoder(name):
+def test_encoder(monkeypatch, name):
     import public_tokenizers
 
     encoder = bitplanes.Encoder(open(public_tokenizers.path(name)).read())
-    texts = [t or "" for _, t in corpus(14)] + ["naïve!!! (x). Étude, ÉTUDE", "a b x…, ''s don't."]
-    assert [list(memoryview(x).cast(encoder.code)) for x in encoder(texts)] == [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    texts = [t or "" for _, t in corpus(14)] + ["naïve!!! (x). Étude, ÉTUDE", "a b x…, ''s don't.", "", "(É)É! É́x Ñ™ ™ <|endoftext|> <|ENDOFTEXT|>. #tag##, [Straße] ×a÷ ÿ-ß e-mail@x.y ''"]
+    for size in (1, 1 << 20):
+        monkeypatch.setattr(bitplanes, "PART_BYTES", size)
+        monkeypatch.setattr(bitplanes, "REMEMBERED", 50 * size)
+        ids, at = encoder(pa.array(texts), 7)
+        assert [ids[a:b].tolist() for a, b in itertools.pairwise(at)] == [[*e.ids, 7] for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_packing_is_best_fit():
