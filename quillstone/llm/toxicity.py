@@ -1,15 +1,22 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-A word is two units, its first ``HEAD`` bytes and the rest. Each class has a bigram model of them: the head, and the rest given
-the head, both by absolute discounts; what the discounts free is spread by counts that both classes share, for heads by how many
-different rests follow them (Kneser-Ney's continuation counts). An expression whose counts in the classes don't differ
-beyond chance is left to the shared counts altogether, so that it says nothing; a rare word is thus judged by its head, and a word
-of an unknown head not at all. A text's score is a logistic function of the difference of its two log-likelihoods, normalised by
-length; its four weights are fitted on texts that the counts they are fitted with were not taken from.
+A word is two units, its first ``HEAD`` bytes and the rest, so that a rare word is judged by the words it begins like. Each class c
+has a model of them by absolute discounts, from numbers n of texts (a text counts a word once), and what the discounts free
+goes to counts that both classes share:
 
-Counts are numbers of texts and cover every labelled training text. They are merged in a shuffle of packed distinct words (see ``exchange``) and
-kept whole, each key with its own counts: the driver is sent some 15 bytes for each distinct head, and the broadcast model holds
-16 bytes for each head or word that says something, however many these are. Keys are hashes, 32 bits of the head and 32 of the rest.
+    P_c(head)        = (max(n_c(head) - D, 0) + freed_c * S(head)) / n_c
+    P_c(rest | head) = (max(n_c(word) - D, 0) + freed_c(head) * S(rest | head)) / n_c(head)
+
+S(head) is Kneser-Ney's continuation count, the share of all different words that begin so, and S(rest | head) the share of the word
+among both classes' counts of its head. A word of at most D texts in either class thus has the share of its head that the class
+keeps for rare words, whichever word it is, so that such words need not be stored; a head that no training text holds has what the
+class keeps for these. Every word of a text has a likelihood in both classes. A text's score is a logistic function of the
+difference of its two log-likelihoods, normalised by length, over all of it, over its worst expression of ``SPAN`` words and over its worst
+word; the weights are fitted on texts that the counts they are fitted with were not taken from.
+
+Counts cover every labelled training text. They are merged in a shuffle of packed distinct words (see ``exchange``); the tables of
+key ranges stay distributed. Up to ``MODEL_BYTES`` of them are broadcast; beyond, the texts' distinct words are sent to the
+tables and the answers back, with the same scores. Keys are hashes, 32 bits of the head and 32 of the rest.
 
 Defined results: null and empty texts have no words and get the score of that; rows without a label don't train; of several
 labels for one id the largest counts; without training rows of both classes every score is 0; other columns pass through,
@@ -24,16 +31,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import blocks as B
 from . import exchange as X
+from .components import cut
 
-HEAD = 5
-DISCOUNT = 0.75
-#: An expression counts by itself from this many standard deviations between its classes' counts, and this log ratio.
-SURE, LEAST_RATIO = 4.0, 1.5
-#: Labelled texts that the logistic weights are fitted on, at most (those of least hash).
-FIT_ROWS = 20_000
+#: Bytes of a head; texts that a count is discounted by; words of an expression.
+HEAD, DISCOUNT, SPAN = 5, 3, 8
+#: Labelled texts that the logistic weights are fitted on, at most (those of least hash), and bytes of tables that are broadcast at most.
+FIT_ROWS, MODEL_BYTES = 20_000, 128 << 20
 SEPARATES = B.IS_SPACE.copy()
 SEPARATES[[ord(c) for c in ".,;:!?()[]{}<>\"'|/\\*_"]] = True
 EMPTY_REST = np.uint64(0x5851F42D4C957F2D)
@@ -91,15 +98,20 @@ def _counter(parts: int):
     return run
 
 
-#: One row for each key range. heads, words: packed ascending keys; counts: of heads, packed: of fold 0 ordinary, toxic and
-#: different rests, then of all texts; ratios: of words, by fold 0 and by all texts; totals: five for fold 0, five for all.
-COUNTS = "part int, n_heads int, heads binary, counts array<binary>, n_words int, words binary, ratios binary, totals array<double>"
-COUNTS_ARROW = pa.schema([("part", pa.int32()), ("n_heads", pa.int32()), ("heads", pa.binary()), ("counts", pa.list_(pa.binary())), ("n_words", pa.int32()), ("words", pa.binary()), ("ratios", pa.binary()), ("totals", pa.list_(pa.float64()))])
+#: One row for each key range. heads, words: packed ascending keys; of_heads, of_words: float32 tables, see ``_tables``; totals: of
+#: fold 0, then of all texts, ordinary and toxic: counts of heads, what discounts free of them; and different words.
+TABLES = "part int, n_heads int, heads binary, of_heads binary, n_words int, words binary, of_words binary, totals array<double>"
+TABLES_ARROW = pa.schema([("part", pa.int32()), ("n_heads", pa.int32()), ("heads", pa.binary()), ("of_heads", pa.binary()), ("n_words", pa.int32()), ("words", pa.binary()), ("of_words", pa.binary()), ("totals", pa.list_(pa.float64()))])
+
+
+def _kept(n: np.ndarray) -> np.ndarray:
+    return np.maximum(n - DISCOUNT, 0)
 
 
 def _tables(table: pa.Table) -> pa.Table:
-    """The counts of one key range, that is of all words of its heads. Totals: ordinary, toxic; different heads of either;
-    different rests."""
+    """The counts of one key range, that is of all words of its heads. For fold 0, then for all texts - of a head: ordinary and toxic
+    count, different words, log ratio of what it keeps for rare words; of a word that has more than the discount in a class: log
+    ratio of its share of the head."""
     rows = table.to_pydict()
     keys = np.concatenate([B.unpack_sorted(d, n) for d, n in zip(rows["keys"], rows["n"], strict=True)])
     packed = [np.concatenate([B.unpack_ints(d, n) for d, n in zip(rows[k], rows["n"], strict=True)]) for k in ("more", "extra")]
@@ -107,65 +119,85 @@ def _tables(table: pa.Table) -> pa.Table:
     keys, group = np.unique(keys, return_inverse=True)
     c = np.stack([np.bincount(group, four[:, k], len(keys)) for k in range(4)], 1)
     heads, head = np.unique(keys >> np.uint64(32), return_inverse=True)
-    both = [c[:, :2], c[:, :2] + c[:, 2:]]
-    of_head = [np.stack([np.bincount(head, x[:, k], len(heads)) for k in range(2)], 1) for x in both]
-    rests = [np.bincount(head, x.sum(1) > 0, len(heads)) for x in both]
-    ratios = np.stack([_ratio(both[i], of_head[i][head], np.minimum(rests[i][head, None], of_head[i][head]), both[i].sum(1) / np.maximum(of_head[i][head].sum(1), 1)) for i in range(2)], 1)
-    says = np.flatnonzero((ratios != 0).any(1))  # other words say nothing
-    counts = [x.astype(np.uint64) for i in range(2) for x in (*of_head[i].T, rests[i])]
-    totals = np.concatenate([x for i in range(2) for x in (of_head[i].sum(0), (of_head[i] > 0).sum(0), [rests[i].sum()])])
-    row = [rows["part"][0], len(heads), B.pack_sorted(heads), [B.pack_ints(x) for x in counts], len(says), B.pack_sorted(keys[says]), ratios[says].astype(np.float32).tobytes(), totals.astype(float)]
-    return pa.table([pa.array([x], f.type) for x, f in zip(row, COUNTS_ARROW, strict=True)], schema=COUNTS_ARROW)
-
-
-def _ratio(own: np.ndarray, total: np.ndarray, kinds: np.ndarray, shared: np.ndarray) -> np.ndarray:
-    """Log of the toxic over the ordinary estimate, 0 where the counts may differ by chance. Columns: ordinary, toxic."""
-    total = np.maximum(total, 1e-9)
-    p = (np.maximum(own - DISCOUNT, 0) + DISCOUNT * np.maximum(kinds, 1) * shared[:, None]) / np.maximum(total, 1)
-    expected = own.sum(1) * total[:, 1] / total.sum(1)
-    sure = np.abs(own[:, 1] - expected) >= SURE * np.sqrt(expected + 0.25)
-    ratio = np.log(np.maximum(p[:, 1], 1e-12)) - np.log(np.maximum(p[:, 0], 1e-12))
-    return np.where(sure & (np.abs(ratio) >= LEAST_RATIO) & (total.min(1) >= 1), ratio, 0.0)
+    of_heads, of_words, totals, stored = [], [], [], np.zeros(len(keys), bool)
+    for own in (c[:, :2], c[:, :2] + c[:, 2:]):
+        of_head, free = (np.stack([np.bincount(head, x[:, k], len(heads)) for k in range(2)], 1) for x in (own, own - _kept(own)))
+        words = np.bincount(head, own.sum(1) > 0, len(heads))
+        share = np.where(of_head > 0, free / np.maximum(of_head, 1), 1.0)
+        rare = np.log(share[:, 1]) - np.log(share[:, 0])
+        both = (own.sum(1) / np.maximum(of_head.sum(1)[head], 1))[:, None]
+        p = np.where(of_head[head] > 0, (_kept(own) + free[head] * both) / np.maximum(of_head[head], 1), both)
+        rich = (own > DISCOUNT).any(1)
+        of_heads += [*of_head.T, words, rare]
+        of_words.append(np.where(rich, np.log(np.maximum(p[:, 1], 1e-300)) - np.log(np.maximum(p[:, 0], 1e-300)), rare[head]))
+        stored |= rich
+        totals += [*of_head.sum(0), *(of_head - _kept(of_head)).sum(0), words.sum()]
+    at = np.flatnonzero(stored)
+    pack = lambda columns: np.stack(columns, 1).astype(np.float32).tobytes()
+    row = [rows["part"][0], len(heads), B.pack_sorted(heads), pack(of_heads), len(at), B.pack_sorted(keys[at]), pack([x[at] for x in of_words]), totals]
+    return pa.table([pa.array([x], f.type) for x, f in zip(row, TABLES_ARROW, strict=True)], schema=TABLES_ARROW)
 
 
 class Model:
-    """For heads and for words with their heads: ascending keys of those that say something, and the log ratio by the counts of
-    fold 0 alone (0) or of all training texts (1)."""
+    """The log of the toxic over the ordinary likelihood of words, from tables of key ranges in order and the totals of all ranges;
+    ``of``: by the counts of fold 0 alone (0) or of all training texts (1)."""
 
-    def __init__(self, rows: pa.Table):
-        ranges = sorted(rows.to_pylist(), key=lambda r: r["part"])
+    def __init__(self, ranges: list[dict], totals: np.ndarray):
         join = lambda arrays, kind: np.concatenate([np.zeros(0, kind), *arrays])
-        totals = np.sum([r["totals"] for r in ranges], 0) if ranges else np.zeros(10)
-        heads = join([B.unpack_sorted(r["heads"], r["n_heads"]) for r in ranges], np.uint64)
-        words = join([B.unpack_sorted(r["words"], r["n_words"]) for r in ranges], np.uint64)
-        v = np.stack([join([B.unpack_ints(r["counts"][k], r["n_heads"]) for r in ranges], np.uint64) for k in range(6)], 1).astype(float)
-        ratios = []
+        self.heads = join([B.unpack_sorted(r["heads"], r["n_heads"]) for r in ranges], np.uint64)
+        self.words = join([B.unpack_sorted(r["words"], r["n_words"]) for r in ranges], np.uint64)
+        v = join([np.frombuffer(r["of_heads"], np.float32) for r in ranges], np.float32).reshape(-1, 8).astype(float)
+        of_words = join([np.frombuffer(r["of_words"], np.float32) for r in ranges], np.float32).reshape(-1, 2).astype(float)
+        self.of_heads, self.of_words, self.new = np.zeros((len(v), 2)), np.zeros(of_words.shape), np.zeros(2)
+        of = np.searchsorted(self.heads, self.words >> np.uint64(32))
         for i in (0, 1):
-            own, rests, t = v[:, 3 * i : 3 * i + 2], v[:, 3 * i + 2], totals[5 * i : 5 * i + 5]
-            ratios.append(_ratio(own, np.repeat(t[None, :2], len(v), 0), np.repeat(t[None, 2:4], len(v), 0), rests / max(t[4], 1)))
-        of_heads = np.stack(ratios, 1).astype(np.float32)
-        says = np.flatnonzero((of_heads != 0).any(1))
-        of_words = join([np.frombuffer(r["ratios"], np.float32) for r in ranges], np.float32).reshape(-1, 2)
-        self.keys, self.ratios = (heads[says], words), (of_heads[says], of_words)
-
-    def differences(self, column, of: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each text: log-likelihood as toxic less that as ordinary, and its number of words."""
-        sums, counts = [np.zeros(0)], [np.zeros(0, np.int64)]
-        for first, head, rest in units(column):
-            gain = np.zeros(len(head))
-            for k, key in enumerate((head >> np.uint64(32), _word_key(head, rest))):
-                at = X.find(self.keys[k], key)
-                held = np.flatnonzero(at >= 0)
-                gain[held] += self.ratios[k][at[held], of]
-            total = np.concatenate(([0.0], np.cumsum(gain)))
-            sums.append(total[first[1:]] - total[first[:-1]]), counts.append(np.diff(first))
-        return np.concatenate(sums), np.concatenate(counts)
-
-
-def features(difference: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Constant, length-normalised difference, the same normalised by the root of the length, log length."""
+            n, free, words = (np.asarray(x) for x in (totals[5 * i : 5 * i + 2], totals[5 * i + 2 : 5 * i + 4], totals[5 * i + 4]))
+            own, shared, rare = v[:, 4 * i : 4 * i + 2], v[:, 4 * i + 2] / max(words, 1), v[:, 4 * i + 3]
+            if n.min() > 0:
+                self.new[i] = np.log(free[1] / n[1]) - np.log(free[0] / n[0])
+                p = (_kept(own) + free * shared[:, None]) / n
+                ratio = np.where(own.sum(1) > 0, np.log(np.maximum(p[:, 1], 1e-300)) - np.log(np.maximum(p[:, 0], 1e-300)), self.new[i])
+                self.of_heads[:, i] = ratio + rare
+                self.of_words[:, i] = ratio[of] + of_words[:, i]
+
+    def gains(self, key: np.ndarray, of: int) -> np.ndarray:
+        """For each word key, in float32."""
+        out = np.full(len(key), self.new[of], np.float32)
+        at = X.find(self.words, key)
+        held = at >= 0
+        out[held] = self.of_words[at[held], of]
+        rest = np.flatnonzero(~held)
+        at = X.find(self.heads, key[rest] >> np.uint64(32))
+        out[rest[at >= 0]] = self.of_heads[at[at >= 0], of]
+        return out
+
+
+def judged(column, gains) -> tuple[np.ndarray, ...]:
+    """For each text: sum of the gains of its words, number of words, the largest gain of a word and the largest mean gain of ``SPAN``
+    words in a row (of all, in a shorter text)."""
+    out: list[list[np.ndarray]] = [[np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]]
+    for first, head, rest in units(column):
+        gain = gains(_word_key(head, rest)).astype(float)
+        total, n = np.concatenate(([0.0], np.cumsum(gain))), np.diff(first)
+        has, sums = np.flatnonzero(n), total[first[1:]] - total[first[:-1]]
+        word, span = np.zeros(len(n)), sums / SPAN
+        if len(has):
+            word[has] = np.maximum.reduceat(gain, first[has])
+            means = np.full(len(gain), -np.inf)
+            means[: max(0, len(gain) - SPAN + 1)] = (total[SPAN:] - total[:-SPAN]) / SPAN
+            means[: max(0, len(gain) - SPAN + 1)][~B.inside_one(first, SPAN)] = -np.inf
+            long_ = has[n[has] >= SPAN]
+            span[long_] = np.maximum.reduceat(means, first[has])[n[has] >= SPAN]
+        for x, y in zip(out, (sums, n, word, span), strict=True):
+            x.append(y)
+    return tuple(map(np.concatenate, out))
+
+
+def features(total: np.ndarray, n: np.ndarray, word: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """Constant; the difference of log-likelihoods normalised by the length, by its root, in the worst expression and the worst
+    word; log length."""
     m = np.maximum(n, 1)
-    return np.stack([np.ones(len(n)), difference / m, difference / np.sqrt(m) / 10, np.log1p(n) / 10], 1)
+    return np.stack([np.ones(len(n)), total / m, total / np.sqrt(m) / 10, span, word / 4, np.log1p(n) / 10], 1)
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 60) -> np.ndarray:
@@ -180,42 +212,98 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 60) ->
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, fold: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"):
+class Trained:
+    """Tables of key ranges, a broadcast model of them where they are small (or None), weights."""
+
+    def __init__(self, tables: DataFrame, totals: np.ndarray, parts: int, shared, weights: np.ndarray):
+        self.tables, self.totals, self.parts, self.shared, self.weights = tables, totals, parts, shared, weights
+
+
+def train(docs: DataFrame, labels: DataFrame, fold: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Trained | None:
     """A model of the labelled texts and the weights of its score, or None without texts of both classes. fold: 0 and 1 part the
     training texts for fitting the weights; where it is null a row trains nothing."""
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     marks = marks.withColumn("fold", fold).where("fold IS NOT NULL AND toxic IN (0, 1)")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("fold_", fold).where("fold_ IS NOT NULL").drop("fold_")
-    rows = texts.join(marks.hint("merge"), "id")  # one plan at every size
-    parts = 1 << max(3, (X.bucket_count(docs) // 4 - 1).bit_length())  # a power of two: no range ends within a head
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = texts.withColumn("fold_", fold).where("fold_ IS NOT NULL").drop("fold_").join(marks.hint("merge"), "id")  # one plan at every size
+    parts = 1 << max(3, (X.bucket_count(docs, text_col) // 4 - 1).bit_length())  # a power of two: no range ends within a head
     sent = rows.select("fold", "toxic", "text").mapInArrow(_counter(parts), X.SENT)
-    model = Model(sent.groupBy("part").applyInArrow(_tables, COUNTS).toArrow())
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def judged(batches):
-        for b in batches:
-            d, n = shared.value.differences(b["text"], 0)
-            yield pa.RecordBatch.from_pydict({"d": pa.array(d), "n": pa.array(n, pa.int64()), "toxic": b["toxic"]})
-
-    judged_rows = rows.where("fold = 1").select("text", "toxic").mapInArrow(judged, "d double, n long, toxic int")
-    got = judged_rows.orderBy(F.xxhash64("d", "n"), "d", "n", "toxic").limit(FIT_ROWS).toArrow()
+    tables = cut(sent.groupBy("part").applyInArrow(_tables, TABLES))
+    size = lambda c: F.sum(F.octet_length(c))
+    got = tables.select(*[F.sum(F.col("totals")[k]).alias(f"t{k}") for k in range(10)], (size("heads") + size("words") + size("of_heads") + size("of_words")).alias("size")).first()
+    totals = np.array([got[f"t{k}"] or 0.0 for k in range(10)])
+    if min(totals[0], totals[1]) <= 0:
+        return None
+    shared = None
+    if got["size"] <= MODEL_BYTES:
+        shared = docs.sparkSession.sparkContext.broadcast(Model(sorted(tables.toArrow().to_pylist(), key=lambda r: r["part"]), totals))
+    trained = Trained(tables, totals, parts, shared, None)
+    some = marks.where("fold = 1").orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("id", "toxic")
+    fitted = texts.join(F.broadcast(some), "id")  # FIT_ROWS rows at most
+    out = "__sum double, __n long, __word double, __span double"
+    got = _scored(fitted, trained, "text", "id", 0, lambda *x: x, out).select("toxic", "__sum", "__n", "__word", "__span")
+    got = got.orderBy(F.xxhash64("__sum", "__n"), "__sum", "__n", "__word", "__span", "toxic").limit(FIT_ROWS).toArrow()
     y = got["toxic"].to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
         return None
-    return shared, fit(features(got["d"].to_numpy(), got["n"].to_numpy()), y)
+    trained.weights = fit(features(*(got[c].to_numpy() for c in ("__sum", "__n", "__word", "__span"))), y)
+    return trained
+
+
+def _scored(docs: DataFrame, trained: Trained, text_col: str, id_col: str, of: int, finish, new: str) -> DataFrame:
+    """``docs`` with new columns: ``finish`` of what is judged of each text."""
+    fields = T._parse_datatype_string(new).fields
+    keep = [c for c in docs.columns if c not in [f.name for f in fields]]
+    schema = T.StructType([*[docs.schema[c] for c in keep], *fields])
+    columns = [F.col(f"`{c}`") for c in keep]
+    kinds = [to_arrow_type(f.dataType) for f in fields]
+    shared, totals, parts = trained.shared, trained.totals, trained.parts
 
+    def with_new(b, gains):
+        found = finish(*judged(b[text_col], gains))
+        return [*[b[c] for c in keep], *[pa.array(x, k) for x, k in zip(found, kinds, strict=True)]], [*keep, *[f.name for f in fields]]
 
-def score_toxicity(docs: DataFrame, trained, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    if shared is not None:
+
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays(*with_new(b, lambda key: shared.value.gains(key, of)))
+
+        return docs.select(*columns).mapInArrow(run, schema)
+
+    def ask(table: pa.Table) -> pa.Table:
+        keys = [np.unique(_word_key(head, rest)) for _, head, rest in units(table[text_col])]
+        return X.send(table["__qs_bucket"][0].as_py(), np.unique(np.concatenate([np.zeros(0, np.uint64), *keys])), parts)
+
+    def answer(own: pa.Table, asked: pa.Table) -> pa.Table:
+        model, rows = Model(own.to_pylist(), totals), {k: [] for k, _ in X.ANSWER_TYPES}
+        for r in asked.to_pylist():
+            gain = model.gains(B.unpack_sorted(r["keys"], r["n"]), of)
+            for k, x in zip(rows, (r["bucket"], r["part"], r["n"], r["keys"], B.pack_ints(gain.view(np.uint32).astype(np.uint64)), None), strict=True):
+                rows[k].append(x)
+        return X.batch(rows, X.ANSWER_TYPES)
+
+    def back(table: pa.Table, answers: pa.Table) -> pa.Table:
+        keys, bits, _ = X.answered(answers)
+        gain = bits.astype(np.uint32).view(np.float32)
+        arrays, names = with_new(table, lambda key: gain[np.searchsorted(keys, key)])
+        return pa.table(dict(zip(names, arrays, strict=True)))
+
+    dealt = X.dealt(docs, X.bucket_count(docs, text_col), *columns, id_col=id_col, text_col=text_col, name="__qs_bucket")
+    asked = dealt.groupBy("__qs_bucket").applyInArrow(ask, X.SENT)
+    answers = trained.tables.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(answer, X.ANSWER)
+    return dealt.groupBy("__qs_bucket").cogroup(answers.groupBy("bucket")).applyInArrow(back, schema)
+
+
+def score_toxicity(docs: DataFrame, trained: Trained | None, text_col: str = "text", threshold: float = 0.3, id_col: str = "doc_id") -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on)."""
-    keep = [c for c in docs.columns if c not in ("score", "predicted")]
-    out = T.StructType([*[docs.schema[c] for c in keep], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    if trained is None:
+        return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")], F.lit(0.0).alias("score"), F.lit(int(threshold <= 0)).alias("predicted"))
 
-    def run(batches):
-        for b in batches:
-            score = np.zeros(b.num_rows)
-            if trained is not None:
-                shared, w = trained
-                score = 1 / (1 + np.exp(-np.clip(features(*shared.value.differences(b[text_col], 1)) @ w, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*[b[c] for c in keep], pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*keep, "score", "predicted"])
-
-    return docs.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, out)
+    weights = trained.weights
+
+    def finish(*found):
+        score = 1 / (1 + np.exp(-np.clip(features(*found) @ weights, -30, 30)))
+        return score, (score >= threshold).astype(np.int32)
+
+    return _scored(docs, trained, text_col, id_col, 1, finish, "score double, predicted int")

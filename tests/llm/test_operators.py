@@ -287,6 +287,75 @@ def test_toxicity(spark):
     assert none.columns == ["doc_id", "text", "score", "predicted"] and none.agg(F.max("score")).first()[0] == 0
 
 
+def brute_kneser_ney(rows, word):
+    """Log of toxic over ordinary likelihood of a word, from (text, toxic) rows: sets of texts, no hashes, no packing."""
+    head, seen = (lambda w: w.encode()[: toxicity.HEAD]), ({}, {})
+    for text, toxic in rows:
+        for w in set(text.lower().split()):
+            seen[toxic][w] = seen[toxic].get(w, 0) + 1
+    every, p = set(seen[0]) | set(seen[1]), []
+    h, d = head(word), toxicity.DISCOUNT
+    pooled = {w: seen[0].get(w, 0) + seen[1].get(w, 0) for w in every}
+    of_head = sum(n for w, n in pooled.items() if head(w) == h)
+    for own in seen:
+        heads = {}
+        for w, n in own.items():
+            heads[head(w)] = heads.get(head(w), 0) + n
+        total, freed = sum(heads.values()), sum(min(n, d) for n in heads.values())
+        continuation = sum(head(w) == h for w in every) / len(every)
+        p_head = (max(heads.get(h, 0) - d, 0) + freed * continuation) / total if of_head else freed / total
+        shared = pooled.get(word, 0) / of_head if pooled.get(word) else 1.0  # an unknown word: the class's share for rare words
+        kept = sum(min(n, d) for w, n in own.items() if head(w) == h)
+        p_rest = (max(own.get(word, 0) - d, 0) + kept * shared) / heads[h] if heads.get(h) else shared
+        p.append(p_head * p_rest)
+    return np.log(p[1]) - np.log(p[0])
+
+
+def toxic_rows(seed, n=400):
+    rng = random.Random(seed)
+    names = [rng.choice(["stem", "other", "ab", "longer", "x"]) + rng.choice("abcde") * rng.randrange(4) + rng.choice(["", "", "ing", "Ed"]) for _ in range(150)]
+    text = lambda t: " ".join(rng.choice(names[:120] if t else names[30:]) for _ in range(rng.randrange(3, 25)))
+    return [(text(i % 4 == 0), int(i % 4 == 0)) for i in range(n)]
+
+
+def test_toxicity_is_kneser_ney(spark):
+    rows = toxic_rows(18)
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, toxic int")
+    model = toxicity.train(docs, marks, (F.col("id") % 5 == 3).cast("int")).shared.value
+    words = sorted({w for t, _ in rows for w in t.lower().split()}) + ["stemzzz", "never", "ab", "abq"]
+    keys = [toxicity._word_key(h, r)[0] for _, h, r in (next(toxicity.units(pa.array([w]))) for w in words)]
+    for of, some in ((0, [r for i, r in enumerate(rows) if i % 5 != 3]), (1, rows)):
+        assert np.allclose(model.gains(np.array(keys), of), [brute_kneser_ney(some, w) for w in words], atol=1e-4)
+
+
+def test_toxicity_judged(spark):
+    rng = random.Random(19)
+    texts = [" ".join(f"w{rng.randrange(50)}" for _ in range(n)) for n in (0, 1, 7, 8, 9, 40)] + [None]
+    value = lambda key: (key % np.uint64(97)).astype(np.float32) - 40
+    got = list(zip(*toxicity.judged(pa.array(texts), value), strict=True))
+    for t, (total, n, word, span) in zip(texts, got, strict=True):
+        g = [float(value(toxicity._word_key(h, r))[0]) for w in (t or "").split() for _, h, r in toxicity.units(pa.array([w]))]
+        best = max((sum(g[k : k + 8]) / 8 for k in range(max(1, len(g) - 7))), default=0)
+        assert (n, word) == (len(g), max(g, default=0)) and np.allclose([total, span], [sum(g), best])
+
+
+def test_toxicity_tables_that_are_not_broadcast(spark, monkeypatch):
+    """Beyond MODEL_BYTES the tables stay distributed: the same scores; repeated rows, empty tables, clashing names."""
+    rows = toxic_rows(20)
+    docs = spark.createDataFrame([*[(i, t, "x", 1) for i, (t, _) in enumerate(rows)], (3, rows[3][0], "x", 1), (900, None, "y", 2), (901, "", "y", 2), (None, "ab stem", "z", 3)], "doc_id long, text string, predicted string, bucket int")
+    marks = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, toxic int")
+    fold = (F.col("id") % 5 == 3).cast("int")
+    score = lambda: sorted((str(r.doc_id), r.bucket, r.predicted, r.score) for r in toxicity.score_toxicity(docs, toxicity.train(docs, marks, fold)).collect())
+    small = score()
+    monkeypatch.setattr(toxicity, "MODEL_BYTES", 0)
+    large = score()
+    assert [x[:3] for x in small] == [x[:3] for x in large] and np.allclose([x[3] for x in small], [x[3] for x in large], atol=1e-9)
+    trained = toxicity.train(docs, marks, fold)
+    assert trained.shared is None and toxicity.score_toxicity(docs.limit(0), trained).count() == 0
+    assert toxicity.train(docs.limit(0), marks, fold) is None and toxicity.train(docs, marks.limit(0), fold) is None
+
+
 def test_toxicity_keeps_every_head(spark):
     """Far more heads than chance would keep apart in 2^20 slots: each toxic one has its own counts."""
     name = lambda k: "".join(chr(97 + k // 26**i % 26) for i in range(5))
@@ -294,17 +363,17 @@ def test_toxicity_keeps_every_head(spark):
     rows = [(10 * g + n, " ".join(heads[2000 * g : 2000 * g + 2000]), int(g % 10 == 0)) for g in range(30) for n in range(8)]
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     marks = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
-    shared, _ = toxicity.train(docs, marks, F.when(F.col("id") % 10 == 7, 1).otherwise(0))
+    model = toxicity.train(docs, marks, F.when(F.col("id") % 10 == 7, 1).otherwise(0)).shared.value
     for of in (0, 1):
-        d, _ = shared.value.differences(pa.array(heads), of)
-        assert ((d > 0) == (np.arange(60_000) // 2000 % 10 == 0)).all()
+        total = toxicity.judged(pa.array(heads), lambda key: model.gains(key, of))[0]  # noqa: B023
+        assert ((total > 0) == (np.arange(60_000) // 2000 % 10 == 0)).all()
 
 
 def test_toxicity_counts_beyond_16_bits():
     batch = pa.RecordBatch.from_pydict({"fold": pa.array([0] * 70_000 + [1] * 2, pa.int32()), "toxic": pa.array([0] * 70_000 + [1] * 2, pa.int32()), "text": ["hello"] * 70_002})
     keys, *counts = toxicity._pack_counts([batch])
     row = toxicity._tables(exchange.send(0, keys, 1, *counts)).to_pylist()[0]
-    assert row["totals"] == [70_000, 0, 1, 0, 1, 70_000, 2, 1, 1, 1]
+    assert row["totals"] == [70_000, 0, 3, 0, 1, 70_000, 2, 3, 2, 1]
 
 
 PAGES = [
