@@ -209,7 +209,8 @@ def test_decontamination(spark, monkeypatch):
     rows = [(i, t, 1) for i, t in enumerate(clean)] + [(i, t, 1) for i, t, _ in planted] + [(5000, None, 1), (5001, "", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, leaks int")
     benchmark = spark.createDataFrame([*items, (900, None), (901, ""), (902, "short")], "item_id long, text string")
-    monkeypatch.setattr(decontaminate, "ITEM_BYTES", 2000)  # several blocks
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", 2000)  # several blocks, written between
+    monkeypatch.setattr(decontaminate, "BLOCKS", 2)
     out = decontaminate.find_leaks(df, benchmark)
     got = {r.doc_id: r.leaks for r in out.collect()}
     assert out.columns == ["doc_id", "text", "leaks"] and len(got) == len(rows)
@@ -234,6 +235,39 @@ def test_decontamination_spread_edits(spark, step):
     assert all(r.doc_id in {x.item_id for x in r.leaks} for r in found) and len(found) == 2 * len(items)
 
 
+def random_edits(rng, t, rate):
+    out = list(t)
+    for k in rng.sample(range(len(out)), int(len(out) * rate)):
+        out[k] = rng.choice([rng.choice("abcdefghij"), "", out[k] + rng.choice("klmnopqrst")])
+    return "".join(out)
+
+
+@pytest.mark.parametrize("spoil", [lambda r, t: random_edits(r, t, 0.05), lambda r, t: random_edits(r, t, 0.08), lambda r, t: random_edits(r, t, 0.095)] + [lambda r, t, n=n: "".join((c + "x" if k % (3 * n) == 0 else "q" if k % n == 0 else c) if k % n == 0 else c for k, c in enumerate(t, 1)) for n in (10, 11, 12)])
+def test_decontamination_recall(spoil):
+    """What a brute force would find of random and of evenly spread edits up to the threshold."""
+    rng = random.Random(21)
+    items = [(i, " ".join("".join(rng.choice("aeionrstl") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(12, 40)))) for i in range(60)]
+    tables = decontaminate.Tables(items, 10, 12)
+    noise = "some other text that stands around it and means nothing "
+    spoilt = [noise + spoil(rng, decontaminate.normal(t)) + " " + noise for _, t in items]
+    near = [levenshtein_search(t, s) <= len(t) // 10 for (_, t), s in zip(items, spoilt, strict=True)]
+    found = [any(x[0] == i for x in row) for (i, _), row in zip(items, tables.leaks(pa.array(spoilt)), strict=True)]
+    assert sum(near) > 30 and sum(f for f, n in zip(found, near, strict=True) if n) >= 0.97 * sum(near)
+    assert not any(f and not n for f, n in zip(found, near, strict=True))
+
+
+def test_decontamination_odd_tables(spark):
+    """Repeated rows and items, ties, a long text, empty tables."""
+    item = "the quick brown fox jumps over the lazy dog and then goes home"
+    docs = spark.createDataFrame([(1, item), (1, item), (2, f"{item} {item}"), (3, "x " * 200_000 + item.upper())], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item), (7, item), (8, item)], "item_id long, text string")
+    got = sorted((r.doc_id, [tuple(x) for x in r.leaks]) for r in decontaminate.find_leaks(docs, items).collect())
+    one = lambda at: [(7, at, len(item), 0), (8, at, len(item), 0)]
+    assert got == [(1, one(0)), (1, one(0)), (2, one(0)), (3, one(400_000))]
+    assert decontaminate.find_leaks(docs.limit(0), items).count() == 0
+    assert [r.leaks for r in decontaminate.find_leaks(docs, items.limit(0)).collect()] == [[]] * 4
+
+
 def test_decontamination_short_items(spark):
     """Items under 32 bytes, with ``min_chars`` lowered: exactly or by as many edits as their length allows."""
     items = spark.createDataFrame([(1, "tiny"), (2, "quartz lamp"), (3, "nineteen letters ok")], "item_id long, text string")
