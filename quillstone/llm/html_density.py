@@ -1,14 +1,20 @@
 """Main text of web pages by composite text density.
 
 The tag soup is read in one pass into a tree of block elements. Chrome that a page declares itself (navigation, footers, forms,
-scripts) is cut off, and so is what classes and ids name as chrome (adverts, reader comments), unless it holds the page's main or
-largest article or, without these, nearly all the text around the core; what is left is judged by density: the characters of a node over its tags, adjusted
-by the share of its characters and tags that are links. The node whose children's densities have the largest sum is the core;
-the least density on the path from it to the body is the threshold, and every subtree as dense as that contributes its own
-node of largest sum. Nothing inside a chosen subtree is dropped but declared chrome.
+scripts) is cut off. What is left is judged by density: the characters of a node over its tags, adjusted by the share of its
+characters and tags that are links. The node whose children's densities have the largest sum is the core; the least density on the
+path from it to the body is the threshold, and every subtree as dense as that contributes its own node of largest sum. Headings
+beside the path, before the core, belong to it. Nothing inside a chosen subtree is dropped but chrome.
+
+Classes and ids that name nothing but chrome (adverts, reader comments) mark candidates, which density judges: what holds the core
+is no chrome, whatever its name, and names that articles use too (``DOUBTFUL``) count within the core only for what is less dense
+than the threshold.
+
+Reading is linear in a page's tags, however they nest.
 
 Defined results: null, empty or markup-free input gives what text there is; an unfinished tag or reference at the end of a page
-is dropped or kept as text, as browsers do; other columns pass through, except that ``text`` is replaced.
+is dropped or kept as text, as browsers do; rows are judged each, repeated or not; other columns pass through, except that
+``text`` is replaced.
 """
 
 from __future__ import annotations
@@ -32,29 +38,30 @@ BLOCK = frozenset(
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
 #: What a list item or cell may not close: the element that holds its kind.
 HOLDS = frozenset("ul ol dl menu table body select".split())
+MARKS = HOLDS.union(*CLOSES.values())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Chrome by element, by role, and by words of a class or id.
 CHROME = frozenset("nav footer aside form button dialog menu search head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget footer masthead cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments disqus respond replies pagination pager toolbar skip".split()
+    "ad ads adv advert adverts advertisement advertising breadcrumb breadcrumbs comment comments disqus footer login masthead menu nav navbar navigation newsletter pager pagination related recommended replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
-#: Before a word of chrome in a name these say that an element has it or not, not that it is it.
-ABOUT = frozenset("has have no not with without layout hide show".split())
-#: Elements of running text: only a name of that word alone marks them.
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt figcaption".split())
-#: Names stand if they leave one in so many characters outside links; else what holds the core is no chrome.
-LEFT = 5
+DOUBTFUL = frozenset("aside banner consent cookie cookies gdpr modal notice overlay popup promo promotion skip".split())
+#: What a name may hold besides and still name nothing but chrome.
+GLUE = frozenset("area article bar block bottom box button buttons column container content entry footer form global group header inline inner item items left link links list main module page panel placement post posts primary right secondary section site slot story thread top unit wrap wrapper".split())
 NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)|'([^']*)|([^\s\"'>]+)))?", re.I)
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("chars", "chrome", "density", "kids", "link_chars", "link_tags", "named", "order", "own", "sum", "tag", "tags", "texts", "up")
+    __slots__ = ("article", "chars", "chrome", "density", "kids", "link_chars", "link_tags", "mark", "named", "order", "own", "sum", "tag", "tags", "texts", "up")
 
     def __init__(self, tag: str, up: Node | None, chrome: bool, order: int):
         self.tag, self.up, self.chrome, self.order = tag, up, chrome, order
+        self.article = tag in ("article", "main") or up is not None and up.article  # is this within one?
+        self.mark = self if up is None or tag in MARKS else up.mark  # the nearest element that matters for what a tag closes
         self.kids, self.texts = [], []
-        self.named, self.own = False, None
+        self.named, self.own = 0, None
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.sum = 0.0
 
@@ -71,25 +78,27 @@ def is_chrome(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def is_named(tag: str, attributes: str) -> bool:
-    """Does a class or id call this chrome?"""
-    if "=" not in attributes or tag in ("body", "html", "article", "main"):
-        return False
+def named(tag: str, attributes: str) -> int:
+    """Does a class or id name this as chrome (2), or as what may be chrome (1)?"""
+    if "=" not in attributes or tag in ("body", "html"):
+        return 0
+    found = 0
     for m in NAMED.finditer(attributes):
         if m[1].lower() in ("class", "id"):
             for name in (m[2] or m[3] or m[4] or "").split():
-                words = [w.lower() for w in SPLIT.split(name) if w]
-                if not (tag in PROSE and len(words) > 1) and any(w in WORDS and not ABOUT.intersection(words[:k]) for k, w in enumerate(words)):
-                    return True
-    return False
+                words = {w.lower() for w in SPLIT.split(name) if w and not w.isdigit()}
+                if words <= WORDS | DOUBTFUL | GLUE:
+                    found = max(found, 2 if words & WORDS else 1 if words & DOUBTFUL else 0)
+    return found
 
 
 def parse(html: str) -> Node:
     """The tree of block elements below a root; texts are kept as (order, text, is_link) at the nearest block."""
     root = Node("body", None, False, 0)
-    node, at, order, links, articles = root, 0, 0, 0, 0
+    node, at, order, links = root, 0, 0, 0
     n = len(html)
     match = TOKEN.search
+    opened: dict[str, list[Node]] = {}
 
     def text(a: int, b: int) -> None:
         nonlocal order
@@ -104,6 +113,13 @@ def parse(html: str) -> Node:
                 node.link_chars += size
         order += 1
 
+    def leave(up: Node) -> None:
+        """Closes all elements below ``up``; each is closed once."""
+        nonlocal node
+        while node is not up:
+            opened[node.tag].pop()
+            node = node.up
+
     while at < n:
         m = match(html, at)
         if m is None:
@@ -119,11 +135,8 @@ def parse(html: str) -> Node:
             if tag == "a":
                 links = max(0, links - 1)
             elif tag in BLOCK and tag not in ("body", "html"):
-                up = node
-                while up is not root and up.tag != tag:
-                    up = up.up
-                if up is not root:
-                    node = up.up
+                if opened.get(tag):
+                    leave(opened[tag][-1].up)
                     links = 0
             continue
         if tag in RAW:
@@ -140,52 +153,41 @@ def parse(html: str) -> Node:
         if tag in VOID or tag not in BLOCK or tag in ("html", "body"):
             continue
         if tag in CLOSES:
-            up = node
+            up = node.mark
             while up is not root and up.tag not in HOLDS and up.tag not in CLOSES[tag]:
-                up = up.up
+                up = up.up.mark
             while up.tag in CLOSES[tag]:
-                node, up = up.up, up.up
-        else:
-            up = node
-            if up.tag == "p" or tag == "p" and up.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-                node = up.up
-        inside = node
-        while inside is not root and inside.tag not in ("article", "main"):
-            inside = inside.up
+                leave(up.up)
+                up = node
+        elif node.tag == "p" or tag == "p" and node.tag in HEADINGS:
+            leave(node.up)
         order += 1
         links = 0
-        kid = Node(tag, node, node.chrome or is_chrome(tag, m[3], inside is not root), order)
-        kid.named = not kid.chrome and is_named(tag, m[3])
+        kid = Node(tag, node, node.chrome or is_chrome(tag, m[3], node.article), order)
+        kid.named = 0 if kid.chrome else named(tag, m[3])
         node.kids.append(kid)
+        opened.setdefault(tag, []).append(kid)
         node = kid
     judge_names(root)
     return root
 
 
 def judge_names(root: Node) -> None:
-    """Named elements become chrome with all below them, but for those that hold the article."""
+    """Named elements become chrome with all below them, but for what holds the core and for dense ones of doubtful name in it."""
     nodes = _every(root)
     if not any(x.named for x in nodes):
         return
-    size = {id(x): 0 if x.chrome else x.chars - x.link_chars for x in nodes}
-    for x in reversed(nodes[1:]):
-        size[id(x.up)] += size[id(x)]
-    articles = [x for x in nodes if x.tag in ("article", "main") and not x.chrome]
-    keep = max(articles, key=lambda x: (x.tag == "main", size[id(x)]), default=None)
-    if keep is None:
-        inside = {}
-        for x in nodes:
-            inside[id(x)] = x.named or x.up is not None and inside[id(x.up)]
-        left = size[id(root)] - sum(size[id(x)] for x in nodes if x.named and not inside[id(x.up)])
-        if left * LEFT < size[id(root)]:
-            measure(root)
-            keep = _core(root)
-            if not left and not inside[id(keep)]:  # several named elements hold all there is
-                keep = max((x for x in nodes if x.named), key=lambda x: size[id(x)])
-    while keep is not None:
-        keep.named, keep = False, keep.up
+    measure(root)
+    core = _core(root, plain=True)
+    path = _path(core)
+    threshold = min(x.density for x in path)
+    keep, within = {id(x) for x in path}, set()
+    for x in nodes:
+        if x is core or id(x.up) in within:
+            within.add(id(x))
     for x in nodes[1:]:
-        x.chrome = x.chrome or x.named or x.up.chrome
+        out = x.named == 2 or x.named and not (id(x) in within and x.density >= threshold)
+        x.chrome = x.chrome or x.up.chrome or bool(out) and id(x) not in keep
 
 
 def _every(root: Node):
@@ -221,42 +223,46 @@ def measure(root: Node) -> list[Node]:
     return nodes
 
 
-def _core(node: Node) -> Node:
-    """The node of largest sum in a subtree; the first of equals, and the subtree itself if it has no block inside."""
-    best = node
+def _core(node: Node, plain: bool = False) -> Node:
+    """The node of largest sum in a subtree; the first of equals, and the subtree itself if it has no block inside. plain: not
+    within named elements, if there is text elsewhere."""
+    best, out = node, {}
     for x in _every(node):
-        if not x.chrome and x.sum > best.sum:
+        if plain:
+            out[id(x)] = x.named == 2 or x.up is not None and out[id(x.up)]
+        if not x.chrome and x.sum > best.sum and not (plain and out[id(x)]):
             best = x
+    if plain and best is node and not any(k.density and not out[id(k)] for k in node.kids) and not node.texts:
+        return _core(node)
     return best
 
 
+def _path(node: Node) -> list[Node]:
+    """From a node to the body."""
+    path = [node]
+    while path[-1].up is not None:
+        path.append(path[-1].up)
+    return path
+
+
 def chosen(root: Node) -> list[Node]:
     """Subtrees whose text is the page's."""
     measure(root)
     core = _core(root)
-    up, path = core, []
-    while up is not None:
-        path.append(up)
-        up = up.up
-    for node in reversed(path):  # an article that holds the core is the core
-        if node.tag in ("article", "main") and node is not root:
-            core = node
-            path = path[path.index(node) :]
-            break
-    threshold = min(x.density for x in path)
+    path = _path(core)
+    threshold, on_path = min(x.density for x in path), {id(x) for x in path}
     out = []
     stack = [root]
     while stack:
         node = stack.pop()
         if node.chrome:
             continue
-        if node is core:
+        if node is core or node.tag in HEADINGS and id(node.up) in on_path and node.order < core.order:
             out.append(node)
-            continue
-        if node not in path and node.density >= threshold > 0 and core.tag not in ("article", "main"):
+        elif id(node) not in on_path and node.density >= threshold > 0:
             out.append(_core(node))
-            continue
-        stack += node.kids
+        else:
+            stack += node.kids
     return out
 
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.llm import ann, bitplanes, decontaminate, exchange, ngram_join, packing, toxicity
+from quillstone.llm import ann, bitplanes, decontaminate, exchange, html_density, ngram_join, packing, toxicity
 from quillstone.llm.components import components
 from quillstone.llm.html_density import extract_text, main_text
 from quillstone.llm.line_dedup import dedup_lines
@@ -440,6 +440,65 @@ def test_names_are_no_proof(html):
     assert [t for t in main_text(html).split("\n\n") if t != "Imprint"] == [LONG.strip()] * 2
 
 
+@pytest.mark.parametrize("name", ["id='cookies'", "class='ad-hoc-analysis'", "class='promo-code-history'"])
+def test_names_within_articles(name):
+    """Sections of an article that are named as what it is about; adverts and comments within it go."""
+    html = f"<nav><a href=x>Home</a></nav><article><h1>On them</h1><p>{LONG}</p><section {name}><h2>Part</h2><p>{LONG}</p><p>{LONG}</p></section><div class='ad-slot'>Buy!</div><p>{LONG}</p><section class=comments><p>{LONG}</p></section></article>"
+    assert main_text(html).split("\n\n") == ["On them", LONG.strip(), "Part", *[LONG.strip()] * 3]
+
+
+def test_density_is_what_it_says():
+    """Composite densities and their sums, the core and the threshold, against the definition node by node."""
+    rng = random.Random(22)
+    for _ in range(60):
+        tags = ["div", "section", "ul", "p", "span"]
+
+        def some(depth):
+            inner = "".join(some(depth - 1) for _ in range(rng.randrange(4))) if depth else ""
+            words = " ".join("word" * rng.randrange(1, 4) for _ in range(rng.randrange(12)))
+            link = f"<a href=x>{'link ' * rng.randrange(4)}</a>" if rng.random() < 0.4 else ""  # noqa: S311
+            tag = rng.choice(tags[:3] if inner else tags)
+            return f"<{tag}>{words}{link}{inner}</{tag}>"
+
+        root = html_density.parse("".join(some(4) for _ in range(3)))
+
+        def counts(x):
+            c = np.array([x.own[0], x.own[1], x.own[2], x.own[3]], float)
+            return c + sum((counts(k) + [0, 0, 1, 0] for k in x.kids), np.zeros(4))
+
+        html_density.measure(root)
+        nodes = html_density._every(root)
+        chars, link_chars = counts(root)[:2]
+        for x in nodes:
+            c, lc, t, lt = counts(x)
+            t, lt = max(t, 1), max(lt, 1)
+            base = 1 + np.log(c / max(1, c - lc) * lc + link_chars / max(1, chars) * c + np.e)
+            want = 0 if not c else c / t * np.log(max(1, c / max(1, lc) * t / lt)) / np.log(base)
+            assert np.isclose(x.density, want)
+        for x in nodes:
+            assert np.isclose(x.sum, sum(k.density for k in x.kids))
+        core = html_density._core(root)
+        assert core.sum == max(x.sum for x in nodes)
+        path = html_density._path(core)
+        got, held = html_density.chosen(root), {id(x) for x in path}
+        least = min(x.density for x in path)
+        dense = [x for x in nodes if id(x) not in held and x.density >= least > 0 and x.up and id(x.up) in held and x.up is not core]
+        assert core in got and {id(html_density._core(x)) for x in dense} <= {id(x) for x in got}
+
+
+def test_deep_and_repeated_pages(spark):
+    import time
+
+    for deep in ("<div>" * 20_000 + "x", "<div><li>a</li>" * 20_000, "<div></b></section>" * 20_000, "<li><ul><div>" * 10_000 + "<li>b"):
+        began = time.perf_counter()
+        main_text(deep)
+        assert time.perf_counter() - began < 10
+    page = f"<article><p>{LONG}</p></article>"
+    got = extract_text(spark.createDataFrame([(1, page, "a"), (1, page, "a"), (None, page, None)], "page_id long, html string, text string"))
+    assert [r.text for r in got.collect()] == [LONG.strip()] * 3
+    assert main_text("<p>" + "long text " * 300_000) == ("long text " * 300_000).strip()
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(i, h, "old") for i, (h, _) in enumerate(PAGES)], "page_id int, html string, text string")
     assert [r.text for r in extract_text(df).orderBy("page_id").collect()] == [t for _, t in PAGES]
