@@ -4,7 +4,8 @@
 2. The classes' n-grams are counted over the corpus (``exchange``). An n-gram of one class alone can't be shared, so a class
    whose other n-grams are too few has no partner; what is left is put in the global order, rarest first.
 3. Two linked sets share one of their first ``n - ceil(t n) + 1`` n-grams. The least class id holding such an n-gram is its
-   home; a class goes once to each of its homes. Homes of many classes are dealt in chunks, the home's own class in each.
+   home; a class goes once to each of its homes. Homes' classes are counted, and those of many are dealt in chunks, the home's
+   own class in each.
 4. Each chunk stores its sets in a trie and sends every set down it: the overlap so far is shared by all sets below a node,
    and a subtree is left when it and the remaining lengths can't reach the threshold, or when all of it is already linked.
 5. Classes of chunked homes that ended in another component than the home's are sent down the tries of all its chunks.
@@ -12,7 +13,8 @@
 Links are returned as spanning stars, never as all pairs of a group; components are their closure.
 
 Defined results: a text of fewer words than n has one n-gram, the whole; a text without words or null has an empty set and
-is linked with nothing; rows of one id are one node (a null id is null in the result and its own component null).
+is linked with nothing; rows of one id are one node, linked by what any of them is linked with (each row has the size of its own
+set); a null id is null in the result and its own component null; equal rows are each returned.
 """
 
 from __future__ import annotations
@@ -26,11 +28,11 @@ from . import blocks as B
 from . import exchange as X
 from .components import components, cut
 
-#: Classes of one home that one task joins at most.
-CHUNK_CLASSES = 256
+#: Classes of one home that are joined at once, and of those that are compared again.
+CHUNK_CLASSES, REST_CLASSES = 256, 1024
 SIGN = np.uint64(1 << 63)
 ROWS = "bucket int, doc_id long, n long, rep long, tokens binary"
-MEMBERS = "home long, of int, chunk int, doc_id long, n int, tokens binary"
+MEMBERS = "home long, doc_id long, n int, tokens binary"
 
 
 def _least(n: int, percent: int) -> int:
@@ -151,7 +153,7 @@ class Trie:
 
 def join_chunk(ids: np.ndarray, sizes: list[int], tokens: list[np.ndarray], percent: int, comps: list | None = None) -> list[tuple[int, int]]:
     """Spanning pairs (larger id, smaller id) of the links among the sets; comps: components that are known already."""
-    order = np.lexsort((ids, np.array(sizes)))
+    order = np.lexsort(([t.tobytes() for t in tokens], ids, np.array(sizes))) if len(ids) else np.zeros(0, np.int64)
     forest = Forest(len(order))
     sizes, tokens, ids = [sizes[i] for i in order], [tokens[i] for i in order], ids[order]
     if comps is not None:
@@ -160,7 +162,7 @@ def join_chunk(ids: np.ndarray, sizes: list[int], tokens: list[np.ndarray], perc
             forest.join(i, first.setdefault(c, i))
     trie = Trie(sizes, tokens, forest, percent)
     for x in range(len(order)):
-        if x and ids[x] == ids[x - 1] and sizes[x] == sizes[x - 1]:
+        if x and ids[x] == ids[x - 1] and np.array_equal(tokens[x], tokens[x - 1]):
             continue
         trie.link(x)
         trie.add(x)
@@ -171,9 +173,8 @@ def join_chunk(ids: np.ndarray, sizes: list[int], tokens: list[np.ndarray], perc
     return sorted({(int(ids[i]), least[r]) for i in range(len(order)) if int(ids[i]) > least[r := forest.find(i)]})
 
 
-def ngram_rows(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+def ngram_rows(docs: DataFrame, buckets: int, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     """ROWS: for each document its set's size and class; for classes that may have a partner their ordered set."""
-    buckets = X.bucket_count(docs, text_col)
     parts = max(1, buckets // 2)
     bits = min(64, 33 + max(1, (parts - 1).bit_length()))
     dealt = X.dealt(docs, buckets, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), id_col=id_col, text_col=text_col)
@@ -197,21 +198,21 @@ def ngram_rows(docs: DataFrame, id_col: str, text_col: str, size: int, percent:
         return np.ones(len(keys), bool), rep, check
 
     def represented(table: pa.Table, back: pa.Table):
-        """(row, set, its digest's representative or None) for each row."""
+        """(row, set, its class: representative, and is this the first row that is to stand for it?) for each row; or None."""
         keys, rep, check = X.answered(back)
         reps = dict(zip(zip(keys.tolist(), check.tolist(), strict=True), rep.tolist(), strict=True))
+        ids, done = B.ordered_ids(table["doc_id"]).tolist(), set()
         for i, s in enumerate(sets(table, "text", size)):
-            yield i, s, reps[_digest(s)] if len(s) else None
+            digest = _digest(s) if len(s) else None
+            first = digest is not None and reps[digest] == ids[i] and digest not in done  # an id may stand for several classes
+            if first:
+                done.add(digest)
+            yield i, s, reps[digest] if len(s) else None, first
 
     def counts(table: pa.Table, back: pa.Table) -> pa.Table:
         if not table.num_rows:
             return X.send(0, np.zeros(0, np.uint64), parts)
-        ids, done = B.ordered_ids(table["doc_id"]).tolist(), set()
-        own = [np.zeros(0, np.uint64)]
-        for i, s, rep in represented(table, back):
-            if rep == ids[i] and rep not in done:
-                done.add(rep)
-                own.append(s)
+        own = [np.zeros(0, np.uint64), *(s for _, s, _, first in represented(table, back) if first)]
         keys, n = np.unique(np.concatenate(own), return_counts=True)
         return X.send(table["bucket"][0].as_py(), keys, parts, np.minimum(n, 255).astype(np.uint64), bits=bits)
 
@@ -226,12 +227,10 @@ def ngram_rows(docs: DataFrame, id_col: str, text_col: str, size: int, percent:
         known = back["known"].to_numpy(zero_copy_only=False).astype(bool)
         keys, df, _ = X.answered(back.filter(pa.array(~known)))
         out: dict[str, list] = {k: [] for k in ("bucket", "doc_id", "n", "rep", "tokens")}
-        done = set()
-        for i, s, rep in represented(table, back.filter(pa.array(known))):
+        for i, s, rep, first in represented(table, back.filter(pa.array(known))):
             rep = int(ids[i]) if rep is None else rep
             tokens = None
-            if rep == ids[i] and len(s) and rep not in done:
-                done.add(rep)
+            if first:
                 at = X.find(keys, s >> np.uint64(64 - bits))
                 if 100 * int((at >= 0).sum()) >= percent * len(s):
                     n = np.where(at >= 0, df[at] if len(df) else 1, 1).astype(np.uint64)
@@ -253,7 +252,7 @@ def _prefix(n: int, tokens: bytes, percent: int) -> np.ndarray:
 
 
 def members(rows: DataFrame, percent: int, parts: int) -> DataFrame:
-    """MEMBERS: each class that may have a partner at each of its homes, in a chunk; a home's own class in all."""
+    """MEMBERS: each class that may have a partner at each of its homes."""
     kept = rows.where("tokens IS NOT NULL AND doc_id IS NOT NULL").select("bucket", "doc_id", "n", "tokens")
 
     def prefixes(table: pa.Table) -> pa.Table:
@@ -278,22 +277,13 @@ def members(rows: DataFrame, percent: int, parts: int) -> DataFrame:
         return total >= 2, home, total
 
     def place(table: pa.Table, back: pa.Table) -> pa.Table:
-        keys, home, total = X.answered(back)
-        out: dict[str, list] = {k: [] for k in ("home", "of", "chunk", "doc_id", "n", "tokens")}
-        for doc, own, n, t in zip(table["doc_id"].to_pylist(), B.ordered_ids(table["doc_id"]).tolist(), table["n"].to_pylist(), table["tokens"].to_pylist(), strict=True):
+        keys, home, _ = X.answered(back)
+        out: dict[str, list] = {k: [] for k in ("home", "doc_id", "n", "tokens")}
+        for doc, n, t in zip(table["doc_id"].to_pylist(), table["n"].to_pylist(), table["tokens"].to_pylist(), strict=True):
             at = X.find(keys, B.mix(_prefix(n, t, percent), 5))
-            at = at[at >= 0]
-            for h in np.unique(home[at]).tolist():
-                of = 1
-                while of * CHUNK_CLASSES < int(total[at][home[at] == h].max()):
-                    of *= 2
-                chunks = [(of, int(B.mix(np.array([own], np.uint64), 9)[0] % np.uint64(of)))]
-                if h == own:
-                    chunks = [(1 << e, c) for e in range(of.bit_length()) for c in range(1 << e)]
-                for o, c in chunks:
-                    out["home"].append(int(_signed(np.array([h], np.uint64))[0])), out["of"].append(o), out["chunk"].append(c)
-                    out["doc_id"].append(doc), out["n"].append(n), out["tokens"].append(t)
-        return X.batch(out, [("home", pa.int64()), ("of", pa.int32()), ("chunk", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()), ("tokens", pa.binary())])
+            for h in _signed(np.unique(home[at[at >= 0]])).tolist():
+                out["home"].append(h), out["doc_id"].append(doc), out["n"].append(n), out["tokens"].append(t)
+        return X.batch(out, [("home", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("tokens", pa.binary())])
 
     back = X.merge(kept.groupBy("bucket").applyInArrow(prefixes, X.SENT), homes)
     return kept.groupBy("bucket").cogroup(back.groupBy("bucket")).applyInArrow(place, MEMBERS)
@@ -309,13 +299,25 @@ def _joined(percent: int):
     return run
 
 
+def chunked(held: DataFrame) -> DataFrame:
+    """``held`` with ``of``, how many chunks its home has, and ``chunk``; a home's own classes are in all."""
+    large = held.groupBy("home").agg(F.ceil(F.count("*") / F.lit(CHUNK_CLASSES)).cast("int").alias("of")).where("of > 1")
+    each = _salted(held, large, "home", "left").withColumn("of", F.coalesce("of", F.lit(1)))
+    every = F.when(F.col("doc_id") == F.col("home"), F.sequence(F.lit(0), F.col("of") - 1))
+    return each.withColumn("chunk", F.explode(F.coalesce(every, F.array(F.pmod(F.xxhash64("doc_id"), F.col("of")).cast("int")))))
+
+
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for each row: the size of its set of ``size``-word n-grams, and the least id
     reachable by links, that is by Jaccard similarities of ``percent`` hundredths or more."""
-    rows = cut(ngram_rows(docs, id_col, text_col, size, percent))
-    held = cut(members(rows, percent, max(1, X.bucket_count(docs) // 2)))
+    buckets = X.bucket_count(docs, text_col)
+    rows = cut(ngram_rows(docs, buckets, id_col, text_col, size, percent))
+    held = cut(chunked(cut(members(rows, percent, max(1, buckets // 2)))))
     edges = held.groupBy("home", "of", "chunk").applyInArrow(_joined(percent), "hi long, lo long")
-    comps = cut(components(edges))
+    of_id = rows.where("doc_id IS NOT NULL").select("doc_id", "rep")  # rows of one id that are of different classes
+    several = of_id.groupBy("doc_id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("doc_id", "least")
+    same = of_id.join(several, "doc_id").where("rep > least").select(F.col("rep").alias("hi"), F.col("least").alias("lo"))
+    comps = cut(components(edges.unionByName(same)))
     if held.where("of > 1").limit(1).count():
         comps = cut(components(edges_of(comps).unionByName(_rest(held, comps, percent))))
     found = rows.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
@@ -326,27 +328,26 @@ def edges_of(comps: DataFrame) -> DataFrame:
     return comps.where("node > component").select(F.col("node").alias("hi"), F.col("component").alias("lo"))
 
 
-def _salted(rows: DataFrame, small: DataFrame, key: str, salts: int = 16) -> DataFrame:
-    """An inner join with a small table, a row for each key at most, whose keys may hold many rows."""
+def _salted(rows: DataFrame, small: DataFrame, key: str, how: str = "inner", salts: int = 16) -> DataFrame:
+    """A join with a small table, a row for each key at most, whose keys may hold many rows."""
     each = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(each, [key, "__salt"]).drop("__salt")
+    return rows.withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(each, [key, "__salt"], how).drop("__salt")
 
 
 def _rest(held: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     """Links that chunking may have missed: classes of chunked homes whose component isn't the home's are compared with
     all of the home, chunk by chunk; none, if every such home is one component."""
-    big = held.groupBy("home").agg(F.max("of").alias("chunks")).where("chunks > 1")
+    big = held.where("of > 1").groupBy("home").agg(F.ceil(F.max("of") * F.lit(CHUNK_CLASSES) / F.lit(REST_CLASSES)).cast("int").alias("chunks"))
     big = big.join(comps.withColumnRenamed("node", "home").withColumnRenamed("component", "home_comp"), "home", "left")
-    once = held.where("doc_id <> home OR of = 1").drop("of", "chunk")  # a home's own class is in each of its chunks
+    once = held.where("of > 1 AND (doc_id <> home OR chunk = 0)").drop("of", "chunk")  # a home's own classes are in each of its chunks
     all_ = _salted(once, cut(big), "home").join(comps.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "comp"), "doc_id", "left")
     all_ = all_.withColumn("comp", F.coalesce("comp", "doc_id")).withColumn("minor", F.col("comp") != F.coalesce("home_comp", "home"))
     all_ = cut(all_.select("home", "chunks", "doc_id", "n", "tokens", "comp", "minor"))
-    minors = cut(all_.where("minor").groupBy("home").agg(F.ceil(F.count("*") / F.lit(CHUNK_CLASSES)).cast("int").alias("lots")))
+    minors = cut(all_.where("minor").groupBy("home").agg(F.ceil(F.count("*") / F.lit(REST_CLASSES)).cast("int").alias("lots")))
     if not minors.limit(1).count():
         return held.sparkSession.createDataFrame([], "hi long, lo long")
     deal = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
     all_ = _salted(all_, minors, "home")
     each = all_.select("home", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), deal(F.col("chunks")).alias("chunk"), "doc_id", "n", "tokens", "comp")
     few = all_.where("minor").select("home", deal(F.col("lots")).alias("lot"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "doc_id", "n", "tokens", "comp")
-    both = each.unionByName(few).dropDuplicates(["home", "lot", "chunk", "doc_id"])
-    return both.groupBy("home", "lot", "chunk").applyInArrow(_joined(percent), "hi long, lo long")
+    return each.unionByName(few).groupBy("home", "lot", "chunk").applyInArrow(_joined(percent), "hi long, lo long")

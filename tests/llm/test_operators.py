@@ -113,31 +113,33 @@ def test_substrings_repeats(spark):
 
 
 def brute_components(rows, size, percent):
-    sets = {}
-    for i, t in rows:
+    """For each row; rows of one id are one node."""
+    sets = []
+    for _, t in rows:
         w = WORD.findall(low(t or ""))
-        sets[i] = {tuple(w[a : a + size]) for a in range(max(1, len(w) - size + 1))} if w else set()
-    up = {i: i for i in sets}
+        sets.append({tuple(w[a : a + size]) for a in range(max(1, len(w) - size + 1))} if w else set())
+    up = {i: i for i, _ in rows}
 
     def find(x):
         while up[x] != x:
             x = up[x]
         return x
 
-    for a, b in itertools.combinations(sorted(sets), 2):
+    for a, b in itertools.combinations(range(len(rows)), 2):
         both = len(sets[a] & sets[b])
         if both and 100 * both >= percent * len(sets[a] | sets[b]):
-            x, y = find(a), find(b)
+            x, y = find(rows[a][0]), find(rows[b][0])
             up[max(x, y)] = min(x, y)
-    return {i: (len(sets[i]), find(i)) for i in sets}
+    return [(i, len(s), find(i)) for (i, _), s in zip(rows, sets, strict=True)]
 
 
 @pytest.mark.parametrize(("seed", "chunk", "percent"), [(5, 256, 85), (6, 2, 60), (7, 1, 50)])
 def test_ngram_components(spark, monkeypatch, seed, chunk, percent):
     monkeypatch.setattr(ngram_join, "CHUNK_CLASSES", chunk)
-    rows = distinct(corpus(seed, n=90, words=30, vocabulary=60 if percent < 85 else 300))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_components(frame(spark, rows), size=4, percent=percent).collect()}
-    assert got == brute_components(rows, 4, percent)
+    monkeypatch.setattr(ngram_join, "REST_CLASSES", 2 * chunk)
+    rows = corpus(seed, n=90, words=30, vocabulary=60 if percent < 85 else 300)
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in ngram_components(frame(spark, rows), size=4, percent=percent).collect()]
+    assert sorted(got) == sorted(brute_components(rows, 4, percent))
 
 
 def test_ngram_repeats(spark):
@@ -145,6 +147,24 @@ def test_ngram_repeats(spark):
     assert got == [("4", 2, "4"), ("4", 2, "4"), ("9", 2, "4"), ("None", 2, "None")]
 
 
+def test_ngram_rows_of_one_id(spark):
+    rows = [(5, "a b c d e"), (5, "p q r s t"), (3, "p q r s t"), (9, "a b c d e"), (3, "k l m n o"), (12, "k l m n o"), (12, "z"), (14, "Z"), (20, "none of them"), (20, None)]
+    got = sorted((r.doc_id, r.component_id) for r in ngram_components(frame(spark, rows)).collect())
+    assert got == sorted((i, 20 if i == 20 else 3) for i, _ in rows)
+
+
+def test_ngram_home_of_many_ngrams(spark, monkeypatch):
+    """One long class shares each of its prefix n-grams with a few others: its home is chunked by all of them."""
+    monkeypatch.setattr(ngram_join, "CHUNK_CLASSES", 8)
+    long_ = [f"w{k}" for k in range(63)]
+    rows = [(1, " ".join(long_))] + [(10 + k, " ".join(long_[k : k + 4] + [f"own{k}-{j}" for j in range(k % 3)])) for k in range(0, 60)]
+    held = ngram_join.chunked(ngram_join.cut(ngram_join.members(ngram_join.cut(ngram_join.ngram_rows(frame(spark, rows).select("doc_id", "text"), 8, "doc_id", "text", 4, 30)), 30, 4)))
+    sizes = [r["count"] for r in held.groupBy("home", "of", "chunk").count().collect()]
+    assert max(sizes) <= 8 * 3
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in ngram_components(frame(spark, rows), percent=30).collect()]
+    assert sorted(got) == sorted(brute_components(rows, 4, 30))
+
+
 def test_join_chunk_brute():
     rng = random.Random(8)
     for _ in range(40):
