@@ -33,7 +33,7 @@ from . import blocks as B
 from .components import cut
 
 #: Walks, samples of each, steps in a sample; windows embedded at once; growth of lengths in a class of items.
-WALKS, SAMPLES, STEPS, WINDOWS, CLASS_GROWTH = 24, 16, 6, 1 << 12, 1.25
+WALKS, SAMPLES, STEPS, WINDOWS, CLASS_GROWTH = 24, 32, 6, 1 << 12, 1.25
 #: Bytes of a gram at most; items whose grams might all be destroyed by their edits are counted by shorter ones.
 GRAM = 8
 #: Bytes of items whose grams are looked up at once; bounds how many items a gram of the text can meet.
