@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .ann import nearest
 from .bitplanes import read_token_files, write_token_files
+from .components import cut
 from .decontaminate import find_leaks
 from .html_density import extract_text
 from .line_dedup import dedup_lines
@@ -119,9 +120,9 @@ def _number(text, at: int):
 
 def url_list_changes(pages: DataFrame) -> DataFrame:
     """Dated changes of four lists about the hosts of ``pages``: the tables hold no lists, so these stand in for them."""
-    host = host_of(F.col("url"))
-    hosts = pages.select(host.alias("host")).where("host IS NOT NULL").distinct()
-    sections = pages.select(F.concat(host, F.lit("/"), F.regexp_extract("url", "^[^:/?#]+://[^/?#]+/([^/?#]+)", 1)).alias("p")).where("p IS NOT NULL AND p NOT LIKE '%/'").distinct()
+    seen = cut(pages.select(host_of(F.col("url")).alias("host"), F.regexp_extract("url", "^[^:/?#]+://[^/?#]+/([^/?#]+)", 1).alias("section")).where("host IS NOT NULL").distinct())
+    hosts = seen.select("host").distinct()
+    sections = seen.where("section <> ''").select(F.concat("host", F.lit("/"), "section").alias("p"))
     day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n)
     change = lambda df, name, allows, kind, pattern, action, n: df.select(F.lit(name).alias("list"), F.lit(allows).alias("allows"), F.lit(kind).alias("kind"), pattern.alias("pattern"), F.lit(action).alias("action"), day(n).alias("at"))
     h, p = F.col("host"), F.col("p")
@@ -155,7 +156,7 @@ def _n(text: str, at: int) -> str:
     return f"CAST('0x' || substr(md5({text}), {at}, 4) AS INTEGER)"
 
 
-_HOST = "nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '')"
+_HOST = "nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\\[[0-9A-Fa-f:.]+\\]|[^/?#:@\\[\\]]+)', 1)), '')"
 _DOMAIN = "array_to_string(list_slice(string_split(host, '.'), -2, -1), '.')"
 SQL["op2_url_filters"] = f"""
 WITH captures AS (SELECT page_id, url, {_HOST} AS host, DATE '2024-01-01' + CAST(page_id % 730 AS INTEGER) AS fetched,

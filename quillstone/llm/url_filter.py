@@ -5,13 +5,14 @@ intervals, cut into periods; a capture's URL gives the patterns that may match i
 of its path), and an as-of join on pattern and period finds the interval that the fetch time falls in. A capture is blocked if a
 blocking list matches and no allowing list does.
 
-Hot hosts: captures are salted by their id, and the intervals, which are few, repeated for each salt; changes of one pattern are
+Hot hosts: patterns that many captures of a period ask for are counted, and only these are salted by the captures' ids, their
+intervals repeated for each salt. There are at most ``HOT_KEYS`` of them, which bounds what is broadcast. Changes of one pattern are
 first reduced within each period, so that no window sees more than a pattern's changes of state. Matches are grouped by capture.
 
 Defined results: a null or unreadable URL, or a null fetch time, matches nothing and isn't blocked; an addition and a removal at
 one time leave the pattern on the list; an entry holds from its own time on, up to but without that of its removal; repeated entries
-count once; entries with nulls count not at all; other columns of captures pass through, except that ``lists`` and ``blocked``
-are replaced. Rows of one id must be equal in URL and time, or share their matches.
+count once; entries with nulls count not at all; other columns of captures pass through, whatever their names, except that ``lists``
+and ``blocked`` are replaced. Equal rows get equal results each; rows of one id must be equal in URL and time, or share their matches.
 """
 
 from __future__ import annotations
@@ -19,12 +20,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PERIOD_S = 30 * 86_400
+from .components import cut
+
+PERIOD_S = 360 * 86_400
+#: Captures of a pattern and period that one task takes at least, and keys above that at most.
+HOT_ROWS, HOT_KEYS = 1_000, 10_000
 KINDS = ("host", "domain", "path")
 
 
 def host_of(url: Column) -> Column:
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1))
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:@\[\]]+)", 1))
     return F.when(host != "", host)
 
 
@@ -68,23 +73,27 @@ def intervals(entries: DataFrame) -> DataFrame:
     return changes.withColumn("until", F.lead("at").over(w)).where("on").select(*key, F.col("at").alias("since"), "until")
 
 
-def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched", salts: int = 16) -> DataFrame:
+def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched") -> DataFrame:
     """``captures`` with ``lists`` (sorted names of the lists that match, blocking and allowing) and ``blocked``."""
     captures = captures.drop("lists", "blocked")
     depth = entries.where("kind = 'path'").agg(F.max(F.size(F.split("pattern", "/")) - 1)).first()[0] or 0
-    span = captures.agg(F.min(F.col(time_col).cast("timestamp")).alias("a"), F.max(F.col(time_col).cast("timestamp")).alias("b")).first()
-    period = lambda t: F.floor(F.unix_timestamp(t) / PERIOD_S)
-    first, last = period(F.lit(span["a"]).cast("timestamp")), period(F.lit(span["b"]).cast("timestamp"))
-    held = intervals(entries).withColumn("from", F.greatest(period(F.col("since")), first)).withColumn("to", F.least(F.coalesce(period(F.col("until")), last), last))
-    held = held.where("`from` <= `to`").withColumn("period", F.explode(F.sequence("from", "to")))
-    held = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).drop("from", "to")
-    asked = captures.select(F.col(id_col).alias("__id"), F.col(time_col).cast("timestamp").alias("__t"), F.explode(patterns(F.col(url_col), depth)).alias("pattern"))
-    asked = asked.where("__t IS NOT NULL").withColumn("period", period(F.col("__t"))).withColumn("salt", F.pmod(F.xxhash64("__id"), F.lit(salts)).cast("int"))
+    time, period = F.col(f"`{time_col}`").cast("timestamp"), lambda t: F.floor(F.unix_timestamp(t) / PERIOD_S)
+    asked = captures.select(F.col(f"`{id_col}`").alias("__id"), time.alias("__t"), F.explode(patterns(F.col(f"`{url_col}`"), depth)).alias("pattern"))
+    asked = asked.where("__t IS NOT NULL").withColumn("period", period(F.col("__t")))
+    counts = cut(asked.groupBy("pattern", "period").count())
+    size = counts.agg(F.sum("count").alias("n"), F.min("period").alias("first"), F.max("period").alias("last")).first()
+    most = max(HOT_ROWS, -(-(size["n"] or 0) // HOT_KEYS))
+    hot = F.broadcast(counts.where(F.col("count") > most).select("pattern", "period", F.ceil(F.col("count") / most).cast("int").alias("salts")))  # HOT_KEYS rows at most
+    held = intervals(entries).withColumn("from", F.greatest(period(F.col("since")), F.lit(size["first"])))
+    held = held.withColumn("to", F.least(F.coalesce(period(F.col("until")), F.lit(size["last"])), F.lit(size["last"]))).where("`from` <= `to`")
+    held = held.withColumn("period", F.explode(F.sequence("from", "to"))).drop("from", "to").join(hot, ["pattern", "period"], "left")
+    held = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    asked = asked.join(hot, ["pattern", "period"], "left").withColumn("salt", F.pmod(F.xxhash64("__id"), F.coalesce("salts", F.lit(1))).cast("int"))
     active = asked.join(held, ["pattern", "period", "salt"]).where("__t >= since AND (until IS NULL OR __t < until)")
-    matched = active.groupBy("__id").agg(F.array_sort(F.collect_set("list")).alias("lists"), F.bool_or("allows").alias("allowed"), F.bool_or(~F.col("allows")).alias("listed"))
+    matched = active.groupBy("__id").agg(F.array_sort(F.collect_set("list")).alias("__lists"), F.bool_or("allows").alias("__allowed"), F.bool_or(~F.col("allows")).alias("__listed"))
     out = captures.join(matched, F.col(f"`{id_col}`") == F.col("__id"), "left")
     return out.select(
-        *[captures[c] for c in captures.columns],
-        F.coalesce("lists", F.array().cast("array<string>")).alias("lists"),
-        F.coalesce(F.col("listed") & ~F.col("allowed"), F.lit(False)).alias("blocked"),
+        *[captures[f"`{c}`"] for c in captures.columns],
+        F.coalesce("__lists", F.array().cast("array<string>")).alias("lists"),
+        F.coalesce(F.col("__listed") & ~F.col("__allowed"), F.lit(False)).alias("blocked"),
     )

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.llm import ann, bitplanes, decontaminate, exchange, html_density, ngram_join, packing, toxicity
+from quillstone.llm import ann, bitplanes, decontaminate, exchange, html_density, ngram_join, packing, toxicity, url_filter
 from quillstone.llm.components import components
 from quillstone.llm.html_density import extract_text, main_text
 from quillstone.llm.line_dedup import dedup_lines
@@ -301,13 +301,46 @@ def test_urls(spark):
     day = lambda df, c: df.withColumn(c, F.date_add(F.lit("2024-01-01").cast("date"), F.col(c)))
     changes = [("bad", False, "domain", "b.com", "add", 10), ("bad", False, "domain", "b.com", "remove", 20), ("bad", False, "domain", "b.com", "add", 20), ("bad", False, "domain", "b.com", "add", 22),
                ("bad", False, "host", "a.b.com", "add", 0), ("bad", False, "host", "a.b.com", "remove", 10), ("good", True, "path", "a.b.com/x", "add", 20), ("sect", False, "path", "c.com/x/y", "add", 0), (None, False, "host", "c.com", "add", 0)]
-    c = day(spark.createDataFrame([(*x, "old") for x in captures], "page_id long, url string, fetched int, lists string"), "fetched")
+    clash = ("allowed", "listed", "pattern", "salt", "list", "__x.y")
+    c = day(spark.createDataFrame([(*x, "old", *clash) for x in captures], "page_id long, url string, fetched int, lists string, " + ", ".join(f"`{k}` string" for k in clash)), "fetched")
     e = day(spark.createDataFrame(changes, "list string, allows boolean, kind string, pattern string, action string, at int"), "at")
+    assert [r[k] for k in clash for r in filter_urls(c, e).collect()] == [k for k in clash for _ in captures]
     got = {r.page_id: (r.lists, r.blocked) for r in filter_urls(c, e).collect()}
     assert got == {1: (["bad"], True), 2: (["bad"], True), 3: (["bad", "good"], False), 4: ([], False), 5: ([], False), 6: ([], False), 7: ([], False), 8: (["bad"], True)}
     assert filter_urls(c, e.limit(0)).where("blocked").count() == 0 and filter_urls(c.limit(0), e).count() == 0
 
 
+@pytest.mark.parametrize("period", [86_400 * 3, 86_400 * 360])
+def test_urls_brute(spark, monkeypatch, period):
+    """Foreign patterns, hot ones and repeated rows against a loop over all captures and changes."""
+    monkeypatch.setattr(url_filter, "HOT_ROWS", 5)
+    monkeypatch.setattr(url_filter, "PERIOD_S", period)
+    rng = random.Random(23)
+    hosts = ["a.com", "b.a.com", "c.org", "[::1]", "x.y.z.net"]
+    captures = [(i, f"http://{rng.choice(hosts[:1] * 6 + hosts)}{rng.choice(['', ':80'])}/" + "/".join(rng.choice("pqR") for _ in range(rng.randrange(4))), rng.randrange(40)) for i in range(150)]
+    captures += captures[:20]
+    target = lambda: rng.choice([("host", rng.choice(hosts)), ("domain", rng.choice(["a.com", "com", "net", "z.net", "other.de"])), ("path", rng.choice(["a.com/p", "a.com/p/q", "c.org/R", "[::1]/p"]))])
+    changes = [(rng.choice(["l1", "l2"]), *target(), rng.choice(["add", "add", "remove"]), rng.randrange(40)) for _ in range(60)]
+    day = lambda df, c: df.withColumn(c, F.date_add(F.lit("2024-01-01").cast("date"), F.col(c)))
+    e = day(spark.createDataFrame([(name, name == "l2", *x) for name, *x in changes], "list string, allows boolean, kind string, pattern string, action string, at int"), "at")
+    want = []
+    for i, url, t in captures:
+        _, _, rest = url.partition("://")
+        host, _, path = rest.partition("/")
+        host = host if host.startswith("[") and not host.endswith(":80") else host.removesuffix(":80")
+        parts = [x for x in path.split("/") if x]
+        fits = lambda kind, p: p == host if kind == "host" else (p == host or host.endswith("." + p)) and "." in p if kind == "domain" else p in [host + "/" + "/".join(parts[:k]) for k in range(1, len(parts) + 1)]  # noqa: B023, E731
+        found = set()
+        for name in ("l1", "l2"):
+            for kind, p in {(k, p) for n, k, p, _, _ in changes if n == name and fits(k, p)}:
+                past = [(at, action == "add") for n, k, q, action, at in changes if (n, k, q) == (name, kind, p) and at <= t]
+                if past and max(past)[1]:
+                    found.add(name)
+        want.append((i, sorted(found), "l1" in found and "l2" not in found))
+    c = day(spark.createDataFrame(captures, "page_id long, url string, fetched int"), "fetched")
+    assert sorted((r.page_id, r.lists, r.blocked) for r in filter_urls(c, e).collect()) == sorted(want)
+
+
 def test_urls_case(spark):
     """Hosts in any case, paths in their own."""
     captures = spark.createDataFrame([(1, "http://EXAMPLE.com/Docs/a"), (2, "http://example.com/docs/a"), (3, "http://example.com/Docs/A"), (4, "http://b.Example.com/")], "page_id long, url string").withColumn("fetched", F.lit("2024-01-05"))
