@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,16 +11,28 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new one where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a temporary one if all run on this
+    machine (tests), which goes with the program; on a cluster that is an error."""
+    folder, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if not folder:
-        folder = context.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="quillstone-")
+        folder = context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir is unset: driver and executors need a folder that all of them see")
+        own = tempfile.mkdtemp(prefix="quillstone-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        folder = f"file://{own}"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    """A folder that is not needed any more, in whatever store it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows without their lineage, in the shared folder."""
     shared_folder(df.sparkSession)
