@@ -13,8 +13,9 @@ the test picks the other shards it must visit, from their boxes. Each shard buil
 Of equal vectors only those of the least ids can be among the nearest, so ``k + 1`` of each are kept, counted in salted parts;
 equal queries are searched once. What is broadcast is the shard tree: 100 bytes for ``SHARD_ROWS`` vectors.
 
-Defined results: vectors that are null, zero, or of another length than the longest, or hold null or non-finite components,
-take no part; of several rows of one id all take part, none is a neighbour of its own id; ties go to the smaller id.
+Defined results: vectors that are null or zero, or hold null or non-finite components, take no part; components that a vector is
+shorter by than the longest are zeros; of several rows of one id all take part, none is a neighbour of its own id (so fewer than k
+may be left of k + 1 found); ties go to the smaller id; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import blocks as B
 from .components import cut
 
-PROJECTIONS, SURE = 8, 0.95
-#: Leaves of a tree are verified some at a time, twice as many each time.
-SAMPLE, SHARD_ROWS, LEAF_ROWS, STEP_LEAVES = 16_384, 8_192, 64, 8
+PROJECTIONS, SURE = 8, 0.8
+#: Leaves of a tree are verified some at a time, GROWTH times as many each time, for so many queries together.
+SAMPLE, SHARD_ROWS, LEAF_ROWS, STEP_LEAVES, GROWTH, QUERIES = 16_384, 8_192, 64, 8, 4, 256
 
 
 def chi_square(x: np.ndarray, freedom: int) -> np.ndarray:
@@ -116,27 +118,32 @@ class Index:
 
     def search(self, q: np.ndarray, k: int, known: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """(ids, scores) of the k nearest found of each query; known: a k-th score that others have found already."""
+        known = np.full(len(q), -np.inf) if known is None else known
+        return [x for a in range(0, len(q), QUERIES) for x in self._search(q[a : a + QUERIES], k, known[a : a + QUERIES])]
+
+    def _search(self, q: np.ndarray, k: int, known: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         gaps = box_distance(self.projection.queries(q), self.low, self.high)
-        order = np.argsort(gaps, axis=1, kind="stable")
+        rank = np.argsort(np.argsort(gaps, axis=1, kind="stable"), axis=1)  # when a query comes to a leaf
+        scores, kth = np.full((len(q), len(self.ids)), -np.inf), known.copy()
+        at, step, active = 0, STEP_LEAVES, np.ones(len(q), bool)
+        while at < len(self.leaves) and active.any():
+            due = (rank >= at) & (rank < at + step) & active[:, None]
+            for j in np.flatnonzero(due.any(0)).tolist():
+                own, rows = np.flatnonzero(due[:, j]), self.leaves[j]
+                scores[own[:, None], rows] = q[own] @ self.x[rows].T
+            at, step = at + step, GROWTH * step
+            if len(self.ids) >= k:
+                own = np.flatnonzero(active)
+                kth[own] = np.maximum(kth[own], np.partition(scores[own], -k, axis=1)[:, -k])
+            if at < len(self.leaves):
+                next_gap = np.where(rank == at, gaps, 0).sum(1)
+                distance = np.where(np.isneginf(kth), np.inf, self.projection.distance(q, np.maximum(kth, -1e300)))
+                active &= chi_square((next_gap / distance) ** 2, PROJECTIONS) < SURE
         out = []
-        for i in range(len(q)):
-            best_ids, best = self.ids[:0], np.zeros(0)
-            floor = -np.inf if known is None else known[i]
-            at, step = 0, STEP_LEAVES
-            while at < len(self.leaves):
-                kth = max(floor, best[-1] if len(best) == k else -np.inf)
-                if kth > -np.inf:
-                    d = self.projection.distance(q[i : i + 1], np.array([kth]))[0]
-                    if chi_square(np.array([(gaps[i, order[i, at]] / d) ** 2]), PROJECTIONS)[0] >= SURE:
-                        break
-                rows = np.concatenate([self.leaves[j] for j in order[i, at : at + step]])
-                scores = self.x[rows] @ q[i]
-                near = scores >= kth
-                ids, scores = np.concatenate([best_ids, self.ids[rows[near]]]), np.concatenate([best, scores[near]])
-                top = np.lexsort((ids, -scores))[:k]
-                best_ids, best = ids[top], scores[top]
-                at, step = at + step, 2 * step
-            out.append((best_ids, best))
+        for own, least in zip(scores, kth, strict=True):
+            near = np.flatnonzero((own >= least) & (own > -np.inf))
+            near = near[np.lexsort((self.ids[near], -own[near]))[:k]]
+            out.append((self.ids[near], own[near]))
         return out
 
 
@@ -160,7 +167,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     rows = valid(vectors, id_col, vector_col)
     size = rows.agg(F.max(F.size("v")).alias("length"), F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("norm")).first()
     length, count = size["length"] or 1, size["n"]
-    rows = rows.where(F.size("v") == length).withColumn("digest", F.xxhash64("v"))
+    rows = rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(length) - F.size("v")))).withColumn("digest", F.xxhash64("v"))
     salted = Window.partitionBy("digest", "v", F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy("vec_id")
     equal = Window.partitionBy("digest", "v").orderBy("vec_id")
     few = rows.withColumn("rn", F.row_number().over(salted)).where(F.col("rn") <= k + 1)
@@ -183,7 +190,8 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
     def spread(batches):
         for b in batches:
-            lot = np.array([i % lots.value.get(s, 1) for i, s in zip(b["vec_id"].to_pylist(), b["shard"].to_pylist(), strict=True)], np.int32)
+            mixed = B.mix(b["vec_id"].to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), 11).tolist()
+            lot = np.array([i % lots.value.get(s, 1) for i, s in zip(mixed, b["shard"].to_pylist(), strict=True)], np.int32)
             yield pa.RecordBatch.from_arrays([b["shard"], pa.array(lot), b["vec_id"], b["v"]], ["shard", "lot", "vec_id", "v"])
 
     def routed(home: bool):

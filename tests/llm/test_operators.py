@@ -639,25 +639,49 @@ def test_nearest(spark):
     x = (centers[rng.integers(0, 5, 700)] + 0.5 * rng.standard_normal((700, 16))).astype(np.float32)
     x[100:160] = x[100]  # many equal vectors
     rows = [(i, [float(v) for v in x[i]]) for i in range(700)] + [(2000, None), (2020, [0.0] * 16), (2040, [1.0] * 15 + [None]), (2060, [float("nan")] * 16), (2080, [1.0]), (2100, [float("inf")] + [0.0] * 15)]
+    ids, x = np.array([*range(700), 2080]), np.vstack([x, [[1.0] + [0.0] * 15]]).astype(float)  # a short vector has zeros behind
     got = {}
     for r in ann.nearest(spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, rank int")).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    assert sorted(got) == list(range(0, 700, 20))
+    assert sorted(got) == [*range(0, 700, 20), 2080]
     hits = 0
     for q, found in got.items():
-        s = x.astype(float) @ x[q].astype(float)
-        want = [int(i) for i in np.lexsort((np.arange(700), -s)) if i != q][:20]
+        s = x @ x[ids == q][0]
+        want = [int(ids[k]) for k in np.lexsort((ids, -s)) if ids[k] != q][:20]
         found.sort()
         assert [r for r, _, _ in found] == list(range(1, 21)) and q not in [v for _, v, _ in found]
-        assert np.allclose([c for _, _, c in found], s[[v for _, v, _ in found]])
+        assert np.allclose([c for _, _, c in found], [s[ids == v][0] for _, v, _ in found])
         assert found == sorted(found, key=lambda f: (-f[2], f[1]))
         hits += len(set(want) & {v for _, v, _ in found})
     assert hits >= 0.9 * 20 * len(got)
+    ragged = spark.createDataFrame([(0, [1.0]), (1, [2.0, 5.0]), (2, [0.5, 1.0, 9.0]), (2, [3.0]), (40, [])], "vec_id long, embedding array<float>")
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(ragged).collect()) == [(0, 1, 2, 3.0), (0, 2, 1, 2.0), (0, 3, 2, 0.5)]
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r.vec_id) for r in ann.nearest(few).collect()] == [(0, 1)]
     assert ann.nearest(few.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["isotropic", "clustered", "norms", "equal"])
+def test_index_recall(kind):
+    rng = np.random.default_rng(24)
+    x = rng.standard_normal((6000, 32))
+    if kind == "clustered":
+        x = rng.standard_normal((40, 32))[rng.integers(0, 40, 6000)] + 0.3 * x
+    elif kind == "norms":
+        x *= rng.exponential(1, 6000)[:, None]
+    elif kind == "equal":
+        x[:3000] = x[0]
+    ids, q = rng.permutation(6000), x[::100]
+    found = ann.Index(ids, x, ann.Projection(32, np.linalg.norm(x, axis=1).max())).search(q, 21)
+    hits = 0
+    for v, (got, scores) in zip(q, found, strict=True):
+        s = x @ v
+        best = np.lexsort((ids, -s))[:21]
+        hits += len(set(ids[best].tolist()) & set(got.tolist()))
+        assert np.allclose(scores, [s[ids == i][0] for i in got]) and (np.diff(scores) <= 1e-12).all() and len(got) == 21
+    assert hits >= 0.97 * 21 * len(q)
+
+
 @pytest.mark.parametrize("operator", [dedup_lines, dedup_substrings, ngram_components, packing.pack])
 def test_empty(spark, operator):
     assert operator(frame(spark, []).limit(0)).count() == 0
