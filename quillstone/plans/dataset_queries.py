@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parsing as P
 from ..functions import text as X
+from ..functions.playbook import positions
 from ..operators import datasets as DS
 from ..operators import reviews as R
 from ..operators import sampling as S
@@ -289,7 +290,7 @@ def _(spark, sf):
 def _(spark, sf):
     k = F.col("doc_id")
     lines = F.concat(F.lit("1. We may disclose information to our affiliates. HIGH\n2. The term must not exceed three years.\nMEDIUM\nRationale: because it is so and must be.\n(c) The recipient shall return all materials. LOW\n"), F.concat(F.lit("Document "), k.cast("string"), F.lit(" shall not be assigned without consent.")))
-    return table(spark, sf, "documents").select("doc_id", F.array_join(P.positions(lines), "|").alias("positions"))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(positions(lines), "|").alias("positions"))
 
 
 def items(spark, sf):

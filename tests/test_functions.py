@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstone.functions import parsing as P
+from quillstone.functions import playbook as PB
 from quillstone.functions import spans as SP
 from quillstone.functions import text as X
 from quillstone.functions import windows as WN
@@ -179,10 +180,20 @@ def test_unwrap():
     assert S.unwrapped("HEADING\nText goes\n, on") == "HEADING\nText goes, on"
 
 
-def test_playbook():
+def test_playbook(spark):
     text = "1. We may disclose information to our affiliates. HIGH\n2. The term must not exceed three years.\nMEDIUM\n(c) The recipient shall return all materials. LOW"
-    assert len(P.playbook_positions(text)) == 3
-    assert P.playbook_positions("Rationale: because it must be so.\nThe supplier shall deliver goods on time") == ["The supplier shall deliver goods on time."]
+    modal = "Rationale: because it must be so.\nThe supplier shall deliver goods on time\nTHE SUPPLIER SHALL DELIVER\n- the supplier shall deliver goods, on time!\nSection 4 must be read with care by all"
+    long_ = "PAYMENT TERMS We shall pay. " + "x" * 300 + " LIABILITY — The cap is twice the fees paid in the year HIGH\nAn item that is two things. HIGH Another item that is low. LOW\nwww must be https://x.example"
+    got = column(spark, [(text,), (modal,), (long_,), (None,), ("",)], "t string", PB.positions(F.col("t")))
+    assert got[0] == ["We may disclose information to our affiliates.", "The term must not exceed three years.", "The recipient shall return all materials."]
+    assert got[1] == ["The supplier shall deliver goods on time."]
+    assert got[2] == ["The cap is twice the fees paid in the year.", "An item that is two things.", "Another item that is low."]
+    assert got[3:] == [[], []]
+
+
+def test_json_shape():
+    shapes = {'{"verdict": "x"}': (True, True, "verdict"), '{"a": 1, "b": "t"}': (True, False, "b"), 'so: {"verdict": 1} ok': (True, True, "verdict"), "```json\n{}\n```": (True, False, None), "[1]": (False, False, None), "{": (False, False, None), "": (False, False, None), '<think>{"verdict": 1}</think>no': (False, False, None)}
+    assert {t: P.json_shape(t) for t in shapes} == shapes and P.json_shape(None) == (False, False, None)
 
 
 def test_text_files():
