@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,35 +112,41 @@ def rank_percentiles(df: DataFrame, value: str, qs: dict[str, tuple[float, int]]
     return ranked.groupBy(*by).agg(F.max("n").alias("n"), *[F.min(F.when(F.col("upto") > at(q, less), F.col(value))).alias(name) for name, (q, less) in qs.items()])
 
 
-def bootstrap(df: DataFrame, gold: str, preds: list[str], classes: list[str], draws: int = 2000, seed: str = "0") -> DataFrame:
+def bootstrap(df: DataFrame, gold: str, preds: list[str], classes: list[str], by: str | None = None, draws: int = 2000, seed: int = 0, most_cells: int = 100_000) -> DataFrame:
     """Percentile interval of macro F1 (and, of two predictions, of the difference and how often the first is better).
 
-    A resample only matters by how often it draws each combination of gold and predicted classes, so rows are first
-    counted by combination - a few dozen rows, whatever the table - and every resample draws from these counts by inverse
-    transform: position ``pick mod n`` falls in a combination's range of the running sum."""
-    from pyspark.sql import Window
-
-    cells = df.groupBy(gold, *preds).agg(F.count("*").alias("c"))
-    w = Window.orderBy(*[F.col(c).asc_nulls_first() for c in (gold, *preds)])  # of combinations: few
-    cells = cells.withColumn("hi", F.sum("c").over(w)).withColumn("lo", F.col("hi") - F.col("c"))
-    spark = df.sparkSession
-    n = cells.agg(F.sum("c")).first()[0] or 0
-    rows = spark.range(draws).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(1), F.lit(max(n, 1)))).alias("k")) if n else spark.range(0).select(F.col("id").alias("b"), F.lit(1).alias("k"))
-    at = F.pmod(F.xxhash64(F.lit(seed), "b", "k"), F.lit(max(n, 1)))
-    found = cells.collect()  # a row for each combination of classes
-    ranges = F.array(*[F.struct(F.lit(r["lo"]).alias("lo"), F.lit(r["hi"]).alias("hi"), F.lit(i).alias("cell")) for i, r in enumerate(found)])
-    drawn = rows.groupBy("b", F.element_at(F.filter(ranges, lambda x: (at >= x["lo"]) & (at < x["hi"])), 1)["cell"].alias("cell")).agg(F.count("*").alias("m"))
-    names = spark.createDataFrame([(i, *[r[c] for c in (gold, *preds)]) for i, r in enumerate(found)], "cell int, " + ", ".join(f"`{c}` string" for c in (gold, *preds)))
-    joined = drawn.join(F.broadcast(names), "cell")
-    scores = None
-    for k, pred in enumerate(preds):
-        each = joined.withColumn("class", F.explode(F.array(*map(F.lit, classes))))
-        g, p = F.col(gold).eqNullSafe(F.col("class")), F.col(pred).eqNullSafe(F.col("class"))
-        total = lambda c: F.coalesce(F.sum(F.when(c, F.col("m"))), F.lit(0))
-        f = each.groupBy("b", "class").agg(total(g & p).alias("tp"), total(~g & p).alias("fp"), total(g & ~p).alias("fn"))
-        f = f.groupBy("b").agg(F.avg(prf(F.col("tp"), F.col("fp"), F.col("fn"))[2]).alias(f"s{k}"))
-        scores = f if scores is None else scores.join(f, "b")
-    value = F.col("s0") - F.col("s1") if len(preds) == 2 else F.col("s0")
+    Macro F1 is the mean over classes; with ``by``, over its values, of the F1 of the one class given. A resample only matters by how
+    often it draws each combination of gold, predicted and group, so rows are first counted by combination: as many as labels allow,
+    whatever the table's size (their number is checked). Every resample is one multinomial draw of these counts, made where the
+    resample is, from a generator seeded by its number."""
+    cells = df.groupBy(*([by] if by else []), gold, *preds).agg(F.count("*").alias("c")).limit(most_cells + 1).collect()
+    if len(cells) > most_cells:
+        raise ValueError(f"more than {most_cells} combinations of classes")
+    cells.sort(key=lambda r: tuple(map(str, r)))
+    kinds = sorted({str(r[by]) for r in cells}) if by else classes
+    of = np.array([kinds.index(str(r[by])) for r in cells]) if by else None
+    counts = np.array([r["c"] for r in cells], float)
+    is_ = lambda column, c: np.array([r[column] == c for r in cells], bool)
+    hits = [[(is_(gold, c), is_(p, c)) for c in classes] for p in preds]
+
+    def macro(m, each):
+        f = []
+        for k, kind in enumerate(kinds):
+            g, p = each[0] if by else each[k]
+            n = m * (of == k) if by else m
+            tp, fp, fn = n[g & p].sum(), n[~g & p].sum(), n[g & ~p].sum()
+            f.append(0.0 if not tp else 2 * tp / (2 * tp + fp + fn))
+        return sum(f) / len(f)
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for k in b["id"]:
+                m = np.random.default_rng([seed, k]).multinomial(int(counts.sum()), counts / counts.sum())
+                scores = [macro(m, each) for each in hits]
+                out.append(scores[0] - scores[1] if len(scores) == 2 else scores[0])
+            yield pd.DataFrame({"v": out})
+
+    drawn = df.sparkSession.range(draws if len(cells) else 0).mapInPandas(run, "v double")
     sorted_ = F.sort_array(F.collect_list("v"))  # ``draws`` values
-    out = scores.select(value.alias("v")).agg(F.avg("v").alias("mean"), F.element_at(sorted_, int(0.025 * draws) + 1).alias("ci_low"), F.element_at(sorted_, int(0.975 * draws) + 1).alias("ci_high"), F.avg((F.col("v") > 0).cast("int")).alias("p_positive"))
-    return out
+    return drawn.agg(F.avg("v").alias("mean"), F.get(sorted_, F.lit(int(0.025 * draws))).alias("ci_low"), F.get(sorted_, F.lit(int(0.975 * draws))).alias("ci_high"), F.avg((F.col("v") > 0).cast("int")).alias("p_positive"))

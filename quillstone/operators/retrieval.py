@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as X
 
@@ -12,10 +16,12 @@ def bm25(chunks: DataFrame, queries: DataFrame, key: list[str], chunk: str = "ch
     """``(key, query, chunk, score)`` of chunks that share a word with the query; the corpus of a query is its key's chunks; a word
     that a query repeats counts as often."""
     words = chunks.select(*key, chunk, X.words(text).alias("w")).withColumn("len", F.size("w"))
-    stats = words.groupBy(*key).agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
-    tf = words.select(*key, chunk, "len", F.explode("w").alias("t")).groupBy(*key, chunk, "len", "t").agg(F.count("*").alias("tf"))
-    df = tf.groupBy(*key, "t").agg(F.count("*").alias("df"))
     asked = queries.select(*key, query, F.explode(X.words(query_text)).alias("t")).groupBy(*key, query, "t").agg(F.count("*").alias("qf"))
+    of_key = asked.groupBy(*key).agg(F.collect_set("t").alias("asked"))  # the words of a key's queries: only these are counted
+    held = words.join(of_key, key).select(*key, chunk, "len", F.filter("w", lambda t: F.array_contains("asked", t)).alias("w"))
+    stats = held.groupBy(*key).agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
+    tf = held.select(*key, chunk, "len", F.explode("w").alias("t")).groupBy(*key, chunk, "len", "t").agg(F.count("*").alias("tf"))
+    df = tf.groupBy(*key, "t").agg(F.count("*").alias("df"))
     rows = tf.join(asked, [*key, "t"]).join(df, [*key, "t"]).join(stats, key)
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("qf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg")))
@@ -33,6 +39,36 @@ def cosine(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def dense(queries: DataFrame, vectors: DataFrame, key: str, query: str, query_vector: str, chunk: str, vector: str, k: int, block_rows: int = 4096) -> DataFrame:
+    """``(query, chunk, score)``: the k chunks of each query's key of largest inner product (in double precision, rounded to nine digits;
+    ties to the first chunk), but the query itself. A key's vectors are dealt to blocks of bounded size, its queries go to every
+    block, and a block answers with its k nearest: no pairs leave it."""
+    counts = vectors.groupBy(key).agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("__blocks"))
+    numbered = F.broadcast(counts) if counts.limit(100_001).count() <= 100_000 else counts
+    block = F.pmod(F.xxhash64(chunk), F.col("__blocks")).cast("int")
+    left = vectors.join(numbered, key).select(F.col(key).alias("k"), block.alias("b"), F.col(chunk).alias("c"), F.col(vector).cast("array<double>").alias("v"))
+    right = queries.join(numbered, key).select(F.col(key).alias("k"), F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)).alias("b"), F.col(query).alias("q"), F.col(query_vector).cast("array<double>").alias("v"))
+    kinds = {name: to_arrow_type(df.schema[c].dataType) for name, df, c in (("q", queries, query), ("c", vectors, chunk))}
+
+    def search(of_block: pa.Table, asked: pa.Table) -> pa.Table:
+        out: dict[str, list] = {"q": [], "c": [], "score": []}
+        if of_block.num_rows and asked.num_rows:
+            ids, x = of_block["c"].to_pylist(), np.array(of_block["v"].to_pylist())
+            for at in range(0, asked.num_rows, 256):
+                part = asked.slice(at, 256)
+                for q, scores in zip(part["q"].to_pylist(), np.round(np.array(part["v"].to_pylist()) @ x.T, 9), strict=True):
+                    near = np.flatnonzero(scores >= np.partition(scores, -min(k + 1, len(ids)))[-min(k + 1, len(ids))]).tolist()
+                    best = sorted((-scores[i], ids[i]) for i in near if ids[i] != q)[:k]
+                    out["q"] += [q] * len(best)
+                    out["c"] += [i for _, i in best]
+                    out["score"] += [-s for s, _ in best]
+        return pa.table({"q": pa.array(out["q"], kinds["q"]), "c": pa.array(out["c"], kinds["c"]), "score": pa.array(out["score"], pa.float64())})
+
+    schema = T.StructType([T.StructField("q", queries.schema[query].dataType), T.StructField("c", vectors.schema[chunk].dataType), T.StructField("score", T.DoubleType())])
+    found = left.groupBy("k", "b").cogroup(right.groupBy("k", "b")).applyInArrow(search, schema)
+    return found.select(F.col("q").alias(query), F.col("c").alias(chunk), "score")
+
+
 def fuse(lists: list[DataFrame], key: list[str], chunk: str = "chunk", constant: int = 60) -> DataFrame:
     """Reciprocal rank fusion of ranked lists, ranked anew."""
     every = lists[0].select(*key, chunk, "rank")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,11 +20,23 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
     return df.orderBy(draw(F.col(key), seed), key).limit(n)
 
 
+def ranked_draws(df: DataFrame, key: str, seed: str, by: list[str] = ()) -> DataFrame:
+    """``df`` with ``__rank``, each row's place (from 1) by draw, and ``__n``, how many there are, within groups or over all. The order is
+    a range sort: ranges of the hash are counted, and rows ranked within theirs, so that no task sorts a group."""
+    rows = df.withColumn("__d", draw(F.col(key), seed)).withColumn("__p", F.substring("__d", 1, 3))  # 4096 ranges
+    counts = rows.groupBy(*by, "__p").agg(F.count("*").alias("__c"))
+    before = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # of counts: 4096 a group
+    counts = counts.select(*by, "__p", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__before"), F.sum("__c").over(Window.partitionBy(*by)).alias("__n"))
+    within = F.row_number().over(Window.partitionBy(*by, "__p").orderBy("__d", key))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in [*by, "__p"]]
+    joined = rows.withColumn("__rn", within).alias("r").join(counts.alias("c"), functools.reduce(operator.and_, same))
+    return joined.select(*[F.col(f"r.`{c}`") for c in df.columns], (F.col("__before") + F.col("__rn")).alias("__rank"), "__n")
+
+
 def stratified_sample(df: DataFrame, key: str, label: str, share: float, seed: str) -> DataFrame:
     """This share of each label's rows (half to even), one at least."""
-    w = Window.partitionBy(label).orderBy(draw(F.col(key), seed), key)
-    sizes = df.groupBy(label).agg(F.greatest(F.lit(1), F.bround(F.count("*") * F.lit(share)).cast("int")).alias("__want"))
-    return df.withColumn("__rn", F.row_number().over(w)).join(sizes, label).where("__rn <= __want").drop("__rn", "__want")
+    ranked = ranked_draws(df, key, seed, [label])
+    return ranked.where(F.col("__rank") <= F.greatest(F.lit(1), F.bround(F.col("__n") * F.lit(share)))).drop("__rank", "__n")
 
 
 def round_robin(df: DataFrame, key: str, label: str, category: str, n: int, seed: str) -> DataFrame:
@@ -34,45 +49,27 @@ def round_robin(df: DataFrame, key: str, label: str, category: str, n: int, seed
 
 def oversample(df: DataFrame, key: str, label: str, seed: str) -> DataFrame:
     """Each label's rows repeated to the size of the largest label: whole copies, then the rows of least draw; ``copy`` from 0."""
-    counts = df.groupBy(label).agg(F.count("*").alias("__c"))
-    most = counts.agg(F.max("__c").alias("__m"))
-    sizes = counts.crossJoin(F.broadcast(most))  # one row
-    w = Window.partitionBy(label).orderBy(draw(F.col(key), seed), key)
-    out = df.withColumn("__rn", F.row_number().over(w)).join(sizes, label)
-    times = F.floor(F.col("__m") / F.col("__c")) + (F.col("__rn") <= F.col("__m") % F.col("__c")).cast("int")
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(0), (times - 1).cast("int")))).drop("__rn", "__c", "__m")
+    most = df.groupBy(label).agg(F.count("*").alias("__c")).agg(F.max("__c").alias("__m"))
+    out = ranked_draws(df, key, seed, [label]).crossJoin(F.broadcast(most))  # one row
+    times = F.floor(F.col("__m") / F.col("__n")) + (F.col("__rank") <= F.col("__m") % F.col("__n")).cast("int")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(0), (times - 1).cast("int")))).drop("__rank", "__n", "__m")
 
 
 def group_split(df: DataFrame, group: str, shares: list[tuple[str, float]], rest: str, seed: str) -> DataFrame:
-    """``(group, split)``: whole groups, in the order of their draws, to splits of these shares (half to even). The order over all groups
-    is a range sort with counts of its parts, not one task."""
-    keys = df.select(group).distinct().withColumn("__d", draw(F.col(group), seed))
-    prefix = F.substring("__d", 1, 3)  # 4096 ranges of the hash: their counts are the only thing seen by one task
-    counts = keys.groupBy(prefix.alias("__p")).agg(F.count("*").alias("__c"))
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("__before", F.coalesce(F.sum("__c").over(before), F.lit(0))).select("__p", "__before")
-    total = keys.agg(F.count("*").alias("__n"))
-    w = Window.partitionBy("__p").orderBy("__d", group)
-    out = keys.withColumn("__p", prefix).withColumn("__rn", F.row_number().over(w)).join(F.broadcast(offsets), "__p").crossJoin(F.broadcast(total))
-    rank, done, split = F.col("__before") + F.col("__rn"), F.lit(0), None
+    """``(group, split)``: whole groups, in the order of their draws, to splits of these shares (half to even)."""
+    out, done, split = ranked_draws(df.select(group).distinct(), group, seed), F.lit(0), None
     for name, share in shares:
         done = done + F.bround(F.col("__n") * F.lit(share)).cast("long")
-        split = F.when(rank <= done, name) if split is None else split.when(rank <= done, name)
+        split = F.when(F.col("__rank") <= done, name) if split is None else split.when(F.col("__rank") <= done, name)
     return out.select(group, split.otherwise(rest).alias("split"))
 
 
 def mixture_cap(df: DataFrame, key: str, task: str, capped: str, share: float, seed: str) -> DataFrame:
     """Rows of the capped task are at most this share of the result: those of least draw stay."""
-    is_capped = F.col(task) == capped
-    want = df.agg(F.floor(F.lit(share / (1 - share)) * F.count_if(~is_capped)).alias("__want"), F.count_if(is_capped).alias("__have"))
-    cut = df.where(is_capped).select(draw(F.col(key), seed).alias("__d"), F.col(key).alias("__k"))
-    bound = want.first()
-    if bound["__have"] <= bound["__want"]:
-        return df
-    last = cut.orderBy("__d", "__k").limit(int(bound["__want"])).agg(F.max(F.struct("__d", "__k")).alias("m")).first()["m"]
-    if last is None:
-        return df.where(~is_capped)
-    return df.where(~is_capped | (F.struct(draw(F.col(key), seed).alias("d"), F.col(key).alias("k")) <= F.struct(F.lit(last["__d"]).alias("d"), F.lit(last["__k"]).alias("k"))))
+    is_capped = F.coalesce(F.col(task) == capped, F.lit(False))
+    want = df.agg(F.floor(F.lit(share / (1 - share)) * F.count_if(~is_capped)).alias("__want"))  # one row
+    some = ranked_draws(df.where(is_capped), key, seed).crossJoin(F.broadcast(want)).where("__rank <= __want")
+    return df.where(~is_capped).unionByName(some.drop("__rank", "__n", "__want"))
 
 
 def running_cap(df: DataFrame, group: str, order: str, passes: Column, cap: int) -> DataFrame:
@@ -83,10 +80,16 @@ def running_cap(df: DataFrame, group: str, order: str, passes: Column, cap: int)
 
 
 def median_rows(df: DataFrame, label: str, size: Column, key: str) -> DataFrame:
-    """The row of each label at the middle of its sizes (the upper one of two)."""
-    w = Window.partitionBy(label)
-    out = df.withColumn("__s", size).withColumn("__rn", F.row_number().over(w.orderBy("__s", key))).withColumn("__n", F.count("*").over(w))
-    return out.where(F.col("__rn") == F.floor(F.col("__n") / 2) + 1).drop("__s", "__rn", "__n")
+    """The row of each label at the middle of its sizes (the upper one of two). Sizes are counted first; only rows of the middle size
+    are put in order."""
+    rows = df.withColumn("__s", size)
+    counts = rows.groupBy(label, "__s").agg(F.count("*").alias("__c"))
+    upto = F.sum("__c").over(Window.partitionBy(label).orderBy("__s"))
+    counts = counts.withColumn("__upto", upto).withColumn("__at", F.floor(F.sum("__c").over(Window.partitionBy(label)) / 2) + 1)
+    middle = counts.where((F.col("__upto") >= F.col("__at")) & (F.col("__upto") - F.col("__c") < F.col("__at")))
+    middle = middle.select(F.col(label).alias("__l"), F.col("__s").alias("__m"), (F.col("__at") - F.col("__upto") + F.col("__c")).alias("__place"))  # a row a label
+    same = rows.join(F.broadcast(middle), F.col(label).eqNullSafe(F.col("__l")) & F.col("__s").eqNullSafe(F.col("__m")))
+    return same.withColumn("__rn", F.row_number().over(Window.partitionBy(label).orderBy(key))).where("__rn = __place").drop("__s", "__l", "__m", "__place", "__rn")
 
 
 def shard(df: DataFrame, key: str, of: int, k: int) -> DataFrame:

@@ -1,6 +1,6 @@
 """Inputs that the tables don't hold, made of them alike in Spark and in SQL.
 
-``answers``: what a model might have said of each document. Its sentences (cut to 200 characters) stand for spans; gold and
+``answers``: what a model might have said of each document. Its sentences, whole, stand for spans; gold and
 predicted evidence, verdicts and an answer's length are drawn by hashes of the id.
 """
 
@@ -57,7 +57,7 @@ def s_loud(x: str) -> str:
 
 
 def spans(text: Column) -> Column:
-    return F.transform(F.split(text, r"\. "), lambda s: F.substring(s, 1, 200))
+    return F.split(text, r"\. ")
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _list = "[" + ", ".join(f"'{c}'" for c in CLASSES) + "]"
 ANSWERS = f"""
-raw_answers AS (SELECT *, list_transform(string_split(coalesce(text, ''), '. '), lambda x: substr(x, 1, 200)) AS s,
+raw_answers AS (SELECT *, string_split(coalesce(text, ''), '. ') AS s,
     {s_draw('doc_id', 'gold', 4)} AS g, {s_draw('doc_id', 'pred', 7)} AS p FROM documents),
 answers AS (SELECT doc_id, text, lang, source, n_chars,
     CASE WHEN g = 0 THEN CAST([] AS VARCHAR[]) ELSE s[1:2] END AS gold,

@@ -14,7 +14,7 @@ def chunks(spark, sf):
     """Pieces of 60 tokens, and for each document with gold evidence a query: its first gold span's first tokens."""
     rows = answers(spark, sf).where(F.size("gold") > 0)
     cut = X.bind(X.tokens("text"), lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(w) / F.lit(60)) - 1, F.lit(0)).cast("int")), lambda i: F.array_join(F.slice(w, i * 60 + 1, F.lit(60)), " ")))
-    pieces = rows.select("doc_id", F.posexplode(cut).alias("chunk", "text"))
+    pieces = rows.select("doc_id", F.posexplode(cut).alias("chunk", "text")).persist()  # every ranking reads them
     asked = rows.select("doc_id", F.lit(0).alias("query"), F.array_join(F.slice(X.tokens(F.col("gold")[0]), 1, 8), " ").alias("query_text"), "gold")
     return pieces, asked
 
@@ -43,9 +43,10 @@ def _(spark, sf):
 
 def by_chars(pieces, asked):
     """A second ranking: by what share of the query's characters' pairs a chunk has."""
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))
-    rows = pieces.withColumn("g", grams(F.col("text"))).join(asked.withColumn("qg", grams(F.col("query_text"))).select("doc_id", "query", "qg"), "doc_id")
-    return RT.ranked(rows.select("doc_id", "query", "chunk", F.round(X.ratio(F.size(F.array_intersect("g", "qg")), F.size("qg")), 9).alias("score")), ["doc_id", "query"])
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("query_text") - 2, F.lit(1))), lambda i: F.substring("query_text", i, F.lit(3))))
+    rows = pieces.join(asked.select("doc_id", "query", "query_text", grams.alias("qg")), "doc_id")
+    held = F.size(F.filter("qg", lambda g: F.when(F.length(g) == 3, F.contains("text", g)).otherwise(F.col("text") == g)))
+    return RT.ranked(rows.select("doc_id", "query", "chunk", F.round(X.ratio(held, F.size("qg")), 9).alias("score")), ["doc_id", "query"])
 
 
 _GRAMS = "list_distinct(list_transform(range(1, CAST(greatest(length({0}) - 2, 1) AS INTEGER) + 1), lambda i: substr({0}, i, 3)))"
@@ -91,5 +92,5 @@ def _(spark, sf):
     """Within one key, as everywhere here: a vector's neighbours of its own label."""
     e = table(spark, sf, "embeddings")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("qe"))
-    scores = q.join(e, "label").where("vec_id <> query_id").select("query_id", "vec_id", F.round(RT.cosine("qe", "embedding"), 9).alias("score"))
+    scores = RT.dense(q, e, "label", "query_id", "qe", "vec_id", "embedding", 5)
     return RT.ranked(scores, ["query_id"], "vec_id", k=5).select("query_id", "vec_id", "rank")

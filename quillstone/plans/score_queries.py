@@ -261,13 +261,24 @@ def _(spark, sf):
 
 @query("bootstrap_ci")
 def _(spark, sf):
-    return M.bootstrap(answers(spark, sf), "gold_verdict", ["pred_verdict"], CLASSES, 200)
+    return M.bootstrap(answers(spark, sf), "gold_verdict", ["pred_verdict"], CLASSES)
+
+
+def two_systems(spark, sf):
+    """Answers with those of another system beside them."""
+    return answers(spark, sf).withColumn("other", F.when(draw(F.col("doc_id"), "hit2", 10) < 6, F.col("gold_verdict")).otherwise("NotMentioned"))
 
 
 @query("paired_bootstrap")
 def _(spark, sf):
-    rows = answers(spark, sf).withColumn("other", F.when(draw(F.col("doc_id"), "hit2", 10) < 6, F.col("gold_verdict")).otherwise("NotMentioned"))
-    return M.bootstrap(rows, "gold_verdict", ["pred_verdict", "other"], CLASSES, 200)
+    return M.bootstrap(two_systems(spark, sf), "gold_verdict", ["pred_verdict", "other"], CLASSES)
+
+
+@query("paired_bootstrap_by_category")
+def _(spark, sf):
+    """Presence of evidence: the mean over sources of the F1 of the present ones, of two systems."""
+    rows = answers(spark, sf).select("source", (F.size("gold") > 0).alias("g"), (F.size("pred") > 0).alias("a"), (draw(F.col("doc_id"), "present2", 5) > 0).alias("b"))
+    return M.bootstrap(rows, "g", ["a", "b"], [True], by="source")
 
 
 @query("training_curve", """WITH d AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS step, avg(o_totalprice) AS loss FROM orders GROUP BY 1),

@@ -246,6 +246,6 @@ def _(spark, sf):
     return answers(spark, sf).select("doc_id", F.size(X.drop_trivial(F.col("gold"))).alias("kept"), F.size("gold").alias("given"))
 
 
-@query("distinct_spans", """SELECT count(DISTINCT x) AS n FROM (SELECT unnest(list_transform(string_split(coalesce(text, ''), '. '), lambda x: substr(x, 1, 200))) AS x FROM documents)""")
+@query("distinct_spans", """SELECT count(DISTINCT x) AS n FROM (SELECT unnest(string_split(coalesce(text, ''), '. ')) AS x FROM documents)""")
 def _(spark, sf):
     return table(spark, sf, "documents").select(F.explode(spans(F.coalesce("text", F.lit("")))).alias("x")).agg(F.count_distinct("x").alias("n"))
