@@ -81,6 +81,11 @@ def union_tasks(parts: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def zip_rows(left: DataFrame, right: DataFrame, row: str) -> DataFrame:
+    """Two tables side by side by the number of their row; a row that only one has stands with nulls."""
+    return left.join(right, row, "full")
+
+
 def leaks_schema(reply: Column, keys: list[str]) -> Column:
     """Is a training target a JSON object with just these keys?"""
     return F.coalesce(F.array_sort(F.json_object_keys(reply)) == F.array(*map(F.lit, sorted(keys))), F.lit(False))

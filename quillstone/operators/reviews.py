@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -132,14 +135,27 @@ def review_markdown(items: DataFrame, reviews: DataFrame, review: str = "review_
 
 class ReviewStore:
     """Snapshots of reviews as Parquet: an upsert writes the next version beside the last and then names it current, so a reader sees
-    one or the other. For bulk upserts; a point update rewrites the snapshot."""
+    one or the other. A writer holds a lock file that only one can create; others wait. For bulk upserts; a point update rewrites the
+    snapshot."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, wait_s: float = 60.0):
+        self.spark, self.folder, self.wait_s = spark, folder.rstrip("/"), wait_s
         jvm = spark._jvm
         self.path = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         self.fs = self.path("x").getFileSystem(spark._jsc.hadoopConfiguration())
 
+    @contextlib.contextmanager
+    def _alone(self):
+        until = time.monotonic() + self.wait_s
+        while not self.fs.createNewFile(self.path("lock")):
+            if time.monotonic() > until:
+                raise TimeoutError(f"{self.folder}/lock is held by another writer, or left by one that died")
+            time.sleep(0.1)
+        try:
+            yield
+        finally:
+            self.fs.delete(self.path("lock"), False)
+
     def _version(self) -> int:
         if not self.fs.exists(self.path(".")):
             return 0
@@ -158,18 +174,21 @@ class ReviewStore:
         df.write.mode("overwrite").parquet(f"{self.folder}/v{self._version() + 1}")
 
     def upsert(self, rows: DataFrame) -> None:
-        old = self.read()
-        self._write(rows if old is None else old.join(rows.select("review_id").distinct(), "review_id", "left_anti").unionByName(rows, allowMissingColumns=True))
+        with self._alone():
+            old = self.read()
+            self._write(rows if old is None else old.join(rows.select("review_id").distinct(), "review_id", "left_anti").unionByName(rows, allowMissingColumns=True))
 
     def delete(self, ids: DataFrame) -> None:
-        old = self.read()
-        if old is not None:
-            self._write(old.join(ids.select("review_id").distinct(), "review_id", "left_anti"))
+        with self._alone():
+            old = self.read()
+            if old is not None:
+                self._write(old.join(ids.select("review_id").distinct(), "review_id", "left_anti"))
 
     def seed(self, rows: DataFrame) -> None:
         """Adds the rows whose id isn't there yet."""
-        old = self.read()
-        self._write(rows if old is None else old.unionByName(rows.join(old.select("review_id"), "review_id", "left_anti"), allowMissingColumns=True))
+        with self._alone():
+            old = self.read()
+            self._write(rows if old is None else old.unionByName(rows.join(old.select("review_id"), "review_id", "left_anti"), allowMissingColumns=True))
 
     def newest(self) -> DataFrame | None:
         df = self.read()

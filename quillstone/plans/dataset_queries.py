@@ -11,6 +11,7 @@ from ..functions.playbook import positions
 from ..operators import datasets as DS
 from ..operators import reviews as R
 from ..operators import sampling as S
+from ..sources.scratch import scratch
 from ..streaming import progress as PR
 from .base import ANSWERS, FEATURES, answers, draw, rounded, s_draw, s_norm
 from .registry import query, table
@@ -360,6 +361,62 @@ def _(spark, sf):
     return PR.latest(progress(spark, sf), order="event_id").select("review_id", "event_id", "stage", "done")
 
 
+@query("request_queue", """SELECT 'r' || doc_id AS review_id, CASE WHEN doc_id // 250 % 4 = 2 THEN 'error' ELSE 'done' END AS status, CASE WHEN doc_id // 250 % 4 <> 2 THEN doc_id % 9 END AS found FROM documents""")
+def _(spark, sf):
+    """Files of requests in order; every fourth file's review fails."""
+    incoming, log, store = scratch(spark, "requests"), scratch(spark, "statuses"), R.ReviewStore(spark, scratch(spark, "reviews"))
+    ids = table(spark, sf, "documents").select(F.concat(F.lit("r"), "doc_id").alias("review_id"), F.col("doc_id").alias("n"))
+    ids.withColumn("lot", F.floor(F.col("n") / 250)).repartition(8, "lot").write.partitionBy("lot").json(incoming)
+
+    def review(batch):
+        lots = [r["lot"] for r in batch.select(F.floor(F.col("n") / 250).alias("lot")).distinct().collect()]  # of one file
+        if any(lot % 4 == 2 for lot in lots):
+            raise ValueError("unreadable")
+        return batch.select("review_id", (F.col("n") % 9).alias("found"))
+
+    PR.serve_queue(spark, f"{incoming}/lot=*", "review_id string, n long", review, store, scratch(spark, "checkpoint"), log).awaitTermination()
+    return PR.statuses(spark, log).join(store.read().select("review_id", "found"), "review_id", "left").select("review_id", "status", "found")
+
+
+@query("progress_stream", f"WITH {_PROGRESS} SELECT review_id, stage, done FROM l WHERE rn = 1")
+def _(spark, sf):
+    """The events as a stream: the last that each review was heard of. Progress is of one moment each, told apart by the event."""
+    incoming, out = scratch(spark, "events"), scratch(spark, "progress")
+    rows = progress(spark, sf).select("review_id", "stage", "done", (F.col("at") + F.make_dt_interval(secs=F.col("event_id").cast("decimal(18,6)") / 1_000_000)).alias("at"))
+    rows.coalesce(1).write.parquet(incoming)
+    stream = PR.progress_stream(spark.readStream.schema("review_id long, stage string, done double, at timestamp").parquet(incoming))
+    save = lambda df, batch: df.withColumn("batch", F.lit(batch)).write.mode("append").parquet(out)
+    stream.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", scratch(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    told = spark.read.parquet(out)
+    return told.groupBy("review_id").agg(F.max_by(F.struct("stage", "done"), F.struct("at", "batch")).alias("x")).select("review_id", "x.stage", "x.done")
+
+
+@query("live_progress", f"WITH {_PROGRESS}, m AS (SELECT max(seen) AS now FROM p) SELECT review_id, stage, done FROM l, m WHERE rn = 1 AND stage <> 'done' AND epoch(now) - epoch(seen) <= 86400")
+def _(spark, sf):
+    """Progress of reviews that aren't finished and were heard of within a day of the last event."""
+    events = progress(spark, sf)
+    now = events.agg(F.date_format(F.max("at"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("now")).first()["now"]
+    return PR.live(events, ttl_s=86_400, now=f"timestamp'{now}'", order="event_id").select("review_id", "stage", "done")
+
+
+@query("interrupted_reviews", f"SELECT doc_id AS review_id, CASE {s_draw('doc_id', 'state', 4)} WHEN 0 THEN 'done' WHEN 3 THEN 'error' ELSE 'error' END AS status FROM documents")
+def _(spark, sf):
+    state = F.array(*map(F.lit, ["done", "queued", "running", "error"]))[draw(F.col("doc_id"), "state", 4)]
+    return PR.interrupted(table(spark, sf, "documents").select(F.col("doc_id").alias("review_id"), state.alias("status"))).select("review_id", "status")
+
+
+@query("pooled_reviews", "SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, row_number() OVER (ORDER BY doc_id) AS place FROM documents WHERE text IS NOT NULL")
+def _(spark, sf):
+    """Work on every document, four parts at a time, results in the order of the input; the place is counted part by part."""
+    docs = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", "text")
+    done = PR.in_order(docs, "doc_id", lambda b: b.assign(chars=b["text"].str.len())[["doc_id", "chars"]], "doc_id long, chars long", 4)
+    part = done.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
+    part = part.select("doc_id", "chars", "part", (F.col("at") - F.shiftleft(F.col("part").cast("long"), 33) + 1).alias("within"))
+    sizes = part.groupBy("part").agg(F.count("*").alias("n"))  # a row a part
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
+    return part.join(F.broadcast(before), "part").select("doc_id", "chars", (F.col("within") + F.col("before")).alias("place"))
+
+
 @query("review_status", f"""WITH {_PROGRESS}, m AS (SELECT max(seen) AS now FROM p) SELECT review_id, CASE WHEN stage <> 'done' AND epoch(now) - epoch(seen) > 180 THEN 'error' WHEN stage = 'done' THEN 'done' ELSE 'running' END AS status FROM l, m WHERE rn = 1""")
 def _(spark, sf):
     last = PR.latest(progress(spark, sf), order="event_id")

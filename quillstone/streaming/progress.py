@@ -18,10 +18,10 @@ def latest(events: DataFrame, key: str = "review_id", at: str = "at", order: str
     return events.groupBy(key).agg(F.max(F.struct(at, *([order] if order else []), *[c for c in rest if c not in (at, order)])).alias("x")).select(key, *[F.col(f"x.{c}").alias(c) for c in rest])
 
 
-def live(events: DataFrame, finished: str = "stage = 'done'", ttl_s: int = 600, now: str | None = None) -> DataFrame:
+def live(events: DataFrame, finished: str = "stage = 'done'", ttl_s: int = 600, now: str | None = None, order: str | None = None) -> DataFrame:
     """Latest progress of reviews that aren't finished and were heard of within ``ttl_s`` (now: an SQL expression)."""
     moment = F.expr(now) if now else F.current_timestamp()
-    return latest(events).where(~F.expr(finished)).where(F.unix_timestamp(moment) - F.unix_timestamp("at") <= ttl_s)
+    return latest(events, order=order).where(~F.expr(finished)).where(moment.cast("double") - F.col("at").cast("timestamp").cast("double") <= ttl_s)
 
 
 def progress_stream(events: DataFrame, ttl_s: int = 600, finished: str = "done") -> DataFrame:
@@ -51,20 +51,58 @@ def progress_stream(events: DataFrame, ttl_s: int = 600, finished: str = "done")
     return grouped.applyInPandasWithState(update, PROGRESS, "at timestamp, stage string, done double", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def serve_queue(spark: SparkSession, incoming: str, schema: str, review: Callable[[DataFrame], DataFrame], store, checkpoint: str):
-    """One consumer of files of requests, in the order they came: marks a batch running, reviews it, stores it done. Restarts go on after
-    the last whole batch. Returns the query."""
+STATUS = "review_id string, status string, error string, batch long, step int"
 
-    def handle(batch: DataFrame, _: int) -> None:
-        if batch.isEmpty():
-            return
-        store.upsert(batch.withColumn("status", F.lit("running")))
-        store.upsert(review(batch).withColumn("status", F.lit("done")))
+
+def serve_queue(spark: SparkSession, incoming: str, schema: str, review: Callable[[DataFrame], DataFrame], store, checkpoint: str, log: str):
+    """One consumer of files of requests, in the order they came. Each request's status is appended to ``log`` as it changes: queued,
+    running, then done or, where its batch's review failed, error with the reason; the store gets what was done. A failed batch doesn't
+    hold up those behind it. Restarts go on after the last whole batch. Returns the query."""
+
+    def handle(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        ids = batch.select("review_id").distinct()
+
+        def say(status: str, step: int, error: str | None = None) -> None:
+            rows = ids.select("review_id", F.lit(status).alias("status"), F.lit(error).cast("string").alias("error"), F.lit(number).cast("long").alias("batch"), F.lit(step).alias("step"))
+            rows.write.mode("append").parquet(log)
+
+        try:
+            if batch.isEmpty():
+                return
+            say("queued", 0)
+            say("running", 1)
+            try:
+                store.upsert(review(batch).withColumn("status", F.lit("done")))
+            except Exception as e:  # whatever a review raises is its requests' status
+                say("error", 2, str(e).splitlines()[0][:500] if str(e) else type(e).__name__)
+            else:
+                say("done", 2)
+        finally:
+            batch.unpersist()
 
     requests = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(incoming)
     return requests.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def statuses(spark: SparkSession, log: str) -> DataFrame:
+    """``(review_id, status, error)``: the last status of each request."""
+    rows = spark.read.schema(STATUS).parquet(log)
+    return rows.groupBy("review_id").agg(F.max(F.struct("batch", "step", "status", "error")).alias("x")).select("review_id", "x.status", "x.error")
+
+
+def in_order(df: DataFrame, order: str, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str, limit: int) -> DataFrame:
+    """``work`` over all rows with at most ``limit`` parts in flight, results in the order of ``order``, a column that it keeps. Parts are
+    ranges of the order, so that results are in order as they are: the parts one after another, sorted within."""
+    parts = df.repartitionByRange(limit, order).sortWithinPartitions(order)
+
+    def run(batches):
+        for b in batches:
+            yield work(b)
+
+    return parts.mapInPandas(run, schema).orderBy(order)
+
+
 def interrupted(reviews: DataFrame) -> DataFrame:
     """At a restart: what was queued or running can't be any more."""
     return reviews.withColumn("status", F.when(F.col("status").isin("queued", "running"), "error").otherwise(F.col("status")))

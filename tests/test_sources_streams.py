@@ -88,8 +88,35 @@ def test_queue(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/1.json").write_text('{"review_id": "x", "created": 1.0}\n')
     store = R.ReviewStore(spark, f"file://{tmp_path}/store")
-    PR.serve_queue(spark, str(tmp_path / "in"), "review_id string, created double", lambda df: df.withColumn("found", F.lit(3)), store, str(tmp_path / "ckpt")).awaitTermination(60)
-    assert [(r.review_id, r.status, r.found) for r in store.read().collect()] == [("x", "done", 3)]
+    (tmp_path / "in/2.json").write_text('{"review_id": "y", "created": 2.0}\n')
+    (tmp_path / "in/3.json").write_text('{"review_id": "x", "created": 3.0}\n')
+
+    def review(df):
+        if df.where("review_id = 'y'").count():
+            raise RuntimeError("no text\nat all")
+        return df.withColumn("found", F.lit(3))
+
+    for _ in range(2):  # a restart finds nothing left to do
+        PR.serve_queue(spark, str(tmp_path / "in"), "review_id string, created double", review, store, str(tmp_path / "ckpt"), str(tmp_path / "log")).awaitTermination(60)
+    assert [(r.review_id, r.status, r.found, r.created) for r in store.read().collect()] == [("x", "done", 3, 3.0)]
+    assert sorted((r.review_id, r.status, r.error) for r in PR.statuses(spark, str(tmp_path / "log")).collect()) == [("x", "done", None), ("y", "error", "no text")]
+    log = spark.read.parquet(str(tmp_path / "log")).orderBy("batch", "step").collect()
+    assert [r.status for r in log] == ["queued", "running", "done", "queued", "running", "error", "queued", "running", "done"]
+
+
+def test_in_order(spark):
+    rows = [(i * 7 % 101, "x" * i) for i in range(101)]
+    out = PR.in_order(spark.createDataFrame(rows, "k long, t string").repartition(9), "k", lambda b: b.assign(n=b["t"].str.len())[["k", "n"]], "k long, n long", 3)
+    assert [(r.k, r.n) for r in out.collect()] == sorted((k, len(t)) for k, t in rows)
+
+
+def test_store_is_locked(spark, tmp_path):
+    store = R.ReviewStore(spark, f"file://{tmp_path}/store", wait_s=0.3)
+    rows = spark.createDataFrame([("a",)], "review_id string")
+    with store._alone(), pytest.raises(TimeoutError):
+        store.upsert(rows)
+    store.upsert(rows)
+    assert store.read().count() == 1
 
 
 def test_progress_stream(spark, tmp_path):
