@@ -1,7 +1,8 @@
-"""Scalar text functions as Columns: everything here stays in the JVM."""
+"""Scalar text functions as Columns: all stays in the JVM but the longest common subsequence, for which there is no built-in."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,22 +88,27 @@ def multiset_prf(gold: Column, pred: Column) -> Column:
     return F.struct(prec.alias("p"), rec.alias("r"), f_measure(prec, rec).alias("f"))
 
 
+def longest_common(a: list, b: list) -> int:
+    """Length of the longest common subsequence, a row of the table as the bits of one integer."""
+    masks: dict = {}
+    for k, x in enumerate(b):
+        masks[x] = masks.get(x, 0) | 1 << k
+    full = row = (1 << len(b)) - 1
+    for x in a:
+        if hit := row & masks.get(x, 0):
+            row = (row + hit | row - hit) & full
+    return len(b) - row.bit_count()
+
+
 def lcs(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays: a fold over a that carries one row of the table."""
-    zero = F.transform(b, lambda _: F.lit(0))
-
-    def row(prev: Column, x: Column) -> Column:
-        step = F.aggregate(
-            F.sequence(F.lit(1), F.size(b)),
-            F.struct(F.array().cast("array<int>").alias("cells"), F.lit(0).alias("left")),
-            lambda acc, j: bind(
-                F.when(F.element_at(b, j) == x, F.when(j > 1, F.element_at(prev, F.greatest(j - 1, F.lit(1)))).otherwise(0) + 1).otherwise(F.greatest(acc["left"], F.element_at(prev, j))),
-                lambda cell: F.struct(F.array_append(acc["cells"], cell).alias("cells"), cell.alias("left")),
-            ),
-        )
-        return step["cells"]
-
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0)).otherwise(F.element_at(F.aggregate(a, zero, row), -1))
+    """Length of the longest common subsequence of two arrays: no built-in has it, and a fold would copy a row of the table for each
+    cell."""
+
+    @F.pandas_udf("int")
+    def run(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([longest_common(list(x), list(y)) for x, y in zip(left, right, strict=True)], dtype="int32")
+
+    return run(a, b)
 
 
 def rouge_l(gold: Column, pred: Column) -> Column:

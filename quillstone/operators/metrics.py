@@ -112,6 +112,20 @@ def rank_percentiles(df: DataFrame, value: str, qs: dict[str, tuple[float, int]]
     return ranked.groupBy(*by).agg(F.max("n").alias("n"), *[F.min(F.when(F.col("upto") > at(q, less), F.col(value))).alias(name) for name, (q, less) in qs.items()])
 
 
+def curve(rows: DataFrame) -> DataFrame:
+    """A training curve (loss, x from 1, n, smooth: the mean of the last five) in numbers: slope, change of the mean from the first to the
+    last quarter, drift over the last tenth, variation in the last quarter and in all, and how many steps are 2 % above the mean."""
+    loss, x, n = F.col("loss"), F.col("x"), F.col("n")
+    start = lambda tenths: F.greatest(F.lit(1), F.floor(n * tenths / 20))
+    head, tail, late = x - 1 < F.greatest(F.lit(1), F.floor(n / 4)), x - 1 >= start(15), x - 1 >= start(18)
+    of = lambda f, c: f(F.when(c, loss))
+    first, last = F.min_by(F.when(late, loss), F.when(late, x)), F.max_by(F.when(late, loss), F.when(late, x))
+    return rows.agg(
+        F.count("*").alias("steps"), F.round(F.regr_slope("loss", x.cast("double")), 2).alias("slope"), F.round((of(F.avg, tail) - of(F.avg, head)) / F.abs(of(F.avg, head)), 6).alias("change"), F.round((last - first) / F.abs(first), 6).alias("drift"),
+        F.round(of(F.stddev_pop, tail) / of(F.avg, tail), 6).alias("tail_cv"), F.round(F.stddev_samp("loss") / F.avg("loss"), 4).alias("cv"), F.count_if(loss > 1.02 * F.col("smooth")).alias("spikes"),
+    )
+
+
 def bootstrap(df: DataFrame, gold: str, preds: list[str], classes: list[str], by: str | None = None, draws: int = 2000, seed: int = 0, most_cells: int = 100_000) -> DataFrame:
     """Percentile interval of macro F1 (and, of two predictions, of the difference and how often the first is better).
 

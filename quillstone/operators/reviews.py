@@ -105,10 +105,13 @@ def contract_markdown(title: Column, text: Column) -> Column:
     return F.concat(F.lit("# "), title, F.lit("\n\n"), F.array_join(parts, "\n"))
 
 
+def called(decision: Column) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in DECISIONS.items() for x in kv]), decision), decision)
+
+
 def item_markdown() -> Column:
     """A finding as Markdown: status and decision, note, comment, quotes."""
-    called = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in DECISIONS.items() for x in kv]), F.col("decision")))
-    reviewer = F.when(F.col("decision").isNotNull(), F.concat(F.lit(" · Reviewer: **"), called, F.lit("**"))).otherwise(" · Not yet reviewed")
+    reviewer = F.when(F.col("decision").isNotNull(), F.concat(F.lit(" · Reviewer: **"), called(F.col("decision")), F.lit("**"))).otherwise(" · Not yet reviewed")
     quotes = F.transform("quotes", lambda q: F.concat(F.lit("> "), F.trim(F.regexp_replace(q, r"\s+", " ")), F.lit("\n\n")))
     return F.concat(
         F.lit("### "), "title", F.lit("\n\n**"), "status", F.lit("**"), reviewer, F.lit("\n\n"),
@@ -117,20 +120,34 @@ def item_markdown() -> Column:
     )
 
 
-# The groups of a report.
+# The groups of a report, the rows of its table by task, and how tasks are called.
 GROUPS = [("position", "red", "Needs attention"), ("position", "amb", "Not addressed"), ("position", "grn", "Meets standard"), ("clause", "grn", "Clauses found"), ("clause", "gry", "Clauses not detected")]
+TABLE = {"compliance": [("Needs attention", "red"), ("Not addressed", "amb"), ("Meets standard", "grn")], "clauses": [("Clauses found", "found"), ("Clauses not detected", "missing")]}
+TASKS = {"compliance": "playbook positions", "clauses": "clause inventory"}
 
 
 def review_markdown(items: DataFrame, reviews: DataFrame, review: str = "review_id") -> DataFrame:
-    """``(review_id, markdown)``: heading, progress, table of counts, and the findings by group. A review's findings are tens of rows."""
+    """``(review_id, markdown)``: what was reviewed, when, for whom and how far, a table of counts, and the findings by group. Reviews:
+    document_name, reviewed (as it is to be shown), representing, tasks. A review's findings are tens of rows."""
     titles = F.create_map(*[F.lit(x) for k, t, name in GROUPS for x in (f"{k}/{t}", name)])
-    rows = triage(items, review).withColumn("group", F.element_at(titles, F.concat("kind", F.lit("/"), "tone"))).withColumn("md", F.when(F.col("group") == GROUPS[-1][2], F.concat(F.lit("- "), "title", F.lit("\n"))).otherwise(item_markdown()))
-    grouped = rows.where("group IS NOT NULL").groupBy(review, "group").agg(F.min("place").alias("first"), F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "md"))), lambda x: x["md"]), "").alias("md"))
-    body = grouped.groupBy(review).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", F.concat(F.lit("## "), "group", F.lit(" ("), "n", F.lit(")\n\n"), "md").alias("md")))), lambda x: x["md"]), "\n").alias("body"))
-    counts = summary(items, review)
-    head = F.concat(F.lit("# Contract review: "), "document_name", F.lit("\n\n- Reviewer progress: "), "decided", F.lit(" of "), "total", F.lit(" findings decided"), F.when(F.col("flagged") > 0, F.concat(F.lit(", "), "flagged", F.lit(" flagged"))).otherwise(""), F.lit("\n\n| | Count |\n|---|---|\n"))
-    table = F.concat(*[F.concat(F.lit(f"| {name} | "), F.col(c).cast("string"), F.lit(" |\n")) for name, c in (("Needs attention", "red"), ("Not addressed", "amb"), ("Meets standard", "grn"), ("Clauses found", "found"), ("Clauses not detected", "missing"))])
-    return reviews.join(counts, review).join(body, review, "left").select(review, F.concat(head, table, F.lit("\n"), F.coalesce("body", F.lit(""))).alias("markdown"))
+    bullet = F.concat(F.lit("- "), "title", F.coalesce(F.concat(F.lit(" ("), called(F.col("decision")), F.lit(")")), F.lit("")), F.lit("\n"))
+    rows = triage(items, review).withColumn("group", F.element_at(titles, F.concat("kind", F.lit("/"), "tone"))).withColumn("md", F.when(F.col("group") == GROUPS[-1][2], bullet).otherwise(item_markdown()))
+    joined = lambda order, c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, c.alias("md")))), lambda x: x["md"]), "")
+    grouped = rows.where("group IS NOT NULL").groupBy(review, "group").agg(F.min("place").alias("first"), F.count("*").alias("n"), joined("place", F.col("md")).alias("md"))
+    after = F.when(F.col("group") == GROUPS[-1][2], "\n").otherwise("")
+    body = grouped.groupBy(review).agg(joined("first", F.concat(F.lit("## "), "group", F.lit(" ("), "n", F.lit(")\n\n"), "md", after)).alias("body"))
+    names = F.create_map(*[F.lit(x) for kv in TASKS.items() for x in kv])
+    line = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts], F.lit("\n"))
+    head = F.concat(
+        line("# Contract review: ", F.col("document_name")), F.lit("\n"), line("- Reviewed: ", F.col("reviewed")),
+        F.when(F.col("representing") != "", line("- Acting for: ", F.col("representing"))).otherwise("\n"),
+        line("- Checks: ", F.array_join(F.transform("tasks", lambda t: names[t]), ", ")),
+        line("- Reviewer progress: ", F.col("decided").cast("string"), " of ", F.col("total").cast("string"), " findings decided", F.when(F.col("flagged") > 0, F.concat(F.lit(", "), "flagged", F.lit(" flagged"))).otherwise("")),
+        F.lit("\n## Summary\n\n| | Count |\n|---|---|\n"),
+    )
+    table = F.concat(*[F.when(F.array_contains("tasks", task), F.concat(*[line(f"| {name} | ", F.col(c).cast("string"), " |") for name, c in of])).otherwise("") for task, of in TABLE.items()])
+    whole = F.concat(head, table, F.lit("\n"), F.coalesce("body", F.lit("")))
+    return reviews.join(summary(items, review), review).join(body, review, "left").select(review, F.substring(whole, F.lit(1), F.length(whole) - 1).alias("markdown"))
 
 
 class ReviewStore:

@@ -44,6 +44,11 @@ def s_f(p: str, r: str) -> str:
     return f"coalesce(2 * {p} * {r} / nullif({p} + {r}, 0), 0.0)"
 
 
+#: Where each word of a text begins (from 0), after a CTE ``texts`` of ``doc_id`` and ``text``.
+STARTS = f"""
+pieces AS (SELECT doc_id, unnest(regexp_extract_all(text, '{WS[:-1]}*{WS[:1]}^{WS[1:-1]}+')) AS piece, generate_subscripts(regexp_extract_all(text, '{WS[:-1]}*{WS[:1]}^{WS[1:-1]}+'), 1) AS k FROM texts),
+offsets AS (SELECT doc_id, list(a ORDER BY k) AS starts FROM (SELECT doc_id, k, CAST(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY k) - length(regexp_extract(piece, '{WS[:1]}^{WS[1:-1]}+$')) AS BIGINT) AS a FROM pieces) GROUP BY doc_id)"""
+
 ABC = "abcdefghijklmnopqrstuvwxyz"
 
 

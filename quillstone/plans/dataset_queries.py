@@ -13,9 +13,9 @@ from ..operators import reviews as R
 from ..operators import sampling as S
 from ..sources.scratch import scratch
 from ..streaming import progress as PR
-from .base import ANSWERS, FEATURES, answers, draw, rounded, s_draw, s_norm
+from .base import ANSWERS, FEATURES, answers, draw, rounded, s_draw, s_edge, s_norm
 from .registry import query, table
-from .text_queries import S_SPLIT, split_of
+from .text_queries import QUOTES, S_SPLIT, split_of
 
 
 def _d(key: str, seed: str) -> str:
@@ -220,19 +220,30 @@ def replies(spark, sf):
     return a.withColumn("raw", raw).withColumn("shape", shape)
 
 
-@query("parse_verdicts")
+_GOOD = "(shape IN (0, 1, 2) AND pred_verdict IS NOT NULL)"
+#: What the readers must make of each shape, by how the replies are made.
+_READ = f"""shaped AS (SELECT *, {s_draw('doc_id', 'shape', 9)} AS shape, len(list_filter(pred, lambda x: {s_norm('x')} <> '')) AS quoted FROM answers),
+reads AS (SELECT *, CASE WHEN shape IN (0, 1, 2, 3, 4, 6) THEN pred_verdict WHEN shape = 7 THEN 'NotMentioned' END AS verdict,
+  CASE WHEN {_GOOD} OR shape = 7 THEN 'strict_json' WHEN shape = 3 AND pred_verdict IS NOT NULL THEN 'json_wrong_schema' WHEN shape IN (4, 6) AND pred_verdict IS NOT NULL THEN 'bare_label' WHEN shape = 5 THEN 'empty' ELSE 'unparseable' END AS parse_mode,
+  CASE WHEN {_GOOD} OR shape = 7 THEN 'json' WHEN shape IN (0, 1, 2, 3) THEN 'json_wrong_schema' ELSE 'not_json' END AS json_state, CASE WHEN {_GOOD} THEN quoted WHEN shape = 7 THEN 1 ELSE 0 END AS quotes FROM shaped)"""
+
+
+@query("parse_verdicts", f"WITH {ANSWERS}, {_READ} SELECT shape, parse_mode, json_state, verdict, count(*) AS n, CAST(sum(quotes) AS BIGINT) AS quotes FROM reads GROUP BY 1, 2, 3, 4")
 def _(spark, sf):
     rows = replies(spark, sf).withColumn("r", P.parse_verdict_reply(F.col("raw")))
     return rows.groupBy("shape", "r.parse_mode", "r.json_state", "r.verdict").agg(F.count("*").alias("n"), F.sum(F.size("r.evidence")).alias("quotes"))
 
 
-@query("parse_clause_verdicts")
+@query("parse_clause_verdicts", f"""WITH {ANSWERS}, {_READ}, c AS (SELECT shape, CASE WHEN shape = 5 THEN 'empty' WHEN shape = 7 THEN 'strict_json' WHEN shape = 8 OR pred_verdict IS NULL THEN 'unparseable' WHEN shape = 0 THEN 'strict_json' WHEN shape IN (1, 2, 6) THEN 'embedded_json' ELSE 'bare_label' END AS how,
+shape IN (0, 1, 2, 6, 7) AS schema_valid, CASE WHEN shape IN (0, 1, 2, 6, 7) THEN 'verdict' WHEN shape = 3 THEN 'label' END AS key,
+CASE WHEN shape = 2 THEN 'Entailment' WHEN shape IN (0, 1, 6) THEN coalesce(pred_verdict, 'UNPARSEABLE') ELSE 'UNPARSEABLE' END AS lenient FROM reads)
+SELECT shape, how, how IN ('strict_json', 'embedded_json') AS json_valid, schema_valid, key, lenient, count(*) AS n FROM c GROUP BY 1, 2, 3, 4, 5, 6""")
 def _(spark, sf):
     rows = replies(spark, sf).withColumn("r", P.parse_clause_reply(F.col("raw"))).withColumn("s", P.parse_json_shape(F.col("raw"))).withColumn("l", P.parse_lenient(F.col("raw")))
     return rows.groupBy("shape", "r.how", "r.json_valid", "s.schema_valid", "s.key", F.col("l.verdict").alias("lenient")).agg(F.count("*").alias("n"))
 
 
-@query("parse_presence")
+@query("parse_presence", f"SELECT yes <> 1 AS scored, CASE yes WHEN 0 THEN true WHEN 1 THEN false END AS served, count(*) AS n FROM (SELECT {s_draw('doc_id', 'yes', 3)} AS yes FROM documents) GROUP BY 1, 2")
 def _(spark, sf):
     yes = F.when(draw(F.col("doc_id"), "yes", 3) == 0, "true").when(draw(F.col("doc_id"), "yes", 3) == 1, "false").otherwise('"false"')
     raw = F.concat(F.lit('{"present": '), yes, F.lit(', "evidence": '), F.to_json("pred"), F.lit("}"))
@@ -240,20 +251,31 @@ def _(spark, sf):
     return rows.groupBy(F.col("a.present").alias("scored"), F.col("b.present").alias("served")).agg(F.count("*").alias("n"))
 
 
-@query("format_report")
+@query("format_report", f"""WITH {ANSWERS}, {_READ} SELECT lang, count(*) AS n, round(avg(CAST(json_state = 'not_json' AS INTEGER)), 6) AS not_json, round(avg(CAST(json_state = 'json_wrong_schema' AS INTEGER)), 6) AS wrong_schema,
+round(avg(CAST(parse_mode = 'strict_json' AS INTEGER)), 6) AS schema_valid, round(avg(CAST(verdict IS NULL AS INTEGER)), 6) AS parse_fail FROM reads GROUP BY 1""")
 def _(spark, sf):
     rows = replies(spark, sf).withColumn("r", P.parse_verdict_reply(F.col("raw")))
     rate = lambda c: F.avg(c.cast("int"))
-    return rows.groupBy("lang").agg(F.count("*").alias("n"), rate(F.col("r.json_state") == "not_json").alias("not_json"), rate(F.col("r.json_state") == "json_wrong_schema").alias("wrong_schema"), rate(F.col("r.schema_valid")).alias("schema_valid"), rate(F.col("r.verdict").isNull()).alias("parse_fail"))
+    return rounded(rows.groupBy("lang").agg(F.count("*").alias("n"), rate(F.col("r.json_state") == "not_json").alias("not_json"), rate(F.col("r.json_state") == "json_wrong_schema").alias("wrong_schema"), rate(F.col("r.schema_valid")).alias("schema_valid"), rate(F.col("r.verdict").isNull()).alias("parse_fail")))
 
 
-@query("teacher_replies")
+@query("teacher_replies", f"""WITH {ANSWERS}, {_READ} SELECT shape, CASE WHEN shape IN (0, 1, 2) THEN pred_verdict WHEN shape = 7 THEN 'NotMentioned' END AS verdict, count(*) AS n, count(*) FILTER (shape IN (0, 1, 2, 3, 7)) AS read FROM reads GROUP BY 1, 2""")
 def _(spark, sf):
     rows = replies(spark, sf).withColumn("t", P.parse_teacher(F.col("raw")))
     return rows.groupBy("shape", "t.verdict").agg(F.count("*").alias("n"), F.count_if(F.col("t.reasoning").isNotNull()).alias("read"))
 
 
-@query("filter_reasons")
+_SAID = """'The clause "' || coalesce(pred[1], 'nothing here') || '" shows that it ' || CASE pred_verdict WHEN 'Entailment' THEN 'is supported by the text' WHEN 'Contradiction' THEN 'is contradicted' ELSE 'is not mentioned' END"""
+_MODE = f"""CASE WHEN len(gold) = 0 AND len(pred) = 0 THEN 'ok' WHEN len(gold) = 0 THEN 'spurious' WHEN len(pred) = 0 THEN 'abstain'
+WHEN len(list_filter(list_filter(gold, lambda q: {s_norm('q')} <> ''), lambda q: NOT contains(hay, {s_norm('q')}))) = 0 THEN CASE WHEN len(list_filter(list_distinct(pt), lambda t: NOT list_contains(gt, t))) <= 5 THEN 'exact' ELSE 'superset' END
+WHEN len(list_filter(gold, lambda q: {s_norm('q')} <> '' AND contains(hay, {s_norm('q')}))) > 0 THEN 'partial' ELSE 'disjoint' END"""
+_QUOTED = f"list_filter(list_transform(regexp_extract_all({{0}}, {QUOTES.replace(chr(123), chr(123) * 2).replace(chr(125), chr(125) * 2)}), lambda q: trim(substr(q, 2, length(q) - 2))), lambda q: q <> '')"
+
+
+@query("filter_reasons", f"""WITH {ANSWERS}, {FEATURES}, s AS (SELECT *, {_SAID} AS said, {_MODE} AS mode FROM features WHERE pred_verdict IS NOT NULL),
+b AS (SELECT *, len(list_filter({_QUOTED.format('said')}, lambda q: NOT contains({s_norm('text')}, {s_norm('q')}) AND NOT contains({s_norm('text')}, {s_edge(s_norm('q'))}))) AS bad FROM s)
+SELECT CASE WHEN bad > 0 THEN 'f1_ungrounded_' || bad WHEN mode NOT IN ('ok', 'exact', 'superset', 'partial') THEN 'f2_' || mode WHEN gold_verdict <> pred_verdict THEN 'f3_concludes_' || pred_verdict
+WHEN {s_draw('doc_id', 'cut', 20)} = 0 THEN 'f4_truncated' WHEN n_tokens < 20 THEN 'f4_too_short' WHEN n_tokens > 480 THEN 'f4_too_long' ELSE 'kept' END AS first_reason, count(*) AS n FROM b GROUP BY 1""")
 def _(spark, sf):
     a = answers(spark, sf).where(F.col("pred_verdict").isNotNull())
     ends = F.when(F.col("pred_verdict") == "Entailment", "is supported by the text").when(F.col("pred_verdict") == "Contradiction", "is contradicted").otherwise("is not mentioned")
@@ -264,7 +286,15 @@ def _(spark, sf):
     return out.groupBy(F.coalesce(F.get("reasons", F.lit(0)), F.lit("kept")).alias("first_reason")).agg(F.count("*").alias("n"))
 
 
-@query("note_reasons")
+_NOTE = "trim(regexp_replace(coalesce(pred[1], '') || '.', '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'))"
+
+
+@query("note_reasons", f"""WITH {ANSWERS}, n AS (SELECT doc_id, array_to_string(gold, ' ') AS clause, {_NOTE} AS note FROM answers WHERE len(gold) > 0),
+m AS (SELECT *, len(regexp_extract_all(trim(regexp_replace(regexp_replace(note, '\\b(?:e\\.g|i\\.e|etc|vs|Inc|Ltd|Corp|Co|No|Art|Sec)\\.', 'X', 'g'), '\\d\\.\\d', 'XX', 'g')), '[.!?](?:\\s|$)')) AS sentences, len(list_filter(string_split(note, ' '), lambda t: t <> '')) AS words,
+  len(list_filter(regexp_extract_all(note, '"([^"]{{8,}})"', 1), lambda q: NOT contains({s_norm('clause')}, {s_norm('q')}))) AS bad, array_to_string(list_filter(string_split({s_norm('note')}, ' '), lambda t: t <> '')[1:5], ' ') AS o FROM n),
+r AS (SELECT *, CASE WHEN sentences <> 1 THEN 'f1_sentences_' || sentences WHEN words < 8 THEN 'f2_too_short' WHEN words > 40 THEN 'f2_too_long' WHEN bad > 0 THEN 'f3_ungrounded_quote' END AS reason FROM m),
+k AS (SELECT *, row_number() OVER (PARTITION BY o, reason IS NULL ORDER BY doc_id) AS rn FROM r)
+SELECT CASE WHEN reason IS NULL AND rn > 2 THEN 'f4_templated_opening' ELSE coalesce(reason, 'kept') END AS first_reason, count(*) AS n, CAST(sum(words) AS BIGINT) AS words FROM k GROUP BY 1""")
 def _(spark, sf):
     a = answers(spark, sf).where(F.size("gold") > 0).select("doc_id", F.array_join("gold", " ").alias("clause"), F.concat(F.coalesce(F.get("pred", F.lit(0)), F.lit("")), F.lit(".")).alias("note"))
     out = S.running_cap(DS.note_reasons(a, F.lit(8), F.lit(40)).withColumn("o", X.opening("note")), "o", "doc_id", F.size("reasons") == 0, 2)
@@ -287,11 +317,24 @@ def _(spark, sf):
     return table(spark, sf, "documents").groupBy(X.yes_no(t, "A").alias("a")).agg(F.count("*").alias("n"))
 
 
-@query("playbook_positions")
+_BOOKS = [  # a playbook, and its positions; # stands for the document's number
+    ("1. We may disclose information to our affiliates. HIGH\n2. The term must not exceed three years.\nMEDIUM\nRationale: because it is so and must be.\n(c) The recipient shall return all materials. LOW\nDocument # shall not be assigned without consent.", "We may disclose information to our affiliates.|The term must not exceed three years.|The recipient shall return all materials."),
+    ("Section 1 must be read first by all parties.\nDocument # shall not be assigned without consent.\nDOCUMENT # SHALL NOT BE ASSIGNED\n- document # shall not be assigned, without consent!\nIt is what it is in this document.\nWrite to a@b.c if you must at any time", "Document # shall not be assigned without consent."),
+    ("PAYMENT TERMS We shall pay document # within thirty days HIGH\nAn item that is two things. HIGH Another item that is low. LOW\nTiny. LOW\nwww must be https://x.example HIGH", "We shall pay document # within thirty days.|An item that is two things.|Another item that is low."),
+    ("", ""),
+]
+
+
+def _book(of: int) -> str:
+    quoted = [x[of].replace("'", "''").replace("\n", "' || chr(10) || '") for x in _BOOKS]
+    return "CASE doc_id % 4 " + " ".join(f"WHEN {k} THEN replace('{x}', '#', CAST(doc_id AS VARCHAR))" for k, x in enumerate(quoted)) + " END"
+
+
+@query("playbook_positions", f"SELECT doc_id, {_book(1)} AS positions FROM documents")
 def _(spark, sf):
-    k = F.col("doc_id")
-    lines = F.concat(F.lit("1. We may disclose information to our affiliates. HIGH\n2. The term must not exceed three years.\nMEDIUM\nRationale: because it is so and must be.\n(c) The recipient shall return all materials. LOW\n"), F.concat(F.lit("Document "), k.cast("string"), F.lit(" shall not be assigned without consent.")))
-    return table(spark, sf, "documents").select("doc_id", F.array_join(positions(lines), "|").alias("positions"))
+    """Playbooks of four kinds, whose positions are known."""
+    book = F.replace(F.array(*[F.lit(x) for x, _ in _BOOKS])[(F.col("doc_id") % 4).cast("int")], F.lit("#"), F.col("doc_id").cast("string"))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(positions(book), "|").alias("positions"))
 
 
 def items(spark, sf):
@@ -340,10 +383,25 @@ def _(spark, sf):
     return R.shown(items(spark, sf), "red", True, F.col("pos") == 4).select("review_id", "pos")
 
 
-@query("review_markdown")
+_CALLED = "CASE decision WHEN 'ok' THEN 'Accepted' WHEN 'flag' THEN 'Flagged' WHEN 'skip' THEN 'Dismissed' END"
+_BR = "chr(10)"
+
+
+@query("review_markdown", f"""WITH {_ITEMS}, s AS (SELECT review_id, {_SUMMARY} FROM items GROUP BY 1),
+m AS (SELECT *, CASE WHEN kind = 'position' AND tone = 'red' THEN 'Needs attention' WHEN kind = 'position' AND tone = 'amb' THEN 'Not addressed' WHEN kind = 'position' THEN 'Meets standard' WHEN tone = 'grn' THEN 'Clauses found' ELSE 'Clauses not detected' END AS grp,
+  CASE WHEN kind = 'clause' AND tone = 'gry' THEN '- Item ' || pos || coalesce(' (' || {_CALLED} || ')', '') || {_BR} ELSE '### Item ' || pos || {_BR} || {_BR} || '**Found**' || CASE WHEN decision IS NULL THEN ' · Not yet reviewed' ELSE ' · Reviewer: **' || {_CALLED} || '**' END || {_BR} || {_BR} || '**Why it matters:** A note' || {_BR} || {_BR} || '> a quote' || {_BR} || {_BR} END AS md FROM placed),
+g AS (SELECT review_id, grp, min(place) AS first, '## ' || grp || ' (' || count(*) || ')' || {_BR} || {_BR} || string_agg(md, '' ORDER BY place) || CASE WHEN grp = 'Clauses not detected' THEN {_BR} ELSE '' END AS md FROM m GROUP BY 1, 2),
+b AS (SELECT review_id, string_agg(md, '' ORDER BY first) AS body FROM g GROUP BY 1),
+w AS (SELECT review_id, '# Contract review: Contract ' || review_id || {_BR} || {_BR} || '- Reviewed: 2024-01-01' || {_BR} || CASE WHEN review_id % 2 = 0 THEN '- Acting for: the buyer' ELSE '' END || {_BR}
+  || '- Checks: ' || CASE review_id % 3 WHEN 0 THEN 'playbook positions' WHEN 1 THEN 'clause inventory' ELSE 'playbook positions, clause inventory' END || {_BR} || '- Reviewer progress: ' || decided || ' of ' || total || ' findings decided' || CASE WHEN flagged > 0 THEN ', ' || flagged || ' flagged' ELSE '' END || {_BR}
+  || {_BR} || '## Summary' || {_BR} || {_BR} || '| | Count |' || {_BR} || '|---|---|' || {_BR} || CASE WHEN review_id % 3 <> 1 THEN '| Needs attention | ' || red || ' |' || {_BR} || '| Not addressed | ' || amb || ' |' || {_BR} || '| Meets standard | ' || grn || ' |' || {_BR} ELSE '' END
+  || CASE WHEN review_id % 3 <> 0 THEN '| Clauses found | ' || found || ' |' || {_BR} || '| Clauses not detected | ' || missing || ' |' || {_BR} ELSE '' END || {_BR} || body AS md FROM s JOIN b USING (review_id))
+SELECT review_id, CAST(length(md) - 1 AS INTEGER) AS chars, md5(substr(md, 1, length(md) - 1)) AS md5 FROM w""")
 def _(spark, sf):
-    rows = items(spark, sf)
-    reviews = rows.select("review_id").distinct().withColumn("document_name", F.concat(F.lit("Contract "), "review_id"))
+    rows, k = items(spark, sf), F.col("review_id")
+    tasks = F.when(k % 3 == 0, F.array(F.lit("compliance"))).when(k % 3 == 1, F.array(F.lit("clauses"))).otherwise(F.array(F.lit("compliance"), F.lit("clauses")))
+    about = [F.concat(F.lit("Contract "), k).alias("document_name"), F.lit("2024-01-01").alias("reviewed"), F.when(k % 2 == 0, "the buyer").alias("representing"), tasks.alias("tasks")]
+    reviews = rows.select("review_id").distinct().select("review_id", *about)
     return R.review_markdown(rows, reviews).select("review_id", F.length("markdown").alias("chars"), F.md5("markdown").alias("md5"))
 
 
@@ -445,7 +503,7 @@ def _(spark, sf):
     return table(spark, sf, "documents").groupBy(DS.leaks_schema(t, ["verdict", "evidence"]).alias("ok")).agg(F.count("*").alias("n"))
 
 
-@query("format_modes")
+@query("format_modes", f"WITH {ANSWERS}, {_READ} SELECT parse_mode, count(*) AS n, round(avg(CAST(verdict = gold_verdict AS INTEGER)), 6) AS right FROM reads GROUP BY 1")
 def _(spark, sf):
     return rounded(replies(spark, sf).withColumn("r", P.parse_verdict_reply(F.col("raw"))).groupBy("r.parse_mode").agg(F.count("*").alias("n"), F.avg((F.col("r.verdict") == F.col("gold_verdict")).cast("int")).alias("right")))
 

@@ -135,7 +135,16 @@ def _(spark, sf):
     return rows.groupBy("lang").agg(F.count("*").alias("n"), *[F.avg(f"r.{k}").alias(f"rouge_l_{k}") for k in "prf"], *[F.avg(f"t.{k}").alias(f"overlap_{k}") for k in "prf"])
 
 
-@query("span_recall")
+_J = f"coalesce(len(list_intersect({s_tokens('g')}, {s_tokens('p')})) / CAST(nullif(len(list_distinct(list_concat({s_tokens('g')}, {s_tokens('p')}))), 0) AS DOUBLE), 0.0)"
+
+
+@query("span_recall", f"""WITH {ANSWERS}, {FEATURES}, gs AS (SELECT doc_id, unnest(gold) AS g, generate_subscripts(gold, 1) AS i FROM features), ps AS (SELECT doc_id, unnest(pred) AS p, generate_subscripts(pred, 1) AS j FROM features),
+x AS (SELECT doc_id, i, j, {_J} AS s FROM gs JOIN ps USING (doc_id)),
+l AS (SELECT doc_id, list(struct_pack(i := i, j := j, g := CAST([] AS BIGINT[]), p := CAST([] AS BIGINT[])) ORDER BY s DESC, i, j) FILTER (s >= 0.5) AS pairs FROM x GROUP BY 1),
+f AS (SELECT doc_id, len(list_reduce(list_concat([struct_pack(i := CAST(-1 AS BIGINT), j := CAST(-1 AS BIGINT), g := CAST([] AS BIGINT[]), p := CAST([] AS BIGINT[]))], pairs),
+  lambda acc, y: CASE WHEN list_contains(acc.g, y.i) OR list_contains(acc.p, y.j) THEN acc ELSE struct_pack(i := y.i, j := y.j, g := list_append(acc.g, y.i), p := list_append(acc.p, y.j)) END).g) AS found FROM l WHERE pairs IS NOT NULL),
+k AS (SELECT len(gold) AS spans, coalesce(found, 0) AS found, kase FROM features LEFT JOIN f USING (doc_id) WHERE len(gold) > 0)
+SELECT CASE WHEN kase <> 'FN' THEN 'covered' WHEN found = spans THEN 'boundary_only' WHEN found > 0 THEN 'partial' ELSE 'not_found' END AS kind, count(*) AS n, CAST(sum(spans) AS BIGINT) AS spans, CAST(sum(found) AS BIGINT) AS located FROM k GROUP BY 1""")
 def _(spark, sf):
     rows = answers(spark, sf).where(F.size("gold") > 0)
     rows = rows.select(F.size("gold").alias("g"), X.greedy_matches(F.col("gold"), F.col("pred")).alias("found"), X.evidence_case(F.col("gold"), F.col("pred")).alias("case"))
@@ -282,13 +291,16 @@ def _(spark, sf):
 
 
 @query("training_curve", """WITH d AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS step, avg(o_totalprice) AS loss FROM orders GROUP BY 1),
-w AS (SELECT step, loss, row_number() OVER (ORDER BY step) AS x, loss - lag(loss) OVER (ORDER BY step) AS change, avg(loss) OVER (ORDER BY step ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS smooth FROM d)
-SELECT count(*) AS steps, round(regr_slope(loss, x), 2) AS slope, round(stddev_samp(loss) / avg(loss), 4) AS cv, count(*) FILTER (loss > 1.02 * smooth) AS spikes FROM w""")
+w AS (SELECT step, loss, row_number() OVER (ORDER BY step) AS x, count(*) OVER () AS n, avg(loss) OVER (ORDER BY step ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS smooth FROM d),
+q AS (SELECT *, x - 1 < greatest(1, n // 4) AS head, x - 1 >= greatest(1, n * 3 // 4) AS tail, x - 1 >= greatest(1, n * 9 // 10) AS late FROM w)
+SELECT count(*) AS steps, round(regr_slope(loss, x), 2) AS slope, round((avg(loss) FILTER (tail) - avg(loss) FILTER (head)) / abs(avg(loss) FILTER (head)), 6) AS change, round((arg_max(loss, x) FILTER (late) - arg_min(loss, x) FILTER (late)) / abs(arg_min(loss, x) FILTER (late)), 6) AS drift,
+round(stddev_pop(loss) FILTER (tail) / avg(loss) FILTER (tail), 6) AS tail_cv, round(stddev_samp(loss) / avg(loss), 4) AS cv, count(*) FILTER (loss > 1.02 * smooth) AS spikes FROM q""")
 def _(spark, sf):
+    """Slope, change from the first to the last quarter, drift over the last tenth, variation and spikes."""
     d = table(spark, sf, "orders").groupBy(F.trunc("o_orderdate", "month").alias("step")).agg(F.avg("o_totalprice").alias("loss"))
     w = Window.orderBy("step")  # a row a month
-    rows = d.select("loss", F.row_number().over(w).cast("double").alias("x"), F.avg("loss").over(w.rowsBetween(-4, 0)).alias("smooth"))
-    return rows.agg(F.count("*").alias("steps"), F.round(F.regr_slope("loss", "x"), 2).alias("slope"), F.round(F.stddev_samp("loss") / F.avg("loss"), 4).alias("cv"), F.count_if(F.col("loss") > 1.02 * F.col("smooth")).alias("spikes"))
+    rows = d.select("loss", F.row_number().over(w).alias("x"), F.count("*").over(Window.partitionBy()).alias("n"), F.avg("loss").over(w.rowsBetween(-4, 0)).alias("smooth"))
+    return M.curve(rows)
 
 
 @query("cost_table", """SELECT l_returnflag AS model, CAST(sum(l_quantity) AS DOUBLE) AS tokens, round(sum(l_quantity) / (count(DISTINCT CAST(l_shipdate AS DATE)) * 24.0), 4) AS per_hour FROM lineitem GROUP BY 1""")

@@ -9,7 +9,7 @@ from ..functions import text as X
 from ..functions import windows as WN
 from ..operators import dedup as D
 from ..operators import reviews as R
-from .base import ANSWERS, answers, draw, loud, rounded, s_draw, s_edge, s_loud, s_norm, s_tokens, spans
+from .base import ANSWERS, STARTS, answers, draw, loud, rounded, s_draw, s_edge, s_loud, s_norm, s_tokens, spans
 from .registry import query, table
 
 
@@ -136,25 +136,63 @@ def _(spark, sf):
     return docs.groupBy("n_windows").agg(F.count("*").alias("docs")).withColumn("calls", F.col("docs") * F.col("n_windows") * 18)
 
 
-@query("char_chunks")
+def _chunked(size: int, overlap: int, last: str) -> str:
+    """Chunks by recursion: each begins ``overlap`` before the end of the one before, which is the last space of its second half."""
+    half = size // 2
+
+    def end(a: str) -> str:
+        rest = f"substr(text, CAST({a} + {half} + 1 AS BIGINT), {size - half})"
+        return f"CAST(CASE WHEN {a} + {size} < n AND contains({rest}, ' ') THEN {a} + {half} + length(regexp_extract({rest}, '(?s)^(.*) [^ ]*$', 1)) ELSE least({a} + {size}, n) END AS BIGINT)"
+
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 0),
+c AS (SELECT doc_id, text, n, 0 AS chunk, CAST(0 AS BIGINT) AS a, {end('0')} AS e FROM d UNION ALL SELECT doc_id, text, n, chunk + 1, a2, {end('a2')} FROM (SELECT *, greatest(a + 1, e - {overlap}) AS a2 FROM c WHERE e < n) x)
+{last}"""
+
+
+@query("char_chunks", _chunked(900, 200, 'SELECT doc_id, chunk, CAST(a AS INTEGER) AS start, CAST(e AS INTEGER) AS "end", md5(substr(text, a + 1, e - a)) AS md5 FROM c'))
 def _(spark, sf):
     docs = table(spark, sf, "documents")
     return docs.select("doc_id", F.posexplode(WN.char_chunks(F.col("text"), 900, 200)).alias("chunk", "c")).select("doc_id", "chunk", "c.start", "c.end", F.md5("c.text").alias("md5"))
 
 
-@query("parent_chunks")
+@query("parent_chunks", _chunked(300, 80, "SELECT doc_id, chunk, CAST(a AS INTEGER) AS start, CAST(e - a AS INTEGER) AS child_chars, CAST(length(substr(text, greatest((a + e) // 2 - 600, 0) + 1, 1200)) AS INTEGER) AS parent_chars FROM c"))
 def _(spark, sf):
     docs = table(spark, sf, "documents")
     return docs.select("doc_id", F.posexplode(WN.parent_chunks(F.col("text"))).alias("chunk", "c")).select("doc_id", "chunk", "c.start", F.length("c.child").alias("child_chars"), F.length("c.parent").alias("parent_chars"))
 
 
-@query("serving_windows")
+def _last_line(at: str, width: int = 400) -> str:
+    """Place of the last line break in the ``width`` characters before a place; -1 without one."""
+    rest = f"substr(text, CAST(greatest({at} - {width}, 0) + 1 AS BIGINT), CAST({at} - greatest({at} - {width}, 0) AS BIGINT))"
+    return f"CASE WHEN contains({rest}, chr(10)) THEN greatest({at} - {width}, 0) + length(regexp_extract({rest}, '(?s)^(.*)\\n[^\\n]*$', 1)) ELSE -1 END"
+
+
+def _cut_at(first: str) -> str:
+    """Columns a, e and again of the window from a token on: where it begins and ends, and the token that the next is to begin at."""
+    return f"""SELECT *, CASE WHEN e >= n OR last THEN NULL ELSE greatest(f + 1, CASE WHEN l2 > a THEN len(list_filter(starts, lambda s: s < l2 + 1)) ELSE again END) END AS next FROM (SELECT *, CASE WHEN last THEN -1 ELSE {_last_line('starts[again + 1]')} END AS l2
+FROM (SELECT *, CASE WHEN last THEN 0 ELSE len(list_filter(starts, lambda s: s < e)) - 60 END AS again FROM (SELECT *, CASE WHEN last THEN n WHEN l1 > a THEN l1 + 1 ELSE e0 END AS e FROM (SELECT *, CASE WHEN last THEN -1 ELSE {_last_line('e0')} END AS l1
+FROM (SELECT doc_id, text, n, m, starts, w, {first} AS f, {first} + 400 >= m AS last, CASE WHEN m <= 400 THEN 0 ELSE starts[{first} + 1] END AS a, starts[{first} + 401] AS e0 FROM src)))))"""
+
+
+@query("serving_windows", f"""WITH RECURSIVE texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), {STARTS},
+d AS (SELECT doc_id, text, length(text) AS n, coalesce(len(starts), 0) AS m, coalesce(starts, []) AS starts FROM texts LEFT JOIN offsets USING (doc_id)),
+c AS (SELECT doc_id, text, n, m, starts, w, CAST(f AS BIGINT) AS f, CAST(a AS BIGINT) AS a, CAST(e AS BIGINT) AS e, last, CAST(next AS BIGINT) AS next FROM ({_cut_at('0').replace('FROM src', 'FROM (SELECT *, 0 AS w FROM d)')})
+  UNION ALL SELECT doc_id, text, n, m, starts, w, CAST(f AS BIGINT), CAST(a AS BIGINT), CAST(e AS BIGINT), last, CAST(next AS BIGINT) FROM ({_cut_at('g').replace('FROM src', 'FROM (SELECT doc_id, text, n, m, starts, w + 1 AS w, next AS g FROM c WHERE NOT last)')}))
+SELECT doc_id, w AS "window", CAST(a AS INTEGER) AS start, CAST(e AS INTEGER) AS "end" FROM c""")
 def _(spark, sf):
     docs = table(spark, sf, "documents")
     return docs.select("doc_id", F.posexplode(WN.serving_windows(F.col("text"), 400, 60)).alias("window", "c")).select("doc_id", "window", "c.start", "c.end")
 
 
-@query("estimated_windows")
+def _line_end(a: str) -> str:
+    """1440 characters on, or behind the last line break of their last 400."""
+    rest = f"substr(text, CAST({a} + 1041 AS BIGINT), 400)"
+    return f"CAST(CASE WHEN {a} + 1440 < n AND contains({rest}, chr(10)) THEN {a} + 1041 + length(regexp_extract({rest}, '(?s)^(.*)\\n[^\\n]*$', 1)) ELSE least({a} + 1440, n) END AS BIGINT)"
+
+
+@query("estimated_windows", f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+c AS (SELECT doc_id, text, n, 0 AS w, CAST(0 AS BIGINT) AS a, {_line_end('0')} AS e FROM d UNION ALL SELECT doc_id, text, n, w + 1, a2, {_line_end('a2')} FROM (SELECT *, greatest(a + 1, e - 216) AS a2 FROM c WHERE e < n) x)
+SELECT doc_id, w AS "window", CAST(a AS INTEGER) AS start, CAST(e AS INTEGER) AS "end" FROM c""")
 def _(spark, sf):
     docs = table(spark, sf, "documents")
     return docs.select("doc_id", F.posexplode(WN.estimated_windows(F.col("text"), 400, 60)).alias("window", "c")).select("doc_id", "window", "c.start", "c.end")
@@ -167,7 +205,13 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", WN.size_estimate(F.col("text"), tokens=1400, stride=1200).alias("e")).select("doc_id", "e.*")
 
 
-@query("locate_spans")
+@query("locate_spans", f"""WITH {ANSWERS}, texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), {STARTS},
+q AS (SELECT doc_id, text, unnest(list_concat(gold, pred)) AS q, generate_subscripts(list_concat(gold, pred), 1) AS k FROM answers),
+r AS (SELECT doc_id, {s_norm('text')} AS h, q, {s_norm('q')} AS nq, row_number() OVER (PARTITION BY doc_id, {s_norm('q')} ORDER BY k) AS rn FROM q),
+s AS (SELECT doc_id, q, h, CASE WHEN contains(h, nq) THEN nq ELSE {s_edge('nq')} END AS needle FROM r WHERE rn = 1 AND nq <> ''),
+p AS (SELECT doc_id, q, h, instr(h, needle) AS a, instr(h, needle) + length(needle) - 1 AS b FROM s WHERE needle <> '' AND contains(h, needle)),
+w AS (SELECT doc_id, q, length(regexp_replace(substr(h, 1, a), '[^ ]', '', 'g')) AS wa, a - length(regexp_extract(substr(h, 1, a), '^(.* )?', 0)) - 1 AS oa, length(regexp_replace(substr(h, 1, b), '[^ ]', '', 'g')) AS wb, b - length(regexp_extract(substr(h, 1, b), '^(.* )?', 0)) - 1 AS ob FROM p)
+SELECT doc_id, CAST(starts[wa + 1] + oa AS INTEGER) AS start, CAST(starts[wb + 1] + ob + 1 AS INTEGER) AS "end", md5(q) AS md5 FROM w JOIN offsets USING (doc_id)""")
 def _(spark, sf):
     rows = answers(spark, sf).withColumn("quotes", SP.distinct_quotes(F.concat("gold", "pred"), X.norm))
     return rows.select("doc_id", F.explode(SP.locate(F.col("text"), F.col("quotes"))).alias("s")).select("doc_id", "s.start", "s.end", F.md5("s.text").alias("md5"))
@@ -191,7 +235,13 @@ def _(spark, sf):
     return lines.groupBy("doc_id").agg(F.count_if(R.is_heading(F.col("t"))).alias("headings"), F.count("*").alias("lines"))
 
 
-@query("text_blocks")
+_HEADING = """length(t) <= 80 AND (length(letters) >= 4 AND letters = upper(letters) OR (regexp_matches(t, '^(\\d+(\\.\\d+)*\\.?|§\\s*\\d+|[A-Z]\\.|ARTICLE\\s+[IVXLC\\d]+|Section\\s+\\d+)\\s') AND length(t) < 60 AND NOT regexp_matches(t, '[.;:!?]["''”’)]*$')))"""
+
+
+@query("text_blocks", f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+o AS (SELECT *, trim(s) AS t, regexp_replace(trim(s), '[^A-Za-z]', '', 'g') AS letters, coalesce(sum(length(s) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_ FROM l)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS block, CASE WHEN {_HEADING} THEN 'heading' ELSE 'para' END AS kind,
+CAST(at_ + length(s) - length(ltrim(s)) AS INTEGER) AS start, CAST(at_ + length(s) AS INTEGER) AS "end" FROM o WHERE t <> ''""")
 def _(spark, sf):
     docs = table(spark, sf, "documents")
     return docs.select("doc_id", F.posexplode(R.text_blocks(F.col("text"))).alias("block", "b")).select("doc_id", "block", "b.*")
@@ -207,11 +257,11 @@ def _(spark, sf):
 
 
 _CLEAN = "regexp_replace(gold[1], '[\"'']', '', 'g')"
-_QUOTES = "'\"[^\"]{8,}\"|''[^'']{8,}'''"
+QUOTES = "'\"[^\"]{8,}\"|''[^'']{8,}'''"
 
 
 @query("quoted_spans", f"""WITH {ANSWERS}, said AS (SELECT doc_id, 'He said "' || {_CLEAN} || '" and ''' || {s_loud(_CLEAN)} || '''.' AS t FROM answers WHERE len(gold) > 0)
-SELECT doc_id, array_to_string(list_filter(list_transform(regexp_extract_all(t, {_QUOTES}), lambda q: trim(substr(q, 2, length(q) - 2))), lambda q: q <> ''), '|') AS quotes FROM said""")
+SELECT doc_id, array_to_string(list_filter(list_transform(regexp_extract_all(t, {QUOTES}), lambda q: trim(substr(q, 2, length(q) - 2))), lambda q: q <> ''), '|') AS quotes FROM said""")
 def _(spark, sf):
     clean = F.regexp_replace(F.col("gold")[0], "[\"']", "")
     rows = answers(spark, sf).where(F.size("gold") > 0).select("doc_id", F.concat(F.lit('He said "'), clean, F.lit("\" and '"), loud(clean), F.lit("'.")).alias("t"))
@@ -234,7 +284,13 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", R.nda(F.col("text")).alias("nda"))
 
 
-@query("unwrap_lines")
+_LAST = "regexp_extract(acc, '[^\\n]*$')"
+_SECTION = "'^(\\d+(\\.\\d+)*\\.?|§\\s*\\d+|[A-Z]\\.|\\([a-z0-9]{1,4}\\))\\s'"
+
+
+@query("unwrap_lines", f"""WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: trim(x, concat(' ', chr(9), chr(11), chr(12), chr(13), chr(133), chr(160)))) AS lines FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, md5(list_reduce(lines, lambda acc, x: CASE WHEN {_LAST} <> '' AND x <> '' AND (regexp_matches(x, '^[,;:)a-z]') OR NOT (length({_LAST}) < 60 AND (upper({_LAST}) = {_LAST} AND lower({_LAST}) <> {_LAST} OR regexp_matches({_LAST}, {_SECTION}))
+  OR regexp_matches({_LAST}, '[.;:!?][”’"'')]*$') OR regexp_matches(x, {_SECTION}))) THEN acc || CASE WHEN regexp_matches(x, '^[,;:)]') THEN '' ELSE ' ' END || x ELSE acc || chr(10) || x END)) AS md5 FROM l""")
 def _(spark, sf):
     from ..sources.files import unwrap
 
