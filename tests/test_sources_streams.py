@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import io
 import json
+import os
 import zipfile
 
 import pytest
@@ -90,6 +91,8 @@ def test_queue(spark, tmp_path):
     store = R.ReviewStore(spark, f"file://{tmp_path}/store")
     (tmp_path / "in/2.json").write_text('{"review_id": "y", "created": 2.0}\n')
     (tmp_path / "in/3.json").write_text('{"review_id": "x", "created": 3.0}\n')
+    for k in (1, 2, 3):
+        os.utime(tmp_path / f"in/{k}.json", (1_700_000_000 + 10 * k,) * 2)  # the order they came in
 
     def review(df):
         if df.where("review_id = 'y'").count():
