@@ -73,15 +73,15 @@ def containment(needles: DataFrame, hays: DataFrame, needle_id: str, needle: str
     inner word: they are looked up in one pass over the hays for each ``block_rows`` of them, by one automaton.
     """
     wanted = needles.select(F.col(needle_id).alias("nid"), X.edge_strip(X.norm(needle)).alias("nn")).withColumn("w", F.filter(F.split("nn", " "), lambda x: x != ""))
-    size = F.least(F.lit(k), F.size("w") - 2)
-    run = lambda w, at, n: F.xxhash64(n, F.array_join(F.slice(w, at, n), " "))
-    long_ = wanted.where(F.size("w") >= 3).select("nid", "nn", size.alias("n"), run(F.col("w"), F.lit(2), size).alias("key"))
+    run = lambda w, at, n: F.xxhash64(F.lit(n), *[F.get(w, at + j) for j in range(n)])
+    key = F.coalesce(*[F.when(F.least(F.lit(k), F.size("w") - 2) == n, run(F.col("w"), F.lit(1), n)) for n in range(1, k + 1)])
+    long_ = wanted.where(F.size("w") >= 3).select("nid", "nn", F.least(F.lit(k), F.size("w") - 2).alias("n"), key.alias("key"))
     docs = hays.select(F.col(hay_id).alias("hid"), X.norm(hay).alias("hn"))
     lengths = sorted(r["n"] for r in long_.select("n").distinct().collect())  # k numbers at most
-    every = lambda w, n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: run(w, i, F.lit(n)))).otherwise(F.array().cast("array<bigint>"))
+    every = lambda w, n: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: run(w, i, n))
     found = docs.limit(0).select("hid", F.lit(None).alias("nid"))
     if lengths:
-        runs = docs.select("hid", F.explode(X.bind(F.split("hn", " "), lambda w: F.array_distinct(F.flatten(F.array(*[every(w, n) for n in lengths]))))).alias("key"))
+        runs = docs.select("hid", F.explode(X.bind(F.split("hn", " "), lambda w: F.flatten(F.array(*[every(w, n) for n in lengths])))).alias("key"))
         keys = long_.select("key").distinct()
         if keys.limit(broadcast_rows + 1).count() <= broadcast_rows:
             runs = runs.join(F.broadcast(keys), "key", "left_semi")

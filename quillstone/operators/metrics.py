@@ -64,12 +64,13 @@ def presence_report(df: DataFrame, gold: str, pred: str, by: str) -> DataFrame:
 def evidence_features(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
     """Row features that all evidence scores are made of; computed once, narrow."""
     g, p = F.col(gold), F.col(pred)
-    gt, pt = X.tokens(F.array_join(g, " ")), X.tokens(F.array_join(p, " "))
+    df = df.withColumns({"__gt": X.tokens(F.array_join(g, " ")), "__pt": X.tokens(F.array_join(p, " "))})
+    gt, pt = F.col("__gt"), F.col("__pt")
     both = F.size(F.array_union(gt, pt))
     return df.withColumns({
         "case": X.evidence_case(g, p), "share": X.covered_share(g, p), "gold_bearing": F.size(g) > 0, "abstained": (F.size(g) > 0) & (F.size(p) == 0),
         "jaccard": F.when(both > 0, X.jaccard(gt, pt)), "multiset": X.multiset_prf(gt, pt), "as_set": X.set_prf(gt, pt),
-    })
+    }).drop("__gt", "__pt")
 
 
 def evidence_report(features: DataFrame, by: list[str] = ()) -> DataFrame:
