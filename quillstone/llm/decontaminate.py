@@ -122,7 +122,7 @@ class Tables:
             own = np.array([k for k in kept if low <= len(data[k]) < high], np.int64)
             if len(own):
                 steps = max(1, int(1.5 * low))
-                walk, at = rng.integers(0, 2, (WALKS, steps, 256)).astype(np.int64), rng.integers(0, steps, (WALKS, SAMPLES, STEPS))
+                walk, at = rng.integers(0, 2, (WALKS, steps, 256)).astype(np.uint8), rng.integers(0, steps, (WALKS, SAMPLES, STEPS))
                 edges = np.cumsum([0, *[len(data[k]) for k in own]])
                 self.keys[:, own] = traces(np.frombuffer(b"".join(data[k] for k in own), np.uint8), edges[:-1], edges[1:], walk, at)
                 self.class_of[own] = len(self.classes)
