@@ -41,9 +41,9 @@ from .components import cut, shared_folder
 MAGIC = b"QSPLANE1"
 CHUNK_IDS = 1 << 16
 #: Bytes of text for one file, the least number of files, and files whose ids are summed up together.
-FILE_BYTES, LEAST_FILES, RUN_FILES = 32 << 20, 16, 1024
+FILE_BYTES, LEAST_FILES, RUN_FILES = 16 << 20, 16, 1024
 #: Words whose ids a worker remembers, and bytes of text whose words are numbered at once.
-REMEMBERED, PART_BYTES = 800_000, 16 << 20
+REMEMBERED, PART_BYTES = 400_000, 8 << 20
 #: Marks that are pieces by themselves beside letters (none that special tokens begin with), and a word that is one token.
 MARKS, BETWEEN = b"!\"#$%&()*+,-./:;=>?@[\\]^_`{}~", "™"
 IS_MARK = np.isin(np.arange(256), list(MARKS))
