@@ -46,11 +46,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     among them; with ``n_lines`` (before) and ``n_dropped``."""
     buckets = X.bucket_count(docs, text_col)
     parts = buckets // 2
+    coarse = X.coarse(parts)
     keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    dealt = X.dealt(docs, buckets, *[F.col(f"`{c}`") for c in keep], id_col=id_col, text_col=text_col, name="__bucket")
+    own = X.free(docs.columns, "__bucket")
+    dealt = X.dealt(docs, buckets, *[F.col(f"`{c}`") for c in keep], id_col=id_col, text_col=text_col, name=own)
 
     def keys(table: pa.Table) -> pa.Table:
-        bucket = table["__bucket"][0].as_py()
+        bucket = table[own][0].as_py()
         low, check, split, at = _lines(_texts(table[text_col]), min_chars)
         counts = np.array([len(x) for x in split])
         ids = np.repeat(B.ordered_ids(table[id_col]), counts)[at]
@@ -60,7 +62,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         new_doc = new_key | np.concatenate(([True], ids[1:] != ids[:-1])) if len(low) else new_key
         first = np.flatnonzero(new_key)
         n_docs = np.add.reduceat(new_doc.astype(np.uint64), first) if len(first) else np.zeros(0, np.uint64)
-        return X.send(bucket, low[first], parts, ids[first], n_docs << np.uint64(32) | check[first])
+        return X.send(bucket, low[first], coarse, ids[first], n_docs << np.uint64(32) | check[first])
 
     def reduce(keys: np.ndarray, owner: np.ndarray, least: np.ndarray, extra: np.ndarray):
         order = np.lexsort((extra & np.uint64(0xFFFFFFFF), keys))
@@ -68,10 +70,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         first = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (c[1:] != c[:-1]))))
         group = np.empty(len(keys), np.int64)
         group[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
-        own = extra >> np.uint64(32)
-        total = np.add.reduceat(own[order], first)[group]
+        held = extra >> np.uint64(32)
+        total = np.add.reduceat(held[order], first)[group]
         holder = np.minimum.reduceat(least[order], first)[group]
-        return (total >= min_docs) & ~((own == 1) & (least == holder)), holder, None
+        return (total >= min_docs) & ~((held == 1) & (least == holder)), holder, None
 
     out_fields = [docs.schema[c] if c != text_col else T.StructField(c, T.StringType()) for c in keep]
     out = T.StructType([*out_fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
@@ -95,6 +97,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         new = {c: table[c] for c in keep} | {text_col: pa.array(texts, pa.binary()).cast(pa.string()), "n_lines": pa.array(counts, pa.int64()), "n_dropped": pa.array(dropped, pa.int64())}
         return pa.table(new)
 
-    sent = dealt.groupBy("__bucket").applyInArrow(keys, X.SENT)
-    back = X.merge(sent, reduce)
-    return dealt.groupBy("__bucket").cogroup(back.groupBy("bucket")).applyInArrow(drop, out)
+    sent = dealt.groupBy(own).applyInArrow(keys, X.SENT)
+    back = X.merge(sent, reduce, parts)
+    return dealt.groupBy(own).cogroup(back.groupBy("bucket")).applyInArrow(drop, out)

@@ -176,6 +176,7 @@ def join_chunk(ids: np.ndarray, sizes: list[int], tokens: list[np.ndarray], perc
 def ngram_rows(docs: DataFrame, buckets: int, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     """ROWS: for each document its set's size and class; for classes that may have a partner their ordered set."""
     parts = max(1, buckets // 2)
+    coarse = X.coarse(parts)
     bits = min(64, 33 + max(1, (parts - 1).bit_length()))
     dealt = X.dealt(docs, buckets, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), id_col=id_col, text_col=text_col)
 
@@ -187,7 +188,7 @@ def ngram_rows(docs: DataFrame, buckets: int, id_col: str, text_col: str, size:
                 a[0], a[1] = min(a[0], i), max(a[1], i)
         keys = sorted(seen)
         column = lambda f: np.array([f(k) for k in keys], np.uint64)
-        return X.send(table["bucket"][0].as_py(), column(lambda k: k[0]), parts, column(lambda k: seen[k][0]), column(lambda k: k[1]))
+        return X.send(table["bucket"][0].as_py(), column(lambda k: k[0]), coarse, column(lambda k: seen[k][0]), column(lambda k: k[1]))
 
     def classes(keys: np.ndarray, owner: np.ndarray, least: np.ndarray, check: np.ndarray):
         order = np.lexsort((check, keys))
@@ -211,10 +212,10 @@ def ngram_rows(docs: DataFrame, buckets: int, id_col: str, text_col: str, size:
 
     def counts(table: pa.Table, back: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return X.send(0, np.zeros(0, np.uint64), parts)
+            return X.send(0, np.zeros(0, np.uint64), coarse)
         own = [np.zeros(0, np.uint64), *(s for _, s, _, first in represented(table, back) if first)]
         keys, n = np.unique(np.concatenate(own), return_counts=True)
-        return X.send(table["bucket"][0].as_py(), keys, parts, np.minimum(n, 255).astype(np.uint64), bits=bits)
+        return X.send(table["bucket"][0].as_py(), keys, coarse, np.minimum(n, 255).astype(np.uint64), bits=bits)
 
     def frequent(keys: np.ndarray, owner: np.ndarray, n: np.ndarray, _):
         group, k = X.groups(keys)
@@ -240,8 +241,8 @@ def ngram_rows(docs: DataFrame, buckets: int, id_col: str, text_col: str, size:
             out["rep"].append(None if null[i] else int(_signed(np.array([rep], np.uint64))[0]))
         return X.batch(out, [("bucket", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("rep", pa.int64()), ("tokens", pa.binary())])
 
-    known = X.merge(dealt.groupBy("bucket").applyInArrow(digests, X.SENT), classes)
-    common = X.merge(dealt.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(counts, X.SENT), frequent)
+    known = X.merge(dealt.groupBy("bucket").applyInArrow(digests, X.SENT), classes, parts)
+    common = X.merge(dealt.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(counts, X.SENT), frequent, parts, bits)
     back = known.withColumn("known", F.lit(True)).unionByName(common.withColumn("known", F.lit(False)))
     return dealt.groupBy("bucket").cogroup(back.groupBy("bucket")).applyInArrow(ordered, ROWS)
 
@@ -253,6 +254,7 @@ def _prefix(n: int, tokens: bytes, percent: int) -> np.ndarray:
 
 def members(rows: DataFrame, percent: int, parts: int) -> DataFrame:
     """MEMBERS: each class that may have a partner at each of its homes."""
+    coarse = X.coarse(parts)
     kept = rows.where("tokens IS NOT NULL AND doc_id IS NOT NULL").select("bucket", "doc_id", "n", "tokens")
 
     def prefixes(table: pa.Table) -> pa.Table:
@@ -261,11 +263,11 @@ def members(rows: DataFrame, percent: int, parts: int) -> DataFrame:
             keys.append(B.mix(_prefix(n, t, percent), 5)), ids.append(np.full(len(keys[-1]), i))
         keys, ids = np.concatenate(keys), np.concatenate(ids)
         if not len(keys):
-            return X.send(0, keys, parts)
+            return X.send(0, keys, coarse)
         order = np.argsort(keys)
         keys, ids = keys[order], ids[order]
         first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        return X.send(table["bucket"][0].as_py(), keys[first], parts, np.minimum.reduceat(ids, first), np.diff(np.append(first, len(keys))).astype(np.uint64))
+        return X.send(table["bucket"][0].as_py(), keys[first], coarse, np.minimum.reduceat(ids, first), np.diff(np.append(first, len(keys))).astype(np.uint64))
 
     def homes(keys: np.ndarray, owner: np.ndarray, least: np.ndarray, n: np.ndarray):
         order = np.argsort(keys, kind="stable")
@@ -285,7 +287,7 @@ def members(rows: DataFrame, percent: int, parts: int) -> DataFrame:
                 out["home"].append(h), out["doc_id"].append(doc), out["n"].append(n), out["tokens"].append(t)
         return X.batch(out, [("home", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("tokens", pa.binary())])
 
-    back = X.merge(kept.groupBy("bucket").applyInArrow(prefixes, X.SENT), homes)
+    back = X.merge(kept.groupBy("bucket").applyInArrow(prefixes, X.SENT), homes, parts)
     return kept.groupBy("bucket").cogroup(back.groupBy("bucket")).applyInArrow(place, MEMBERS)
 
 

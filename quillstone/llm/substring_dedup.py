@@ -56,9 +56,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     block = window // 2
     buckets = X.bucket_count(docs, text_col)
     parts = max(1, buckets // 2)
+    coarse = X.coarse(parts)
     bits = min(64, 33 + max(1, (parts - 1).bit_length()))  # of a probe: false hits cost time, not results
     keep = [c for c in docs.columns if c not in ("n_words", "n_removed")]
-    dealt = X.dealt(docs, buckets, *[F.col(f"`{c}`") for c in keep], id_col=id_col, text_col=text_col, name="__bucket")
+    own = X.free(docs.columns, "__bucket")
+    dealt = X.dealt(docs, buckets, *[F.col(f"`{c}`") for c in keep], id_col=id_col, text_col=text_col, name=own)
 
     def probes(table: pa.Table) -> pa.Table:
         keys, marks = [], []  # per distinct rolling window: indexed somewhere, in several documents
@@ -73,11 +75,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         order = np.argsort(keys)
         keys, marks, ids = keys[order], marks[order], ids[order]
         if not len(keys):
-            return X.send(0, keys, parts)
+            return X.send(0, keys, coarse)
         first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         several = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
         flags = np.logical_or.reduceat(marks, first) + 2 * several.astype(np.uint64)
-        return X.send(table["__bucket"][0].as_py(), keys[first], parts, flags, bits=bits)
+        return X.send(table[own][0].as_py(), keys[first], coarse, flags, bits=bits)
 
     def shared(keys: np.ndarray, owner: np.ndarray, flags: np.ndarray, _):
         group, n = X.groups(keys)
@@ -104,10 +106,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         order = np.argsort(keys)
         keys, check, ids = keys[order], check[order], ids[order]
         if not len(keys):
-            return X.send(0, keys, parts)
+            return X.send(0, keys, coarse)
         first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         least, most = np.minimum.reduceat(ids, first), np.maximum.reduceat(ids, first)
-        return X.send(table["__bucket"][0].as_py(), keys[first], parts, least, check[first] << np.uint64(1) | (least != most).astype(np.uint64))
+        return X.send(table[own][0].as_py(), keys[first], coarse, least, check[first] << np.uint64(1) | (least != most).astype(np.uint64))
 
     def owned(keys: np.ndarray, owner: np.ndarray, least: np.ndarray, extra: np.ndarray):
         check = extra >> np.uint64(1)
@@ -152,6 +154,6 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return pa.table(new)
 
     texts = dealt
-    hits = X.merge(texts.groupBy("__bucket").applyInArrow(probes, X.SENT), shared)
-    held = X.merge(texts.groupBy("__bucket").cogroup(hits.groupBy("bucket")).applyInArrow(runs, X.SENT), owned)
-    return dealt.groupBy("__bucket").cogroup(held.groupBy("bucket")).applyInArrow(cut, out)
+    hits = X.merge(texts.groupBy(own).applyInArrow(probes, X.SENT), shared, parts, bits)
+    held = X.merge(texts.groupBy(own).cogroup(hits.groupBy("bucket")).applyInArrow(runs, X.SENT), owned, parts)
+    return dealt.groupBy(own).cogroup(held.groupBy("bucket")).applyInArrow(cut, out)

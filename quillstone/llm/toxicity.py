@@ -273,10 +273,10 @@ def _scored(docs: DataFrame, trained: Trained, text_col: str, id_col: str, of: i
 
     def ask(table: pa.Table) -> pa.Table:
         keys = [np.unique(_word_key(head, rest)) for _, head, rest in units(table[text_col])]
-        return X.send(table["__qs_bucket"][0].as_py(), np.unique(np.concatenate([np.zeros(0, np.uint64), *keys])), parts)
+        return X.send(table[own][0].as_py(), np.unique(np.concatenate([np.zeros(0, np.uint64), *keys])), parts)
 
-    def answer(own: pa.Table, asked: pa.Table) -> pa.Table:
-        model, rows = Model(own.to_pylist(), totals), {k: [] for k, _ in X.ANSWER_TYPES}
+    def answer(stored: pa.Table, asked: pa.Table) -> pa.Table:
+        model, rows = Model(stored.to_pylist(), totals), {k: [] for k, _ in X.ANSWER_TYPES}
         for r in asked.to_pylist():
             gain = model.gains(B.unpack_sorted(r["keys"], r["n"]), of)
             for k, x in zip(rows, (r["bucket"], r["part"], r["n"], r["keys"], B.pack_ints(gain.view(np.uint32).astype(np.uint64)), None), strict=True):
@@ -289,10 +289,11 @@ def _scored(docs: DataFrame, trained: Trained, text_col: str, id_col: str, of: i
         arrays, names = with_new(table, lambda key: gain[np.searchsorted(keys, key)])
         return pa.table(dict(zip(names, arrays, strict=True)))
 
-    dealt = X.dealt(docs, X.bucket_count(docs, text_col), *columns, id_col=id_col, text_col=text_col, name="__qs_bucket")
-    asked = dealt.groupBy("__qs_bucket").applyInArrow(ask, X.SENT)
+    own = X.free(docs.columns, "__bucket")
+    dealt = X.dealt(docs, X.bucket_count(docs, text_col), *columns, id_col=id_col, text_col=text_col, name=own)
+    asked = dealt.groupBy(own).applyInArrow(ask, X.SENT)
     answers = trained.tables.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(answer, X.ANSWER)
-    return dealt.groupBy("__qs_bucket").cogroup(answers.groupBy("bucket")).applyInArrow(back, schema)
+    return dealt.groupBy(own).cogroup(answers.groupBy("bucket")).applyInArrow(back, schema)
 
 
 def score_toxicity(docs: DataFrame, trained: Trained | None, text_col: str = "text", threshold: float = 0.3, id_col: str = "doc_id") -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import cut
+from .exchange import free
 
 PERIOD_S = 360 * 86_400
 #: Captures of a pattern and period that one task takes at least, and keys above that at most.
@@ -76,6 +77,7 @@ def intervals(entries: DataFrame) -> DataFrame:
 def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched") -> DataFrame:
     """``captures`` with ``lists`` (sorted names of the lists that match, blocking and allowing) and ``blocked``."""
     captures = captures.drop("lists", "blocked")
+    of, lists, allowed, listed = (free(captures.columns, c) for c in ("__id", "__lists", "__allowed", "__listed"))
     depth = entries.where("kind = 'path'").agg(F.max(F.size(F.split("pattern", "/")) - 1)).first()[0] or 0
     time, period = F.col(f"`{time_col}`").cast("timestamp"), lambda t: F.floor(F.unix_timestamp(t) / PERIOD_S)
     asked = captures.select(F.col(f"`{id_col}`").alias("__id"), time.alias("__t"), F.explode(patterns(F.col(f"`{url_col}`"), depth)).alias("pattern"))
@@ -90,10 +92,10 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id"
     held = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
     asked = asked.join(hot, ["pattern", "period"], "left").withColumn("salt", F.pmod(F.xxhash64("__id"), F.coalesce("salts", F.lit(1))).cast("int"))
     active = asked.join(held, ["pattern", "period", "salt"]).where("__t >= since AND (until IS NULL OR __t < until)")
-    matched = active.groupBy("__id").agg(F.array_sort(F.collect_set("list")).alias("__lists"), F.bool_or("allows").alias("__allowed"), F.bool_or(~F.col("allows")).alias("__listed"))
-    out = captures.join(matched, F.col(f"`{id_col}`") == F.col("__id"), "left")
+    matched = active.groupBy("__id").agg(F.array_sort(F.collect_set("list")).alias(lists), F.bool_or("allows").alias(allowed), F.bool_or(~F.col("allows")).alias(listed))
+    out = captures.join(matched.withColumnRenamed("__id", of), F.col(f"`{id_col}`") == F.col(of), "left")
     return out.select(
         *[captures[f"`{c}`"] for c in captures.columns],
-        F.coalesce("__lists", F.array().cast("array<string>")).alias("lists"),
-        F.coalesce(F.col("__listed") & ~F.col("__allowed"), F.lit(False)).alias("blocked"),
+        F.coalesce(lists, F.array().cast("array<string>")).alias("lists"),
+        F.coalesce(F.col(listed) & ~F.col(allowed), F.lit(False)).alias("blocked"),
     )

@@ -66,8 +66,16 @@ def distinct(rows):
     return sorted(seen.items())
 
 
+@pytest.fixture(params=["one hop", "two hops"])
+def hops(request, monkeypatch):
+    """With few coarse ranges and small blocks, keys of even small inputs take two hops."""
+    if request.param == "two hops":
+        monkeypatch.setattr(exchange, "COARSE", 5)
+        monkeypatch.setattr(exchange, "BLOCK", 7)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
-def test_lines(spark, seed):
+def test_lines(spark, hops, seed):
     rows = distinct(corpus(seed))
     key = lambda s: low(s.strip(" \t\n\v\f\r"))
     held = {}
@@ -92,7 +100,7 @@ def test_lines_threshold_and_repeats(spark):
 
 
 @pytest.mark.parametrize(("seed", "window"), [(3, 50), (4, 8)])
-def test_substrings(spark, seed, window):
+def test_substrings(spark, hops, seed, window):
     rows = distinct(corpus(seed))
     first, want = {}, {}
     for i, t in rows:
@@ -134,7 +142,7 @@ def brute_components(rows, size, percent):
 
 
 @pytest.mark.parametrize(("seed", "chunk", "percent"), [(5, 256, 85), (6, 2, 60), (7, 1, 50)])
-def test_ngram_components(spark, monkeypatch, seed, chunk, percent):
+def test_ngram_components(spark, hops, monkeypatch, seed, chunk, percent):
     monkeypatch.setattr(ngram_join, "CHUNK_CLASSES", chunk)
     monkeypatch.setattr(ngram_join, "REST_CLASSES", 2 * chunk)
     rows = corpus(seed, n=90, words=30, vocabulary=60 if percent < 85 else 300)
@@ -301,7 +309,7 @@ def test_urls(spark):
     day = lambda df, c: df.withColumn(c, F.date_add(F.lit("2024-01-01").cast("date"), F.col(c)))
     changes = [("bad", False, "domain", "b.com", "add", 10), ("bad", False, "domain", "b.com", "remove", 20), ("bad", False, "domain", "b.com", "add", 20), ("bad", False, "domain", "b.com", "add", 22),
                ("bad", False, "host", "a.b.com", "add", 0), ("bad", False, "host", "a.b.com", "remove", 10), ("good", True, "path", "a.b.com/x", "add", 20), ("sect", False, "path", "c.com/x/y", "add", 0), (None, False, "host", "c.com", "add", 0)]
-    clash = ("allowed", "listed", "pattern", "salt", "list", "__x.y")
+    clash = ("allowed", "listed", "pattern", "salt", "list", "__x.y", "__id", "__lists")
     c = day(spark.createDataFrame([(*x, "old", *clash) for x in captures], "page_id long, url string, fetched int, lists string, " + ", ".join(f"`{k}` string" for k in clash)), "fetched")
     e = day(spark.createDataFrame(changes, "list string, allows boolean, kind string, pattern string, action string, at int"), "at")
     assert [r[k] for k in clash for r in filter_urls(c, e).collect()] == [k for k in clash for _ in captures]
@@ -430,7 +438,7 @@ def test_toxicity_judged(spark):
 def test_toxicity_tables_that_are_not_broadcast(spark, monkeypatch):
     """Beyond MODEL_BYTES the tables stay distributed: the same scores; repeated rows, empty tables, clashing names."""
     rows = toxic_rows(20)
-    docs = spark.createDataFrame([*[(i, t, "x", 1) for i, (t, _) in enumerate(rows)], (3, rows[3][0], "x", 1), (900, None, "y", 2), (901, "", "y", 2), (None, "ab stem", "z", 3)], "doc_id long, text string, predicted string, bucket int")
+    docs = spark.createDataFrame([*[(i, t, "x", 1) for i, (t, _) in enumerate(rows)], (3, rows[3][0], "x", 1), (900, None, "y", 2), (901, "", "y", 2), (None, "ab stem", "z", 3)], "doc_id long, text string, predicted string, bucket int").withColumn("__bucket", F.lit("kept"))
     marks = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, toxic int")
     fold = (F.col("id") % 5 == 3).cast("int")
     score = lambda: sorted((str(r.doc_id), r.bucket, r.predicted, r.score) for r in toxicity.score_toxicity(docs, toxicity.train(docs, marks, fold)).collect())
@@ -682,6 +690,15 @@ def test_index_recall(kind):
     assert hits >= 0.97 * 21 * len(q)
 
 
+@pytest.mark.parametrize("operator", [dedup_lines, dedup_substrings])
+def test_clashing_names(spark, operator):
+    rows = [(i, "a line that two have\n" + "w " * 60, i, "x", "y", 9, 9) for i in (1, 2)]
+    names = ["__bucket", "___bucket", "n x", "n_words", "n_lines"]
+    got = operator(spark.createDataFrame(rows, "doc_id long, text string, `__bucket` int, `___bucket` string, `n x` string, n_words int, n_lines int")).collect()
+    new = {"n_lines", "n_dropped"} if operator is dedup_lines else {"n_words", "n_removed"}
+    assert all([r[c] for c in names if c not in new] == [x for c, x in zip(names, row[2:], strict=True) if c not in new] for r, row in zip(sorted(got), rows, strict=True))
+
+
 @pytest.mark.parametrize("operator", [dedup_lines, dedup_substrings, ngram_components, packing.pack])
 def test_empty(spark, operator):
     assert operator(frame(spark, []).limit(0)).count() == 0
