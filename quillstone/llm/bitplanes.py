@@ -20,6 +20,7 @@ id comes last; an empty table makes no file.
 
 from __future__ import annotations
 
+import itertools
 import json
 import struct
 import uuid
@@ -43,7 +44,7 @@ CHUNK_IDS = 1 << 16
 #: Bytes of text for one file, the least number of files, and files whose ids are summed up together.
 FILE_BYTES, LEAST_FILES, RUN_FILES = 16 << 20, 16, 1024
 #: Words whose ids a worker remembers, and bytes of text whose words are numbered at once.
-REMEMBERED, PART_BYTES = 400_000, 8 << 20
+REMEMBERED, PART_BYTES = 500_000, 12 << 20
 #: Marks that are pieces by themselves beside letters (none that special tokens begin with), and a word that is one token.
 MARKS, BETWEEN = b"!\"#$%&()*+,-./:;=>?@[\\]^_`{}~", "™"
 IS_MARK = np.isin(np.arange(256), list(MARKS))
@@ -120,15 +121,15 @@ class Encoder:
         latin[1:-1] = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0xBF) & (raw[1:] & 0x1F != 0x17)
         fine = np.concatenate(([0], np.cumsum(IS_LETTER[raw] | latin[:-1] | latin[1:])))
         letters = (stop > begin) & (fine[stop] - fine[begin] == stop - begin)
-        plain = letters.tolist()
-        a, b = (begin - starts).tolist(), (stop - starts).tolist()
-        body = [w[x:y] if p else w for w, x, y, p in zip(words, a, b, plain, strict=True)]
         upper = np.concatenate(([0], np.cumsum((latin[:-1] & (raw < 0x9F)) | (raw >= 65) & (raw <= 90))))
-        for k in np.flatnonzero(letters & (upper[stop] > upper[begin])).tolist():
-            body[k] = body[k].decode().lower().encode()
-        marked = [(w, w[:x], c, w[y:]) for w, x, y, c, p in zip(words, a, b, body, plain, strict=True) if p and c != w]
-        new = list({c for c, p in zip(body, plain, strict=True) if p} - known.keys())
-        other = list(({w for w, p in zip(words, plain, strict=True) if not p} | {m for x in marked for m in x[1::2] if m}) - known.keys())
+        loud = letters & (upper[stop] > upper[begin])
+        changed = letters & ((begin > starts) | (stop < ends) | loud)
+        marked = []
+        for k, x, y, u in zip(*(v[changed].tolist() for v in (np.arange(len(words)), begin - starts, stop - starts, loud)), strict=True):
+            w = words[k]
+            marked.append((w, w[:x], w[x:y].decode().lower().encode() if u else w[x:y], w[y:]))
+        new = list(set(itertools.compress(words, (letters & ~changed).tolist())).union([x[2] for x in marked]) - known.keys())
+        other = list(set(itertools.compress(words, (~letters).tolist())).union([m for x in marked for m in x[1::2] if m]) - known.keys())
         known.update(zip(other, self._together(other, False), strict=True))
         known.update(zip(new, self._together(new, True), strict=True))
         known[b""] = b""
@@ -147,10 +148,11 @@ class Encoder:
         words = found.dictionary.to_pylist()
         if len(self.known) > REMEMBERED:
             self.known = {w: self.known[w] for w in words if w in self.known}
-        new = [w for w in words if w not in self.known]
+        ids = list(map(self.known.get, words))
+        new = [w for w, x in zip(words, ids, strict=True) if x is None]
         if new:
             self._learn(new)
-        ids = [self.known[w] for w in words]
+            ids = [self.known[w] if x is None else x for w, x in zip(words, ids, strict=True)]
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind().itemsize
         return found.indices.to_numpy(), first, np.frombuffer(b"".join(ids), self.kind), np.concatenate(([0], np.cumsum(size)))
 
