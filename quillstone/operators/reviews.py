@@ -84,19 +84,15 @@ def is_heading(line: Column) -> Column:
     return (t != "") & (F.length(t) <= 80) & (((F.length(letters) >= 4) & (letters == F.upper(letters))) | numbered)
 
 
-def text_blocks(text: Column) -> Column:
-    """Lines that aren't blank, with their offsets and kinds."""
-    lines = F.split(text, "\n")
-    kind = "array<struct<kind:string,start:int,end:int>>"
-    folded = F.aggregate(
-        lines,
-        F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")),
-        lambda acc, line: F.struct(
-            (acc["at"] + F.length(line) + 1).alias("at"),
-            F.when(F.trim(line) == "", acc["out"]).otherwise(F.array_append(acc["out"], F.struct(F.when(is_heading(line), "heading").otherwise("para").alias("kind"), (acc["at"] + F.length(line) - F.length(F.ltrim(line))).alias("start"), (acc["at"] + F.length(line)).alias("end")))).alias("out"),
-        ),
-    )
-    return folded["out"]
+def text_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, block, kind, start, end)``: lines that aren't blank, with their kinds and offsets; these are running sums of lengths."""
+    line = F.col("line")
+    lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    lines = lines.select(key, "pos", F.when(F.trim(line) != "", F.when(is_heading(line), "heading").otherwise("para")).alias("kind"), F.length(line).alias("n"), F.length(F.ltrim(line)).alias("bare"))
+    of = Window.partitionBy(key).orderBy("pos")
+    end = F.sum(F.col("n") + 1).over(of) - 1
+    rows = lines.select(key, "pos", "kind", (end - F.col("bare")).cast("int").alias("start"), end.cast("int").alias("end")).where("kind IS NOT NULL")
+    return rows.select(key, (F.row_number().over(of) - 1).alias("block"), "kind", "start", "end")
 
 
 def contract_markdown(title: Column, text: Column) -> Column:

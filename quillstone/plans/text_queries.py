@@ -243,8 +243,7 @@ o AS (SELECT *, trim(s) AS t, regexp_replace(trim(s), '[^A-Za-z]', '', 'g') AS l
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS block, CASE WHEN {_HEADING} THEN 'heading' ELSE 'para' END AS kind,
 CAST(at_ + length(s) - length(ltrim(s)) AS INTEGER) AS start, CAST(at_ + length(s) AS INTEGER) AS "end" FROM o WHERE t <> ''""")
 def _(spark, sf):
-    docs = table(spark, sf, "documents")
-    return docs.select("doc_id", F.posexplode(R.text_blocks(F.col("text"))).alias("block", "b")).select("doc_id", "block", "b.*")
+    return R.text_blocks(table(spark, sf, "documents"), "doc_id", "text")
 
 
 @query("contract_markdown", """WITH l AS (SELECT doc_id, t, pos FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)),

@@ -204,8 +204,10 @@ def test_text_files():
 
 def test_blocks(spark):
     text = "TITLE HERE\n\n  some text.\n1. Section\n"
-    got = column(spark, [(text,)], "t string", R.text_blocks(F.col("t")))[0]
-    assert [(b.kind, text[b.start : b.end]) for b in got] == [("heading", "TITLE HERE"), ("para", "some text."), ("heading", "1. Section")]
+    docs = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "é one")], "k int, t string")
+    got = R.text_blocks(docs, "k", "t").orderBy("k", "block").collect()
+    assert [(b.block, b.kind, text[b.start : b.end]) for b in got if b.k == 1] == [(0, "heading", "TITLE HERE"), (1, "para", "some text."), (2, "heading", "1. Section")]
+    assert [(b.k, b.start, b.end) for b in got if b.k > 1] == [(4, 0, 5)]
 
 
 def test_first_of_and_yes_no(spark):
