@@ -59,7 +59,7 @@ def similar_pairs(df: DataFrame, id_col: str, tokens: Column, k: int = 5, least:
 
 def shingle_classes(df: DataFrame, id_col: str, tokens: Column, k: int = 5) -> DataFrame:
     """Each text's shingle set as sorted 64-bit hashes, with a digest that names its class."""
-    hashes = X.bind(tokens, lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - k, F.lit(0))), lambda i: F.xxhash64(F.slice(w, i + 1, F.lit(k)))))
+    hashes = X.bind(tokens, lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - k, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)])))
     rows = df.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(hashes)).alias("s"))
     return rows.withColumn("digest", F.concat_ws("-", F.xxhash64("s"), F.xxhash64(F.lit(1), "s"), F.size("s")))
 

@@ -15,14 +15,15 @@ from ..functions import text as X
 def bm25(chunks: DataFrame, queries: DataFrame, key: list[str], chunk: str = "chunk", text: str = "text", query: str = "query", query_text: str = "query_text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """``(key, query, chunk, score)`` of chunks that share a word with the query; the corpus of a query is its key's chunks; a word
     that a query repeats counts as often."""
-    words = chunks.select(*key, chunk, X.words(text).alias("w")).withColumn("len", F.size("w"))
     asked = queries.select(*key, query, F.explode(X.words(query_text)).alias("t")).groupBy(*key, query, "t").agg(F.count("*").alias("qf"))
-    of_key = asked.groupBy(*key).agg(F.collect_set("t").alias("asked"))  # the words of a key's queries: only these are counted
-    held = words.join(of_key, key).select(*key, chunk, "len", F.filter("w", lambda t: F.array_contains("asked", t)).alias("w"))
-    stats = held.groupBy(*key).agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
-    tf = held.select(*key, chunk, "len", F.explode("w").alias("t")).groupBy(*key, chunk, "len", "t").agg(F.count("*").alias("tf"))
-    df = tf.groupBy(*key, "t").agg(F.count("*").alias("df"))
-    rows = tf.join(asked, [*key, "t"]).join(df, [*key, "t"]).join(stats, key)
+    of_key = asked.groupBy(*key).agg(F.collect_list(F.struct(F.col(query).alias("q"), "t", "qf")).alias("asked"))
+    rows = chunks.select(*key, chunk, X.words(text).alias("w")).join(of_key, key)  # all that follows stays on this partitioning
+    hits = F.transform("asked", lambda a: F.struct(a["q"].alias("q"), a["t"].alias("t"), a["qf"].alias("qf"), F.size(F.filter("w", lambda x: x == a["t"])).alias("tf")))
+    rows = rows.select(*key, chunk, F.size("w").alias("len"), F.filter(hits, lambda h: h["tf"] > 0).alias("hits"))
+    whole = Window.partitionBy(*key)
+    rows = rows.withColumn("n", F.count("*").over(whole)).withColumn("avg", F.avg("len").over(whole))
+    rows = rows.select(*key, chunk, "len", "n", "avg", F.explode("hits").alias("h")).select(*key, F.col("h.q").alias(query), chunk, "len", "n", "avg", "h.t", "h.qf", "h.tf")
+    rows = rows.withColumn("df", F.count("*").over(Window.partitionBy(*key, query, "t")))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("qf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg")))
     return rows.groupBy(*key, query, chunk).agg(F.sum(part).alias("score"))

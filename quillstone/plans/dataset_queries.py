@@ -419,15 +419,15 @@ def _(spark, sf):
     return PR.latest(progress(spark, sf), order="event_id").select("review_id", "event_id", "stage", "done")
 
 
-@query("request_queue", """SELECT 'r' || doc_id AS review_id, CASE WHEN doc_id // 250 % 4 = 2 THEN 'error' ELSE 'done' END AS status, CASE WHEN doc_id // 250 % 4 <> 2 THEN doc_id % 9 END AS found FROM documents""")
+@query("request_queue", """SELECT 'r' || doc_id AS review_id, CASE WHEN doc_id % 16 % 4 = 2 THEN 'error' ELSE 'done' END AS status, CASE WHEN doc_id % 16 % 4 <> 2 THEN doc_id % 9 END AS found FROM documents""")
 def _(spark, sf):
-    """Files of requests in order; every fourth file's review fails."""
+    """Sixteen files of requests, one after another; every fourth file's review fails."""
     incoming, log, store = scratch(spark, "requests"), scratch(spark, "statuses"), R.ReviewStore(spark, scratch(spark, "reviews"))
     ids = table(spark, sf, "documents").select(F.concat(F.lit("r"), "doc_id").alias("review_id"), F.col("doc_id").alias("n"))
-    ids.withColumn("lot", F.floor(F.col("n") / 250)).repartition(8, "lot").write.partitionBy("lot").json(incoming)
+    ids.withColumn("lot", F.col("n") % 16).repartition(16, "lot").write.partitionBy("lot").json(incoming)
 
     def review(batch):
-        lots = [r["lot"] for r in batch.select(F.floor(F.col("n") / 250).alias("lot")).distinct().collect()]  # of one file
+        lots = [r["lot"] for r in batch.select((F.col("n") % 16).alias("lot")).distinct().collect()]  # of one file
         if any(lot % 4 == 2 for lot in lots):
             raise ValueError("unreadable")
         return batch.select("review_id", (F.col("n") % 9).alias("found"))
@@ -441,7 +441,7 @@ def _(spark, sf):
     """The events as a stream: the last that each review was heard of. Progress is of one moment each, told apart by the event."""
     incoming, out = scratch(spark, "events"), scratch(spark, "progress")
     rows = progress(spark, sf).select("review_id", "stage", "done", (F.col("at") + F.make_dt_interval(secs=F.col("event_id").cast("decimal(18,6)") / 1_000_000)).alias("at"))
-    rows.coalesce(1).write.parquet(incoming)
+    rows.write.parquet(incoming)
     stream = PR.progress_stream(spark.readStream.schema("review_id long, stage string, done double, at timestamp").parquet(incoming))
     save = lambda df, batch: df.withColumn("batch", F.lit(batch)).write.mode("append").parquet(out)
     stream.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", scratch(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
