@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 # The white space of text normalisation, edge punctuation of quotes, and the two token patterns.
 WHITE = "[\\u0009-\\u000D\\u001C-\\u0020\\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]+"
+#: Runs that aren't one space already: the others needn't be touched.
+UNEVEN = "(?:[\\u0009-\\u000D\\u001C-\\u001F\\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]" + WHITE[:-1] + "*| " + WHITE + ")"
 EDGE = ".,;:!?’'\"-— "
 WORD = "[a-z0-9]+"
 
@@ -26,7 +28,7 @@ def bind(value: Column, use) -> Column:
 
 def norm(c: Column | str) -> Column:
     """Lower case, runs of white space as one space, none at the ends; null is empty."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(_col(c), F.lit(""))), WHITE, " "))
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(_col(c), F.lit(""))), UNEVEN, " "))
 
 
 def edge_strip(c: Column | str) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.parsing import CLASSES
-from .registry import table
+from .registry import texts
 
 WS = "[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
 
@@ -66,7 +66,7 @@ def spans(text: Column) -> Column:
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     k = F.col("doc_id")
     s, g, p = F.col("s"), draw(k, "gold", 4), draw(k, "pred", 7)
     none = F.array().cast("array<string>")

@@ -10,7 +10,7 @@ from ..functions import windows as WN
 from ..operators import dedup as D
 from ..operators import reviews as R
 from .base import ANSWERS, STARTS, answers, draw, loud, rounded, s_draw, s_edge, s_loud, s_norm, s_tokens, spans
-from .registry import query, table
+from .registry import query, table, texts
 
 
 def split_of(key):
@@ -25,7 +25,7 @@ S_SPLIT = f"CASE WHEN {s_draw('doc_id', 'split', 10)} < 2 THEN 'test' WHEN {s_dr
 WITH d AS (SELECT doc_id, {s_norm('text')} AS h FROM documents), b AS (SELECT item_id, {s_norm('text')} AS n FROM benchmark)
 SELECT doc_id, item_id FROM d JOIN b ON contains(h, n) OR contains(h, {s_edge('n')})""")
 def _(spark, sf):
-    return D.containment(table(spark, sf, "benchmark"), table(spark, sf, "documents"), "item_id", "text", "doc_id", "text")
+    return D.containment(table(spark, sf, "benchmark"), texts(spark, sf), "item_id", "text", "doc_id", "text")
 
 
 @query("norm_hash", f"SELECT doc_id, sha256({s_norm('text')}) AS norm_sha256, substr(sha1(coalesce(text, '')), 1, 12) AS chunk_id FROM documents")
@@ -81,13 +81,13 @@ near AS (SELECT a, b, c / CAST(na + nb - c AS DOUBLE) AS jaccard FROM pairs)"""
 
 @query("near_dup_pairs", f"WITH {_PAIRS} SELECT a, b, round(jaccard, 6) AS jaccard FROM near WHERE jaccard >= 0.8")
 def _(spark, sf):
-    return rounded(D.similar_pairs(table(spark, sf, "documents"), "doc_id", X.tokens("text"), 5, 0.8))
+    return rounded(D.similar_pairs(texts(spark, sf), "doc_id", X.tokens("text"), 5, 0.8))
 
 
 @query("near_dup_classes", f"""WITH {_SHINGLES}, k AS (SELECT doc_id, md5(array_to_string(list_sort(s), '|')) AS h FROM sh)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS class_id FROM k""")
 def _(spark, sf):
-    members = D.shingle_classes(table(spark, sf, "documents"), "doc_id", X.tokens("text"), 5)
+    members = D.shingle_classes(texts(spark, sf), "doc_id", X.tokens("text"), 5)
     names = members.groupBy("digest").agg(F.min("id").alias("class_id"))
     return members.join(names, "digest").select(F.col("id").alias("doc_id"), "class_id")
 
@@ -97,7 +97,7 @@ t AS (SELECT jaccard, x.split <> y.split AS crosses FROM near JOIN sp x ON x.doc
 SELECT count(*) FILTER (crosses AND jaccard >= 0.95) AS cross_95, count(*) FILTER (crosses AND jaccard >= 0.8) AS cross_80,
 count(*) FILTER (crosses AND jaccard >= 0.6) AS cross_60, count(*) FILTER (NOT crosses AND jaccard >= 0.8) AS within_80 FROM t""")
 def _(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     pairs = D.similar_pairs(docs, "doc_id", X.tokens("text"), 5, 0.6)
     sp = docs.select("doc_id", split_of(F.col("doc_id")).alias("split"))
     rows = pairs.join(sp.select(F.col("doc_id").alias("a"), F.col("split").alias("x")), "a").join(sp.select(F.col("doc_id").alias("b"), F.col("split").alias("y")), "b")
