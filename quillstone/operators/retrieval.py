@@ -17,7 +17,8 @@ def bm25(chunks: DataFrame, queries: DataFrame, key: list[str], chunk: str = "ch
     that a query repeats counts as often."""
     asked = queries.select(*key, query, F.explode(X.words(query_text)).alias("t")).groupBy(*key, query, "t").agg(F.count("*").alias("qf"))
     of_key = asked.groupBy(*key).agg(F.collect_list(F.struct(F.col(query).alias("q"), "t", "qf")).alias("asked"))
-    rows = chunks.select(*key, chunk, X.words(text).alias("w")).join(of_key, key)  # all that follows stays on this partitioning
+    rows = chunks.select(*key, chunk, text).join(of_key, key)  # all that follows stays on this partitioning
+    rows = rows.select(*key, chunk, "asked", X.words(text).alias("w"))
     hits = F.transform("asked", lambda a: F.struct(a["q"].alias("q"), a["t"].alias("t"), a["qf"].alias("qf"), F.size(F.filter("w", lambda x: x == a["t"])).alias("tf")))
     rows = rows.select(*key, chunk, F.size("w").alias("len"), F.filter(hits, lambda h: h["tf"] > 0).alias("hits"))
     whole = Window.partitionBy(*key)
