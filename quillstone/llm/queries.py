@@ -16,6 +16,7 @@ from .packing import pack
 from .substring_dedup import dedup_substrings
 from .toxicity import score_toxicity, train
 from .url_filter import filter_urls, host_of
+from .vector_codes import encode_vectors
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -178,3 +179,33 @@ active AS (
 SELECT page_id, url, strftime(fetched, '%Y-%m-%d') AS fetched, coalesce(string_agg(list, ',' ORDER BY list), '') AS lists,
        coalesce(bool_or(NOT allows) AND NOT bool_or(allows), false) AS blocked
 FROM captures LEFT JOIN active USING (page_id) GROUP BY page_id, url, fetched"""
+
+
+@_query
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = encode_vectors(_table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+    return codes.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def _lloyd_sql(rounds: int) -> str:
+    """The rounds written out one after another, from whole assignments each."""
+    far = "list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS (SELECT vec_id, label, part, any_value(x) AS x, min(struct_pack(d := {far}, k := k)) AS best FROM p JOIN c{r} USING (part) GROUP BY vec_id, label, part)")
+        if r < rounds:
+            steps.append(f"""m{r} AS (SELECT part, k, list(m ORDER BY i) AS c FROM (SELECT part, best.k AS k, i, CAST((sum(x[i]) - ((sum(x[i]) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS m
+              FROM a{r}, unnest(range(1, len(x) + 1)) t(i) GROUP BY part, best.k, i) GROUP BY part, k),
+            c{r + 1} AS (SELECT part, k, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (part, k))""")
+    return ",\n".join(steps)
+
+
+SQL["op11_vector_codes"] = f"""
+WITH v AS (SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(x * 256) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT vec_id, label, part, e[part * len(e) // 16 + 1:(part + 1) * len(e) // 16] AS x FROM v, unnest(range(16)) t(part)),
+c0 AS (SELECT part, dense_rank() OVER (ORDER BY vec_id) - 1 AS k, x AS c FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 64)),
+{_lloyd_sql(2)},
+s AS (SELECT sha256(string_agg(CAST(c[i] AS VARCHAR), ',' ORDER BY part, k, i)) AS codebooks_sha256 FROM c2, unnest(range(1, len(c) + 1)) t(i)),
+r AS (SELECT vec_id, label, string_agg(lower(format('{{:02x}}', best.k)), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a2 GROUP BY vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM r, s"""
