@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .ann import nearest
 from .bitplanes import read_token_files, write_token_files
 from .components import cut
+from .conversation_trie import paths_of, prefix_trie, turns_of
 from .decontaminate import find_leaks
 from .html_density import extract_text
 from .line_dedup import dedup_lines
 from .ngram_join import ngram_components
 from .packing import pack
+from .quality_rules import judge_quality
 from .substring_dedup import dedup_substrings
 from .toxicity import score_toxicity, train
 from .url_filter import filter_urls, host_of
@@ -209,3 +211,46 @@ c0 AS (SELECT part, dense_rank() OVER (ORDER BY vec_id) - 1 AS k, x AS c FROM p
 s AS (SELECT sha256(string_agg(CAST(c[i] AS VARCHAR), ',' ORDER BY part, k, i)) AS codebooks_sha256 FROM c2, unnest(range(1, len(c) + 1)) t(i)),
 r AS (SELECT vec_id, label, string_agg(lower(format('{{:02x}}', best.k)), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a2 GROUP BY vec_id, label)
 SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM r, s"""
+
+
+def rebuilt(conversations: DataFrame) -> DataFrame:
+    """``(conv_id, turns)``: a conversation's first h turns are those of the first of its hundred, h from 0 to 5 by its id's hash. A hundred lie
+    in one partition, so turns are shuffled once."""
+    c = F.col("conv_id")
+    hundred = lambda i: i.cast("long") - i.cast("long") % 100
+    own = turns_of(conversations, by=hundred(c))
+    h = (F.crc32(c.cast("string").cast("binary")) % 6).cast("int")
+    head = F.max(F.when(c == F.col("by"), F.slice("turns", 1, 5))).over(Window.partitionBy("by"))
+    rows = own.select("conv_id", "turns", h.alias("h"), head.alias("head"))
+    begun = F.coalesce(F.slice("head", F.lit(1), F.col("h")), F.slice("turns", 1, 0))
+    return rows.select("conv_id", F.concat(begun, F.slice("turns", F.col("h") + 1, F.size("turns"))).alias("turns"))
+
+
+@_query
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = prefix_trie(paths_of(rebuilt(_table(spark, sf_dir, "conversations"))))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+SQL["op12_conversation_trie"] = """
+WITH crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+h AS (SELECT conv_id, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+    lambda c, b: xor(t[xor(c, b) % 256 + 1], c >> 8)), 4294967295) % 6 AS h FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL), crc),
+d AS (SELECT conv_id, turn, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS d, length(coalesce(text, '')) AS n FROM conversations),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, d) AS p FROM d),
+r AS (SELECT h.conv_id, 0 AS own, p, d, n FROM h JOIN o ON o.conv_id = h.conv_id - h.conv_id % 100 AND p <= h
+  UNION ALL SELECT conv_id, 1, p, d, n FROM h JOIN o USING (conv_id) WHERE p > h),
+c AS (SELECT conv_id, coalesce(list(struct_pack(d := d, n := n) ORDER BY own, p) FILTER (d IS NOT NULL), []) AS l FROM h LEFT JOIN r USING (conv_id) GROUP BY conv_id),
+m AS (SELECT conv_id, k AS depth, md5(array_to_string(list_transform(l[1:k], lambda x: x.d), '')) AS node, CASE WHEN k > 0 THEN md5(array_to_string(list_transform(l[1:k - 1], lambda x: x.d), '')) END AS parent,
+    CASE WHEN k > 0 THEN l[k].n ELSE 0 END AS n, k = len(l) AS ends FROM c, unnest(range(0, len(l) + 1)) t(k)),
+g AS (SELECT node, depth, parent, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n) AS n, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM m GROUP BY node, depth, parent),
+k AS (SELECT g.node, count(b.node) AS n_children FROM g LEFT JOIN g b ON b.parent = g.node GROUP BY g.node),
+below AS (SELECT DISTINCT a.node AS top, b.node FROM m a JOIN m b USING (conv_id) WHERE a.depth <= b.depth),
+s AS (SELECT top AS node, CAST(count(*) FILTER (n_children = 0) AS BIGINT) AS n_leaves, CAST(sum((n_convs - 1) * n) AS BIGINT) AS saved_tokens FROM below JOIN g USING (node) JOIN k USING (node) GROUP BY top)
+SELECT g.conv_id, g.depth, p.conv_id AS parent_conv_id, g.n_convs, n_children, n_leaves, saved_tokens, g.ends_sha256 FROM g JOIN k USING (node) JOIN s USING (node) LEFT JOIN g p ON p.node = g.parent"""
+
+
+@_query
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged, _ = judge_quality(_table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
