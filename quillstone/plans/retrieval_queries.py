@@ -6,19 +6,35 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import retrieval as RT
+from ..operators.dense_index import DenseIndex
+from ..operators.postings import PostingsIndex
+from ..sources.scratch import scratch
 from .base import ANSWERS, answers, rounded, s_draw, s_edge, s_norm
-from .registry import query, table
+from .registry import query, table, texts
+
+
+#: Numbers that a document's pieces can have in a corpus of all documents.
+PIECES = 1 << 20
+
+
+def cut(text):
+    """Pieces of 60 tokens; one empty piece of an empty text."""
+    return X.bind(X.tokens(text), lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(w) / F.lit(60)) - 1, F.lit(0)).cast("int")), lambda i: F.array_join(F.slice(w, i * 60 + 1, F.lit(60)), " ")))
 
 
 def chunks(spark, sf):
-    """Pieces of 60 tokens, and for each document with gold evidence a query: its first gold span's first tokens."""
+    """Pieces, and for each document with gold evidence a query: its first gold span's first tokens."""
     rows = answers(spark, sf).where(F.size("gold") > 0)
-    cut = X.bind(X.tokens("text"), lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(w) / F.lit(60)) - 1, F.lit(0)).cast("int")), lambda i: F.array_join(F.slice(w, i * 60 + 1, F.lit(60)), " ")))
-    pieces = rows.select("doc_id", F.posexplode(cut).alias("chunk", "text")).persist()  # every ranking reads them
+    pieces = rows.select("doc_id", F.posexplode(cut("text")).alias("chunk", "text"))
     asked = rows.select("doc_id", F.lit(0).alias("query"), F.array_join(F.slice(X.tokens(F.col("gold")[0]), 1, 8), " ").alias("query_text"), "gold")
     return pieces, asked
 
 
+#: As ``cut``, of all documents.
+_PIECES = f"""w AS (SELECT doc_id, list_filter(string_split({s_norm('text')}, ' '), lambda t: t <> '') AS w FROM documents),
+pieces AS (SELECT doc_id * 1048576 + i AS chunk, array_to_string(w[i * 60 + 1:i * 60 + 60], ' ') AS text FROM (SELECT doc_id, w, unnest(range(0, CAST(greatest(ceil(len(w) / 60.0), 1) AS INTEGER))) AS i FROM w)),
+cw AS (SELECT chunk, regexp_extract_all(text, '[a-z0-9]+') AS ws FROM pieces)"""
+
 _CHUNKS = f"""q AS (SELECT doc_id, gold, list_filter(string_split({s_norm('text')}, ' '), lambda t: t <> '') AS w, array_to_string(list_filter(string_split({s_norm('gold[1]')}, ' '), lambda t: t <> '')[1:8], ' ') AS query_text FROM answers WHERE len(gold) > 0),
 chunks AS (SELECT doc_id, CAST(i AS INTEGER) AS chunk, array_to_string(w[i * 60 + 1:i * 60 + 60], ' ') AS text FROM (SELECT doc_id, w, unnest(range(0, CAST(greatest(ceil(len(w) / 60.0), 1) AS INTEGER))) AS i FROM q)),
 cw AS (SELECT doc_id, chunk, regexp_extract_all(text, '[a-z0-9]+') AS ws FROM chunks),
@@ -38,7 +54,30 @@ def lexical(spark, sf):
 
 @query("bm25_topk", f"WITH {ANSWERS}, {_CHUNKS} SELECT doc_id, chunk, CAST(rank AS INTEGER) AS rank, round(round(score, 9), 6) AS score FROM bmr WHERE rank < 5")
 def _(spark, sf):
-    return rounded(lexical(spark, sf)[0].where("rank < 5").select("doc_id", "chunk", "rank", "score"))
+    """Each document is a corpus; its chunks are indexed, then asked."""
+    pieces, asked = chunks(spark, sf)
+    index = PostingsIndex.build(pieces, scratch(spark, "postings"), ["doc_id"])
+    return rounded(index.search(asked, k=5).select("doc_id", "chunk", "rank", "score"))
+
+
+@query("corpus_search", f"""WITH {_PIECES},
+st AS (SELECT count(*) AS n, avg(len(ws)) AS av FROM cw),
+tf AS (SELECT chunk, any_value(l) AS l, t, count(*) AS tf FROM (SELECT chunk, len(ws) AS l, unnest(ws) AS t FROM cw) GROUP BY chunk, t),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY 1),
+qt AS (SELECT item_id, t, count(*) AS qf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM benchmark) GROUP BY 1, 2),
+bm AS (SELECT item_id, chunk, round(sum(qf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * l / av))), 9) AS score FROM qt JOIN df USING (t) JOIN tf USING (t), st GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk) - 1 AS rank FROM bm)
+SELECT item_id, chunk // 1048576 AS doc_id, chunk % 1048576 AS piece, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank < 10""")
+def _(spark, sf):
+    """All documents are one corpus, in pieces of 60 tokens; each benchmark item, whole, is a query."""
+    docs = texts(spark, sf).select("doc_id", "text")
+    pieces = docs.select("doc_id", F.posexplode(cut(F.col("text"))).alias("piece", "text"))
+    pieces = pieces.select(F.lit(0).alias("corpus"), (F.col("doc_id") * PIECES + F.col("piece")).alias("chunk"), "text")
+    index = PostingsIndex.build(pieces, scratch(spark, "postings"), ["corpus"], span=PIECES)
+    asked = table(spark, sf, "benchmark").select(F.lit(0).alias("corpus"), "item_id", "text")
+    found = index.search(asked, k=10, query="item_id", query_text="text")
+    number = F.col("chunk") % PIECES
+    return rounded(found.select("item_id", ((F.col("chunk") - number) / PIECES).cast("long").alias("doc_id"), number.alias("piece"), "rank", "score"))
 
 
 def by_chars(pieces, asked):
@@ -85,12 +124,24 @@ def _(spark, sf):
     return RT.recall(ranking, pieces, asked.select("doc_id", "query", "gold"), ["doc_id", "query"], [1, 3, 5, 10])
 
 
-@query("dense_topk", """WITH q AS (SELECT vec_id AS query_id, label, embedding AS qe FROM embeddings WHERE vec_id % 20 = 0),
+_DENSE = """WITH q AS (SELECT vec_id AS query_id, label, embedding AS qe FROM embeddings WHERE vec_id % 20 = 0),
 s AS (SELECT query_id, vec_id, round(list_inner_product(CAST(qe AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 9) AS score FROM q JOIN embeddings e ON e.label = q.label AND e.vec_id <> q.query_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS rank FROM s) SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank < 5""")
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS rank FROM s) SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank < 5"""
+
+
+@query("dense_topk", _DENSE)
 def _(spark, sf):
     """Within one key, as everywhere here: a vector's neighbours of its own label."""
     e = table(spark, sf, "embeddings")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("qe"))
     scores = RT.dense(q, e, "label", "query_id", "qe", "vec_id", "embedding", 5)
     return RT.ranked(scores, ["query_id"], "vec_id", k=5).select("query_id", "vec_id", "rank")
+
+
+@query("dense_index_topk", _DENSE)
+def _(spark, sf):
+    """The same from an index: by as few lists as their bounds allow."""
+    e = table(spark, sf, "embeddings")
+    index = DenseIndex.build(e, scratch(spark, "vectors"), "label", "vec_id", "embedding", list_rows=64)
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label", "embedding")
+    return index.search(q, 5, "label", "query_id", "embedding", chunk="vec_id").select("query_id", "vec_id", "rank")
