@@ -11,6 +11,7 @@ from ..functions.playbook import positions
 from ..operators import datasets as DS
 from ..operators import reviews as R
 from ..operators import sampling as S
+from ..operators.review_store import ReviewStore
 from ..sources.scratch import scratch
 from ..streaming import progress as PR
 from .base import ANSWERS, FEATURES, answers, draw, rounded, s_draw, s_edge, s_norm
@@ -422,7 +423,7 @@ def _(spark, sf):
 @query("request_queue", """SELECT 'r' || doc_id AS review_id, CASE WHEN doc_id % 16 % 4 = 2 THEN 'error' ELSE 'done' END AS status, CASE WHEN doc_id % 16 % 4 <> 2 THEN doc_id % 9 END AS found FROM documents""")
 def _(spark, sf):
     """Sixteen files of requests, one after another; every fourth file's review fails."""
-    incoming, log, store = scratch(spark, "requests"), scratch(spark, "statuses"), R.ReviewStore(spark, scratch(spark, "reviews"))
+    incoming, log, store = scratch(spark, "requests"), scratch(spark, "statuses"), ReviewStore(spark, scratch(spark, "reviews"))
     ids = table(spark, sf, "documents").select(F.concat(F.lit("r"), "doc_id").alias("review_id"), F.col("doc_id").alias("n"))
     ids.withColumn("lot", F.col("n") % 16).repartition(16, "lot").write.partitionBy("lot").json(incoming)
 
@@ -465,14 +466,9 @@ def _(spark, sf):
 
 @query("pooled_reviews", "SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, row_number() OVER (ORDER BY doc_id) AS place FROM documents WHERE text IS NOT NULL")
 def _(spark, sf):
-    """Work on every document, four parts at a time, results in the order of the input; the place is counted part by part."""
+    """Work on every document, at most four parts at a time, results in the order of the input."""
     docs = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", "text")
-    done = PR.in_order(docs, "doc_id", lambda b: b.assign(chars=b["text"].str.len())[["doc_id", "chars"]], "doc_id long, chars long", 4)
-    part = done.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
-    part = part.select("doc_id", "chars", "part", (F.col("at") - F.shiftleft(F.col("part").cast("long"), 33) + 1).alias("within"))
-    sizes = part.groupBy("part").agg(F.count("*").alias("n"))  # a row a part
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
-    return part.join(F.broadcast(before), "part").select("doc_id", "chars", (F.col("within") + F.col("before")).alias("place"))
+    return PR.in_order(docs, "doc_id", lambda b: b.assign(chars=b["text"].str.len())[["doc_id", "chars"]], "doc_id long, chars long", limit=4, part_bytes=256 << 10)
 
 
 @query("review_status", f"""WITH {_PROGRESS}, m AS (SELECT max(seen) AS now FROM p) SELECT review_id, CASE WHEN stage <> 'done' AND epoch(now) - epoch(seen) > 180 THEN 'error' WHEN stage = 'done' THEN 'done' ELSE 'running' END AS status FROM l, m WHERE rn = 1""")

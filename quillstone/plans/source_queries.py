@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import datasets as DS
-from ..operators import reviews as R
+from ..operators.review_store import ReviewStore
 from ..sources import files as S
 from ..sources.scratch import scratch, write_files
 from .base import draw, s_draw, s_norm
@@ -184,19 +184,21 @@ def _(spark, sf):
     return rows.select("contract", "category", "present", F.size("evidence").alias("n_evidence"))
 
 
-@query("review_store", f"""SELECT 'r' || doc_id AS review_id, CASE WHEN doc_id % 3 = 0 THEN 'done' WHEN doc_id % 5 = 0 THEN 'sample' ELSE 'queued' END AS status FROM documents
-WHERE doc_id % 7 <> 0 AND (doc_id % 2 = 0 OR doc_id % 3 = 0 OR doc_id % 5 = 0)""")
+@query("review_store", f"""SELECT 'r' || doc_id AS review_id, CASE WHEN doc_id = (SELECT min(doc_id) FROM documents WHERE doc_id % 6 = 0 AND doc_id % 7 <> 0) THEN 'reopened' WHEN doc_id % 3 = 0 THEN 'done' WHEN doc_id % 5 = 0 THEN 'sample' ELSE 'queued' END AS status,
+CASE WHEN doc_id % 3 = 0 THEN {s_draw('doc_id', 'decision', 3)} END AS flags FROM documents WHERE doc_id % 7 <> 0 AND (doc_id % 2 = 0 OR doc_id % 3 = 0 OR doc_id % 5 = 0)""")
 def _(spark, sf):
-    """Seeds, an update of some, samples that are there already, a removal, and a point lookup."""
-    store = R.ReviewStore(spark, scratch(spark, "reviews"))
+    """Seeds, an update of some with a new column, samples that are there already, buckets written anew, a removal, and a change of one."""
+    store = ReviewStore(spark, scratch(spark, "reviews"), buckets=8)
     ids = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("r"), "doc_id").alias("review_id"))
     store.upsert(ids.where("doc_id % 2 = 0 AND doc_id % 5 <> 0").select("review_id", F.lit("queued").alias("status")))
     store.seed(ids.where("doc_id % 5 = 0").select("review_id", F.lit("sample").alias("status")))
     store.seed(ids.where("doc_id % 5 = 0").select("review_id", F.lit("twice").alias("status")))
-    store.upsert(ids.where("doc_id % 3 = 0").select("review_id", F.lit("done").alias("status")))
+    store.compact()
+    store.upsert(ids.where("doc_id % 3 = 0").select("review_id", F.lit("done").alias("status"), draw(F.col("doc_id"), "decision", 3).alias("flags")))
     store.delete(ids.where("doc_id % 7 = 0"))
-    assert store.get("r0").count() == 0
-    return store.read().select("review_id", "status")
+    one = ids.where("doc_id % 6 = 0 AND doc_id % 7 <> 0").agg(F.min("doc_id")).first()[0]
+    store.update(f"r{one}", lambda df: df.withColumn("status", F.lit("reopened")))
+    return store.read().select("review_id", "status", "flags")
 
 
 @query("row_zip", f"SELECT doc_id AS \"row\", {s_draw('doc_id', 'gold', 4)} AS gold, CASE WHEN doc_id % 10 = 0 THEN NULL ELSE {s_draw('doc_id', 'pred', 7)} END AS pred FROM documents")

@@ -16,7 +16,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new folder's name under ``spark.checkpoint.dir``; where that is unset, a temporary one if all run on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir is unset: driver and executors need a folder that all of them see")
         own = tempfile.mkdtemp(prefix="quillstone-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
@@ -25,16 +25,18 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def write_files(df: DataFrame, folder: str) -> int:
-    """Writes each row ``(name, content)`` as a file and returns how many; a task that runs again writes the same files."""
+    """Writes each row ``(name, content)`` as a file and returns how many. A task that runs again, or twice at once, writes the same files:
+    each attempt under a name of its own, then moved."""
 
     def run(batches):
         for b in batches:
             for name, content in zip(b["name"], b["content"], strict=True):
                 fs, path = pafs.FileSystem.from_uri(f"{folder}/{name}")
                 fs.create_dir(path.rpartition("/")[0], recursive=True)
-                with fs.open_output_stream(f"{path}._new") as out:
+                own = f"{path}._{uuid.uuid4().hex}"
+                with fs.open_output_stream(own) as out:
                     out.write(content)
-                fs.move(f"{path}._new", path)
+                fs.move(own, path)
             yield pd.DataFrame({"n": [len(b)]})
 
     return df.select("name", "content").mapInPandas(run, "n long").groupBy().sum("n").first()[0] or 0

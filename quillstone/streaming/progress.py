@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.resource import ResourceProfile, ResourceProfileBuilder, TaskResourceRequests
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from ..sources.scratch import scratch
 
 PROGRESS = "review_id long, stage string, done double, at timestamp"
 
@@ -24,31 +29,51 @@ def live(events: DataFrame, finished: str = "stage = 'done'", ttl_s: int = 600,
     return latest(events, order=order).where(~F.expr(finished)).where(moment.cast("double") - F.col("at").cast("timestamp").cast("double") <= ttl_s)
 
 
-def progress_stream(events: DataFrame, ttl_s: int = 600, finished: str = "done") -> DataFrame:
-    """A stream of each review's latest progress, as it changes: state is one row a review, dropped when the review is finished or
-    silent for ``ttl_s`` of event time. Late events never replace a later one."""
-
-    def update(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        at, stage, done = state.get if state.exists else (None, None, None)
-        for b in batches:
-            b = b.sort_values("at")
-            if len(b) and (at is None or b["at"].iloc[-1] >= at):
-                at, stage, done = b["at"].iloc[-1].to_pydatetime(), b["stage"].iloc[-1], float(b["done"].iloc[-1])
-        if at is None:
+class Progress(StatefulProcessor):
+    """State of one review: its last event, which stays as a tombstone once the review is finished. Only a later event changes it, so
+    an older one that comes late is silent even then. A timer of event time drops it ``ttl_s`` after its last event; events older
+    than that are beyond the watermark by then."""
+
+    def __init__(self, ttl_s: int):
+        self.ttl_ms = ttl_s * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at timestamp, stage string, done double")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803, ANN201
+        before = self.last.get()[0] if self.last.exists() else None
+        last = None
+        for b in rows:
+            b = b[b["at"] > before] if before is not None else b
+            if len(b):
+                x = b.sort_values(["at", "stage", "done"]).iloc[-1]
+                if last is None or x["at"] > last["at"]:
+                    last = x
+        if last is None:
             return
-        if stage == finished:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((at, stage, done))
-            state.setTimeoutTimestamp(max(int(pd.Timestamp(at, tz="UTC").timestamp() * 1000) + ttl_s * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"review_id": [key[0]], "stage": [stage], "done": [done], "at": [at]})
-
+        at = last["at"].to_pydatetime()
+        self.last.update((at, last["stage"], float(last["done"])))
+        for due in list(self.handle.listTimers()):
+            self.handle.deleteTimer(due)
+        self.handle.registerTimer(max(int(pd.Timestamp(at, tz="UTC").timestamp() * 1000) + self.ttl_ms, timerValues.getCurrentWatermarkInMs() + 1))
+        yield pd.DataFrame({"review_id": [key[0]], "stage": [last["stage"]], "done": [float(last["done"])], "at": [at]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803, ANN201
+        self.last.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def progress_stream(events: DataFrame, ttl_s: int = 600) -> DataFrame:
+    """A stream of each review's latest progress, as it changes: state is one row a review, kept ``ttl_s`` of event time after its last
+    event. Events no later than the last one, of a finished review too, change nothing. State of this kind needs the RocksDB store,
+    which is set for queries started after this call."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     grouped = events.select("review_id", "stage", "done", "at").withWatermark("at", f"{ttl_s} seconds").groupBy("review_id")
-    return grouped.applyInPandasWithState(update, PROGRESS, "at timestamp, stage string, done double", "update", GroupStateTimeout.EventTimeTimeout)
+    return grouped.transformWithStateInPandas(Progress(ttl_s), PROGRESS, "Update", "EventTime")
 
 
 STATUS = "review_id string, status string, error string, batch long, step int"
@@ -91,16 +116,48 @@ def statuses(spark: SparkSession, log: str) -> DataFrame:
     return rows.groupBy("review_id").agg(F.max(F.struct("batch", "step", "status", "error")).alias("x")).select("review_id", "x.status", "x.error")
 
 
-def in_order(df: DataFrame, order: str, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str, limit: int) -> DataFrame:
-    """``work`` over all rows with at most ``limit`` parts in flight, results in the order of ``order``, a column that it keeps. Parts are
-    ranges of the order, so that results are in order as they are: the parts one after another, sorted within."""
-    parts = df.repartitionByRange(limit, order).sortWithinPartitions(order)
+def bounded(df: DataFrame, limit: int) -> tuple[DataFrame, ResourceProfile | None]:
+    """``df`` and a resource profile under which at most ``limit`` of its tasks run at once: tasks that ask for so many cores that no more
+    fit. Where one task an executor is more than that already, or all runs in one process, parts are walked through by ``limit`` tasks
+    instead."""
+    context = df.sparkSession.sparkContext
+    cores, executor = context.defaultParallelism, int(context.getConf().get("spark.executor.cores", "0"))
+    if context.master.startswith("local-cluster["):
+        cores, executor = (int(x) for x in context.master[len("local-cluster[") :].split(",")[:2])
+        cores *= executor
+    executors = -(-cores // executor) if executor else 0
+    if context.master == "local" or context.master.startswith("local[") or not 0 < executors <= limit:
+        return df.coalesce(limit), None
+    each = min(executor, limit // executors)  # tasks an executor runs: executor // cpus
+    return df, ResourceProfileBuilder().require(TaskResourceRequests().cpus(executor // each if executor % each == 0 else executor // each + 1)).build
+
+
+def in_order(df: DataFrame, order: str, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str, limit: int, part_bytes: int = 32 << 20, place: str = "place") -> DataFrame:
+    """``work`` over all rows with at most ``limit`` parts in flight, and ``place``, each result's number from 1 in the order of ``order``, a
+    column that ``work`` keeps in its rows' order. Parts are ranges of the order of about ``part_bytes``, so there are as many as the
+    table needs, and losing an executor costs those that it had in hand. Results are written once, then numbered by the parts before."""
+    spark = df.sparkSession
+    size = lambda f: F.octet_length(f.name) if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.lit(8)
+    total = df.agg(F.sum(functools.reduce(lambda a, b: a + b, [F.coalesce(size(f), F.lit(0)) for f in df.schema.fields]))).first()[0] or 0
+    parts = df.repartitionByRange(max(limit, -(-int(total) // part_bytes)), order)
+    parts, profile = bounded(parts.sortWithinPartitions(order).withColumn("__part", F.spark_partition_id()), limit)
+    names = [f.name for f in T._parse_datatype_string(schema).fields]
 
     def run(batches):
+        part, at = None, 0
         for b in batches:
-            yield work(b)
-
-    return parts.mapInPandas(run, schema).orderBy(order)
+            for p, rows in b.groupby("__part", sort=False):  # a task may walk through several
+                part, at = p, at if p == part else 0
+                out = work(rows.drop(columns="__part"))[names]
+                yield out.assign(__part=p, __at=range(at + 1, at + len(out) + 1))
+                at += len(out)
+
+    done = parts.mapInPandas(run, f"{schema}, __part int, __at long", profile=profile)
+    done.write.parquet(path := scratch(spark, "in-order"))
+    done = spark.read.parquet(path)
+    sizes = done.groupBy("__part").agg(F.count("*").alias("n"))  # a row a part
+    before = sizes.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return done.join(F.broadcast(before) if sizes.limit(100_001).count() <= 100_000 else before, "__part").select(*names, (F.col("__before") + F.col("__at")).alias(place))
 
 
 def interrupted(reviews: DataFrame) -> DataFrame:

@@ -6,13 +6,16 @@ import datetime as dt
 import io
 import json
 import os
+import subprocess
+import sys
+import threading
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillstone.operators import datasets as DS
-from quillstone.operators import reviews as R
+from quillstone.operators.review_store import ReviewStore
 from quillstone.sources import files as S
 from quillstone.streaming import progress as PR
 
@@ -73,7 +76,7 @@ def test_nested(spark, tmp_path):
 
 
 def test_store(spark, tmp_path):
-    store = R.ReviewStore(spark, f"file://{tmp_path}/store")
+    store = ReviewStore(spark, f"file://{tmp_path}/store")
     rows = lambda *x: spark.createDataFrame(list(x), "review_id string, status string, created double")
     assert store.read() is None and store.newest() is None
     store.seed(rows(("a", "queued", 1.0), ("b", "queued", 2.0)))
@@ -88,7 +91,7 @@ def test_store(spark, tmp_path):
 def test_queue(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/1.json").write_text('{"review_id": "x", "created": 1.0}\n')
-    store = R.ReviewStore(spark, f"file://{tmp_path}/store")
+    store = ReviewStore(spark, f"file://{tmp_path}/store")
     (tmp_path / "in/2.json").write_text('{"review_id": "y", "created": 2.0}\n')
     (tmp_path / "in/3.json").write_text('{"review_id": "x", "created": 3.0}\n')
     for k in (1, 2, 3):
@@ -107,26 +110,134 @@ def test_queue(spark, tmp_path):
     assert [r.status for r in log] == ["queued", "running", "done", "queued", "running", "error", "queued", "running", "done"]
 
 
-def test_in_order(spark):
+@pytest.mark.parametrize("part_bytes", [200, 1 << 20])
+def test_in_order(spark, part_bytes):
     rows = [(i * 7 % 101, "x" * i) for i in range(101)]
-    out = PR.in_order(spark.createDataFrame(rows, "k long, t string").repartition(9), "k", lambda b: b.assign(n=b["t"].str.len())[["k", "n"]], "k long, n long", 3)
-    assert [(r.k, r.n) for r in out.collect()] == sorted((k, len(t)) for k, t in rows)
+    out = PR.in_order(spark.createDataFrame(rows, "k long, t string").repartition(9), "k", lambda b: b.assign(n=b["t"].str.len())[["k", "n"]], "k long, n long", 3, part_bytes)
+    assert sorted((r.place, r.k, r.n) for r in out.collect()) == [(i, k, len(t)) for i, (k, t) in enumerate(sorted(rows), 1)]
+    empty = PR.in_order(spark.createDataFrame([], "k long, t string"), "k", lambda b: b[["k"]], "k long", 3)
+    assert empty.count() == 0 and empty.columns == ["k", "place"]
 
 
-def test_store_is_locked(spark, tmp_path):
-    store = R.ReviewStore(spark, f"file://{tmp_path}/store", wait_s=0.3)
-    rows = spark.createDataFrame([("a",)], "review_id string")
-    with store._alone(), pytest.raises(TimeoutError):
-        store.upsert(rows)
-    store.upsert(rows)
-    assert store.read().count() == 1
+BOUNDED = """
+import sys, time, os, glob
+from pyspark.sql import SparkSession
+sys.path.insert(0, sys.argv[1])
+folder = sys.argv[2]
+spark = SparkSession.builder.master("local-cluster[2,4,1024]").config("spark.executor.memory", "700m").config("spark.checkpoint.dir", f"file://{folder}/ckpt").config("spark.ui.enabled", "false").config("spark.executorEnv.PYTHONPATH", sys.argv[1]).getOrCreate()
+from quillstone.streaming import progress as PR
+df, profile = PR.bounded(spark.range(0, 24, 1, 24), 4)
+
+def run(batches):
+    for b in batches:
+        began = time.time()
+        time.sleep(0.4)
+        open(f"{folder}/{int(b.id.iloc[0])}.run", "w").write(f"{began} {time.time()}")
+        yield b
+
+assert df.mapInPandas(run, "id long", profile=profile).count() == 24
+times = [tuple(map(float, open(x).read().split())) for x in glob.glob(f"{folder}/*.run")]
+print("TASKS", len(times), "MOST", max(sum(a <= t < b for a, b in times) for t, _ in times))
+"""
+
+
+def test_bounded_on_a_cluster(tmp_path):
+    """Two executors of four cores: parts are as many as before, and at most four of them run at once."""
+    (tmp_path / "run.py").write_text(BOUNDED)
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, str(tmp_path / "run.py"), root, str(tmp_path)], capture_output=True, text=True, timeout=240, check=False)
+    assert "TASKS 24 MOST" in out.stdout, out.stderr[-3000:]
+    assert 2 <= int(out.stdout.split("MOST")[1]) <= 4
+
+
+def store_rows(spark, *x):
+    return spark.createDataFrame(list(x), "review_id string, status string, created double")
+
+
+def held(store):
+    return {r.review_id: r.status for r in store.read().collect()}
+
+
+def test_store_point_update(spark, tmp_path):
+    """One update writes files of one bucket, and a lookup reads those of one."""
+    store = ReviewStore(spark, f"file://{tmp_path}/store", buckets=8)
+    store.upsert(store_rows(spark, *[(f"r{i}", "queued", float(i)) for i in range(100)]))
+    before = set(os.listdir(tmp_path / "store/data"))
+    store.update("r7", lambda df: df.withColumn("status", F.lit("done")))
+    (new,) = set(os.listdir(tmp_path / "store/data")) - before
+    assert len([n for n in os.listdir(tmp_path / f"store/data/{new}") if n.startswith("store_bucket=")]) == 1
+    assert store.get("r7").first().status == "done" and len({f.rpartition("/")[0].rpartition("=")[2] for f in store.get("r7").inputFiles()}) == 1
+    store.compact()
+    assert store.state()["updates"] == [] and held(store) == {f"r{i}": "done" if i == 7 else "queued" for i in range(100)}
+    store.delete(store_rows(spark, ("r7", "", 0.0)))
+    assert store.get("r7").count() == 0 and store.read().count() == 99
+
+
+def test_store_checks_what_is_written(spark, tmp_path):
+    store = ReviewStore(spark, f"file://{tmp_path}/store")
+    for bad in ("a/b", None, ""):
+        with pytest.raises(Exception, match="not a review id"):
+            store.upsert(store_rows(spark, (bad, "queued", 1.0)))
+    decided = lambda d: spark.createDataFrame([("a", d)], "review_id string, decision string")
+    with pytest.raises(Exception, match="not a decision: maybe"):
+        store.upsert(decided("maybe"))
+    assert store.read() is None  # nothing was published
+    store.upsert(decided("flag"))
+    store.upsert(decided(None))
+    assert [r.decision for r in store.read().collect()] == [None]
+
+
+def test_store_two_writers(spark, tmp_path):
+    """Writers publish one after another; none waits for one that died half way."""
+    folder = f"file://{tmp_path}/store"
+    dead = ReviewStore(spark, folder)
+    dead._written(dead._checked(store_rows(spark, ("ghost", "queued", 0.0))), 16)  # killed before it published
+    os.makedirs(tmp_path / "store/log")
+    (tmp_path / "store/log/.draft-dead").write_text("{")
+
+    def work(name):
+        store = ReviewStore(spark, folder, compact_after=3)
+        for i in range(4):
+            store.upsert(store_rows(spark, (f"{name}{i}", "queued", float(i)), ("both", name, 0.0)))
+        store.seed(store_rows(spark, ("seeded", name, 0.0)))
+        store.update("both", lambda df: df.withColumn("created", F.col("created") + 1))
+
+    threads = [threading.Thread(target=work, args=(name,)) for name in ("a", "b")]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join(200)
+    store = ReviewStore(spark, folder)
+    got = held(store)
+    assert set(got) == {*(f"{n}{i}" for n in "ab" for i in range(4)), "both", "seeded"} and got["both"] in "ab"
+    assert store.sweep(older_s=3600) == 0 and store.sweep(older_s=-1) > 0
+    assert held(store) == got and ReviewStore(spark, folder).get("both").count() == 1
+    assert not os.path.exists(tmp_path / "store/log/.draft-dead")
+
+
+def test_store_loses_no_change(spark, tmp_path):
+    """A change that was read before another writer published is made again on what that one wrote."""
+    store = ReviewStore(spark, f"file://{tmp_path}/store")
+    store.upsert(store_rows(spark, ("a", "queued", 1.0)))
+    seen = []
+
+    def change(df):
+        seen.append(df.first().created)
+        if len(seen) == 1:
+            ReviewStore(spark, f"file://{tmp_path}/store").upsert(store_rows(spark, ("a", "running", 10.0)))
+        return df.withColumn("created", F.col("created") + 1)
+
+    store.update("a", change)
+    assert seen == [1.0, 10.0] and [(r.status, r.created) for r in store.read().collect()] == [("running", 11.0)]
 
 
 def test_progress_stream(spark, tmp_path):
     schema = "review_id long, stage string, done double, at timestamp"
     t = dt.datetime(2024, 1, 1)
     folder = str(tmp_path / "events")
-    steps = [[(1, "a", 0.1, t), (2, "a", 0.2, t)], [(1, "b", 0.5, t + dt.timedelta(seconds=5)), (1, "old", 0.0, t - dt.timedelta(seconds=5))], [(2, "done", 1.0, t + dt.timedelta(seconds=9))]]
+    late = dt.timedelta(seconds=8)
+    steps = [[(1, "a", 0.1, t), (2, "a", 0.2, t)], [(1, "b", 0.5, t + dt.timedelta(seconds=5)), (1, "old", 0.0, t - dt.timedelta(seconds=5))], [(2, "done", 1.0, t + dt.timedelta(seconds=9))], [(2, "running", 0.9, t + late)], [(2, "done", 1.0, t + dt.timedelta(seconds=9)), (3, "a", 0.0, t)]]
+    steps += [[(9, "a", 0.0, t + dt.timedelta(hours=hours))] for hours in (1, 2, 3)]  # the watermark passes all that was before
     seen = []
     for rows in steps:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
@@ -136,7 +247,8 @@ def test_progress_stream(spark, tmp_path):
     last = {}
     for s in seen:
         last.update(s)
-    assert last == {1: "b", 2: "done"}
+    assert last == {1: "b", 2: "done", 3: "a", 9: "a"}
+    assert sum(2 in s for s in seen) == 2  # what comes late after the end, or again, is silent
 
 
 def test_live(spark):
