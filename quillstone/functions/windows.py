@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import array
+import bisect
+import functools
+import re
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,115 +22,135 @@ def token_windows(n: Column, content: int = 14_000, stride: int = 12_000, budget
     return F.when(fits, one).when(n > 0, many).otherwise(F.array().cast("array<struct<window:int,tok_start:int,tok_end:int,windowed:boolean>>"))
 
 
-def whitespace_offsets(text: str) -> list[tuple[int, int]]:
-    """The stand-in tokenizer: runs of characters that aren't white space."""
-    out, at = [], 0
-    for word in text.split():
-        start = text.index(word, at)
-        at = start + len(word)
-        out.append((start, at))
-    return out
+class Places:
+    """Where a text has a character, for asking which is the last in a range."""
 
+    def __init__(self, text: str, char: str):
+        self.at = [m.start() for m in re.finditer(re.escape(char), text)]
+
+    def last(self, low: int, high: int) -> int:
+        """The last one in ``[low, high)``; -1 if there is none."""
+        k = bisect.bisect_left(self.at, high) - 1
+        return self.at[k] if k >= 0 and self.at[k] >= low else -1
+
+
+def whitespace_starts(text: str) -> Sequence[int]:
+    """The stand-in tokenizer: where runs of characters that aren't white space begin."""
+    return array.array("q", (m.start() for m in re.finditer(r"\S+", text)))
 
-def snapped_chunks(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
-    """Chunks of ``size`` characters; an end within the text moves back to a space in the chunk's second half."""
-    out, at, n = [], 0, len(text)
-    while at < n:
-        end = min(at + size, n)
-        if end < n and (space := text.rfind(" ", at + size // 2, end)) > at:
-            end = space
-        out.append((at, end))
-        if end >= n:
-            break
-        at = max(at + 1, end - overlap)
-    return out
 
+@functools.cache
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    out = Tokenizer.from_file(path)
+    out.encode_special_tokens = True  # their strings in a text are ordinary text
+    return out
 
-def char_chunks(text: Column, size: int = 900, overlap: int = 200) -> Column:
-    """Array of (start, end, text)."""
 
-    @F.pandas_udf("array<struct<start:int,end:int,text:string>>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"start": a, "end": b, "text": t[a:b]} for a, b in snapped_chunks(t or "", size, overlap)])
+def file_starts(path: str) -> Callable[[str], Sequence[int]]:
+    """The tokens of a tokenizer file of the ``tokenizers`` library, which all workers must have at this path: where each begins."""
+    return lambda text: array.array("q", (a for a, _ in _tokenizer(path).encode(text, add_special_tokens=False).offsets))
 
-    return run(text)
 
+def chunk_spans(n: int, size: int, overlap: int, snap: Callable[[int, int], int]) -> Iterator[tuple[int, int]]:
+    """Spans over n characters of ``size`` each, the next beginning ``overlap`` before the end of one; ``snap(begin, end)`` moves an end
+    that isn't the last one."""
+    begin = end = 0
+    while end < n:
+        end = begin + size
+        end = snap(begin, end) if end < n else n
+        yield begin, end
+        begin = max(begin + 1, end - overlap)
 
-def parent_chunks(text: Column, child: int = 300, parent: int = 1200, overlap: int = 80) -> Column:
-    """Small chunks, each with the larger one about its middle."""
 
-    @F.pandas_udf("array<struct<start:int,child:string,parent:string>>")
-    def run(texts: pd.Series) -> pd.Series:
-        def one(t: str | None) -> list[dict]:
-            out = []
-            for a, b in snapped_chunks(t or "", child, overlap):
-                low = max(0, (a + b) // 2 - parent // 2)
-                out.append({"start": a, "child": t[a:b], "parent": t[low : low + parent]})
-            return out
+def space_chunks(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """An end moves back to a space in its chunk's second half."""
+    spaces = Places(text, " ")
 
-        return texts.map(one)
+    def snap(begin: int, end: int) -> int:
+        found = spaces.last(begin + max(1, size // 2), end)
+        return end if found < 0 else found
 
-    return run(text)
+    return chunk_spans(len(text), size, overlap, snap)
 
 
-def line_snapped(text: str, offsets: list[tuple[int, int]], tokens: int, overlap: int, snap: int) -> Iterator[tuple[int, int]]:
-    """Character windows of at most ``tokens`` tokens that end, and begin again, at a line break where one is near; each begins
-    ``overlap`` tokens before the end of the one before."""
-    if len(offsets) <= tokens:
+def line_windows(text: str, starts: Sequence[int], tokens: int, overlap: int, snap: int) -> Iterator[tuple[int, int]]:
+    """Windows of at most ``tokens`` tokens, each beginning ``overlap`` tokens before the end of the one before. Both ends of the overlap
+    move back to behind a line break where one is within ``snap`` characters and inside the window."""
+    if len(starts) <= tokens:
         yield 0, len(text)
         return
-    first, starts = 0, [a for a, _ in offsets]
+    breaks = Places(text, "\n")
 
-    def token_from(char: int) -> int:
-        import bisect
+    def snapped(place: int, begin: int) -> int:
+        found = breaks.last(max(begin + 1, place - snap), place)
+        return place if found < 0 else found + 1
 
-        return bisect.bisect_left(starts, char)
-
-    while first + tokens < len(offsets):
-        begin, end = starts[first], starts[first + tokens]
-        line = text.rfind("\n", max(0, end - snap), end)
-        end = line + 1 if line > begin else end
+    first = 0
+    while len(starts) - first > tokens:
+        begin = starts[first]
+        end = snapped(starts[first + tokens], begin)
         yield begin, end
-        again = token_from(end) - overlap
-        line = text.rfind("\n", max(0, starts[again] - snap), starts[again])
-        first = max(first + 1, token_from(line + 1) if line > begin else again)
+        again = starts[max(first + 1, bisect.bisect_left(starts, end) - overlap)]
+        first = max(first + 1, bisect.bisect_left(starts, snapped(again, begin)))
     yield starts[first], len(text)
 
 
-def serving_windows(text: Column, tokens: int, overlap: int, snap: int = 400, tokenizer: Callable[[str], list[tuple[int, int]]] = whitespace_offsets) -> Column:
-    """Array of (start, end); tokenizer: text -> offsets of its tokens."""
+def estimated(text: str, tokens: int, overlap: int, chars_per_token: float, snap: int, count: Callable[[str], int] | None) -> Iterator[tuple[int, int]]:
+    """Windows of as many characters as ``tokens`` are estimated to have; with ``count``, one that measures too long shrinks by a
+    tenth until it fits."""
+    breaks, size = Places(text, "\n"), int(tokens * chars_per_token)
+
+    def fitting(begin: int, end: int) -> int:
+        while count is not None and end - begin > 1 and count(text[begin:end]) > tokens:
+            end = begin + max(1, (end - begin) * 9 // 10)
+        return end
+
+    begin, end = 0, -1
+    while end < len(text):
+        end = fitting(begin, min(begin + size, len(text)))
+        if end < len(text) and (line := breaks.last(max(begin + 1, end - snap), end)) >= 0:
+            end = line + 1
+        yield begin, end
+        begin = max(begin + 1, end - int(overlap * chars_per_token))
+
+
+def _each(docs: DataFrame, text: str, schema: str, cut: Callable[[str], Iterator[tuple]]) -> DataFrame:
+    """``docs`` with a row for each piece of a text, as a table function that yields them one by one: a text's pieces are never one array."""
+
+    @F.udtf(returnType=schema, useArrow=True)
+    class Pieces:
+        def eval(self, text: str):  # noqa: ANN202
+            yield from cut(text or "")
+
+    return docs.lateralJoin(Pieces(F.col(text).outer()))
+
+
+def char_chunks(docs: DataFrame, text: str = "text", size: int = 900, overlap: int = 200) -> DataFrame:
+    """``docs`` with (chunk, start, end, chunk_text) for each chunk."""
+    return _each(docs, text, "chunk int, start int, `end` int, chunk_text string", lambda t: ((k, a, b, t[a:b]) for k, (a, b) in enumerate(space_chunks(t, size, overlap))))
+
 
-    @F.pandas_udf("array<struct<start:int,end:int>>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"start": a, "end": b} for a, b in line_snapped(t or "", tokenizer(t or ""), tokens, overlap, snap)])
+def parent_chunks(docs: DataFrame, text: str = "text", child: int = 300, parent: int = 1200, overlap: int = 80) -> DataFrame:
+    """``docs`` with small chunks, each with the larger one about its middle: (chunk, start, child, parent)."""
 
-    return run(text)
+    def cut(t: str) -> Iterator[tuple]:
+        for k, (a, b) in enumerate(space_chunks(t, child, overlap)):
+            low = max(0, (a + b - parent) // 2)
+            yield k, a, t[a:b], t[low : low + parent]
 
+    return _each(docs, text, "chunk int, start int, child string, parent string", cut)
 
-def estimated_windows(text: Column, tokens: int, overlap: int, chars_per_token: float = 3.6, snap: int = 400, count: Callable[[str], int] | None = None) -> Column:
-    """Windows sized by an estimate of characters for a token; with ``count``, one that measures too long shrinks by a tenth until it
-    fits."""
 
-    @F.pandas_udf("array<struct<start:int,end:int>>")
-    def run(texts: pd.Series) -> pd.Series:
-        def one(t: str | None) -> list[dict]:
-            t = t or ""
-            size, back, at, out = int(tokens * chars_per_token), int(overlap * chars_per_token), 0, []
-            while True:
-                end = min(at + size, len(t))
-                while count is not None and end - at > 1 and count(t[at:end]) > tokens:
-                    end = at + max(1, (end - at) * 9 // 10)
-                if end < len(t):
-                    line = t.rfind("\n", max(at, end - snap), end)
-                    end = line + 1 if line > at else end
-                out.append({"start": at, "end": end})
-                if end >= len(t):
-                    return out
-                at = max(at + 1, end - back)
+def serving_windows(docs: DataFrame, tokens: int, overlap: int, text: str = "text", snap: int = 400, starts: Callable[[str], Sequence[int]] = whitespace_starts) -> DataFrame:
+    """``docs`` with (window, start, end) for each window; ``starts``: text -> where its tokens begin, as ``file_starts`` gives."""
+    return _each(docs, text, "window int, start int, `end` int", lambda t: ((k, *x) for k, x in enumerate(line_windows(t, starts(t), tokens, overlap, snap))))
 
-        return texts.map(one)
 
-    return run(text)
+def estimated_windows(docs: DataFrame, tokens: int, overlap: int, text: str = "text", chars_per_token: float = 3.6, snap: int = 400, count: Callable[[str], int] | None = None) -> DataFrame:
+    """The same by an estimate of characters for a token."""
+    return _each(docs, text, "window int, start int, `end` int", lambda t: ((k, *x) for k, x in enumerate(estimated(t, tokens, overlap, chars_per_token, snap, count))))
 
 
 def size_estimate(text: Column, chars_per_token: float = 3.6, tokens: int = 14_000, stride: int = 12_000) -> Column:

@@ -152,13 +152,13 @@ c AS (SELECT doc_id, text, n, 0 AS chunk, CAST(0 AS BIGINT) AS a, {end('0')} AS
 @query("char_chunks", _chunked(900, 200, 'SELECT doc_id, chunk, CAST(a AS INTEGER) AS start, CAST(e AS INTEGER) AS "end", md5(substr(text, a + 1, e - a)) AS md5 FROM c'))
 def _(spark, sf):
     docs = table(spark, sf, "documents")
-    return docs.select("doc_id", F.posexplode(WN.char_chunks(F.col("text"), 900, 200)).alias("chunk", "c")).select("doc_id", "chunk", "c.start", "c.end", F.md5("c.text").alias("md5"))
+    return WN.char_chunks(docs.select("doc_id", "text"), size=900, overlap=200).select("doc_id", "chunk", "start", "end", F.md5("chunk_text").alias("md5"))
 
 
 @query("parent_chunks", _chunked(300, 80, "SELECT doc_id, chunk, CAST(a AS INTEGER) AS start, CAST(e - a AS INTEGER) AS child_chars, CAST(length(substr(text, greatest((a + e) // 2 - 600, 0) + 1, 1200)) AS INTEGER) AS parent_chars FROM c"))
 def _(spark, sf):
     docs = table(spark, sf, "documents")
-    return docs.select("doc_id", F.posexplode(WN.parent_chunks(F.col("text"))).alias("chunk", "c")).select("doc_id", "chunk", "c.start", F.length("c.child").alias("child_chars"), F.length("c.parent").alias("parent_chars"))
+    return WN.parent_chunks(docs.select("doc_id", "text")).select("doc_id", "chunk", "start", F.length("child").alias("child_chars"), F.length("parent").alias("parent_chars"))
 
 
 def _last_line(at: str, width: int = 400) -> str:
@@ -181,7 +181,17 @@ c AS (SELECT doc_id, text, n, m, starts, w, CAST(f AS BIGINT) AS f, CAST(a AS BI
 SELECT doc_id, w AS "window", CAST(a AS INTEGER) AS start, CAST(e AS INTEGER) AS "end" FROM c""")
 def _(spark, sf):
     docs = table(spark, sf, "documents")
-    return docs.select("doc_id", F.posexplode(WN.serving_windows(F.col("text"), 400, 60)).alias("window", "c")).select("doc_id", "window", "c.start", "c.end")
+    return WN.serving_windows(docs.select("doc_id", "text"), 400, 60).select("doc_id", "window", "start", "end")
+
+
+@query("tokenizer_windows")
+def _(spark, sf):
+    """The same by the tokens of a public vocabulary, which SQL doesn't have: windows and characters of each document."""
+    import public_tokenizers
+
+    docs = texts(spark, sf).select("doc_id", "text")
+    found = WN.serving_windows(docs, 400, 60, starts=WN.file_starts(public_tokenizers.path("byte_bpe_50k.json")))
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_windows"), F.max("end").alias("chars"), F.sum(F.col("end") - F.col("start")).alias("window_chars"))
 
 
 def _line_end(a: str) -> str:
@@ -195,7 +205,7 @@ c AS (SELECT doc_id, text, n, 0 AS w, CAST(0 AS BIGINT) AS a, {_line_end('0')} A
 SELECT doc_id, w AS "window", CAST(a AS INTEGER) AS start, CAST(e AS INTEGER) AS "end" FROM c""")
 def _(spark, sf):
     docs = table(spark, sf, "documents")
-    return docs.select("doc_id", F.posexplode(WN.estimated_windows(F.col("text"), 400, 60)).alias("window", "c")).select("doc_id", "window", "c.start", "c.end")
+    return WN.estimated_windows(docs.select("doc_id", "text"), 400, 60).select("doc_id", "window", "start", "end")
 
 
 @query("size_estimate", """SELECT doc_id, CAST(round_even(length(text) / 3.6, 0) AS INTEGER) AS tokens,

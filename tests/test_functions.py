@@ -154,7 +154,7 @@ def test_chunks_cover():
     rng = random.Random(1)
     for _ in range(50):
         text = " ".join("w" * rng.randrange(1, 40) for _ in range(rng.randrange(0, 200)))
-        got = WN.snapped_chunks(text, 90, 20)
+        got = list(WN.space_chunks(text, 90, 20))
         assert not text and not got or got[0][0] == 0 and got[-1][1] == len(text)
         assert all(b[0] <= a[1] and b[0] > a[0] for a, b in zip(got, got[1:], strict=False))
 
@@ -163,12 +163,35 @@ def test_serving_windows_cover():
     rng = random.Random(4)
     for _ in range(40):
         text = "".join(rng.choice(["word ", "x ", "line\n", "\n"]) for _ in range(rng.randrange(0, 300)))
-        got = list(WN.line_snapped(text, WN.whitespace_offsets(text), 30, 5, 40))
+        got = list(WN.line_windows(text, WN.whitespace_starts(text), 30, 5, 40))
         assert got[0][0] == 0 or len(got) > 1
         assert got[-1][1] == len(text)
         assert all(b[0] <= a[1] for a, b in zip(got, got[1:], strict=False))
 
 
+def test_windows_by_a_tokenizer(spark):
+    """Windows over the tokens of a public vocabulary: within the bound, overlapping, and the text whole."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encode = lambda t: [a for a, _ in Tokenizer.from_file(path).encode(t, add_special_tokens=False).offsets]
+    rng = random.Random(6)
+    docs = [(i, "".join(rng.choice(["contract ", "Übertragung ", "x\n", "<|endoftext|> ", "42, "]) for _ in range(rng.randrange(0, 400)))) for i in range(12)] + [(98, ""), (99, None)]
+    rows = WN.serving_windows(spark.createDataFrame(docs, "id int, text string").repartition(3), 60, 10, starts=WN.file_starts(path)).orderBy("id", "window").collect()
+    for i, t in docs:
+        got, starts = [(r.start, r.end) for r in rows if r.id == i], encode(t or "")
+        assert [r.window for r in rows if r.id == i] == list(range(len(got))) and got[-1][1] == len(t or "")
+        assert len(got) > 1 or len(starts) <= 60
+        assert all(sum(a <= s < b for s in starts) <= 60 for a, b in got)
+        assert all(b[0] < a[1] for a, b in zip(got, got[1:], strict=False))
+
+
+def test_find_object():
+    cases = {'x {"a": 1} {"b": 2}': {"a": 1}, '{"a": {"b": 2}}': {"a": {"b": 2}}, 'x {bad} {"b": 2}': {"b": 2}, '} {"a": 1}': None, '} { {"a": 1} }': {"a": 1}, '{"a": "}"} {"b": 1}': None, "{": None, "": None, "[1]": None, '{} {"a": 1}': {}, '}{ {"a": 1}': {"a": 1}}
+    assert {t: P.find_object(t) for t in cases} == cases
+
+
 @pytest.mark.parametrize(("n", "windows"), [(0, 1), (399, 1), (400, 1), (401, 2), (700, 2), (701, 3)])
 def test_token_windows(spark, n, windows):
     got = column(spark, [(n,)], "n int", WN.token_windows(F.col("n"), 400, 300))[0]
