@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,18 +99,6 @@ def hallucination_report(df: DataFrame, text: str, pred: str) -> DataFrame:
     return total.select("n_spans", "n_hallucinated", "n_examples", X.ratio(F.col("n_hallucinated"), F.col("n_spans")).alias("span_rate"), X.ratio(F.col("n_bad"), F.col("n_examples")).alias("example_rate"))
 
 
-def rank_percentiles(df: DataFrame, value: str, qs: dict[str, tuple[float, int]], by: list[str] = ()) -> DataFrame:
-    """Values at ranks ``min(int(q n) - less, n - 1)``: counts of distinct values and a running sum, so no group is collected; a
-    global rank runs over distinct values only. qs: name -> (q, less)."""
-    from pyspark.sql import Window
-
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by).orderBy(value)
-    ranked = counts.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
-    at = lambda q, less: F.greatest(F.least(F.floor(F.lit(q) * F.col("n")).cast("long") - less, F.col("n") - 1), F.lit(0))
-    return ranked.groupBy(*by).agg(F.max("n").alias("n"), *[F.min(F.when(F.col("upto") > at(q, less), F.col(value))).alias(name) for name, (q, less) in qs.items()])
-
-
 def curve(rows: DataFrame) -> DataFrame:
     """A training curve (loss, x from 1, n, smooth: the mean of the last five) in numbers: slope, change of the mean from the first to the
     last quarter, drift over the last tenth, variation in the last quarter and in all, and how many steps are 2 % above the mean."""
@@ -125,43 +111,3 @@ def curve(rows: DataFrame) -> DataFrame:
         F.count("*").alias("steps"), F.round(F.regr_slope("loss", x.cast("double")), 2).alias("slope"), F.round((of(F.avg, tail) - of(F.avg, head)) / F.abs(of(F.avg, head)), 6).alias("change"), F.round((last - first) / F.abs(first), 6).alias("drift"),
         F.round(of(F.stddev_pop, tail) / of(F.avg, tail), 6).alias("tail_cv"), F.round(F.stddev_samp("loss") / F.avg("loss"), 4).alias("cv"), F.count_if(loss > 1.02 * F.col("smooth")).alias("spikes"),
     )
-
-
-def bootstrap(df: DataFrame, gold: str, preds: list[str], classes: list[str], by: str | None = None, draws: int = 2000, seed: int = 0, most_cells: int = 100_000) -> DataFrame:
-    """Percentile interval of macro F1 (and, of two predictions, of the difference and how often the first is better).
-
-    Macro F1 is the mean over classes; with ``by``, over its values, of the F1 of the one class given. A resample only matters by how
-    often it draws each combination of gold, predicted and group, so rows are first counted by combination: as many as labels allow,
-    whatever the table's size (their number is checked). Every resample is one multinomial draw of these counts, made where the
-    resample is, from a generator seeded by its number."""
-    cells = df.groupBy(*([by] if by else []), gold, *preds).agg(F.count("*").alias("c")).limit(most_cells + 1).collect()
-    if len(cells) > most_cells:
-        raise ValueError(f"more than {most_cells} combinations of classes")
-    cells.sort(key=lambda r: tuple(map(str, r)))
-    kinds = sorted({str(r[by]) for r in cells}) if by else classes
-    of = np.array([kinds.index(str(r[by])) for r in cells]) if by else None
-    counts = np.array([r["c"] for r in cells], float)
-    is_ = lambda column, c: np.array([r[column] == c for r in cells], bool)
-    hits = [[(is_(gold, c), is_(p, c)) for c in classes] for p in preds]
-
-    def macro(m, each):
-        f = []
-        for k, kind in enumerate(kinds):
-            g, p = each[0] if by else each[k]
-            n = m * (of == k) if by else m
-            tp, fp, fn = n[g & p].sum(), n[~g & p].sum(), n[g & ~p].sum()
-            f.append(0.0 if not tp else 2 * tp / (2 * tp + fp + fn))
-        return sum(f) / len(f)
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for k in b["id"]:
-                m = np.random.default_rng([seed, k]).multinomial(int(counts.sum()), counts / counts.sum())
-                scores = [macro(m, each) for each in hits]
-                out.append(scores[0] - scores[1] if len(scores) == 2 else scores[0])
-            yield pd.DataFrame({"v": out})
-
-    drawn = df.sparkSession.range(draws if len(cells) else 0).mapInPandas(run, "v double")
-    sorted_ = F.sort_array(F.collect_list("v"))  # ``draws`` values
-    return drawn.agg(F.avg("v").alias("mean"), F.get(sorted_, F.lit(int(0.025 * draws))).alias("ci_low"), F.get(sorted_, F.lit(int(0.975 * draws))).alias("ci_high"), F.avg((F.col("v") > 0).cast("int")).alias("p_positive"))

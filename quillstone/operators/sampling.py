@@ -72,13 +72,6 @@ def mixture_cap(df: DataFrame, key: str, task: str, capped: str, share: float, s
     return df.where(~is_capped).unionByName(some.drop("__rank", "__n", "__want"))
 
 
-def running_cap(df: DataFrame, group: str, order: str, passes: Column, cap: int) -> DataFrame:
-    """Adds ``capped``: among rows that pass, those after the first ``cap`` of their group."""
-    w = Window.partitionBy(group, "__ok").orderBy(order)
-    out = df.withColumn("__ok", passes).withColumn("__rn", F.row_number().over(w))
-    return out.withColumn("capped", F.col("__ok") & (F.col("__rn") > cap)).drop("__ok", "__rn")
-
-
 def median_rows(df: DataFrame, label: str, size: Column, key: str) -> DataFrame:
     """The row of each label at the middle of its sizes (the upper one of two). Sizes are counted first; only rows of the middle size
     are put in order."""
@@ -88,7 +81,7 @@ def median_rows(df: DataFrame, label: str, size: Column, key: str) -> DataFrame:
     counts = counts.withColumn("__upto", upto).withColumn("__at", F.floor(F.sum("__c").over(Window.partitionBy(label)) / 2) + 1)
     middle = counts.where((F.col("__upto") >= F.col("__at")) & (F.col("__upto") - F.col("__c") < F.col("__at")))
     middle = middle.select(F.col(label).alias("__l"), F.col("__s").alias("__m"), (F.col("__at") - F.col("__upto") + F.col("__c")).alias("__place"))  # a row a label
-    same = rows.join(F.broadcast(middle), F.col(label).eqNullSafe(F.col("__l")) & F.col("__s").eqNullSafe(F.col("__m")))
+    same = rows.join(F.broadcast(middle) if middle.limit(100_001).count() <= 100_000 else middle, F.col(label).eqNullSafe(F.col("__l")) & F.col("__s").eqNullSafe(F.col("__m")))
     return same.withColumn("__rn", F.row_number().over(Window.partitionBy(label).orderBy(key))).where("__rn = __place").drop("__s", "__l", "__m", "__place", "__rn")
 
 
@@ -101,5 +94,11 @@ def resume(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return df.join(done.select(key).distinct(), key, "left_anti")
 
 
-def answer_bucket(n: Column) -> Column:
-    return X.bucket(n, [(2_000, "<2K"), (4_000, "2-4K"), (8_000, "4-8K")], ">8K")
+def shots(train: DataFrame, key: str, label: str, classes: list, k: int, example: Column, seed: str) -> DataFrame:
+    """One row with ``shots``, an array of k examples drawn with replacement from the classes in turn; a class without rows gives none. A draw
+    is the row of least hash of seed, draw and key, so all k are found in one pass of partial minima."""
+    of = lambda i: F.when(F.col(label) == F.lit(classes[i % len(classes)]), draw(F.col(key), f"{seed}|{i}"))
+    least = [F.min_by(example, of(i)).alias(f"s{i}") for i in range(k)]
+    held = [F.when(F.min(of(i)).isNotNull(), F.lit(True)).alias(f"h{i}") for i in range(k)]
+    found = train.agg(*least, *held)
+    return found.select(F.filter(F.array(*[F.when(F.col(f"h{i}"), F.col(f"s{i}")) for i in range(k)]), lambda x: x.isNotNull()).alias("shots"))

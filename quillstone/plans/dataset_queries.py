@@ -9,6 +9,7 @@ from ..functions import parsing as P
 from ..functions import text as X
 from ..functions.playbook import positions
 from ..operators import datasets as DS
+from ..operators import ranks as RK
 from ..operators import reviews as R
 from ..operators import sampling as S
 from ..operators.review_store import ReviewStore
@@ -39,12 +40,25 @@ def _(spark, sf):
     return chat.select("doc_id", document.alias("document"), DS.question_of(F.col("u")).alias("question"))
 
 
-@query("prompt_sizes", """SELECT doc_id, 8 AS turns, CAST(15 + 3 * (length('CLAUSE: a') + length('{"verdict":"Entailment"}')) + length('CLAUSE: ') + length(text) AS INTEGER) AS chars FROM documents""")
+_SHOT = lambda k, quality: f"SELECT {k} AS k, arg_min(struct_pack(u := u, a := a), d{k}) AS s FROM c WHERE quality = {quality}"
+
+
+@query("prompt_sizes", f"""WITH t AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS rn FROM conversations),
+f AS (SELECT conv_id, max(text) FILTER (role = 'user' AND rn = 1) AS u, max(text) FILTER (role = 'assistant' AND rn = 1) AS a FROM t GROUP BY 1),
+c AS (SELECT u, a, quality, {', '.join(f"md5('shots|{k}|' || conv_id) AS d{k}" for k in range(3))} FROM f JOIN labels ON doc_id = conv_id WHERE u IS NOT NULL AND a IS NOT NULL),
+s AS (SELECT k, s FROM ({_SHOT(0, 1)} UNION ALL {_SHOT(1, 0)} UNION ALL {_SHOT(2, 1)}) WHERE s IS NOT NULL),
+x AS (SELECT 2 * count(*) AS n, coalesce(sum(length(s.u) + length(s.a)), 0) AS chars, coalesce(string_agg(s.u || '>' || s.a, '|' ORDER BY k), '') AS shots FROM s)
+SELECT doc_id, CAST(2 + n AS INTEGER) AS turns, CAST(15 + chars + length('CLAUSE: ') + length(text) AS INTEGER) AS chars, md5(shots) AS shots FROM documents, x""")
 def _(spark, sf):
-    docs = table(spark, sf, "documents")
-    shots = F.array(*[F.struct(F.lit("CLAUSE: a").alias("user"), F.to_json(F.struct(F.lit("Entailment").alias("verdict"))).alias("assistant"))] * 3)
-    m = DS.prompt(F.lit("Answer in JSON."), F.concat(F.lit("CLAUSE: "), "text"), examples=shots)
-    return docs.select("doc_id", m.alias("m")).select("doc_id", F.size("m").alias("turns"), F.aggregate("m", F.lit(0), lambda n, x: n + F.length(x["content"])).alias("chars"))
+    """Each document's prompt with three conversations drawn from the labelled ones, a good one and a bad one in turn."""
+    chats = DS.turns(table(spark, sf, "conversations").withColumnRenamed("text", "content"))
+    train = chats.select("conv_id", DS.message(F.col("messages"), "user").alias("user"), DS.message(F.col("messages"), "assistant").alias("assistant")).where("user IS NOT NULL AND assistant IS NOT NULL")
+    train = train.join(table(spark, sf, "labels").select(F.col("doc_id").alias("conv_id"), "quality"), "conv_id")
+    shots = S.shots(train, "conv_id", "quality", [1, 0], 3, F.struct("user", "assistant"), "shots")
+    told = F.md5(F.array_join(F.transform("shots", lambda e: F.concat(e["user"], F.lit(">"), e["assistant"])), "|"))
+    m = DS.prompt(F.lit("Answer in JSON."), F.concat(F.lit("CLAUSE: "), "text"), examples=F.col("shots"))
+    rows = table(spark, sf, "documents").crossJoin(F.broadcast(shots)).select("doc_id", m.alias("m"), told.alias("shots"))  # one row
+    return rows.select("doc_id", F.size("m").alias("turns"), F.aggregate("m", F.lit(0), lambda n, x: n + F.length(x["content"])).alias("chars"), "shots")
 
 
 @query("label_remap", "SELECT CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' WHEN 'fr' THEN 'French' END AS label, count(*) AS n FROM documents GROUP BY 1")
@@ -167,7 +181,7 @@ def _(spark, sf):
 r AS (SELECT *, row_number() OVER (PARTITION BY o, ok ORDER BY doc_id) AS rn FROM o) SELECT doc_id, ok AND rn > 3 AS capped FROM r""")
 def _(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", "n_chars", X.opening("text", 1).alias("o"))
-    return S.running_cap(rows, "o", "doc_id", F.col("n_chars") > 500, 3).select("doc_id", "capped")
+    return RK.running_cap(rows, "o", "doc_id", F.col("n_chars") > 500, 3).select("doc_id", "capped")
 
 
 @query("opening_diversity", f"""WITH o AS (SELECT array_to_string(list_filter(string_split({s_norm('text')}, ' '), lambda t: t <> '')[1:5], ' ') AS o, count(*) AS n FROM documents GROUP BY 1) SELECT count(*) AS openings, max(n) AS most, CAST(sum(n) AS BIGINT) AS docs FROM o""")
@@ -298,7 +312,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY o, reason IS NULL ORDER BY doc_i
 SELECT CASE WHEN reason IS NULL AND rn > 2 THEN 'f4_templated_opening' ELSE coalesce(reason, 'kept') END AS first_reason, count(*) AS n, CAST(sum(words) AS BIGINT) AS words FROM k GROUP BY 1""")
 def _(spark, sf):
     a = answers(spark, sf).where(F.size("gold") > 0).select("doc_id", F.array_join("gold", " ").alias("clause"), F.concat(F.coalesce(F.get("pred", F.lit(0)), F.lit("")), F.lit(".")).alias("note"))
-    out = S.running_cap(DS.note_reasons(a, F.lit(8), F.lit(40)).withColumn("o", X.opening("note")), "o", "doc_id", F.size("reasons") == 0, 2)
+    out = RK.running_cap(DS.note_reasons(a, F.lit(8), F.lit(40)).withColumn("o", X.opening("note")), "o", "doc_id", F.size("reasons") == 0, 2)
     first = F.when(F.col("capped"), "f4_templated_opening").otherwise(F.coalesce(F.get("reasons", F.lit(0)), F.lit("kept")))
     return out.groupBy(first.alias("first_reason")).agg(F.count("*").alias("n"), F.sum("n_words").alias("words"))
 

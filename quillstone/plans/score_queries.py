@@ -9,6 +9,8 @@ from ..functions import text as X
 from ..functions.parsing import CLASSES
 from ..operators import datasets as DS
 from ..operators import metrics as M
+from ..operators import ranks as RK
+from ..operators import resample as RS
 from .base import ANSWERS, FEATURES, answers, draw, rounded, s_draw, s_edge, s_f, s_norm, s_ratio, s_tokens
 from .registry import query, table
 
@@ -110,7 +112,7 @@ SELECT source, n, round(mean_tokens, 6) AS mean_tokens, CAST(p99_tokens AS INTEG
 def _(spark, sf):
     rows = M.evidence_features(answers(spark, sf)).drop("text", "gold", "pred").persist()  # narrow; three reports read it
     other = rows.groupBy("source").agg(F.count("*").alias("n"), F.avg("n_tokens").alias("mean_tokens"), F.avg(F.col("gold_verdict").eqNullSafe(F.col("pred_verdict")).cast("int")).alias("accuracy"))
-    p99 = M.rank_percentiles(rows, "n_tokens", {"p99_tokens": (0.99, 0)}, ["source"]).drop("n")
+    p99 = RK.rank_percentiles(rows, "n_tokens", {"p99_tokens": (0.99, 0)}, ["source"]).drop("n")
     return rounded(other.join(p99, "source").join(M.evidence_report(rows, ["source"]), "source"))
 
 
@@ -157,12 +159,12 @@ _PCT = lambda q, less=0: f"list_sort(list(n_tokens))[CAST(greatest(least(floor({
 
 @query("token_percentiles", f"WITH {ANSWERS} SELECT lang, count(*) AS n, {_PCT(0.5)} AS p50, {_PCT(0.9)} AS p90, {_PCT(0.95, 1)} AS p95, {_PCT(0.99)} AS p99 FROM answers GROUP BY lang")
 def _(spark, sf):
-    return M.rank_percentiles(answers(spark, sf), "n_tokens", {"p50": (0.5, 0), "p90": (0.9, 0), "p95": (0.95, 1), "p99": (0.99, 0)}, ["lang"])
+    return RK.rank_percentiles(answers(spark, sf), "n_tokens", {"p50": (0.5, 0), "p90": (0.9, 0), "p95": (0.95, 1), "p99": (0.99, 0)}, ["lang"])
 
 
 @query("length_bounds", f"WITH {ANSWERS} SELECT greatest({_PCT(0.01, 1)}, 20) AS low, {_PCT(0.99)} AS high FROM answers")
 def _(spark, sf):
-    return M.rank_percentiles(answers(spark, sf), "n_tokens", {"p1": (0.01, 1), "high": (0.99, 0)}).select(F.greatest("p1", F.lit(20)).alias("low"), "high")
+    return RK.rank_percentiles(answers(spark, sf), "n_tokens", {"p1": (0.01, 1), "high": (0.99, 0)}).select(F.greatest("p1", F.lit(20)).alias("low"), "high")
 
 
 @query("length_exceedance", """SELECT lang, count(*) AS docs, count(*) FILTER (n_chars > 4000) AS over_4k, count(*) FILTER (n_chars > 16000) AS over_16k, round(avg(n_chars / greatest(len(string_split(trim(text), ' ')), 1)), 4) AS chars_per_word FROM documents GROUP BY lang""")
@@ -222,7 +224,7 @@ def _(spark, sf):
 SELECT count(*) AS n, list_sort(list(o))[CAST(least(floor(0.5 * count(*)), count(*) - 1) AS INTEGER) + 1] AS p50, list_sort(list(o))[CAST(least(floor(0.9 * count(*)), count(*) - 1) AS INTEGER) + 1] AS p90 FROM o""")
 def _(spark, sf):
     rows = M.evidence_features(answers(spark, sf)).where("case = 'FN'").select(F.round(F.col("as_set.r") * 1000).cast("int").alias("o"))
-    return M.rank_percentiles(rows, "o", {"p50": (0.5, 0), "p90": (0.9, 0)})
+    return RK.rank_percentiles(rows, "o", {"p50": (0.5, 0), "p90": (0.9, 0)})
 
 
 @query("error_concentration", f"""WITH {ANSWERS}, h AS (SELECT hypothesis, count(*) AS n FROM answers WHERE pred_verdict = 'Contradiction' AND gold_verdict <> 'Contradiction' GROUP BY 1)
@@ -268,9 +270,31 @@ def _(spark, sf):
     return rounded(answers(spark, sf).groupBy(length.alias("length")).agg(F.count("*").alias("n"), F.avg(F.col("gold_verdict").eqNullSafe(F.col("pred_verdict")).cast("int")).alias("accuracy")))
 
 
-@query("bootstrap_ci")
+def _bootstrap_sql(rows: str, named: list[str], gold: str, preds: list[str], classes: list[str], by: str | None = None, draws: int = 2000) -> str:
+    """Hashed Poisson weights of counted combinations; macro F1 of each draw."""
+    key = " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in named)
+    one = " + ".join(f"CAST(x >= {step} AS INTEGER)" for step in RS.STEPS)
+    is_ = lambda c, x: f"coalesce({c} = {x}, false)"
+    sums = ", ".join(f"sum(w) FILTER ({is_(gold, c)} AND {is_(p, c)}) AS tp{k}_{j}, sum(w) FILTER ({is_(gold, c)} <> {is_(p, c)}) AS off{k}_{j}" for k, p in enumerate(preds) for j, c in enumerate(classes))
+    f1 = lambda k, j: f"CASE WHEN tp{k}_{j} > 0 THEN 2 * tp{k}_{j} / CAST(2 * tp{k}_{j} + coalesce(off{k}_{j}, 0) AS DOUBLE) ELSE 0 END"
+    macro = ", ".join(f"avg(({' + '.join(f1(k, j) for j in range(len(classes)))}) / {len(classes)}) AS m{k}" for k in range(len(preds)))
+    group = f", {by}" if by else ""
+    return f"""WITH {ANSWERS}, rows AS ({rows}), cells AS (SELECT {', '.join(named)}, count(*) AS c FROM rows GROUP BY ALL),
+d AS (SELECT *, md5('0|' || {key} || '|' || draw) AS h FROM cells, unnest(range({draws})) t(draw)),
+u AS (SELECT *, list_transform(range(8), lambda i: CAST('0x' || substr(h, CAST(i * 4 + 1 AS BIGINT), 4) AS INTEGER)) AS u FROM d),
+w AS (SELECT *, CASE WHEN c <= {RS.SINGLE} THEN list_sum(list_transform(u[1:c], lambda x: {one})) ELSE greatest(0, floor(c + sqrt(c) * ((list_sum(u) / 65536.0 - 4 + 8 / 131072.0) * sqrt(1.5)) + 0.5)) END AS w FROM u),
+s AS (SELECT draw{group}, {sums} FROM w GROUP BY draw{group}), m AS (SELECT draw, {macro} FROM s GROUP BY draw),
+v AS (SELECT round({'m0 - m1' if len(preds) == 2 else 'm0'}, 9) AS v FROM m)
+SELECT round(avg(v), 6) AS mean, round(list_sort(list(v))[{int(0.025 * draws) + 1}], 6) AS ci_low, round(list_sort(list(v))[{int(0.975 * draws) + 1}], 6) AS ci_high, round(avg(CAST(v > 0 AS INTEGER)), 6) AS p_positive FROM v"""
+
+
+_CLASSES = [f"'{c}'" for c in CLASSES]
+_OTHER = f"CASE WHEN {s_draw('doc_id', 'hit2', 10)} < 6 THEN gold_verdict ELSE 'NotMentioned' END AS other"
+
+
+@query("bootstrap_ci", _bootstrap_sql("SELECT * FROM answers", ["gold_verdict", "pred_verdict"], "gold_verdict", ["pred_verdict"], _CLASSES))
 def _(spark, sf):
-    return M.bootstrap(answers(spark, sf), "gold_verdict", ["pred_verdict"], CLASSES)
+    return rounded(RS.bootstrap(answers(spark, sf), "gold_verdict", ["pred_verdict"], CLASSES))
 
 
 def two_systems(spark, sf):
@@ -278,16 +302,16 @@ def two_systems(spark, sf):
     return answers(spark, sf).withColumn("other", F.when(draw(F.col("doc_id"), "hit2", 10) < 6, F.col("gold_verdict")).otherwise("NotMentioned"))
 
 
-@query("paired_bootstrap")
+@query("paired_bootstrap", _bootstrap_sql(f"SELECT *, {_OTHER} FROM answers", ["gold_verdict", "pred_verdict", "other"], "gold_verdict", ["pred_verdict", "other"], _CLASSES))
 def _(spark, sf):
-    return M.bootstrap(two_systems(spark, sf), "gold_verdict", ["pred_verdict", "other"], CLASSES)
+    return rounded(RS.bootstrap(two_systems(spark, sf), "gold_verdict", ["pred_verdict", "other"], CLASSES))
 
 
-@query("paired_bootstrap_by_category")
+@query("paired_bootstrap_by_category", _bootstrap_sql(f"SELECT source, len(gold) > 0 AS g, len(pred) > 0 AS a, {s_draw('doc_id', 'present2', 5)} > 0 AS b FROM answers", ["source", "g", "a", "b"], "g", ["a", "b"], ["true"], by="source"))
 def _(spark, sf):
     """Presence of evidence: the mean over sources of the F1 of the present ones, of two systems."""
     rows = answers(spark, sf).select("source", (F.size("gold") > 0).alias("g"), (F.size("pred") > 0).alias("a"), (draw(F.col("doc_id"), "present2", 5) > 0).alias("b"))
-    return M.bootstrap(rows, "g", ["a", "b"], [True], by="source")
+    return rounded(RS.bootstrap(rows, "g", ["a", "b"], [True], by="source"))
 
 
 @query("training_curve", """WITH d AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS step, avg(o_totalprice) AS loss FROM orders GROUP BY 1),

@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstone.operators import dedup as D
-from quillstone.operators import metrics as M
+from quillstone.operators import ranks as RK
+from quillstone.operators import resample as RS
 from quillstone.operators import retrieval as RT
 from quillstone.operators import sampling as S
 
@@ -61,28 +62,73 @@ def test_bootstrap(spark):
     rng = random.Random(3)
     rows = [(g := rng.choice("abc"), g if rng.random() < 0.8 else rng.choice(["a", None]), g if rng.random() < 0.6 else "b") for _ in range(300)]
     df = spark.createDataFrame(rows, "g string, p string, q string")
-    one = M.bootstrap(df, "g", ["p"], ["a", "b", "c"], draws=1500).first()
-    two = M.bootstrap(df.repartition(7), "g", ["p", "q"], ["a", "b", "c"], draws=1500).first()
+    one = RS.bootstrap(df, "g", ["p"], ["a", "b", "c"], draws=1500).first()
+    two = RS.bootstrap(df.repartition(7), "g", ["p", "q"], ["a", "b", "c"], draws=1500).first()
     resampled = [[rows[rng.randrange(300)] for _ in rows] for _ in range(600)]
     v = sorted(brute_macro(r, 1, "abc") for r in resampled)
     d = sorted(brute_macro(r, 1, "abc") - brute_macro(r, 2, "abc") for r in resampled)
     for got, want in ((one, v), (two, d)):
         assert np.allclose([got.mean, got.ci_low, got.ci_high], [np.mean(want), want[15], want[585]], atol=0.015)
-    assert two.p_positive > 0.95 and one == M.bootstrap(df.repartition(3), "g", ["p"], ["a", "b", "c"], draws=1500).first()
-    assert M.bootstrap(df.limit(0), "g", ["p"], ["a"]).first()["mean"] is None
+    assert two.p_positive > 0.95 and one == RS.bootstrap(df.repartition(3), "g", ["p"], ["a", "b", "c"], draws=1500).first()
+    assert RS.bootstrap(df.limit(0), "g", ["p"], ["a"]).first()["mean"] is None
 
 
 def test_bootstrap_by_group(spark):
     rng = random.Random(4)
     rows = [(rng.choice("uvw"), rng.random() < 0.5, rng.random() < 0.7) for _ in range(240)]
     df = spark.createDataFrame([(k, g, g if i % 5 else p, p) for i, (k, g, p) in enumerate(rows)], "k string, g boolean, a boolean, b boolean")
-    got = M.bootstrap(df, "g", ["a", "b"], [True], by="k", draws=1000).first()
+    got = RS.bootstrap(df, "g", ["a", "b"], [True], by="k", draws=1000).first()
     data = [tuple(r) for r in df.collect()]
     score = lambda rs, c: np.mean([brute_macro([(r[1], r[c]) for r in rs if r[0] == k], 1, [True]) for k in "uvw"])
     d = sorted(score(r, 2) - score(r, 3) for r in ([data[rng.randrange(240)] for _ in data] for _ in range(400)))
     assert np.allclose([got.mean, got.ci_low, got.ci_high], [np.mean(d), d[10], d[390]], atol=0.02)
 
 
+def test_poisson_weights(spark):
+    """Mean and variance of the drawn weights, small counts and large."""
+    rows = [(c, f"k{c}") for c in (1, 3, 8, 9, 40, 1000)]
+    w = RS.weight(F.col("c"), F.concat_ws("|", "k", F.col("i").cast("string")))
+    got = spark.createDataFrame(rows, "c long, k string").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(3999)))).select("c", w.alias("w")).groupBy("c").agg(F.avg("w").alias("m"), F.var_samp("w").alias("v"), F.min("w").alias("low")).collect()
+    for r in got:
+        assert abs(r.m - r.c) < 5 * (r.c / 4000) ** 0.5 and 0.88 < r.v / r.c < 1.12 and r.low >= 0
+
+
+def test_running(spark, monkeypatch):
+    """Places over many ranges, a group with most rows among them, nulls as a group of their own."""
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["hot"] * 8 + ["a", None]), rng.randrange(5)) for i in rng.sample(range(10_000), 400)]
+    df = spark.createDataFrame(rows, "k long, g string, w int").repartition(5)
+    got = RK.running(df, ["k"], ["g"], F.col("w")).collect()
+    for g in ("hot", "a", None):
+        own, upto = sorted(r for r in rows if r[1] == g), 0
+        found = {r.k: (r["__upto"], r["__n"]) for r in got if r.g == g}
+        for k, _, w in own:
+            upto += w
+            assert found[k] == (upto, sum(r[2] for r in own))
+    capped = {r.k for r in RK.running_cap(df, "g", "k", F.col("w") > 1, 3).where("capped").collect()}
+    assert capped == {r[0] for g in ("hot", "a", None) for r in sorted(x for x in rows if x[1] == g and x[2] > 1)[3:]}
+    assert RK.running(df.limit(0), ["k"]).count() == 0
+
+
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_rank_percentiles(spark, by):
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "b"]), rng.choice([None, 7, rng.randrange(1000)])) for _ in range(300)]
+    got = RK.rank_percentiles(spark.createDataFrame(rows, "g string, v int"), "v", {"p1": (0.01, 1), "p50": (0.5, 0), "p100": (1.0, 0)}, by).collect()
+    for r in got:
+        own = sorted(v for g, v in rows if v is not None and (not by or g == r.g))
+        at = lambda q, less: own[max(0, min(int(q * len(own)) - less, len(own) - 1))]  # noqa: B023, E731
+        assert (r.n, r.p1, r.p50, r.p100) == (len(own), at(0.01, 1), at(0.5, 0), own[-1])
+    assert len(got) == (2 if by else 1)
+
+
+def test_shots(spark):
+    rows = [(i, "xyz"[i % 3], f"t{i}") for i in range(60)]
+    out = S.shots(spark.createDataFrame(rows, "k long, c string, t string"), "k", "c", ["x", "q", "y"], 6, F.struct("t"), "s").first().shots
+    draw = lambda i, c: min((hashlib.md5(f"s|{i}|{k}".encode()).hexdigest(), t) for k, x, t in rows if x == c)[1]
+    assert [e.t for e in out] == [draw(0, "x"), draw(2, "y"), draw(3, "x"), draw(5, "y")]
+
+
 def test_dense_in_blocks(spark):
     rng = np.random.default_rng(5)
     x = np.round(rng.standard_normal((300, 8)), 1)
