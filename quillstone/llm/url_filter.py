@@ -12,7 +12,7 @@ first reduced within each period, so that no window sees more than a pattern's c
 Defined results: a null or unreadable URL, or a null fetch time, matches nothing and isn't blocked; an addition and a removal at
 one time leave the pattern on the list; an entry holds from its own time on, up to but without that of its removal; repeated entries
 count once; entries with nulls count not at all; other columns of captures pass through, whatever their names, except that ``lists``
-and ``blocked`` are replaced. Equal rows get equal results each; rows of one id must be equal in URL and time, or share their matches.
+and ``blocked`` are replaced. Rows are judged each by their own URL and time, whatever their ids: null, or of several rows.
 """
 
 from __future__ import annotations
@@ -77,10 +77,12 @@ def intervals(entries: DataFrame) -> DataFrame:
 def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched") -> DataFrame:
     """``captures`` with ``lists`` (sorted names of the lists that match, blocking and allowing) and ``blocked``."""
     captures = captures.drop("lists", "blocked")
-    of, lists, allowed, listed = (free(captures.columns, c) for c in ("__id", "__lists", "__allowed", "__listed"))
+    mine, of, lists, allowed, listed = (free(captures.columns, c) for c in ("__mine", "__id", "__lists", "__allowed", "__listed"))
     depth = entries.where("kind = 'path'").agg(F.max(F.size(F.split("pattern", "/")) - 1)).first()[0] or 0
     time, period = F.col(f"`{time_col}`").cast("timestamp"), lambda t: F.floor(F.unix_timestamp(t) / PERIOD_S)
-    asked = captures.select(F.col(f"`{id_col}`").alias("__id"), time.alias("__t"), F.explode(patterns(F.col(f"`{url_col}`"), depth)).alias("pattern"))
+    parts = (F.col(f"`{id_col}`").cast("string"), F.unix_micros(time).cast("string"), F.col(f"`{url_col}`"))
+    key = F.unhex(F.md5(F.concat(*[x for c in parts for x in (F.coalesce(c, F.lit("~")), F.lit("|"))])))  # equal only where id, time and URL are
+    asked = captures.select(key.alias("__id"), time.alias("__t"), F.explode(patterns(F.col(f"`{url_col}`"), depth)).alias("pattern"))
     asked = asked.where("__t IS NOT NULL").withColumn("period", period(F.col("__t")))
     counts = cut(asked.groupBy("pattern", "period").count())
     size = counts.agg(F.sum("count").alias("n"), F.min("period").alias("first"), F.max("period").alias("last")).first()
@@ -93,9 +95,9 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id"
     asked = asked.join(hot, ["pattern", "period"], "left").withColumn("salt", F.pmod(F.xxhash64("__id"), F.coalesce("salts", F.lit(1))).cast("int"))
     active = asked.join(held, ["pattern", "period", "salt"]).where("__t >= since AND (until IS NULL OR __t < until)")
     matched = active.groupBy("__id").agg(F.array_sort(F.collect_set("list")).alias(lists), F.bool_or("allows").alias(allowed), F.bool_or(~F.col("allows")).alias(listed))
-    out = captures.join(matched.withColumnRenamed("__id", of), F.col(f"`{id_col}`") == F.col(of), "left")
+    out = captures.withColumn(mine, key).join(matched.withColumnRenamed("__id", of), F.col(mine) == F.col(of), "left")
     return out.select(
-        *[captures[f"`{c}`"] for c in captures.columns],
+        *[F.col(f"`{c}`") for c in captures.columns],
         F.coalesce(lists, F.array().cast("array<string>")).alias("lists"),
         F.coalesce(F.col(listed) & ~F.col(allowed), F.lit(False)).alias("blocked"),
     )
