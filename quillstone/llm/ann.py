@@ -7,7 +7,7 @@ distance, until the k-th distance d found and the projected distance r of what c
 a nearer vector would have been seen with that probability.
 
 The projected space is cut into shards by a kd-tree fitted on ``SAMPLE`` vectors at most; every vector is indexed in the shard
-that it falls in, and a shard of many is cut further by a hash. A query searches its own shard; with the distance found there,
+that it falls in, and a shard of many is cut further by a hash (beyond ``SAMPLE / 16`` shards, of 16 sampled vectors each, that is all). A query searches its own shard; with the distance found there,
 the test picks the other shards it must visit, from their boxes. Each shard builds the kd-tree of its vectors in its task.
 
 Of equal vectors only those of the least ids can be among the nearest, so ``k + 1`` of each are kept, counted in salted parts;
@@ -31,6 +31,8 @@ from . import blocks as B
 from .components import cut
 
 PROJECTIONS, SURE = 8, 0.8
+#: A bound of what a product of vectors of length one is off by rounding.
+ROUNDING = 1e-12
 #: Leaves of a tree are verified some at a time, GROWTH times as many each time, for so many queries together.
 SAMPLE, SHARD_ROWS, LEAF_ROWS, STEP_LEAVES, GROWTH, QUERIES = 16_384, 8_192, 64, 8, 4, 256
 
@@ -139,11 +141,13 @@ class Index:
                 next_gap = np.where(rank == at, gaps, 0).sum(1)
                 distance = np.where(np.isneginf(kth), np.inf, self.projection.distance(q, np.maximum(kth, -1e300)))
                 active &= chi_square((next_gap / distance) ** 2, PROJECTIONS) < SURE
-        out = []
-        for own, least in zip(scores, kth, strict=True):
-            near = np.flatnonzero((own >= least) & (own > -np.inf))
-            near = near[np.lexsort((self.ids[near], -own[near]))[:k]]
-            out.append((self.ids[near], own[near]))
+        out, length = [], np.sqrt((q * q).sum(1)) * self.projection.norm
+        for row, own, least, most in zip(q, scores, kth, length, strict=True):
+            # products of blocks differ in their last bits with the block: what may be among the first is scored again, row by row
+            near = np.flatnonzero((own >= least - ROUNDING * most) & (own > -np.inf))
+            exact = (self.x[near] * row).sum(1)
+            best = np.lexsort((self.ids[near], -exact))[:k]
+            out.append((self.ids[near[best]], exact[best]))
         return out
 
 
@@ -174,7 +178,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     few = few.withColumn("rn", F.row_number().over(equal)).where(F.col("rn") <= k + 1).select("vec_id", "v")
     projection = Projection(length, size["norm"] or 1.0)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()
-    _, boxes, splits = median_tree(projection.vectors(matrix(sample["v"], length)), max(1, -(-count // SHARD_ROWS)))
+    _, boxes, splits = median_tree(projection.vectors(matrix(sample["v"], length)), max(1, min(SAMPLE // 16, -(-count // SHARD_ROWS))))
     tree = spark.sparkContext.broadcast((projection, splits, np.array([b[0] for b in boxes]), np.array([b[1] for b in boxes])))
 
     def place(batches):
