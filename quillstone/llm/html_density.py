@@ -1,14 +1,15 @@
 """Main text of web pages by composite text density.
 
-The tag soup is read in one pass into a tree of block elements. Chrome that a page declares itself (navigation, footers, forms,
-scripts) is cut off. What is left is judged by density: the characters of a node over its tags, adjusted by the share of its
+The tag soup is read in one pass into a tree of block elements. Chrome that a page declares itself (navigation, footers, scripts)
+is cut off. What is left is judged by density: the characters of a node over its tags, adjusted by the share of its
 characters and tags that are links. The node whose children's densities have the largest sum is the core; the least density on the
 path from it to the body is the threshold, and every subtree as dense as that contributes its own node of largest sum. Headings
 beside the path, before the core, belong to it. Nothing inside a chosen subtree is dropped but chrome.
 
-Classes and ids that name nothing but chrome (adverts, reader comments) mark candidates, which density judges: what holds the core
-is no chrome, whatever its name, and names that articles use too (``DOUBTFUL``) count within the core only for what is less dense
-than the threshold.
+Forms, and classes and ids that name nothing but chrome (adverts, reader comments), mark candidates, which density judges: it counts
+for less there (``DISCOUNT``) when the core is looked for, but what holds the core is no chrome, whatever its name, and names that
+articles use too (``DOUBTFUL``) count within the core only for what is less dense than the threshold. A page that has text in candidates
+alone keeps it.
 
 Reading is linear in a page's tags, however they nest.
 
@@ -28,7 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
+#: A quote opens a value only behind "="; elsewhere in a tag it is a character like others.
+VALUE = r"=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?+"
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|{VALUE})*+)(>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 #: Fixed values of HTML: elements without content, of raw text, that start a block, and that a paragraph ends before.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe noframes xmp svg math object select".split())
@@ -41,12 +44,14 @@ HOLDS = frozenset("ul ol dl menu table body select".split())
 MARKS = HOLDS.union(*CLOSES.values())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Chrome by element, by role, and by words of a class or id.
-CHROME = frozenset("nav footer aside form button dialog menu search head".split())
+CHROME = frozenset("nav footer aside button dialog menu search head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising breadcrumb breadcrumbs comment comments disqus footer login masthead menu nav navbar navigation newsletter pager pagination related recommended replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
 DOUBTFUL = frozenset("aside banner consent cookie cookies gdpr modal notice overlay popup promo promotion skip".split())
+#: How much of its density counts for what stands in elements named as chrome, when the core is looked for.
+DISCOUNT = 1 / 16
 #: What a name may hold besides and still name nothing but chrome.
 GLUE = frozenset("area article bar block bottom box button buttons column container content entry footer form global group header inline inner item items left link links list main module page panel placement post posts primary right secondary section site slot story thread top unit wrap wrapper".split())
 NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)|'([^']*)|([^\s\"'>]+)))?", re.I)
@@ -79,7 +84,9 @@ def is_chrome(tag: str, attributes: str, in_article: bool) -> bool:
 
 
 def named(tag: str, attributes: str) -> int:
-    """Does a class or id name this as chrome (2), or as what may be chrome (1)?"""
+    """Does a class or id name this as chrome (2), or as what may be chrome (1)? A form is of the first kind: some hold a whole page."""
+    if tag == "form":
+        return 2
     if "=" not in attributes or tag in ("body", "html"):
         return 0
     found = 0
@@ -173,21 +180,26 @@ def parse(html: str) -> Node:
 
 
 def judge_names(root: Node) -> None:
-    """Named elements become chrome with all below them, but for what holds the core and for dense ones of doubtful name in it."""
+    """Named elements become chrome with all below them, but for what holds the core and for dense ones of doubtful name in it; all stay
+    where nothing else has any text."""
     nodes = _every(root)
     if not any(x.named for x in nodes):
         return
     measure(root)
-    core = _core(root, plain=True)
+    core = _core(root, DISCOUNT)
     path = _path(core)
     threshold = min(x.density for x in path)
     keep, within = {id(x) for x in path}, set()
     for x in nodes:
         if x is core or id(x.up) in within:
             within.add(id(x))
+    before = [x.chrome for x in nodes]
     for x in nodes[1:]:
         out = x.named == 2 or x.named and not (id(x) in within and x.density >= threshold)
         x.chrome = x.chrome or x.up.chrome or bool(out) and id(x) not in keep
+    if not any(x.own[0] for x in nodes if not x.chrome):
+        for x, chrome in zip(nodes, before, strict=True):
+            x.chrome = chrome
 
 
 def _every(root: Node):
@@ -223,18 +235,14 @@ def measure(root: Node) -> list[Node]:
     return nodes
 
 
-def _core(node: Node, plain: bool = False) -> Node:
-    """The node of largest sum in a subtree; the first of equals, and the subtree itself if it has no block inside. plain: not
-    within named elements, if there is text elsewhere."""
-    best, out = node, {}
-    for x in _every(node):
-        if plain:
-            out[id(x)] = x.named == 2 or x.up is not None and out[id(x.up)]
-        if not x.chrome and x.sum > best.sum and not (plain and out[id(x)]):
-            best = x
-    if plain and best is node and not any(k.density and not out[id(k)] for k in node.kids) and not node.texts:
-        return _core(node)
-    return best
+def _core(node: Node, discount: float = 1.0) -> Node:
+    """The node of largest sum in a subtree; the first of equals, and the subtree itself if it has no block inside. The density of what stands in
+    elements named as chrome counts for so much less."""
+    nodes, within = _every(node), {}
+    for x in nodes:
+        within[id(x)] = x.named == 2 or x is not node and within[id(x.up)]
+    worth = lambda x: x.sum if discount == 1 else sum(k.density * discount if within[id(k)] else k.density for k in x.kids)
+    return max((x for x in nodes if x is node or not x.chrome), key=worth)
 
 
 def _path(node: Node) -> list[Node]:

@@ -327,6 +327,7 @@ def test_urls_brute(spark, monkeypatch, period):
     hosts = ["a.com", "b.a.com", "c.org", "[::1]", "x.y.z.net"]
     captures = [(i, f"http://{rng.choice(hosts[:1] * 6 + hosts)}{rng.choice(['', ':80'])}/" + "/".join(rng.choice("pqR") for _ in range(rng.randrange(4))), rng.randrange(40)) for i in range(150)]
     captures += captures[:20]
+    captures += [(i, *captures[k][1:]) for k, i in zip(range(40, 80), [None] * 20 + [7] * 20, strict=True)]  # rows of no id and of one
     target = lambda: rng.choice([("host", rng.choice(hosts)), ("domain", rng.choice(["a.com", "com", "net", "z.net", "other.de"])), ("path", rng.choice(["a.com/p", "a.com/p/q", "c.org/R", "[::1]/p"]))])
     changes = [(rng.choice(["l1", "l2"]), *target(), rng.choice(["add", "add", "remove"]), rng.randrange(40)) for _ in range(60)]
     day = lambda df, c: df.withColumn(c, F.date_add(F.lit("2024-01-01").cast("date"), F.col(c)))
@@ -346,7 +347,8 @@ def test_urls_brute(spark, monkeypatch, period):
                     found.add(name)
         want.append((i, sorted(found), "l1" in found and "l2" not in found))
     c = day(spark.createDataFrame(captures, "page_id long, url string, fetched int"), "fetched")
-    assert sorted((r.page_id, r.lists, r.blocked) for r in filter_urls(c, e).collect()) == sorted(want)
+    in_order = lambda rows: sorted(rows, key=str)
+    assert in_order((r.page_id, r.lists, r.blocked) for r in filter_urls(c, e).collect()) == in_order(want)
 
 
 def test_urls_case(spark):
@@ -487,6 +489,19 @@ def test_main_text(html, text):
 LONG = "A long text here, with much to say, " * 6
 
 
+WHOLE = [
+    (f"<p don't><p>{LONG}</p><p>{LONG}</p>", 2), (f'<p title="5" tall">{LONG}</p><p>{LONG}</p>', 2), (f"<p a='x>y' b = \"<p>\" c=d\"e><a href=x?y=\"z>{LONG}</a></p><p>{LONG}</p>", 2),
+    (f'<html><body><form id="aspnetForm"><nav>Home</nav><p>{LONG}</p><p>{LONG}</p></form></body></html>', 2), (f"<form>{LONG}</form>", 1), (f"<form><p>{LONG}</p></form>", 1),
+    (f'<div class="login"><p>{LONG}</p><p>{LONG}</p></div><div><p>short</p></div>', 2), (f'<div class="related-content"><p>{LONG}</p><p>{LONG}</p></div><div><p>tiny</p></div>', 2),
+]
+
+
+@pytest.mark.parametrize(("html", "n"), WHOLE)
+def test_no_page_is_lost(html, n):
+    """Stray quotes, forms about a whole page, and names of chrome about all there is."""
+    assert main_text(html).split("\n\n") == [LONG.strip()] * n
+
+
 @pytest.mark.parametrize(
     "html",
     [
@@ -669,6 +684,23 @@ def test_nearest(spark):
     assert ann.nearest(few.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rows", [40, 300, 2000])
+def test_equal_vectors_in_order_of_id(rows):
+    """Hundreds of equal vectors among others: ids and scores exactly as a row-by-row product orders them, whatever the blocks."""
+    rng = np.random.default_rng(rows)
+    x = np.repeat(rng.standard_normal((rows // 20, 24)), 20, axis=0)[rng.permutation(rows)]
+    ids, q = rng.permutation(rows) * 3, np.vstack([x[:50], rng.standard_normal((50, 24))])
+    for v, (got, scores) in zip(q, ann.Index(ids, x, ann.Projection(24, np.linalg.norm(x, axis=1).max())).search(q, 33), strict=True):
+        exact = (x * v).sum(1)
+        score = dict(zip(ids.tolist(), exact.tolist(), strict=True))
+        assert scores.tolist() == [score[i] for i in got.tolist()]
+        assert got.tolist() == sorted(got.tolist(), key=lambda i: (-score[i], i))
+        for value in set(scores[:-1].tolist()) - {scores[-1]}:  # of those equal to one found all are found
+            assert {i for i in got.tolist() if score[i] == value} == set(ids[exact == value].tolist())
+        last = sorted(ids[exact == scores[-1]].tolist())  # and of those equal to the last the least
+        assert [i for i in got.tolist() if score[i] == scores[-1]] == last[: int((scores == scores[-1]).sum())]
+
+
 @pytest.mark.parametrize("kind", ["isotropic", "clustered", "norms", "equal"])
 def test_index_recall(kind):
     rng = np.random.default_rng(24)
