@@ -10,17 +10,19 @@ Windows have the size of an item and begin at any character. Most can be left ou
 most the ``q``-byte grams that overlap it, so an occurrence keeps a known number of its item's grams, all within the shift
 that the edits allow. Windows without so many grams so near each other, counted exactly, are no occurrences and aren't embedded.
 
-Texts are never shuffled. The items are taken in blocks of at most ``ITEM_BYTES`` of text; a block's tables are broadcast, and
-a larger benchmark makes more blocks. Of more than ``BLOCKS`` blocks, results are written before the next tables are made.
+Texts are never shuffled. Items are embedded where they lie and gathered in blocks whose tables, counted in bytes, take at most
+``TABLE_BYTES``; a block is broadcast, and a larger benchmark makes more blocks. Of more than ``BLOCKS`` blocks, results are written
+before the next are gathered.
 
-Defined results: case of A-Z and kinds of white space are ignored; null or empty texts hold nothing; items under ``min_chars``
-bytes, null or empty are no evidence; equal items are each reported; of several occurrences of an item in a text the one of
+Defined results: case of A-Z and kinds of white space are ignored; null or empty texts hold nothing; items that are null or
+empty (or under ``min_chars`` bytes) are no evidence; equal items are each reported; of several occurrences of an item in a text the one of
 fewest edits counts, then the first; rows of one id or of equal texts are judged each; other columns pass through, except
 that ``leaks`` is replaced.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 import numpy as np
@@ -40,8 +42,10 @@ GRAM = 8
 GRAM_BYTES = 256 << 10
 #: Grams met at once, of whole texts; bounds the temporary arrays.
 MET = 1 << 22
-#: Bytes of items in a block, and blocks whose tables are held at once.
-ITEM_BYTES, BLOCKS = 4 << 20, 8
+#: Bytes of a block's tables, and blocks that are held at once; bytes of tables for an item and for each byte of it: its sampled traces, 32 bits
+#: each, and for each gram its hash, item and place.
+TABLE_BYTES, BLOCKS = 32 << 20, 8
+ITEM_COST, BYTE_COST = 4 * WALKS * SAMPLES + 200, 8 * 3 + 2
 FILTER_BITS = 22
 NORMAL = B.LOWER.copy()
 NORMAL[np.flatnonzero(B.IS_SPACE)] = 32
@@ -86,11 +90,11 @@ def nearest(pattern: str, text: str, most: int | None = None) -> tuple[int, int,
 class Tables:
     """What a block of items needs to be found: their grams, how many an occurrence keeps, and their sampled traces."""
 
-    def __init__(self, items: list[tuple[int, str]], percent: int, min_chars: int):
-        self.percent = percent
-        self.items = [(i, normal(t)) for i, t in items]
+    def __init__(self, items: list[tuple[int, str]], keys: np.ndarray, percent: int):
+        """items: id and normalised text; keys: what ``embed`` makes of these."""
+        self.percent, self.items, self.keys = percent, items, keys
         data = [t.encode() for _, t in self.items]
-        kept = [k for k, d in enumerate(data) if len(d) >= max(min_chars, 1)]
+        kept = [k for k, d in enumerate(data) if d]
         self.need, self.most, self.width, self.sizes = (np.ones(len(data), np.int64) for _ in range(4))
         grouped: dict[int, list[int]] = {}
         for k in kept:
@@ -113,21 +117,7 @@ class Tables:
                 seen = np.zeros(1 << FILTER_BITS, bool)
                 seen[(gram >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
                 self.grams.append((q, seen, gram[order], of[order], at[order]))
-        rng = np.random.default_rng(20_240)
-        self.class_of, self.classes = np.full(len(data), -1), []
-        self.keys = np.zeros((WALKS * SAMPLES, len(data)), np.uint64)
-        low = max(min_chars, 1)
-        while (self.class_of[kept] < 0).any():
-            high = max(low + 1, int(low * CLASS_GROWTH))
-            own = np.array([k for k in kept if low <= len(data[k]) < high], np.int64)
-            if len(own):
-                steps = max(1, int(1.5 * low))
-                walk, at = rng.integers(0, 2, (WALKS, steps, 256)).astype(np.uint8), rng.integers(0, steps, (WALKS, SAMPLES, STEPS))
-                edges = np.cumsum([0, *[len(data[k]) for k in own]])
-                self.keys[:, own] = traces(np.frombuffer(b"".join(data[k] for k in own), np.uint8), edges[:-1], edges[1:], walk, at)
-                self.class_of[own] = len(self.classes)
-                self.classes.append((walk, at))
-            low = high
+        self.class_of = classes(np.array([len(d) for d in data], np.int64))
 
     def leaks(self, column) -> list[list[tuple[int, int, int, int]]]:
         raw, offsets = B.text_bytes(column)
@@ -181,8 +171,9 @@ class Tables:
         if not found:
             return
         row, item, a, b = np.array(found, np.int64).T
-        for k, (walk, at) in enumerate(self.classes):
+        for k in np.unique(self.class_of[item]).tolist():
             own = np.flatnonzero(self.class_of[item] == k)
+            walk, at = walks(k)
             for lot in np.array_split(own, max(1, -(-int((b - a + 1)[own].sum()) // WINDOWS))):
                 n = (b - a + 1)[lot]
                 if not n.sum():
@@ -241,10 +232,36 @@ def traces(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, walk: np.ndarr
         out = np.zeros((walks, at.shape[1], len(starts)), np.uint64)
         for k in range(at.shape[2]):
             out = out * B.WORD_MUL + seen[at[:, :, k], line] + np.uint64(1)
-        return B.mix(out).reshape(-1, len(starts))
+        return (B.mix(out) >> np.uint64(32)).astype(np.uint32).reshape(-1, len(starts))
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", percent: int = 10, min_chars: int = 12) -> DataFrame:
+def classes(sizes: np.ndarray) -> np.ndarray:
+    """The class of each length in bytes: the least length of its class."""
+    lows = [1]
+    while len(sizes) and lows[-1] <= sizes.max():
+        lows.append(max(lows[-1] + 1, int(lows[-1] * CLASS_GROWTH)))
+    return np.array(lows)[np.searchsorted(lows, sizes, "right") - 1]
+
+
+@functools.lru_cache(64)
+def walks(low: int) -> tuple[np.ndarray, np.ndarray]:
+    """The random walks of a class of lengths and the steps that are sampled: the same wherever they are made."""
+    rng, steps = np.random.default_rng([20_240, low]), max(1, int(1.5 * low))
+    return rng.integers(0, 2, (WALKS, steps, 256)).astype(np.uint8), rng.integers(0, steps, (WALKS, SAMPLES, STEPS))
+
+
+def embed(texts: list[str]) -> np.ndarray:
+    """Sampled traces of normalised items, that none is empty: (walks * samples, items)."""
+    data = [t.encode() for t in texts]
+    of, out = classes(np.array([len(d) for d in data], np.int64)), np.zeros((WALKS * SAMPLES, len(data)), np.uint32)
+    for low in np.unique(of).tolist():
+        own = np.flatnonzero(of == low)
+        edges = np.cumsum([0, *[len(data[k]) for k in own]])
+        out[:, own] = traces(np.frombuffer(b"".join(data[k] for k in own), np.uint8), edges[:-1], edges[1:], *walks(low))
+    return out
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", percent: int = 10, min_chars: int = 1) -> DataFrame:
     """``docs`` with ``leaks``: item, start and length in characters, and edits (at most ``percent`` hundredths of the
     item's characters) of each item that the text holds. One pass over the texts for each block of items."""
     context = docs.sparkSession.sparkContext
@@ -262,16 +279,27 @@ def find_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_i
 
         return df.mapInArrow(run, schema)
 
+    def embedded(batches):
+        for b in batches:
+            texts = [normal(t) for t in b["text"].to_pylist()]
+            for i in range(0, len(texts), 256):
+                some = texts[i : i + 256]
+                yield pa.RecordBatch.from_arrays([b["id"].slice(i, 256), pa.array(some, pa.string()), pa.array([k.tobytes() for k in embed(some).T], pa.binary())], ["id", "text", "keys"])
+
+    wanted = items.where(F.col(item_id).isNotNull() & (F.octet_length(F.col(item_text)) >= max(1, min_chars))).select(F.col(item_id).cast("long").alias("id"), F.col(item_text).cast("string").alias("text"))
+    wanted = wanted.orderBy("id", "text").mapInArrow(embedded, "id long, text string, keys binary")
     block, size, held = [], 0, []
-    wanted = items.where(F.col(item_text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text")).orderBy("id", "text")
-    for i, t in itertools.chain(wanted.toLocalIterator(prefetchPartitions=True), [(None, "")]):
-        if block and (i is None or size + len(t) > ITEM_BYTES):
+    for r in itertools.chain(wanted.toLocalIterator(prefetchPartitions=True), [None]):
+        cost = 0 if r is None else ITEM_COST + BYTE_COST * len(r["text"].encode())
+        if block and (r is None or size + cost > TABLE_BYTES):
             if len(held) == BLOCKS:
                 out = cut(out)
                 while held:
                     held.pop().destroy()
-            held.append(context.broadcast(Tables(block, percent, min_chars)))
+            keys = np.frombuffer(b"".join(bytes(k) for _, _, k in block), np.uint32).reshape(len(block), -1).T
+            held.append(context.broadcast(Tables([x[:2] for x in block], np.ascontiguousarray(keys), percent)))
             out, block, size = marked(held[-1], out), [], 0
-        block.append((i, t))
-        size += len(t)
+        if r is not None:
+            block.append((r["id"], r["text"], r["keys"]))
+            size += cost
     return out

@@ -82,7 +82,7 @@ def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str):
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_toxicity(docs, toxicity_model(spark, docs, sf_dir), threshold=0.3)
-    return scored.select("doc_id", (_remainder("doc_id") == 2).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(_remainder("doc_id") == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 @_query
