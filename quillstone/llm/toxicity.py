@@ -15,7 +15,8 @@ difference of its two log-likelihoods, normalised by length, over all of it, ove
 word; the weights are fitted on texts that the counts they are fitted with were not taken from.
 
 Counts cover every labelled training text. They are merged in a shuffle of packed distinct words (see ``exchange``); the tables of
-key ranges stay distributed. Up to ``MODEL_BYTES`` of them are broadcast; beyond, the texts' distinct words are sent to the
+key ranges stay distributed. A task sends ``exchange.COARSE`` rows at most; beyond so many ranges counts and questions take a second
+hop, merged by blocks of tasks. Up to ``MODEL_BYTES`` of them are broadcast; beyond, the texts' distinct words are sent to the
 tables and the answers back, with the same scores. Keys are hashes, 32 bits of the head and 32 of the rest.
 
 Defined results: null and empty texts have no words and get the score of that; rows without a label don't train; of several
@@ -91,13 +92,60 @@ def _pack_counts(batches):
 
 
 def _counter(parts: int):
+    coarse = X.coarse(parts)
+
     def run(batches):
         keys, *counts = _pack_counts(batches)
-        yield from X.send(TaskContext.get().partitionId(), keys, parts, *counts).to_batches()
+        yield from X.send(TaskContext.get().partitionId(), keys, coarse, *counts).to_batches()
 
     return run
 
 
+def _blocks(sent: DataFrame) -> DataFrame:
+    return sent.withColumn("block", F.floor(F.col("bucket") / X.BLOCK).cast("int"))
+
+
+def _onward(sent: DataFrame, parts: int) -> DataFrame:
+    """What buckets sent to coarse ranges, to the ranges themselves: a block of buckets is merged, its counts added up (keys alone: each
+    once), so that a block sends what a bucket would. ``bucket`` is the block then."""
+    if parts <= X.COARSE:
+        return sent
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pydict()
+        keys, group = np.unique(np.concatenate([B.unpack_sorted(d, n) for d, n in zip(rows["keys"], rows["n"], strict=True)]), return_inverse=True)
+        counts = []
+        for c in ("more", "extra"):
+            if rows[c][0] is None:
+                counts.append(None)
+                continue
+            packed = np.concatenate([B.unpack_ints(d, n) for d, n in zip(rows[c], rows["n"], strict=True)])
+            total = np.zeros(len(keys), np.uint64)
+            np.add.at(total, group, packed)  # both halves at once: neither passes 32 bits
+            counts.append(total)
+        return X.send(rows["block"][0], keys, parts, *counts)
+
+    return _blocks(sent).groupBy("part", "block").applyInArrow(run, X.SENT)
+
+
+def _homeward(asked: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
+    """Answers to blocks of buckets, to each bucket what it asked."""
+    if parts <= X.COARSE:
+        return answers
+
+    def run(own: pa.Table, told: pa.Table) -> pa.Table:
+        keys, bits, _ = X.answered(told)
+        rows = {k: [] for k, _ in X.ANSWER_TYPES}
+        for r in own.to_pylist():
+            mine = B.unpack_sorted(r["keys"], r["n"])
+            for k, x in zip(rows, (r["bucket"], r["part"], r["n"], r["keys"], B.pack_ints(bits[np.searchsorted(keys, mine)]), None), strict=True):
+                rows[k].append(x)
+        return X.batch(rows, X.ANSWER_TYPES)
+
+    coarse = answers.withColumn("coarse", F.floor(F.col("part") * X.coarse(parts) / parts).cast("int"))
+    return _blocks(asked).groupBy("part", "block").cogroup(coarse.groupBy("coarse", "bucket")).applyInArrow(run, X.ANSWER)
+
+
 #: One row for each key range. heads, words: packed ascending keys; of_heads, of_words: float32 tables, see ``_tables``; totals: of
 #: fold 0, then of all texts, ordinary and toxic: counts of heads, what discounts free of them; and different words.
 TABLES = "part int, n_heads int, heads binary, of_heads binary, n_words int, words binary, of_words binary, totals array<double>"
@@ -228,7 +276,7 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column, id_col: str = "doc_i
     rows = texts.withColumn("fold_", fold).where("fold_ IS NOT NULL").drop("fold_").join(marks.hint("merge"), "id")  # one plan at every size
     parts = 1 << max(3, (X.bucket_count(docs, text_col) // 4 - 1).bit_length())  # a power of two: no range ends within a head
     sent = rows.select("fold", "toxic", "text").mapInArrow(_counter(parts), X.SENT)
-    tables = cut(sent.groupBy("part").applyInArrow(_tables, TABLES))
+    tables = cut(_onward(sent, parts).groupBy("part").applyInArrow(_tables, TABLES))
     size = lambda c: F.sum(F.octet_length(c))
     got = tables.select(*[F.sum(F.col("totals")[k]).alias(f"t{k}") for k in range(10)], (size("heads") + size("words") + size("of_heads") + size("of_words")).alias("size")).first()
     totals = np.array([got[f"t{k}"] or 0.0 for k in range(10)])
@@ -257,7 +305,7 @@ def _scored(docs: DataFrame, trained: Trained, text_col: str, id_col: str, of: i
     schema = T.StructType([*[docs.schema[c] for c in keep], *fields])
     columns = [F.col(f"`{c}`") for c in keep]
     kinds = [to_arrow_type(f.dataType) for f in fields]
-    shared, totals, parts = trained.shared, trained.totals, trained.parts
+    shared, totals, parts, coarse = trained.shared, trained.totals, trained.parts, X.coarse(trained.parts)
 
     def with_new(b, gains):
         found = finish(*judged(b[text_col], gains))
@@ -273,7 +321,7 @@ def _scored(docs: DataFrame, trained: Trained, text_col: str, id_col: str, of: i
 
     def ask(table: pa.Table) -> pa.Table:
         keys = [np.unique(_word_key(head, rest)) for _, head, rest in units(table[text_col])]
-        return X.send(table[own][0].as_py(), np.unique(np.concatenate([np.zeros(0, np.uint64), *keys])), parts)
+        return X.send(table[own][0].as_py(), np.unique(np.concatenate([np.zeros(0, np.uint64), *keys])), coarse)
 
     def answer(stored: pa.Table, asked: pa.Table) -> pa.Table:
         model, rows = Model(stored.to_pylist(), totals), {k: [] for k, _ in X.ANSWER_TYPES}
@@ -292,8 +340,10 @@ def _scored(docs: DataFrame, trained: Trained, text_col: str, id_col: str, of: i
     own = X.free(docs.columns, "__bucket")
     dealt = X.dealt(docs, X.bucket_count(docs, text_col), *columns, id_col=id_col, text_col=text_col, name=own)
     asked = dealt.groupBy(own).applyInArrow(ask, X.SENT)
-    answers = trained.tables.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(answer, X.ANSWER)
-    return dealt.groupBy(own).cogroup(answers.groupBy("bucket")).applyInArrow(back, schema)
+    if parts > X.COARSE:
+        asked = cut(asked)  # read twice, on the way there and back
+    answers = trained.tables.groupBy("part").cogroup(_onward(asked, parts).groupBy("part")).applyInArrow(answer, X.ANSWER)
+    return dealt.groupBy(own).cogroup(_homeward(asked, answers, parts).groupBy("bucket")).applyInArrow(back, schema)
 
 
 def score_toxicity(docs: DataFrame, trained: Trained | None, text_col: str = "text", threshold: float = 0.3, id_col: str = "doc_id") -> DataFrame:

@@ -237,7 +237,7 @@ def test_decontamination(spark, monkeypatch):
     rows = [(i, t, 1) for i, t in enumerate(clean)] + [(i, t, 1) for i, t, _ in planted] + [(5000, None, 1), (5001, "", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, leaks int")
     benchmark = spark.createDataFrame([*items, (900, None), (901, ""), (902, "short")], "item_id long, text string")
-    monkeypatch.setattr(decontaminate, "ITEM_BYTES", 2000)  # several blocks, written between
+    monkeypatch.setattr(decontaminate, "TABLE_BYTES", 40_000)  # several blocks, written between
     monkeypatch.setattr(decontaminate, "BLOCKS", 2)
     out = decontaminate.find_leaks(df, benchmark)
     got = {r.doc_id: r.leaks for r in out.collect()}
@@ -263,6 +263,23 @@ def test_decontamination_spread_edits(spark, step):
     assert all(r.doc_id in {x.item_id for x in r.leaks} for r in found) and len(found) == 2 * len(items)
 
 
+def tables_of(items):
+    return decontaminate.Tables(items, decontaminate.embed([t for _, t in items]), 10)
+
+
+def test_decontamination_blocks_are_bounded():
+    """Tables of thousands of short items take what a block is counted at."""
+    import pickle
+
+    rng = random.Random(3)
+    for n, size in ((2000, 12), (500, 100), (20, 5000)):
+        items = [(i, "".join(rng.choice("abcdefgh ") for _ in range(size - 1)) + "x") for i in range(n)]
+        counted = sum(decontaminate.ITEM_COST + decontaminate.BYTE_COST * size for _ in items)
+        spent = len(pickle.dumps(tables_of(items))) - len(tables_of(items).grams) * (1 << decontaminate.FILTER_BITS)
+        assert spent <= 1.1 * counted
+    assert decontaminate.TABLE_BYTES * decontaminate.BLOCKS <= 256 << 20
+
+
 def random_edits(rng, t, rate):
     out = list(t)
     for k in rng.sample(range(len(out)), int(len(out) * rate)):
@@ -275,7 +292,7 @@ def test_decontamination_recall(spoil):
     """What a brute force would find of random and of evenly spread edits up to the threshold."""
     rng = random.Random(21)
     items = [(i, " ".join("".join(rng.choice("aeionrstl") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(12, 40)))) for i in range(60)]
-    tables = decontaminate.Tables(items, 10, 12)
+    tables = tables_of(items)
     noise = "some other text that stands around it and means nothing "
     spoilt = [noise + spoil(rng, decontaminate.normal(t)) + " " + noise for _, t in items]
     near = [levenshtein_search(t, s) <= len(t) // 10 for (_, t), s in zip(items, spoilt, strict=True)]
@@ -297,11 +314,12 @@ def test_decontamination_odd_tables(spark):
 
 
 def test_decontamination_short_items(spark):
-    """Items under 32 bytes, with ``min_chars`` lowered: exactly or by as many edits as their length allows."""
+    """Items under 32 bytes: exactly or by as many edits as their length allows; ``min_chars`` leaves short ones out."""
     items = spark.createDataFrame([(1, "tiny"), (2, "quartz lamp"), (3, "nineteen letters ok")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "a Tiny one"), (2, "the quarz lamp"), (3, "the qarz lamp"), (4, "字字ninetXen letters ok字"), (5, "tinny")], "doc_id long, text string")
-    got = {r.doc_id: [(x.item_id, x.start, x.edits) for x in r.leaks] for r in decontaminate.find_leaks(docs, items, min_chars=1).collect()}
+    got = {r.doc_id: [(x.item_id, x.start, x.edits) for x in r.leaks] for r in decontaminate.find_leaks(docs, items).collect()}
     assert got == {1: [(1, 2, 0)], 2: [(2, 4, 1)], 3: [], 4: [(3, 2, 1)], 5: []}
+    assert {x.item_id for r in decontaminate.find_leaks(docs, items, min_chars=12).collect() for x in r.leaks} == {3}
 
 
 def test_urls(spark):
@@ -437,8 +455,10 @@ def test_toxicity_judged(spark):
         assert (n, word) == (len(g), max(g, default=0)) and np.allclose([total, span], [sum(g), best])
 
 
-def test_toxicity_tables_that_are_not_broadcast(spark, monkeypatch):
-    """Beyond MODEL_BYTES the tables stay distributed: the same scores; repeated rows, empty tables, clashing names."""
+@pytest.mark.parametrize("hops", [False, True])
+def test_toxicity_tables_that_are_not_broadcast(spark, monkeypatch, hops):
+    """Beyond MODEL_BYTES the tables stay distributed, beyond COARSE ranges there are two hops: the same scores; repeated rows, empty tables,
+    clashing names."""
     rows = toxic_rows(20)
     docs = spark.createDataFrame([*[(i, t, "x", 1) for i, (t, _) in enumerate(rows)], (3, rows[3][0], "x", 1), (900, None, "y", 2), (901, "", "y", 2), (None, "ab stem", "z", 3)], "doc_id long, text string, predicted string, bucket int").withColumn("__bucket", F.lit("kept"))
     marks = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, toxic int")
@@ -446,6 +466,9 @@ def test_toxicity_tables_that_are_not_broadcast(spark, monkeypatch):
     score = lambda: sorted((str(r.doc_id), r.bucket, r.predicted, r.score) for r in toxicity.score_toxicity(docs, toxicity.train(docs, marks, fold)).collect())
     small = score()
     monkeypatch.setattr(toxicity, "MODEL_BYTES", 0)
+    if hops:
+        monkeypatch.setattr(exchange, "COARSE", 2)
+        monkeypatch.setattr(exchange, "BLOCK", 5)
     large = score()
     assert [x[:3] for x in small] == [x[:3] for x in large] and np.allclose([x[3] for x in small], [x[3] for x in large], atol=1e-9)
     trained = toxicity.train(docs, marks, fold)
@@ -466,6 +489,14 @@ def test_toxicity_keeps_every_head(spark):
         assert ((total > 0) == (np.arange(60_000) // 2000 % 10 == 0)).all()
 
 
+def test_toxicity_rows_do_not_grow_with_ranges(monkeypatch):
+    """A task sends as many rows as there are coarse ranges at most, whatever the number of ranges."""
+    monkeypatch.setattr(toxicity, "TaskContext", type("Context", (), {"get": staticmethod(lambda: type("Task", (), {"partitionId": staticmethod(lambda: 0)}))}))
+    words = " ".join(f"{k * 7919:x}q" for k in range(40_000))
+    batch = pa.RecordBatch.from_pydict({"fold": pa.array([0], pa.int32()), "toxic": pa.array([0], pa.int32()), "text": [words]})
+    assert [sum(b.num_rows for b in toxicity._counter(parts)([batch])) for parts in (8, 4096, 1 << 18)] == [8, 4096, 4096]
+
+
 def test_toxicity_counts_beyond_16_bits():
     batch = pa.RecordBatch.from_pydict({"fold": pa.array([0] * 70_000 + [1] * 2, pa.int32()), "toxic": pa.array([0] * 70_000 + [1] * 2, pa.int32()), "text": ["hello"] * 70_002})
     keys, *counts = toxicity._pack_counts([batch])
