@@ -108,6 +108,6 @@ def curve(rows: DataFrame) -> DataFrame:
     of = lambda f, c: f(F.when(c, loss))
     first, last = F.min_by(F.when(late, loss), F.when(late, x)), F.max_by(F.when(late, loss), F.when(late, x))
     return rows.agg(
-        F.count("*").alias("steps"), F.round(F.regr_slope("loss", x.cast("double")), 2).alias("slope"), F.round((of(F.avg, tail) - of(F.avg, head)) / F.abs(of(F.avg, head)), 6).alias("change"), F.round((last - first) / F.abs(first), 6).alias("drift"),
+        F.count("*").alias("steps"), F.round(F.regr_slope("loss", x.cast("double")), 4).alias("slope"), F.round((of(F.avg, tail) - of(F.avg, head)) / F.abs(of(F.avg, head)), 6).alias("change"), F.round((last - first) / F.abs(first), 6).alias("drift"),
         F.round(of(F.stddev_pop, tail) / of(F.avg, tail), 6).alias("tail_cv"), F.round(F.stddev_samp("loss") / F.avg("loss"), 4).alias("cv"), F.count_if(loss > 1.02 * F.col("smooth")).alias("spikes"),
     )

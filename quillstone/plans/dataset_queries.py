@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parsing as P
 from ..functions import text as X
+from ..functions import windows as WN
 from ..functions.playbook import positions
 from ..operators import datasets as DS
 from ..operators import ranks as RK
@@ -317,19 +318,25 @@ def _(spark, sf):
     return out.groupBy(first.alias("first_reason")).agg(F.count("*").alias("n"), F.sum("n_words").alias("words"))
 
 
-@query("answer_space", f"""WITH r AS (SELECT CASE {s_draw('doc_id', 'space', 4)} WHEN 0 THEN 'I say No, not yes' WHEN 1 THEN 'YES.' WHEN 2 THEN 'nothing' ELSE 'Other: yes and no' END AS t FROM documents)
-SELECT CASE WHEN regexp_matches(lower(t), '\\bno\\b') AND (NOT regexp_matches(lower(t), '\\byes\\b') OR instr(lower(t), 'no') < instr(lower(t), 'yes')) AND regexp_matches(lower(t), '\\bno\\b') THEN 'No' WHEN regexp_matches(lower(t), '\\byes\\b') THEN 'Yes' END AS answer, count(*) AS n FROM r GROUP BY 1""")
+_ANSWERS_OF = ["that", "with", "for"]
+_AT = lambda w: f"CASE WHEN regexp_matches(t, '(?i)\\b{w}\\b') THEN length(regexp_extract(t, '(?is)^(.*?)\\b{w}\\b', 1)) END"
+
+
+@query("answer_space", f"""WITH p AS (SELECT {', '.join(f'{_AT(w)} AS at_{w}' for w in _ANSWERS_OF)} FROM (SELECT text AS t FROM conversations))
+SELECT CASE least(at_that, at_with, at_for) {' '.join(f"WHEN at_{w} THEN '{w}'" for w in _ANSWERS_OF)} END AS answer, count(*) AS n FROM p GROUP BY 1""")
 def _(spark, sf):
-    k = draw(F.col("doc_id"), "space", 4)
-    t = F.when(k == 0, "I say No, not yes").when(k == 1, "YES.").when(k == 2, "nothing").otherwise("Other: yes and no")
-    return table(spark, sf, "documents").groupBy(X.first_of(t, ["Yes", "No"]).alias("answer")).agg(F.count("*").alias("n"))
+    """Which of three words a turn says first, whole and in any case."""
+    return table(spark, sf, "conversations").groupBy(X.first_of("text", _ANSWERS_OF).alias("answer")).agg(F.count("*").alias("n"))
 
 
-@query("yes_no_answers", f"""WITH r AS (SELECT {s_draw('doc_id', 'a', 3)} AS a FROM documents) SELECT CASE a WHEN 0 THEN true WHEN 1 THEN false END AS a, count(*) AS n FROM r GROUP BY 1""")
+@query("yes_no_answers", """WITH r AS (SELECT conv_id, contains(text, ' that ') AS yes, contains(text, ' with ') AS no FROM conversations)
+SELECT conv_id, CASE WHEN yes THEN true WHEN no THEN false END AS a, NOT yes AS b, count(*) AS n FROM r GROUP BY 1, 2, 3""")
 def _(spark, sf):
-    k = draw(F.col("doc_id"), "a", 3)
-    t = F.when(k == 0, "B: no\n  a: Yes - because\nC: yes").when(k == 1, "A: no\nB: yes").otherwise("A: perhaps\nB: yes")
-    return table(spark, sf, "documents").groupBy(X.yes_no(t, "A").alias("a")).agg(F.count("*").alias("n"))
+    """Turns that end in lines of answers, as their own words say; the text stands before and between them."""
+    yes, no = F.contains("text", F.lit(" that ")), F.contains("text", F.lit(" with "))
+    reply = F.concat("text", F.lit("\n A : "), F.when(yes, "Yes, as said").when(no, "NO").otherwise("perhaps"), F.lit("\n"), "text", F.lit("\nb\uff1a"), F.when(yes, "no").otherwise("yes"), F.lit(" - because"))
+    turns = table(spark, sf, "conversations").select("conv_id", reply.alias("t"))
+    return turns.groupBy("conv_id", X.yes_no("t", "A").alias("a"), X.yes_no("t", "B").alias("b")).agg(F.count("*").alias("n"))
 
 
 _BOOKS = [  # a playbook, and its positions; # stands for the document's number
@@ -434,21 +441,26 @@ def _(spark, sf):
     return PR.latest(progress(spark, sf), order="event_id").select("review_id", "event_id", "stage", "done")
 
 
-@query("request_queue", """SELECT 'r' || doc_id AS review_id, CASE WHEN doc_id % 16 % 4 = 2 THEN 'error' ELSE 'done' END AS status, CASE WHEN doc_id % 16 % 4 <> 2 THEN doc_id % 9 END AS found FROM documents""")
+@query("request_queue", f"""WITH r AS (SELECT doc_id, doc_id % 16 AS lot, text, list_filter(string_split({s_norm('text')}, ' '), lambda t: t <> '') AS w, doc_id % 16 % 4 = 2 AND doc_id % 160 < 16 AS blank FROM documents),
+bad AS (SELECT DISTINCT lot FROM r WHERE blank OR len(w) = 0)
+SELECT 'r' || doc_id AS review_id, CASE WHEN b.lot IS NULL THEN 'done' ELSE 'error' END AS status, CASE WHEN b.lot IS NULL THEN CAST(len(w) AS BIGINT) END AS found, CASE WHEN b.lot IS NULL THEN CAST(ceil(greatest(len(w) - 400, 0) / 300.0) AS BIGINT) + 1 END AS windows
+FROM r LEFT JOIN bad b ON b.lot = r.lot""")
 def _(spark, sf):
-    """Sixteen files of requests, one after another; every fourth file's review fails."""
-    incoming, log, store = scratch(spark, "requests"), scratch(spark, "statuses"), ReviewStore(spark, scratch(spark, "reviews"))
-    ids = table(spark, sf, "documents").select(F.concat(F.lit("r"), "doc_id").alias("review_id"), F.col("doc_id").alias("n"))
-    ids.withColumn("lot", F.col("n") % 16).repartition(16, "lot").write.partitionBy("lot").json(incoming)
+    """Sixteen files of requests with their texts, one after another; a review counts a text's words and windows. Files that hold a request
+    without a text can't be reviewed: some texts are left out of every fourth."""
+    incoming, log, store = scratch(spark, "requests"), scratch(spark, "statuses"), ReviewStore(spark, scratch(spark, "reviews"), buckets=4)
+    n, lot = F.col("doc_id"), F.col("doc_id") % 16
+    text = F.when((lot % 4 == 2) & (n % 160 < 16), F.lit(" \n")).otherwise(F.col("text"))
+    table(spark, sf, "documents").select(F.concat(F.lit("r"), "doc_id").alias("review_id"), text.alias("text"), lot.alias("lot")).repartition(16, "lot").write.partitionBy("lot").json(incoming)
 
     def review(batch):
-        lots = [r["lot"] for r in batch.select((F.col("n") % 16).alias("lot")).distinct().collect()]  # of one file
-        if any(lot % 4 == 2 for lot in lots):
-            raise ValueError("unreadable")
-        return batch.select("review_id", (F.col("n") % 9).alias("found"))
+        words = batch.select("review_id", F.size(X.tokens("text")).cast("long").alias("found"))
+        if not words.where("found = 0").isEmpty():
+            raise ValueError("a request without a text")
+        return words.withColumn("windows", F.size(WN.token_windows(F.col("found"), 400, 300)).cast("long"))
 
-    PR.serve_queue(spark, f"{incoming}/lot=*", "review_id string, n long", review, store, scratch(spark, "checkpoint"), log).awaitTermination()
-    return PR.statuses(spark, log).join(store.read().select("review_id", "found"), "review_id", "left").select("review_id", "status", "found")
+    PR.serve_queue(spark, f"{incoming}/lot=*", "review_id string, text string", review, store, scratch(spark, "checkpoint"), log).awaitTermination()
+    return PR.statuses(spark, log).join(store.read().select("review_id", "found", "windows"), "review_id", "left").select("review_id", "status", "found", "windows")
 
 
 @query("progress_stream", f"WITH {_PROGRESS} SELECT review_id, stage, done FROM l WHERE rn = 1")
@@ -506,11 +518,14 @@ def _(spark, sf):
     return top.select(F.col("o_orderkey").alias("review_id"), F.row_number().over(Window.orderBy(F.desc("o_orderdate"), "o_orderkey")).cast("long").alias("place"))
 
 
-@query("reply_leaks", f"""WITH r AS (SELECT CASE {s_draw('doc_id', 'leak', 3)} WHEN 0 THEN true WHEN 1 THEN false ELSE false END AS ok FROM documents) SELECT ok, count(*) AS n FROM r GROUP BY 1""")
+@query("reply_leaks", f"""SELECT conv_id, turn, {s_draw("conv_id || '-' || turn", 'leak', 4)} = 0 AS ok FROM conversations""")
 def _(spark, sf):
-    k = draw(F.col("doc_id"), "leak", 3)
-    t = F.when(k == 0, '{"evidence": [], "verdict": "x"}').when(k == 1, '{"verdict": "x", "thoughts": 1}').otherwise("not json")
-    return table(spark, sf, "documents").groupBy(DS.leaks_schema(t, ["verdict", "evidence"]).alias("ok")).agg(F.count("*").alias("n"))
+    """Turns as evidence of a target: as it is to be, with a key too many, one too few, and with prose about it."""
+    k = draw(F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")), "leak", 4)
+    evidence, verdict = F.array(F.coalesce("text", F.lit(""))).alias("evidence"), F.lit("Entailment").alias("verdict")
+    good = F.to_json(F.struct(evidence, verdict))
+    t = F.when(k == 0, good).when(k == 1, F.to_json(F.struct(verdict, evidence, F.col("role").alias("thoughts")))).when(k == 2, F.to_json(F.struct(evidence))).otherwise(F.concat(F.lit("So: "), good))
+    return table(spark, sf, "conversations").select("conv_id", "turn", DS.leaks_schema(t, ["verdict", "evidence"]).alias("ok"))
 
 
 @query("format_modes", f"WITH {ANSWERS}, {_READ} SELECT parse_mode, count(*) AS n, round(avg(CAST(verdict = gold_verdict AS INTEGER)), 6) AS right FROM reads GROUP BY 1")

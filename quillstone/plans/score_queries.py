@@ -314,22 +314,29 @@ def _(spark, sf):
     return rounded(RS.bootstrap(rows, "g", ["a", "b"], [True], by="source"))
 
 
-@query("training_curve", """WITH d AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS step, avg(o_totalprice) AS loss FROM orders GROUP BY 1),
+@query("training_curve", """WITH d AS (SELECT date_trunc('hour', ts) AS step, avg(value) AS loss FROM events GROUP BY 1),
 w AS (SELECT step, loss, row_number() OVER (ORDER BY step) AS x, count(*) OVER () AS n, avg(loss) OVER (ORDER BY step ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS smooth FROM d),
 q AS (SELECT *, x - 1 < greatest(1, n // 4) AS head, x - 1 >= greatest(1, n * 3 // 4) AS tail, x - 1 >= greatest(1, n * 9 // 10) AS late FROM w)
-SELECT count(*) AS steps, round(regr_slope(loss, x), 2) AS slope, round((avg(loss) FILTER (tail) - avg(loss) FILTER (head)) / abs(avg(loss) FILTER (head)), 6) AS change, round((arg_max(loss, x) FILTER (late) - arg_min(loss, x) FILTER (late)) / abs(arg_min(loss, x) FILTER (late)), 6) AS drift,
+SELECT count(*) AS steps, round(regr_slope(loss, x), 4) AS slope, round((avg(loss) FILTER (tail) - avg(loss) FILTER (head)) / abs(avg(loss) FILTER (head)), 6) AS change, round((arg_max(loss, x) FILTER (late) - arg_min(loss, x) FILTER (late)) / abs(arg_min(loss, x) FILTER (late)), 6) AS drift,
 round(stddev_pop(loss) FILTER (tail) / avg(loss) FILTER (tail), 6) AS tail_cv, round(stddev_samp(loss) / avg(loss), 4) AS cv, count(*) FILTER (loss > 1.02 * smooth) AS spikes FROM q""")
 def _(spark, sf):
-    """Slope, change from the first to the last quarter, drift over the last tenth, variation and spikes."""
-    d = table(spark, sf, "orders").groupBy(F.trunc("o_orderdate", "month").alias("step")).agg(F.avg("o_totalprice").alias("loss"))
-    w = Window.orderBy("step")  # a row a month
+    """The hourly mean of logged values: slope, change from the first to the last quarter, drift over the last tenth, variation and spikes."""
+    d = table(spark, sf, "events").groupBy(F.date_trunc("hour", "ts").alias("step")).agg(F.avg("value").alias("loss"))
+    w = Window.orderBy("step")  # a row an hour
     rows = d.select("loss", F.row_number().over(w).alias("x"), F.count("*").over(Window.partitionBy()).alias("n"), F.avg("loss").over(w.rowsBetween(-4, 0)).alias("smooth"))
     return M.curve(rows)
 
 
-@query("cost_table", """SELECT l_returnflag AS model, CAST(sum(l_quantity) AS DOUBLE) AS tokens, round(sum(l_quantity) / (count(DISTINCT CAST(l_shipdate AS DATE)) * 24.0), 4) AS per_hour FROM lineitem GROUP BY 1""")
+@query("cost_table", f"""WITH t AS (SELECT conv_id, 'model-' || conv_id % 3 AS model, role, len({s_tokens('text')}) AS n FROM conversations)
+SELECT model, count(DISTINCT conv_id) AS conversations, CAST(coalesce(sum(n) FILTER (role <> 'assistant'), 0) AS BIGINT) AS prompt_tokens, CAST(coalesce(sum(n) FILTER (role = 'assistant'), 0) AS BIGINT) AS reply_tokens,
+round(sum(n) / CAST(count(DISTINCT conv_id) AS DOUBLE), 4) AS per_conversation, round(3 * coalesce(sum(n) FILTER (role <> 'assistant'), 0) / 1e6 + 15 * coalesce(sum(n) FILTER (role = 'assistant'), 0) / 1e6, 6) AS cost FROM t GROUP BY 1""")
 def _(spark, sf):
-    return table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("model")).agg(F.sum("l_quantity").alias("tokens"), F.round(F.sum("l_quantity") / (F.count_distinct(F.to_date("l_shipdate")) * 24.0), 4).alias("per_hour"))
+    """Tokens read and written by each of three models over their conversations, and what they cost at prices for a million."""
+    t = table(spark, sf, "conversations").select("conv_id", F.concat(F.lit("model-"), F.col("conv_id") % 3).alias("model"), (F.col("role") == "assistant").alias("reply"), F.size(X.tokens("text")).alias("n"))
+    each = t.groupBy("model", "conv_id").agg(F.coalesce(F.sum(F.when(~F.col("reply"), F.col("n"))), F.lit(0)).alias("read"), F.coalesce(F.sum(F.when(F.col("reply"), F.col("n"))), F.lit(0)).alias("written"))
+    sums = each.groupBy("model").agg(F.count("*").alias("conversations"), F.sum("read").alias("prompt_tokens"), F.sum("written").alias("reply_tokens"))
+    total, cost = F.col("prompt_tokens") + F.col("reply_tokens"), 3 * F.col("prompt_tokens") / 1e6 + 15 * F.col("reply_tokens") / 1e6
+    return sums.select("*", F.round(total / F.col("conversations"), 4).alias("per_conversation"), F.round(cost, 6).alias("cost"))
 
 
 _VOTES = f"""n AS (SELECT doc_id, text, {s_tokens('text')} AS w, gold FROM answers),

@@ -227,14 +227,18 @@ def _(spark, sf):
     return rows.select("doc_id", F.explode(SP.locate(F.col("text"), F.col("quotes"))).alias("s")).select("doc_id", "s.start", "s.end", F.md5("s.text").alias("md5"))
 
 
-@query("disjoint_marks", """WITH m AS (SELECT doc_id, CAST(k AS INTEGER) AS k, CAST(17 * k + doc_id % 11 AS INTEGER) AS s, CAST(17 * k + doc_id % 11 + 5 + (k * doc_id) % 23 AS INTEGER) AS e FROM documents, range(0, 6) t(k)),
-RECURSIVE_ AS (SELECT doc_id, list(struct_pack(s := s, e := e) ORDER BY s, e DESC) AS l FROM m GROUP BY doc_id)
-SELECT doc_id, CAST(len(list_reduce(list_concat([[-1, 0]], list_transform(l, lambda x: [x.s, x.e])), lambda acc, x: CASE WHEN x[1] >= acc[1] THEN [x[2], acc[2] + 1] ELSE acc END)) AS INTEGER) * 0 + list_reduce(list_concat([[-1, 0]], list_transform(l, lambda x: [x.s, x.e])), lambda acc, x: CASE WHEN x[1] >= acc[1] THEN [x[2], acc[2] + 1] ELSE acc END)[2] AS kept FROM RECURSIVE_""")
-def _(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id")
-    at = lambda k: (17 * k + F.col("doc_id") % 11).cast("int")
-    marks = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: F.struct(at(k).alias("start"), (at(k) + 5 + (k * F.col("doc_id")) % 23).cast("int").alias("end")))
-    return docs.select("doc_id", F.size(SP.disjoint_marks(marks)).alias("kept"))
+@query("disjoint_marks", f"""WITH {ANSWERS}, q AS (SELECT doc_id, text, q FROM (SELECT doc_id, text, unnest(list_concat(gold, pred, list_transform(gold, lambda g: substr(g, 5, 40)))) AS q FROM answers)),
+m AS (SELECT doc_id, instr(text, q) - 1 AS s, instr(text, q) - 1 + length(q) AS e FROM q WHERE length(q) > 0 AND instr(text, q) > 0),
+l AS (SELECT doc_id, list_transform(list(struct_pack(s := s, e := e) ORDER BY s, e DESC), lambda x: [x.s, x.e]) AS l FROM m GROUP BY doc_id),
+k AS (SELECT doc_id, list_reduce(list_concat([[0, 0, 0]], list_transform(l, lambda x: [x[1], x[2], 0])), lambda acc, x: CASE WHEN x[1] >= acc[1] THEN [x[2], acc[2] + 1, acc[3] + x[2] - x[1]] ELSE acc END) AS k FROM l)
+SELECT doc_id, CAST(coalesce(k[2], 0) AS INTEGER) AS kept, CAST(coalesce(k[3], 0) AS INTEGER) AS marked FROM documents LEFT JOIN k USING (doc_id)""")
+def _(spark, sf):
+    """Marks where a document's quotes stand in its text, gold and predicted, and parts of them: how many are shown, over how many characters."""
+    a = answers(spark, sf).withColumn("q", F.concat("gold", "pred", F.transform("gold", lambda g: F.substring(g, 5, 40))))
+    at = lambda q: F.call_function("instr", F.col("text"), q)
+    marks = F.transform(F.filter("q", lambda q: (F.length(q) > 0) & (at(q) > 0)), lambda q: F.struct((at(q) - 1).cast("int").alias("start"), (at(q) - 1 + F.length(q)).cast("int").alias("end")))
+    kept = a.select("doc_id", SP.disjoint_marks(marks).alias("m"))
+    return kept.select("doc_id", F.size("m").alias("kept"), F.aggregate("m", F.lit(0), lambda n, x: n + x["end"] - x["start"]).alias("marked"))
 
 
 @query("heading_lines", """WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS t FROM documents),
