@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as X
+from ..sources.scratch import scratch
 
 
 def duplicate_rows(df: DataFrame, key: Column) -> DataFrame:
@@ -41,7 +39,8 @@ def similar_pairs(df: DataFrame, id_col: str, tokens: Column, k: int = 5, least:
     """
     classes = shingle_classes(df, id_col, tokens, k)
     sets = classes.groupBy("digest").agg(F.min("id").alias("id"), F.first("s").alias("s")).where(F.size("s") > 0).select("id", "s")
-    sets = sets.persist()  # read four times below; recomputed where an executor is lost
+    sets.write.parquet(path := scratch(df.sparkSession, "shingle-sets"))  # read four times below
+    sets = df.sparkSession.read.parquet(path)
     sizes = sets.withColumn("n", F.size("s"))
     counts = sizes.select(F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
     ranked = sizes.select("id", "n", F.explode("s").alias("x")).join(counts, "x")
@@ -62,62 +61,3 @@ def shingle_classes(df: DataFrame, id_col: str, tokens: Column, k: int = 5) -> D
     hashes = X.bind(tokens, lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - k, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)])))
     rows = df.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(hashes)).alias("s"))
     return rows.withColumn("digest", F.concat_ws("-", F.xxhash64("s"), F.xxhash64(F.lit(1), "s"), F.size("s")))
-
-
-def containment(needles: DataFrame, hays: DataFrame, needle_id: str, needle: str, hay_id: str, hay: str, k: int = 4, broadcast_rows: int = 1_000_000, block_rows: int = 100_000) -> DataFrame:
-    """``(hay_id, needle_id)`` where the normalised hay holds the normalised needle, forgiving punctuation at the needle's ends.
-
-    Instead of comparing all with all, a needle of three words or more is found by a run of its inner words, k at most, which are
-    whole words wherever it stands. Hays' runs of those lengths that no needle has are dropped where they are made (the needles' keys
-    are broadcast up to ``broadcast_rows``, counted; beyond, all are shuffled), then the whole is verified. Shorter needles have no
-    inner word: they are looked up in one pass over the hays for each ``block_rows`` of them, by one automaton.
-    """
-    wanted = needles.select(F.col(needle_id).alias("nid"), X.edge_strip(X.norm(needle)).alias("nn")).withColumn("w", F.filter(F.split("nn", " "), lambda x: x != ""))
-    run = lambda w, at, n: F.xxhash64(F.lit(n), *[F.get(w, at + j) for j in range(n)])
-    key = F.coalesce(*[F.when(F.least(F.lit(k), F.size("w") - 2) == n, run(F.col("w"), F.lit(1), n)) for n in range(1, k + 1)])
-    long_ = wanted.where(F.size("w") >= 3).select("nid", "nn", F.least(F.lit(k), F.size("w") - 2).alias("n"), key.alias("key"))
-    docs = hays.select(F.col(hay_id).alias("hid"), X.norm(hay).alias("hn"))
-    lengths = sorted(r["n"] for r in long_.select("n").distinct().collect())  # k numbers at most
-    every = lambda w, n: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: run(w, i, n))
-    found = docs.limit(0).select("hid", F.lit(None).alias("nid"))
-    if lengths:
-        runs = docs.select("hid", F.explode(X.bind(F.split("hn", " "), lambda w: F.flatten(F.array(*[every(w, n) for n in lengths])))).alias("key"))
-        keys = long_.select("key").distinct()
-        if keys.limit(broadcast_rows + 1).count() <= broadcast_rows:
-            runs = runs.join(F.broadcast(keys), "key", "left_semi")
-        candidates = runs.join(long_.select("nid", "key"), "key").select("hid", "nid").distinct()
-        found = candidates.join(long_.select("nid", "nn"), "nid").join(docs, "hid").where(F.contains("hn", F.col("nn"))).select("hid", "nid")
-    short = wanted.where(F.size("w") < 3).select("nid", "nn")
-    block = []
-    for row in short.toLocalIterator(prefetchPartitions=True):
-        block.append((row["nid"], row["nn"]))
-        if len(block) == block_rows:
-            found, block = found.unionByName(_looked_up(docs, block, needles.schema[needle_id])), []
-    if block:
-        found = found.unionByName(_looked_up(docs, block, needles.schema[needle_id]))
-    return found.select(F.col("hid").alias(hay_id), F.col("nid").alias(needle_id)).distinct()
-
-
-def _looked_up(docs: DataFrame, block: list[tuple], id_field) -> DataFrame:
-    """Which of a block of short needles each hay holds."""
-    shared = docs.sparkSession.sparkContext.broadcast(block)
-    out = T.StructType([docs.schema["hid"], T.StructField("nid", id_field.dataType)])
-
-    def run(batches):
-        import ahocorasick
-
-        machine, always, names = ahocorasick.Automaton(), [], {}
-        for nid, t in shared.value:
-            if t:
-                names.setdefault(t, []).append(nid)
-            else:  # nothing is in every text
-                always.append(nid)
-        for t, ids in names.items():
-            machine.add_word(t, ids)
-        machine.make_automaton()
-        for b in batches:
-            held = [sorted({i for _, ids in (machine.iter(h) if names else ()) for i in ids}.union(always), key=str) for h in b["hn"].to_pylist()]
-            hid = b["hid"].take(pa.array([k for k, x in enumerate(held) for _ in x], pa.int64()))
-            yield pa.RecordBatch.from_arrays([hid, pa.array([i for x in held for i in x], to_arrow_type(id_field.dataType))], ["hid", "nid"])
-
-    return docs.mapInArrow(run, out)

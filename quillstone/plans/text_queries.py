@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..functions import windows as WN
 from ..operators import dedup as D
 from ..operators import reviews as R
+from ..operators.containment import containment
 from .base import ANSWERS, STARTS, answers, draw, loud, rounded, s_draw, s_edge, s_loud, s_norm, s_tokens, spans
 from .registry import query, table, texts
 
@@ -25,7 +26,7 @@ S_SPLIT = f"CASE WHEN {s_draw('doc_id', 'split', 10)} < 2 THEN 'test' WHEN {s_dr
 WITH d AS (SELECT doc_id, {s_norm('text')} AS h FROM documents), b AS (SELECT item_id, {s_norm('text')} AS n FROM benchmark)
 SELECT doc_id, item_id FROM d JOIN b ON contains(h, n) OR contains(h, {s_edge('n')})""")
 def _(spark, sf):
-    return D.containment(table(spark, sf, "benchmark"), texts(spark, sf), "item_id", "text", "doc_id", "text")
+    return containment(table(spark, sf, "benchmark"), texts(spark, sf), "item_id", "text", "doc_id", "text")
 
 
 @query("norm_hash", f"SELECT doc_id, sha256({s_norm('text')}) AS norm_sha256, substr(sha1(coalesce(text, '')), 1, 12) AS chunk_id FROM documents")

@@ -7,29 +7,58 @@ import random
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillstone.operators import dedup as D
+from quillstone.operators import containment as C
 from quillstone.operators import ranks as RK
 from quillstone.operators import resample as RS
 from quillstone.operators import retrieval as RT
 from quillstone.operators import sampling as S
 
 
-@pytest.mark.parametrize(("rows", "block"), [(10, 100_000), (0, 7)])
-def test_containment_brute(spark, rows, block):
-    """Needles of every length, broadcast or not, short ones in several blocks; edges forgiven."""
+@pytest.mark.parametrize("block", [4_000_000, 7])
+def test_containment_brute(spark, block):
+    """Needles of every length, in one pass or several; edges forgiven."""
     rng = random.Random(1)
     words = ["a", "be", "cat", "cats", "dog.", "(x)", "é", "concat"]
     some = lambda n: " ".join(rng.choice(words) for _ in range(n))
     hays = [(i, some(rng.randrange(0, 30))) for i in range(60)] + [(900, None), (901, "")]
     needles = [(i, rng.choice(["", '"', " "]) + some(rng.randrange(0, 8)) + rng.choice(["", ".", "-"])) for i in range(60)]
-    got = D.containment(spark.createDataFrame(needles, "n long, t string"), spark.createDataFrame(hays, "h long, t string"), "n", "t", "h", "t", broadcast_rows=rows, block_rows=block)
+    got = C.containment(spark.createDataFrame(needles, "n long, t string"), spark.createDataFrame(hays, "h long, t string"), "n", "t", "h", "t", block_rows=block)
     norm = lambda t: " ".join((t or "").lower().split())
     want = {(h, n) for h, x in hays for n, t in needles if norm(t) in norm(x) or norm(t).strip(".,;:!?’'\"-— ") in norm(x)}
     assert sorted((r.h, r.n) for r in got.collect()) == sorted(want) and len(want) > 100
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text(alphabet="ab é\U0001f600", max_size=50), max_size=6), st.lists(st.text(alphabet="ab é\U0001f600", min_size=1, max_size=40), min_size=1, max_size=6), st.booleans())
+def test_needles_found(texts, needles, small):
+    needles = [*needles, *(t[3:39] for t in texts if len(t) > 5)]
+    known = np.array([C.known_by(n) for n in set(needles)], dtype=object)
+    q, head, length, whole = (known[:, k].astype(np.uint64) for k in range(4))
+    before, C.CHUNK = C.CHUNK, 8 if small else C.CHUNK
+    try:
+        assert C.Needles(q, head, length, whole).found(texts) == [{n for n in needles if n in t} for t in texts]
+    finally:
+        C.CHUNK = before
+
+
+def test_a_million_short_needles():
+    """In one pass: far more one-word needles than an automaton's memory is for."""
+    words = [f"{k:x}z" for k in range(0, 3_000_000, 3)]
+    n = len(words)
+    known = np.array([C.known_by(w) for w in words[:: n // 20_000]], dtype=object)
+    q, head, length, whole = (known[:, k].astype(np.uint64) for k in range(4))
+    rng = np.random.default_rng(1)
+    filler = rng.integers(0, 1 << 63, 980_000, np.uint64)
+    needles = C.Needles(np.concatenate([q, np.full(len(filler), 6, np.uint64)]), np.concatenate([head, filler]), np.concatenate([length, np.full(len(filler), 6, np.uint64)]), np.concatenate([whole, filler]))
+    wanted = set(words[:: n // 20_000])
+    text = " ".join(words[:: n // 5000]) + " nothing else here"
+    assert needles.found([text]) == [{w for w in wanted if w in text}]
+
+
 def test_ranked_draws(spark):
     rows = [(i, "abc"[i % 3] if i % 7 else None) for i in range(500)]
     got = S.ranked_draws(spark.createDataFrame(rows, "k long, g string"), "k", "seed", ["g"]).collect()
