@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..sources.scratch import scratch
 
-#: Bytes of text for one bucket; tasks that write one bucket, so that a frequent term's blocks are dealt out.
-BUCKET_BYTES, WRITERS = 64 << 20, 8
+#: Words for one bucket; tasks that write one bucket, so that a frequent term's blocks are dealt out.
+BUCKET_WORDS, WRITERS = 8 << 20, 8
 #: Terms up to which files' statistics are asked for each of them. What lies beyond a bound by rounding.
 FEW_TERMS, SLACK = 1_000, 1e-9
 
@@ -56,9 +56,10 @@ class PostingsIndex:
         as (term, chunk, count)."""
         spark, folder = chunks.sparkSession, folder.rstrip("/")
         rows = chunks.select(*key, F.col(chunk).cast("long").alias("chunk"), X.words(text).alias("w"))
+        rows.groupBy(*key).agg(F.count("*").alias("n"), F.sum(F.size("w")).alias("total")).write.parquet(f"{folder}/corpora")
         if buckets is None:
-            size = chunks.agg(F.sum(F.octet_length(text))).first()[0] or 0
-            buckets = max(16, -(-int(size) // BUCKET_BYTES))
+            size = spark.read.parquet(f"{folder}/corpora").agg(F.sum("total")).first()[0] or 0
+            buckets = max(16, -(-int(size) // BUCKET_WORDS))
         of = F.floor(F.col("chunk") / F.lit(span)).cast("long")
         terms = rows.select(*key, "chunk", of.alias("block"), F.size("w").alias("len"), F.explode(counted_terms(F.col("w"))).alias("x"))
         terms = terms.select(*key, "chunk", "block", "len", F.col("x.t").alias("term"), F.col("x.tf").alias("tf"))
@@ -67,7 +68,6 @@ class PostingsIndex:
         blocks = terms.repartition("bucket", "writer").groupBy("bucket", "writer", "term", *key, "block").agg(F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), held.alias("x"))
         blocks = blocks.select("bucket", "term", *key, "block", F.size("x").alias("n"), "max_tf", "min_len", F.col("x.chunk").alias("chunks"), F.col("x.tf").alias("tfs"), F.col("x.len").alias("lens"))
         blocks.sortWithinPartitions("bucket", "term", *key, "block").write.partitionBy("bucket").parquet(f"{folder}/postings")
-        rows.groupBy(*key).agg(F.count("*").alias("n"), F.sum(F.size("w")).alias("total")).write.parquet(f"{folder}/corpora")
         spark.createDataFrame([(buckets, span)], "buckets int, span long").coalesce(1).write.parquet(f"{folder}/about")
         return cls(spark, folder)
 

@@ -14,6 +14,9 @@ from .base import ANSWERS, STARTS, answers, draw, loud, rounded, s_draw, s_edge,
 from .registry import query, table, texts
 
 
+SPLITS = ["test", "dev", "train"]
+
+
 def split_of(key):
     d = draw(key, "split", 10)
     return F.when(d < 2, "test").when(d < 4, "dev").otherwise("train")
@@ -98,12 +101,17 @@ t AS (SELECT jaccard, x.split <> y.split AS crosses FROM near JOIN sp x ON x.doc
 SELECT count(*) FILTER (crosses AND jaccard >= 0.95) AS cross_95, count(*) FILTER (crosses AND jaccard >= 0.8) AS cross_80,
 count(*) FILTER (crosses AND jaccard >= 0.6) AS cross_60, count(*) FILTER (NOT crosses AND jaccard >= 0.8) AS within_80 FROM t""")
 def _(spark, sf):
-    docs = texts(spark, sf)
-    pairs = D.similar_pairs(docs, "doc_id", X.tokens("text"), 5, 0.6)
-    sp = docs.select("doc_id", split_of(F.col("doc_id")).alias("split"))
-    rows = pairs.join(sp.select(F.col("doc_id").alias("a"), F.col("split").alias("x")), "a").join(sp.select(F.col("doc_id").alias("b"), F.col("split").alias("y")), "b")
-    j, crosses = F.col("jaccard"), F.col("x") != F.col("y")
-    return rows.agg(*[F.count_if(crosses & (j >= t)).alias(f"cross_{round(100 * t)}") for t in (0.95, 0.8, 0.6)], F.count_if(~crosses & (j >= 0.8)).alias("within_80"))
+    number = lambda c: F.array_position(F.array(*map(F.lit, SPLITS)), split_of(c))
+    n = D.similar_counts(texts(spark, sf), "doc_id", X.tokens("text"), number, [0.95, 0.8, 0.6])
+    of = lambda crosses, level: F.coalesce(F.sum(F.when((F.col("crosses") == crosses) & (F.col("level") == level), F.col("n"))), F.lit(0))
+    return n.agg(*[of(True, t).alias(f"cross_{round(100 * t)}") for t in (0.95, 0.8, 0.6)], of(False, 0.8).alias("within_80"))
+
+
+@query("near_dup_families", f"""WITH {_PAIRS}, l AS (SELECT a AS id, b AS other FROM near WHERE jaccard >= 0.8 UNION ALL SELECT b, a FROM near WHERE jaccard >= 0.8)
+SELECT id AS doc_id, count(*) AS n_links, min(other) AS least_link FROM l GROUP BY 1""")
+def _(spark, sf):
+    """Of each class of texts that has near copies: how many classes it is linked with, and the first of these."""
+    return D.similar_links(texts(spark, sf), "doc_id", X.tokens("text"), 5, 0.8).withColumnRenamed("id", "doc_id")
 
 
 @query("length_buckets", """SELECT CASE WHEN n_chars < 1000 THEN '<1K' WHEN n_chars < 4000 THEN '1-4K' WHEN n_chars < 16000 THEN '4-16K' ELSE '>16K' END AS bucket, count(*) AS n FROM documents GROUP BY 1""")

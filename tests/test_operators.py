@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillstone.operators import containment as C
+from quillstone.operators import dedup as D
 from quillstone.operators import ranks as RK
 from quillstone.operators import resample as RS
 from quillstone.operators import retrieval as RT
@@ -59,6 +60,60 @@ def test_a_million_short_needles():
     assert needles.found([text]) == [{w for w in wanted if w in text}]
 
 
+def families():
+    """Families of variants of a text, copies, and texts with nothing in common."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    out = []
+    for size in (70, 9, 2, 1, 1):
+        base = [word() for _ in range(60)]
+        for _ in range(size):
+            t = list(base)
+            for _ in range(rng.randrange(3)):
+                t[rng.randrange(60)] = word()
+            out.append(" ".join(t))
+    out += [out[0], out[-1], "short", "short", "", "a b"]
+    rng.shuffle(out)
+    return list(enumerate(out)) + [(999, None)]
+
+
+@pytest.mark.parametrize("block", [1024, 16])
+def test_similar_sets(spark, monkeypatch, block):
+    monkeypatch.setattr(D, "BLOCK", block)
+    monkeypatch.setattr(D, "COLUMNS", 50)
+    rows = families()
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    sets = {}
+    for i, t in rows:
+        w = (t or "").lower().split()
+        sets.setdefault(frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))), i)
+    named = sorted((i, s) for s, i in sets.items())
+    j = {(a, b): len(x & y) / len(x | y) for k, (a, x) in enumerate(named) for b, y in named[k + 1 :]}
+    tokens = D.X.tokens("text")
+    want = {p: v for p, v in j.items() if v >= 0.6}
+    got = {(r.a, r.b): r.jaccard for r in D.similar_pairs(df, "id", tokens, 5, 0.6).collect()}
+    assert got == pytest.approx(want) and len(want) > 400
+    near = [p for p, v in j.items() if v >= 0.8]
+    links = {r.id: (r.n_links, r.least_link) for r in D.similar_links(df, "id", tokens, 5, 0.8).collect()}
+    assert links == {i: (len(own), min(own)) for i in {x for p in near for x in p} for own in [[b if a == i else a for a, b in near if i in (a, b)]]}
+    label = lambda c: c % 3
+    counts = {(r.level, r.crosses): r.n for r in D.similar_counts(df, "id", tokens, label, [0.9, 0.6]).collect()}
+    assert counts == {(t, c): sum(v >= t and (a % 3 != b % 3) == c for (a, b), v in j.items()) for t in (0.9, 0.6) for c in (True, False)}
+    assert D.similar_pairs(df.limit(0), "id", tokens).count() == 0
+
+
+def test_a_family_sends_no_pairs(spark):
+    """Of 3,000 variants blocks send a row for each at most, not one for each of four million links."""
+    base = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join(w if k != i % 60 else f"x{i}" for k, w in enumerate(base))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(4)
+    out = D.similar_links(df, "id", D.X.tokens("text"), 5, 0.8)
+    got = out.agg(F.count("*").alias("n"), F.sum("n_links").alias("links"), F.max("least_link").alias("least")).first()
+    assert got.n == 3000 and got.links == 2 * got.links // 2 and got.links >= 3000 * 40 and got.least == 1
+    counts = {(r.level, r.crosses): r.n for r in D.similar_counts(df, "id", D.X.tokens("text"), lambda c: c % 2, [0.8]).collect()}
+    assert 2 * (counts[0.8, True] + counts[0.8, False]) == got.links
+
+
 def test_ranked_draws(spark):
     rows = [(i, "abc"[i % 3] if i % 7 else None) for i in range(500)]
     got = S.ranked_draws(spark.createDataFrame(rows, "k long, g string"), "k", "seed", ["g"]).collect()
