@@ -223,11 +223,6 @@ def bucket(n: Column, edges: list[tuple[int, str]], beyond: str) -> Column:
     return out.otherwise(beyond)
 
 
-def rank_percentile(values: Column, q: float, less: int = 0) -> Column:
-    """The sorted value at ``min(int(q n) - less, n - 1)``, at least the first."""
-    return bind(F.sort_array(values), lambda v: F.element_at(v, F.greatest(F.least((F.lit(q) * F.size(v)).cast("int") - less, F.size(v) - 1), F.lit(0)) + 1))
-
-
 def pick(key: Column, seed: str) -> Column:
     """A number below 2^24 that a seed draws for a key; any engine computes the same."""
     return F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(f"|{seed}"))), 1, 6), 16, 10).cast("int")

@@ -64,10 +64,6 @@ def question_of(c: Column, mark: str = "\n\nQUESTION: ") -> Column:
     return F.substring_index(c, mark, -1)
 
 
-def before_question(c: Column, mark: str = "\n\nQUESTION: ") -> Column:
-    return F.substring(c, F.lit(1), F.length(c) - F.length(question_of(c, mark)) - len(mark))
-
-
 def remap(c: Column, table: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[c]
 
