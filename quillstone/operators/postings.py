@@ -59,7 +59,7 @@ class PostingsIndex:
         rows.groupBy(*key).agg(F.count("*").alias("n"), F.sum(F.size("w")).alias("total")).write.parquet(f"{folder}/corpora")
         if buckets is None:
             size = spark.read.parquet(f"{folder}/corpora").agg(F.sum("total")).first()[0] or 0
-            buckets = max(16, -(-int(size) // BUCKET_WORDS))
+            buckets = max(4, -(-int(size) // BUCKET_WORDS))
         of = F.floor(F.col("chunk") / F.lit(span)).cast("long")
         terms = rows.select(*key, "chunk", of.alias("block"), F.size("w").alias("len"), F.explode(counted_terms(F.col("w"))).alias("x"))
         terms = terms.select(*key, "chunk", "block", "len", F.col("x.t").alias("term"), F.col("x.tf").alias("tf"))
