@@ -40,9 +40,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """The same rows from a table written in the shared folder; a column ``kind`` parts its files, so that readers of one kind read no other."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, path: str) -> DataFrame:
+    """The same rows from a table written at a ``new_path``; a column ``kind`` parts its files, so that readers of one kind read no other."""
     (df.write.partitionBy("kind") if "kind" in df.columns else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

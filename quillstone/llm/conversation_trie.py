@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import cut, kept
+from .components import cut, kept, new_path
 
 DIGEST = 16
 #: Bytes of paths for one range, and rows for one batch that leaves a task.
@@ -278,7 +278,7 @@ def prefix_trie(paths: DataFrame) -> DataFrame:
             own.read(_conversations(batches))
             yield from own.rows()
 
-    rows = kept(ordered.mapInArrow(grow, SCHEMA), "trie")
+    rows = kept(ordered.mapInArrow(grow, SCHEMA), new_path(spark, "trie"))
     found = _edges(rows)
     shown = ["pos", "end", "depth", "conv_id", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
     nodes = rows.where(F.col("kind") == NODE)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .components import kept
+from .components import kept, new_path
 
 
 @dataclasses.dataclass(frozen=True)
@@ -203,7 +203,7 @@ def judge_quality(docs: DataFrame, least: float = 0.5, rules: tuple[Rule, ...] =
             yield pa.RecordBatch.from_arrays([b["doc_id"], *[pa.array(found[k]) for k in MEASURES], pa.array(pattern)], ["doc_id", *MEASURES, "pattern"])
 
     schema = ", ".join(f"{c} long" for c in ["doc_id", *MEASURES, "pattern"])
-    rows = kept(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(measured, schema), "quality")
+    rows = kept(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(measured, schema), new_path(docs.sparkSession, "quality"))
     counts = rows.groupBy("pattern").count().orderBy("pattern").collect()  # 3^rules rows at most
     pattern = np.array([r["pattern"] for r in counts], np.int64)
     v = unpacked(pattern, len(rules))

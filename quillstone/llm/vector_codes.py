@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .components import kept
+from .components import delete, kept, new_path
 
 MOST, LONG = 1 << 62, (1 << 63) - 1
 #: Largest number of label sums that are sent to every task.
@@ -86,7 +86,7 @@ def _state(vectors: DataFrame, id_col: str, vector_col: str, label_col: str, sca
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), v.alias("v"))
     rows = rows.where(F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     whole = F.transform("v", lambda x: F.least(F.greatest(F.floor(x * scale), F.lit(-MOST)), F.lit(MOST)))
-    return kept(rows.select("vec_id", "label", whole.alias("v"), F.lit(None).cast("binary").alias("codes")), "vector_parts")
+    return rows.select("vec_id", "label", whole.alias("v"), F.lit(None).cast("binary").alias("codes"))
 
 
 def _first(state: DataFrame, count: int, low: int | None, high: int | None) -> list:
@@ -116,8 +116,8 @@ def encode_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     what their codes stand for, summed over a vector and over equal labels - and the codebooks."""
     if not 1 <= entries <= 256:
         raise ValueError("a code has one byte for a part: 1 to 256 entries")
-    state = _state(vectors, id_col, vector_col, label_col, scale)
-    spark = state.sparkSession
+    spark = vectors.sparkSession
+    state = kept(_state(vectors, id_col, vector_col, label_col, scale), path := new_path(spark, "vector_parts"))
     size = state.agg(F.max(F.size("v")).alias("length"), F.min("vec_id").alias("low"), F.max("vec_id").alias("high")).first()
     width = max(1, -(-(size["length"] or 1) // parts))
     length = width * parts
@@ -161,7 +161,9 @@ def encode_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     field = lambda name, kind: T.StructField(name, kind)
     schema = T.StructType([field("vec_id", T.LongType()), field("label", label_type), *T._parse_datatype_string("v array<long>, codes binary, part int, entry int, n long, sums array<decimal(38,0)>, kind int")])
     for _ in range(rounds):
-        both = kept(state.select("vec_id", "label", "v", "codes").mapInArrow(assigned(spark.sparkContext.broadcast(book)), schema), "vector_parts")
+        before, path = path, new_path(spark, "vector_parts")
+        both = kept(state.select("vec_id", "label", "v", "codes").mapInArrow(assigned(spark.sparkContext.broadcast(book)), schema), path)
+        delete(spark, before)
         state = both.where("kind = 0")
         # a row an entry: parts * entries at most
         for r in both.where("kind = 1").groupBy("part", "entry").agg(F.sum("n").alias("n"), *[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(width)]).collect():
@@ -179,7 +181,8 @@ def encode_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
             yield pa.RecordBatch.from_arrays([b["vec_id"], b["label"], pa.array([c.tobytes().hex() for c in code], pa.string()), pa.array(error, pa.int64())], ["vec_id", "label", "code", "error"])
 
     out_type = T.StructType([*schema.fields[:2], field("code", T.StringType()), field("error", T.LongType())])
-    rows = kept(state.select("vec_id", "label", "v").mapInArrow(coded, out_type), "vector_codes")
+    rows = kept(state.select("vec_id", "label", "v").mapInArrow(coded, out_type), new_path(spark, "vector_codes"))
+    delete(spark, path)
     sums_by = rows.groupBy(F.col("label").alias("of")).agg(F.least(F.sum(F.col("error").cast("decimal(38,0)")), F.lit(LONG)).cast("long").alias("label_error"))
     few = sums_by.limit(FEW_LABELS + 1).count() <= FEW_LABELS
     return rows.join(F.broadcast(sums_by) if few else sums_by, F.col("label").eqNullSafe(F.col("of"))).drop("of"), Codebooks(book)
