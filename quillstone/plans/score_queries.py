@@ -11,6 +11,7 @@ from ..operators import datasets as DS
 from ..operators import metrics as M
 from ..operators import ranks as RK
 from ..operators import resample as RS
+from ..sources.scratch import scratch
 from .base import ANSWERS, FEATURES, answers, draw, rounded, s_draw, s_edge, s_f, s_norm, s_ratio, s_tokens
 from .registry import query, table
 
@@ -110,7 +111,8 @@ def _(spark, sf):
 list_sort(list(n_tokens))[CAST(least(floor(0.99 * count(*)), count(*) - 1) AS INTEGER) + 1] AS p99_tokens FROM features GROUP BY source)
 SELECT source, n, round(mean_tokens, 6) AS mean_tokens, CAST(p99_tokens AS INTEGER) AS p99_tokens, round(accuracy, 6) AS accuracy, {_EV_OUT} FROM k""")
 def _(spark, sf):
-    rows = M.evidence_features(answers(spark, sf)).drop("text", "gold", "pred").persist()  # narrow; three reports read it
+    M.evidence_features(answers(spark, sf)).drop("text", "gold", "pred").write.parquet(path := scratch(spark, "features"))  # narrow; three reports read it
+    rows = spark.read.parquet(path)
     other = rows.groupBy("source").agg(F.count("*").alias("n"), F.avg("n_tokens").alias("mean_tokens"), F.avg(F.col("gold_verdict").eqNullSafe(F.col("pred_verdict")).cast("int")).alias("accuracy"))
     p99 = RK.rank_percentiles(rows, "n_tokens", {"p99_tokens": (0.99, 0)}, ["source"]).drop("n")
     return rounded(other.join(p99, "source").join(M.evidence_report(rows, ["source"]), "source"))
