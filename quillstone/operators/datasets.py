@@ -131,9 +131,9 @@ def filter_reasons(df: DataFrame, low: Column, high: Column, strict: bool = Fals
     return out.withColumn("reasons", F.array_compact(found)).withColumn("kept", F.size("reasons") == 0).drop("bad")
 
 
-def note_reasons(df: DataFrame, low: Column, high: Column) -> DataFrame:
-    """Adds ``reasons`` to notes (columns note, clause): one sentence, length, grounded quotes."""
-    note = F.array_join(F.filter(F.split(F.trim(F.col("note")), X.WHITE), lambda t: t != ""), " ")
+def note_reasons(df: DataFrame, low: Column, high: Column, white: str = X.WHITE) -> DataFrame:
+    """Adds ``reasons`` to notes (columns note, clause): one sentence, length, grounded quotes. Runs of ``white`` become one space."""
+    note = F.array_join(F.filter(F.split(F.trim(F.col("note")), white), lambda t: t != ""), " ")
     out = df.withColumn("note", note).withColumn("n_sentences", X.sentence_count("note")).withColumn("n_words", F.size(F.filter(F.split("note", " "), lambda t: t != "")))
     quotes = F.regexp_extract_all("note", F.lit('"([^"]{8,})"'), F.lit(1))
     bad = F.size(F.filter(quotes, lambda q: ~F.contains(X.norm("clause"), X.norm(q))))

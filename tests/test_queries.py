@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from compare import both
+from compare import TABLES, both
 
 from quillstone import plans
 from quillstone.plans.base import answers
@@ -61,3 +61,16 @@ def test_entry(spark):
 
     assert set(QUERIES) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).columns == ["doc_id", "item_id"]
+
+
+def test_notes_are_counted_as_in_sql(spark, tmp_path):
+    """In the report every end counts, that of an abbreviation or in a number too; white space beyond ASCII is part of a word."""
+    texts = ["No", "Made by Acme Inc. in 1999", "One. two. Rest", "One! Two", "1.5   x", ""] * 60
+    rows = [(k, t, "en", "web", len(t)) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents")
+    (part,) = tmp_path.glob("documents/*.parquet")
+    for t in TABLES:
+        (tmp_path / f"{t}.parquet").symlink_to(part if t == "documents" else f"{SF}/{t}.parquet")
+    for name in ("note_report", "note_reasons"):
+        ours, theirs = both(spark, QUERIES[name], SQL[name], str(tmp_path))
+        assert ours == theirs
