@@ -14,7 +14,7 @@ from ..operators.review_store import ReviewStore
 from ..sources import files as S
 from ..sources.scratch import scratch, write_files
 from .base import draw, s_draw, s_norm
-from .registry import query, table
+from .registry import query, table, texts
 from .text_queries import S_SPLIT, split_of
 
 _DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -115,7 +115,7 @@ _FLAT = r"trim(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10))
 @query("file_text", f"""SELECT 'd' || doc_id || CASE WHEN doc_id % 5 = 0 THEN '.docx' WHEN doc_id % 5 = 1 THEN '.exe' ELSE '.txt' END AS name, CASE WHEN doc_id % 5 <> 1 AND {_FLAT} <> '' THEN md5({_FLAT}) END AS md5,
 CASE WHEN doc_id % 5 = 1 THEN 'Unsupported file type; use PDF, DOCX or TXT' WHEN {_FLAT} = '' THEN 'No text found in the file' END AS error FROM documents""")
 def _(spark, sf):
-    """Text of uploaded files: Word documents, plain text with other line ends, and kinds that aren't read."""
+    """Text of uploaded files, some thousand a folder: Word documents, plain text with other line ends, and kinds that aren't read."""
     folder = scratch(spark, "uploads")
     word = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 
@@ -129,13 +129,13 @@ def _(spark, sf):
                     data, body = io.BytesIO(), "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(p)}</w:t></w:r></w:p>' for p in text.split("\n"))
                     with zipfile.ZipFile(data, "w") as z:
                         z.writestr("word/document.xml", f'<w:document xmlns:w="{word}"><w:body>{body}</w:body></w:document>')
-                    names.append(f"d{i}.docx"), contents.append(data.getvalue())
+                    names.append(f"{i // 4096}/d{i}.docx"), contents.append(data.getvalue())
                 else:
-                    names.append(f"d{i}.{'exe' if i % 5 == 1 else 'txt'}"), contents.append(text.replace("\n", "\r\n").encode())
+                    names.append(f"{i // 4096}/d{i}.{'exe' if i % 5 == 1 else 'txt'}"), contents.append(text.replace("\n", "\r\n").encode())
             yield pd.DataFrame({"name": names, "content": contents})
 
-    write_files(table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(make, "name string, content binary"), folder)
-    return S.extract_files(spark, f"{folder}/*").select(F.element_at(F.split("path", "/"), -1).alias("name"), F.md5("text").alias("md5"), "error")
+    write_files(texts(spark, sf).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(make, "name string, content binary"), folder)
+    return S.extract_files(spark, folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.md5("text").alias("md5"), "error")
 
 
 @query("inference_scan", f"""WITH s AS (SELECT doc_id, text, {S_SPLIT} AS split, [trim(substr(text, 1, 40), ' '), '', trim(substr(text, 31, 60), ' ')] AS spans FROM documents WHERE text IS NOT NULL AND length(text) >= 100)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quillstone.operators import datasets as DS
 from quillstone.operators.review_store import ReviewStore
 from quillstone.sources import files as S
+from quillstone.sources.scratch import write_files
 from quillstone.streaming import progress as PR
 
 
@@ -255,3 +256,14 @@ def test_live(spark):
     t = dt.datetime(2024, 1, 1)
     rows = spark.createDataFrame([(1, "a", t), (1, "b", t + dt.timedelta(seconds=5)), (2, "done", t), (3, "a", t - dt.timedelta(hours=1))], "review_id long, stage string, at timestamp")
     assert [(r.review_id, r.stage) for r in PR.live(rows, now="timestamp'2024-01-01 00:01:00'").collect()] == [(1, "b")]
+
+
+def test_files_in_folders(spark, tmp_path):
+    """Files are found in folders, hidden ones left out, and read by as many tasks as there are cores for, not by one for some files."""
+    names = [f"{k % 7}/f {k}%.txt" for k in range(300)]
+    assert write_files(spark.createDataFrame([(n, n.encode()) for n in names], "name string, content binary"), f"file://{tmp_path}/x") == 300
+    (tmp_path / "x" / "3" / "_half.txt").write_text("no")
+    found = S.extract_files(spark, f"file://{tmp_path}/x")
+    assert sorted(r.text for r in found.collect()) == sorted(names) and not found.where("error IS NOT NULL").count()
+    assert found.rdd.getNumPartitions() == S.DEALS * spark.sparkContext.defaultParallelism
+    assert S.extract_files(spark, f"{tmp_path}/x/[12]").count() == len([n for n in names if n[0] in "12"])
