@@ -22,6 +22,8 @@ from ..sources.scratch import scratch
 BUCKET_WORDS, WRITERS = 8 << 20, 8
 #: Terms up to which files' statistics are asked for each of them. What lies beyond a bound by rounding.
 FEW_TERMS, SLACK = 1_000, 1e-9
+#: Corpora beyond which a search first cuts out the postings of its words.
+MANY_CORPORA = 1_000
 
 
 def counted_terms(words: Column) -> Column:
@@ -80,6 +82,16 @@ class PostingsIndex:
         asked = [r["bucket"] for r in terms.select("bucket").distinct().collect()]  # as many as the index has buckets, at most
         return out if len(asked) == self.buckets else out.where(F.col("bucket").isin(asked))
 
+    def _cut_out(self, index: DataFrame, asked: DataFrame) -> DataFrame:
+        """The postings of what is asked for. A row is shuffled as its names and one array of whole numbers."""
+        offsets = F.transform("chunks", lambda c: (c - F.col("block") * F.lit(self.span)).cast("int"))
+        rows = index.select("term", *self.key, "block", F.concat(offsets, "tfs", "lens").alias("x"))
+        rows = rows.join(asked.select("term", *self.key).distinct(), ["term", *self.key], "left_semi").withColumn("n", (F.size("x") / 3).cast("int"))
+        part = lambda k: F.slice("x", F.col("n") * k + 1, F.col("n"))
+        rows = rows.select("term", *self.key, "block", "n", F.transform(part(0), lambda c: c + F.col("block") * F.lit(self.span)).alias("chunks"), part(1).alias("tfs"), part(2).alias("lens"))
+        bucket = F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")
+        return rows.select(bucket.alias("bucket"), "term", *self.key, "block", "n", F.array_max("tfs").alias("max_tf"), F.array_min("lens").alias("min_len"), "chunks", "tfs", "lens")
+
     def _kept(self, df: DataFrame) -> DataFrame:
         """What several steps read, from a table in the shared folder."""
         df.write.parquet(path := scratch(self.spark, "postings-search"))
@@ -98,6 +110,9 @@ class PostingsIndex:
         asked = queries.select(*by, F.explode(X.words(query_text)).alias("term")).groupBy(*by, "term").agg(F.count("*").alias("qf"))
         asked = self._kept(asked.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")))
         index = self.postings(asked)
+        if self.corpora.limit(MANY_CORPORA + 1).count() > MANY_CORPORA:
+            # of many corpora few words each are asked for: what they have of these is cut out in one pass, and all below reads that
+            index = self._kept(self._cut_out(index, asked))
         bounds = index.select("bucket", "term", *self.key, "block", "n", "max_tf", "min_len").join(asked, ["bucket", "term", *self.key])
         df = bounds.groupBy(*by, "term").agg(F.sum("n").alias("df"))
         size = self.corpora.select(*self.key, F.col("n").alias("of"), (F.col("total") / F.col("n")).alias("avg"))

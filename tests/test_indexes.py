@@ -51,6 +51,24 @@ def test_postings_search(spark, tmp_path, corpus, span, buckets):
         assert np.allclose([r.score for r in rows], [-s for s, _ in want])
 
 
+def test_postings_of_many_corpora_are_cut_out_first(spark, tmp_path, corpus, monkeypatch):
+    """Only what is asked for is kept for the steps of the search; results are the same."""
+    chunks, queries = corpus
+    df = spark.createDataFrame([(k, c, t) for (k, c), t in chunks.items()], "k string, chunk long, text string")
+    index = P.PostingsIndex.build(df, f"file://{tmp_path}/i", ["k"], span=8, buckets=3)
+    asked = spark.createDataFrame(queries, "k string, query string, query_text string")
+    want = sorted(map(tuple, index.search(asked, k=5).collect()))
+    monkeypatch.setattr(P, "MANY_CORPORA", 2)
+    kept, keep = [], index._kept
+    monkeypatch.setattr(index, "_kept", lambda x: kept.append(keep(x)) or kept[-1])
+    assert sorted(map(tuple, index.search(asked, k=5).collect())) == want
+    (cut,) = (x for x in kept if "lens" in x.columns)
+    whole = index.postings(kept[0])
+    terms = {(k, t) for k, q, text in queries for t in re.findall("[a-z0-9]+", (text or "").lower())}
+    of = lambda x: sorted(tuple(r[c] for c in ("bucket", "term", "k", "block", "n", "max_tf", "min_len", "chunks", "tfs", "lens")) for r in x.collect())
+    assert of(cut) == [r for r in of(whole) if (r[2], r[1]) in terms]
+
+
 def test_postings_leave_blocks_out(spark, tmp_path):
     """One block of chunks has the query's words far more often: with its scores known no other is read."""
     rows = [(0, i, ("needle " * 9 if i // 10 == 3 else "needle " if i % 10 == 0 else "") + "straw " * 30) for i in range(400)]
