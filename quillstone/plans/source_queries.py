@@ -12,7 +12,7 @@ from ..functions import text as X
 from ..operators import datasets as DS
 from ..operators.review_store import ReviewStore
 from ..sources import files as S
-from ..sources.scratch import scratch, write_files
+from ..sources.scratch import scratch, write_files, write_named_texts
 from .base import draw, s_draw, s_norm
 from .registry import query, table, texts
 from .text_queries import S_SPLIT, split_of
@@ -152,11 +152,10 @@ def _(spark, sf):
     one = F.struct(F.concat(F.lit("d"), "doc_id").alias("id"), F.lit("x").alias("file_name"), "text", offsets.alias("spans"), F.array(F.struct(notes.alias("annotations"))).alias("annotation_sets"))
     labels = F.create_map(*[x for h in ("h1", "h2") for x in (F.lit(h), F.struct(F.lit(f"Hypothesis {h}").alias("hypothesis")))])
     files = docs.select("split", F.floor(F.col("doc_id") / 500).alias("lot"), one.alias("d")).groupBy("split", "lot").agg(F.collect_list("d").alias("documents"))
-    text = files.select(F.concat("split", F.lit("/"), "lot", F.lit(".json")).alias("name"), F.to_json(F.struct("documents", labels.alias("labels"))).cast("binary").alias("content"))
-    write_files(text, folder)
+    write_named_texts(files.select("split", "lot", F.to_json(F.struct("documents", labels.alias("labels"))).alias("content")), folder, ["split", "lot"])
     out = None
     for split in ("train", "dev", "test"):
-        rows = S.read_nested(spark, f"{folder}/{split}/*.json", S.INFERENCE_SCHEMA) if spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{split}").getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{split}")) else None
+        rows = S.read_nested(spark, f"{folder}/split={split}/lot=*", S.INFERENCE_SCHEMA) if spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/split={split}").getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/split={split}")) else None
         if rows is not None:
             rows = DS.flatten_inference(rows).withColumn("split", F.lit(split))
             out = rows if out is None else out.unionByName(rows)
@@ -179,8 +178,8 @@ def _(spark, sf):
     paragraph = F.struct(F.col("text").alias("context"), F.array(ask("Category A"), ask("Other")).alias("qas"))
     one = F.struct(F.concat(F.lit("Contract "), "doc_id").alias("title"), F.array(paragraph).alias("paragraphs"))
     files = table(spark, sf, "documents").where(F.length("text") >= 50).select(F.floor(F.col("doc_id") / 500).alias("lot"), one.alias("d")).groupBy("lot").agg(F.collect_list("d").alias("data"))
-    write_files(files.select(F.concat("lot", F.lit(".json")).alias("name"), F.to_json(F.struct(F.lit("v1").alias("version"), "data")).cast("binary").alias("content")), folder)
-    rows = DS.flatten_questions(S.read_nested(spark, f"{folder}/*.json", S.QUESTION_SCHEMA), ["Category A"])
+    write_named_texts(files.select("lot", F.to_json(F.struct(F.lit("v1").alias("version"), "data")).alias("content")), folder, ["lot"])
+    rows = DS.flatten_questions(S.read_nested(spark, f"{folder}/lot=*", S.QUESTION_SCHEMA), ["Category A"])
     return rows.select("contract", "category", "present", F.size("evidence").alias("n_evidence"))
 
 

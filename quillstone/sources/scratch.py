@@ -60,3 +60,9 @@ def write_files(df: DataFrame, folder: str) -> int:
             yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
 
     return df.select("name", "content").mapInArrow(run, "n long").groupBy().sum("n").first()[0] or 0
+
+
+def write_named_texts(df: DataFrame, folder: str, by: list[str]) -> None:
+    """Writes each row's ``content``, a text of one line, as a file of its own in the folder of its ``by``. Spark's writer does it, row by
+    row: however large the texts are, no batch of them is held."""
+    df.select(*by, "content").write.partitionBy(*by).text(folder)

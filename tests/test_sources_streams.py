@@ -267,3 +267,14 @@ def test_files_in_folders(spark, tmp_path):
     assert sorted(r.text for r in found.collect()) == sorted(names) and not found.where("error IS NOT NULL").count()
     assert found.rdd.getNumPartitions() == S.DEALS * spark.sparkContext.defaultParallelism
     assert S.extract_files(spark, f"{tmp_path}/x/[12]").count() == len([n for n in names if n[0] in "12"])
+
+
+@pytest.mark.parametrize("name", ["question_scan", "inference_scan"])
+def test_nested_files_are_written_by_spark(spark, name, monkeypatch):
+    """Files of some megabytes go through no Python worker, which would hold a batch of them."""
+    from quillstone import plans
+    from quillstone.plans import source_queries
+
+    monkeypatch.setattr(source_queries, "write_files", None)
+    rows = plans.load()[0][name](spark, "/root/testdata/sf0.001")
+    assert rows.count() > 0 and all(f.endswith(".txt") for f in rows.inputFiles())
