@@ -8,7 +8,7 @@ import functools
 import re
 from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -116,6 +116,19 @@ def estimated(text: str, tokens: int, overlap: int, chars_per_token: float, snap
         begin = max(begin + 1, end - int(overlap * chars_per_token))
 
 
+#: Bytes of rows that Python is handed at once.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches bounded by bytes, not only by their number, in queries started after this call: a worker then holds
+    as much whatever its part of a table is."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).removesuffix("b")
+    if not (now.isdigit() and 0 < int(now) <= BATCH_BYTES):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def _each(docs: DataFrame, text: str, schema: str, cut: Callable[[str], Iterator[tuple]]) -> DataFrame:
     """``docs`` with a row for each piece of a text, as a table function that yields them one by one: a text's pieces are never one array."""
 
@@ -124,6 +137,7 @@ def _each(docs: DataFrame, text: str, schema: str, cut: Callable[[str], Iterator
         def eval(self, text: str):  # noqa: ANN202
             yield from cut(text or "")
 
+    small_batches(docs.sparkSession)
     return docs.lateralJoin(Pieces(F.col(text).outer()))
 
 
