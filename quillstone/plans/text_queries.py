@@ -316,6 +316,7 @@ SELECT doc_id, md5(list_reduce(lines, lambda acc, x: CASE WHEN {_LAST} <> '' AND
 def _(spark, sf):
     from ..sources.files import unwrap
 
+    WN.small_batches(spark)
     return table(spark, sf, "documents").select("doc_id", F.md5(unwrap(F.col("text"))).alias("md5"))
 
 

@@ -242,3 +242,23 @@ def test_quotes(spark):
     s = "he \"said all this\" and 'that also is' but \"short\""
     assert column(spark, [(s,)], "s string", X.quoted("s")) == [["said all this", "that also is"]]
     assert re.findall(r'"([^"]{8,})"', s) == ["said all this"] and json.dumps(s)
+
+
+def test_rows_go_to_python_in_small_batches(spark):
+    """A worker isn't handed ten thousand texts at once, whatever their lengths are."""
+    from quillstone import plans
+    from quillstone.functions import windows as W
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.nbytes], pa.int64())})
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for query in ("unwrap_lines", "estimated_windows"):
+        spark.conf.set(name, "64m")
+        plans.load()[0][query](spark, "/root/testdata/sf0.001")
+        texts = spark.range(200).selectExpr("repeat('x', 100000) AS t").coalesce(1)
+        most = texts.mapInArrow(sizes, "n long").agg({"n": "max"}).first()[0]
+        assert most <= 2 * W.BATCH_BYTES
