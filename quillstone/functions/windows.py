@@ -48,9 +48,24 @@ def _tokenizer(path: str):
     return out
 
 
+class Starts(Sequence):
+    """Where the tokens of an encoding begin, looked up as asked: windows ask for few of them."""
+
+    def __init__(self, encoding):  # noqa: ANN001
+        self.encoding, self.n = encoding, len(encoding)
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, k: int) -> int:
+        if not 0 <= k < self.n:
+            raise IndexError(k)
+        return self.encoding.token_to_chars(k)[0]
+
+
 def file_starts(path: str) -> Callable[[str], Sequence[int]]:
     """The tokens of a tokenizer file of the ``tokenizers`` library, which all workers must have at this path: where each begins."""
-    return lambda text: array.array("q", (a for a, _ in _tokenizer(path).encode(text, add_special_tokens=False).offsets))
+    return lambda text: Starts(_tokenizer(path).encode(text, add_special_tokens=False))
 
 
 def chunk_spans(n: int, size: int, overlap: int, snap: Callable[[int, int], int]) -> Iterator[tuple[int, int]]:

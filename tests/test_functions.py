@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import array
 import json
 import random
 import re
@@ -262,3 +263,14 @@ def test_rows_go_to_python_in_small_batches(spark):
         texts = spark.range(200).selectExpr("repeat('x', 100000) AS t").coalesce(1)
         most = texts.mapInArrow(sizes, "n long").agg({"n": "max"}).first()[0]
         assert most <= 2 * W.BATCH_BYTES
+
+
+def test_starts_of_a_tokenizer_file():
+    """Looked up one by one, they are those of the encoding's offsets."""
+    import public_tokenizers
+    from quillstone.functions import windows as W
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    for text in ("", "a", "Grüße, 東京 <|endoftext|>\n\n x " * 30):
+        starts = W.file_starts(path)(text)
+        assert not isinstance(starts, array.array) and list(starts) == [a for a, _ in W._tokenizer(path).encode(text, add_special_tokens=False).offsets]
