@@ -7,7 +7,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,8 +53,8 @@ def _compared(df: DataFrame, id_col: str, tokens: Column, k: int, least: float,
     sets.write.parquet(path := scratch(spark, "shingle-sets"))  # read three times below
     sets = spark.read.parquet(path)
     sizes = sets.withColumn("n", F.size("s"))
-    counts = sizes.select(F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = sizes.select("id", "n", F.explode("s").alias("x")).join(counts, "x")
+    # shingles are shuffled once: counted where they meet, not counted apart and joined
+    ranked = sizes.select("id", "n", F.explode("s").alias("x")).withColumn("df", F.count("*").over(Window.partitionBy("x"))).where("df > 1")
     ordered = ranked.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("o"))
     # shingles of one set alone come first in the order and match nothing: the prefix is what they leave of it
     prefix = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9).cast("int") + 1

@@ -224,3 +224,14 @@ def test_dense_in_blocks(spark):
         own = [i for i in range(300) if (i % 3 == 0) == (q % 3 == 0) and i != q]
         want = sorted((-round(float(x[i] @ x[q]), 9), i) for i in own)[:4]
         assert [r.c for r in sorted((r for r in got if r.q == q), key=lambda r: r["rank"])] == [i for _, i in want]
+
+
+def test_shingles_are_shuffled_once(spark, monkeypatch):
+    """They are counted where they meet: the plan that ranks them takes the sets apart once."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    plans, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda w, path, *a, **k: (plans.append(w._df._jdf.queryExecution().optimizedPlan().toString()), write(w, path, *a, **k))[1])
+    df = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e g"), (3, "x y z")], "id long, t string")
+    assert [(r.a, r.b, round(r.jaccard, 6)) for r in D.similar_pairs(df, "id", F.split("t", " "), 3, 0.5).collect()] == [(1, 2, 0.6)]
+    assert [p.count("Generate explode(s#") for p in plans if "explode(s#" in p] == [1]
