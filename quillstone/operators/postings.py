@@ -121,7 +121,8 @@ class PostingsIndex:
         part = lambda tf, length: F.col("qf") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / F.col("avg")))
         bounds = self._kept(bounds.join(worth, [*by, "term"]))  # small beside the index: a row for each term and block asked
         blocks = bounds.groupBy(*block).agg(F.sum(part(F.col("max_tf"), F.col("min_len"))).alias("bound"))
-        first = top(blocks, by, [F.desc("bound"), F.col("block")], k, "block").select(*block)
+        # k rows a query; kept, since bounds are sums in no fixed order: evaluated anew, blocks of equal bounds could change places
+        first = self._kept(top(blocks, by, [F.desc("bound"), F.col("block")], k, "block").select(*block))
 
         def scores(of: DataFrame) -> DataFrame:
             wanted = bounds.join(of, block).select("bucket", "term", *block, "qf", "idf", "avg")

@@ -80,6 +80,24 @@ def test_postings_leave_blocks_out(spark, tmp_path):
     assert [r.chunk for r in index.search(asked, 3).orderBy("rank").collect()] == [30, 31, 32]
 
 
+def test_postings_choose_first_blocks_once(spark, tmp_path, monkeypatch):
+    """Bounds of equal blocks differ in their last digits from one evaluation to the next: no chunk is lost or scored twice for that."""
+    rows = [(0, i, "needle straw " + "straw " * (i % 3)) for i in range(120)]
+    index = P.PostingsIndex.build(spark.createDataFrame(rows, "k int, chunk long, text string"), f"file://{tmp_path}/i", ["k"], span=4, buckets=4)
+    top, chance = P.top, F.udf(lambda _: random.SystemRandom().random() * 1e-13, "double").asNondeterministic()
+
+    def unstable(df, by, order, k, spread):
+        if spread != "block":
+            return top(df, by, order, k, spread)
+        return top(df.withColumn("bound", F.round("bound", 3) + chance("block")), by, order, k, spread)
+
+    monkeypatch.setattr(P, "top", unstable)
+    asked = spark.createDataFrame([(0, 1, "needle")], "k int, query int, query_text string")
+    scores = index.scored(asked, 5, "query", "query_text", 1.5, 0.75)[0].select("chunk").collect()
+    assert sorted(r.chunk for r in scores) == list(range(120))  # all bounds reach the fifth score
+    assert [r.chunk for r in index.search(asked, 5).orderBy("rank").collect()] == [0, 3, 6, 9, 12]
+
+
 def test_postings_read_only_what_is_asked(spark, tmp_path):
     index = P.PostingsIndex.build(spark.createDataFrame([(0, i, f"word{i} common") for i in range(200)], "k int, chunk long, text string"), f"file://{tmp_path}/i", ["k"], buckets=32)
     terms = spark.createDataFrame([("word7",)], "term string").withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(32)).cast("int"))
