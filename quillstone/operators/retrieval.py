@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -19,7 +19,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, key: list[str], chunk: str = "ch
     of_key = asked.groupBy(*key).agg(F.collect_list(F.struct(F.col(query).alias("q"), "t", "qf")).alias("asked"))
     rows = chunks.select(*key, chunk, text).join(of_key, key)  # all that follows stays on this partitioning
     rows = rows.select(*key, chunk, "asked", X.words(text).alias("w"))
-    hits = F.transform("asked", lambda a: F.struct(a["q"].alias("q"), a["t"].alias("t"), a["qf"].alias("qf"), F.size(F.filter("w", lambda x: x == a["t"])).alias("tf")))
+    hits = F.transform("asked", lambda a: F.struct(a["q"].alias("q"), a["t"].alias("t"), a["qf"].alias("qf"), (F.size("w") - F.size(F.array_remove("w", a["t"]))).alias("tf")))
     rows = rows.select(*key, chunk, F.size("w").alias("len"), F.filter(hits, lambda h: h["tf"] > 0).alias("hits"))
     whole = Window.partitionBy(*key)
     rows = rows.withColumn("n", F.count("*").over(whole)).withColumn("avg", F.avg("len").over(whole))
@@ -79,9 +79,11 @@ def fuse(lists: list[DataFrame], key: list[str], chunk: str = "chunk", constant:
     return ranked(every.groupBy(*key, chunk).agg(F.sum(1.0 / (constant + F.col("rank") + 1)).alias("score")), key, chunk)
 
 
-def rerank(fused: DataFrame, scores: DataFrame, key: list[str], chunk: str = "chunk", head: int = 20) -> DataFrame:
-    """The first ``head`` of a ranking by another score (a column of ``scores``)."""
-    return ranked(fused.where(F.col("rank") < head).drop("score", "rank").join(scores, [*key, chunk]), key, chunk)
+def rerank(fused: DataFrame, scores: DataFrame | Column, key: list[str], chunk: str = "chunk", head: int = 20) -> DataFrame:
+    """The first ``head`` of a ranking by another score: a column of ``scores``, or an expression of the ranking's own rows, which is
+    computed for these alone."""
+    first = fused.where(F.col("rank") < head).drop("score", "rank")
+    return ranked(first.withColumn("score", scores) if isinstance(scores, Column) else first.join(scores, [*key, chunk]), key, chunk)
 
 
 def recall(ranking: DataFrame, chunks: DataFrame, gold: DataFrame, key: list[str], ks: list[int], chunk: str = "chunk", text: str = "text", spans: str = "gold") -> DataFrame:

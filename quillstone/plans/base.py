@@ -71,7 +71,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, g, p = F.col("s"), draw(k, "gold", 4), draw(k, "pred", 7)
     none = F.array().cast("array<string>")
     verdict = lambda d: F.array(*map(F.lit, CLASSES))[d]
-    rows = docs.withColumn("s", spans(F.coalesce("text", F.lit(""))))
+    rows = docs.withColumn("s", F.split(F.coalesce("text", F.lit("")), r"\. ", 4))  # three sentences are used, the fourth is all the rest
     pred = F.when(p == 0, none).when(p == 1, F.slice(s, 1, 2)).when(p == 2, F.slice(s, 1, 1)).when(p == 3, F.slice(s, 3, 1)).when(p == 4, F.slice(s, 1, 3))
     rows = rows.withColumn("gold", F.when(g == 0, none).otherwise(F.slice(s, 1, 2))).withColumn("pred", pred.when(p == 5, F.transform(F.slice(s, 1, 2), lambda x: F.concat(loud(x), F.lit(".")))).otherwise(F.array(F.lit("not in any text"))))
     rows = rows.withColumn("gold_verdict", verdict(draw(k, "verdict", 3)))

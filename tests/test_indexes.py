@@ -11,8 +11,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillstone.functions import text as T
 from quillstone.operators import dense_index as D
 from quillstone.operators import postings as P
+from quillstone.operators import retrieval as RT
+from quillstone.plans import retrieval_queries as Q
 
 
 def bm25(chunks, query, k1=1.5, b=0.75):
@@ -151,3 +154,28 @@ def test_dense_index(spark, tmp_path, monkeypatch, clustered):
     some = found(4 if clustered else 12)
     recall = sum(len(set(some[q]) & set(want[q])) for q in want) / sum(map(len, want.values()))
     assert recall >= 0.9
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_documents_are_cut_once(spark):
+    """Steps read the pieces from a table; none cuts the texts again."""
+    pieces, asked = Q.chunks(spark, "/root/testdata/sf0.001")
+    assert not any(x in plan_of(df) for df in (pieces, asked) for x in ("split(", "regexp_replace("))
+
+
+def test_tokens_and_words(spark):
+    rows = [None, "", " ", "a", "A  b\tc\n", " x y　 z\x1c\x85", "e-mail, 3.5%!", "İx Kelvin é é1", "!~\x7f\u0080"]
+    got = spark.createDataFrame([(t,) for t in rows], "t string").select("t", T.tokens("t").alias("a"), F.filter(F.split(T.norm("t"), " "), lambda x: x != "").alias("b"), T.words("t").alias("w"), F.lower("t").alias("l")).collect()
+    assert all(r.a == r.b and r.w == re.findall("[a-z0-9]+", r.l or "") for r in got)
+
+
+def test_rerank_by_an_expression(spark):
+    ranking = spark.createDataFrame([(1, 0, c, 1.0, c) for c in range(6)], "k int, query int, chunk int, score double, rank int")
+    scores = ranking.select("k", "query", "chunk", (F.col("chunk") % 3).alias("score"))
+    want = [(2, 0), (1, 1), (0, 2), (3, 3)]
+    for by in (scores, F.col("chunk") % 3):
+        got = RT.rerank(ranking, by, ["k", "query"], head=4)
+        assert [(r.chunk, r["rank"]) for r in got.orderBy("rank").collect()] == want
