@@ -89,9 +89,10 @@ def rerank(fused: DataFrame, scores: DataFrame | Column, key: list[str], chunk:
 def recall(ranking: DataFrame, chunks: DataFrame, gold: DataFrame, key: list[str], ks: list[int], chunk: str = "chunk", text: str = "text", spans: str = "gold") -> DataFrame:
     """For each k: of how many queries all, or any, gold spans are within the joined text of the first k chunks."""
     top = ranking.where(F.col("rank") < max(ks)).join(chunks.select(*[c for c in key if c in chunks.columns], chunk, text), [*[c for c in key if c in chunks.columns], chunk])
-    lists = top.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", text))), lambda x: x[text]).alias("texts"))  # max(ks) a query
-    rows = gold.join(lists, key).select(*key, spans, "texts", F.explode(F.array(*map(F.lit, ks))).alias("k"))
-    hay = X.norm(F.array_join(F.slice("texts", F.lit(1), F.col("k")), " "))
-    hits = X.bind(hay, lambda h: F.size(F.filter(F.col(spans), lambda g: X.grounded(X.norm(g), h))))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("rank", X.norm(text).alias("t")))), lambda x: x["t"])  # max(ks) a query
+    lists = top.groupBy(*key).agg(texts.alias("texts"))
+    rows = gold.join(lists, key).select(*key, F.transform(spans, lambda g: X.norm(g)).alias(spans), "texts").select(*key, spans, "texts", F.explode(F.array(*map(F.lit, ks))).alias("k"))
+    hay = F.array_join(F.filter(F.slice("texts", F.lit(1), F.col("k")), lambda x: x != ""), " ")  # as the joined text normalised, without doing that for each k
+    hits = X.bind(hay, lambda h: F.size(F.filter(F.col(spans), lambda g: X.grounded(g, h))))
     rows = rows.withColumn("hits", hits)
     return rows.groupBy("k").agg(F.count("*").alias("n"), F.count_if(F.col("hits") == F.size(spans)).alias("all_found"), F.count_if(F.col("hits") > 0).alias("any_found"))
