@@ -132,23 +132,30 @@ def bounded(df: DataFrame, limit: int) -> tuple[DataFrame, ResourceProfile | Non
     return df, ResourceProfileBuilder().require(TaskResourceRequests().cpus(executor // each if executor % each == 0 else executor // each + 1)).build
 
 
+#: Bytes of a task of ordered work: parts are far smaller, and a task of its own for each costs more than its work.
+TASK_BYTES = 8 << 20
+
+
 def in_order(df: DataFrame, order: str, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str, limit: int, part_bytes: int = 32 << 20, place: str = "place") -> DataFrame:
     """``work`` over all rows with at most ``limit`` parts in flight, and ``place``, each result's number from 1 in the order of ``order``, a
-    column that ``work`` keeps in its rows' order. Parts are ranges of the order of about ``part_bytes``, so there are as many as the
-    table needs, and losing an executor costs those that it had in hand. Results are written once, then numbered by the parts before."""
+    column that ``work`` keeps in its rows' order. Parts are ranges of the order of about ``part_bytes``; a task walks through those of
+    ``TASK_BYTES``, so tasks are as many as the table needs, and losing an executor costs those that it had in hand. Results are
+    written once, then numbered by the tasks before."""
     spark = df.sparkSession
     size = lambda f: F.octet_length(f.name) if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.lit(8)
-    total = df.agg(F.sum(functools.reduce(lambda a, b: a + b, [F.coalesce(size(f), F.lit(0)) for f in df.schema.fields]))).first()[0] or 0
-    parts = df.repartitionByRange(max(limit, -(-int(total) // part_bytes)), order)
-    parts, profile = bounded(parts.sortWithinPartitions(order).withColumn("__part", F.spark_partition_id()), limit)
+    size = functools.reduce(lambda a, b: a + b, [F.coalesce(size(f), F.lit(0)) for f in df.schema.fields])
+    total = df.agg(F.sum(size)).first()[0] or 0
+    parts = df.repartitionByRange(max(limit, -(-int(total) // max(part_bytes, TASK_BYTES))), order)
+    parts = parts.sortWithinPartitions(order).withColumn("__part", F.spark_partition_id()).withColumn("__bytes", size.cast("long"))
+    parts, profile = bounded(parts, limit)
     names = [f.name for f in T._parse_datatype_string(schema).fields]
 
     def run(batches):
         part, at = None, 0
         for b in batches:
-            for p, rows in b.groupby("__part", sort=False):  # a task may walk through several
+            for (p, _), rows in b.groupby(["__part", b["__bytes"].cumsum() // part_bytes], sort=False):  # a task may walk through several
                 part, at = p, at if p == part else 0
-                out = work(rows.drop(columns="__part"))[names]
+                out = work(rows.drop(columns=["__part", "__bytes"]))[names]
                 yield out.assign(__part=p, __at=range(at + 1, at + len(out) + 1))
                 at += len(out)
 

@@ -120,6 +120,17 @@ def test_in_order(spark, part_bytes):
     assert empty.count() == 0 and empty.columns == ["k", "place"]
 
 
+def test_in_order_tasks_are_fewer_than_parts(spark, monkeypatch, tmp_path):
+    """A task for each part would cost more than its work; the work still gets a part at a time."""
+    tasks, bounded = [], PR.bounded
+    monkeypatch.setattr(PR, "bounded", lambda df, limit: tasks.append(df.rdd.getNumPartitions()) or bounded(df, limit))
+    rows = [(k, "x" * 100) for k in range(1000)]
+    out = PR.in_order(spark.createDataFrame(rows, "k long, t string"), "k", lambda b: b.assign(n=len(b))[["k", "n"]], "k long, n long", 3, part_bytes=1000)
+    got = sorted((r.place, r.k, r.n) for r in out.collect())
+    assert [x[:2] for x in got] == [(i, i - 1) for i in range(1, 1001)] and max(x[2] for x in got) <= 11
+    assert tasks == [3]
+
+
 BOUNDED = """
 import sys, time, os, glob
 from pyspark.sql import SparkSession
