@@ -36,6 +36,15 @@ def test_norm(spark):
     assert column(spark, [(s,) for s in ODD], "s string", X.norm("s")) == [norm(s) for s in ODD]
 
 
+def test_n_tokens(spark):
+    """As many as the tokens, whatever the white space, and without the pattern that makes them."""
+    white = [chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+    draw = random.Random(7)
+    texts = [None, "", " ", "\n \u3000", "a", " a", "a\tb ", "\u200bx \ufeffy", "İ\u0130 É\x1fz", *["".join(draw.choices([*white, "a", "É", "\u200b", "💡"], k=40)) for _ in range(200)], *[f"a{w}b{w}{w}c" for w in white]]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.n_tokens("t").alias("n"), F.size(X.tokens("t")).alias("made"), F.col("t").isNull().alias("none")).collect()
+    assert [r.n for r in got] == [r.made for r in got] and {r.n for r in got if r.none} == {0} and len(got) == len(texts)
+
+
 def test_grounded(spark):
     rows = [("a clause.", "here is a clause of it"), ("", "x"), ("...", "x"), ("missing", "x"), ("“no", "no")]
     assert column(spark, rows, "a string, b string", X.grounded(F.col("a"), F.col("b"))) == [True, True, True, False, False]

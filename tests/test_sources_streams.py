@@ -6,6 +6,7 @@ import datetime as dt
 import io
 import json
 import os
+import random
 import subprocess
 import sys
 import threading
@@ -111,6 +112,48 @@ def test_queue(spark, tmp_path):
     assert [r.status for r in log] == ["queued", "running", "done", "queued", "running", "error", "queued", "running", "done"]
 
 
+def test_queue_keeps_no_texts(spark, tmp_path):
+    """A batch's texts are read by its review alone: kept are ids and, for the check, what was found, which is found once."""
+    rows = [(f"r{k}", "".join(random.Random(k).choices("abcdefgh ", k=50_000))) for k in range(40)]
+    spark.createDataFrame(rows, "review_id string, text string").coalesce(1).write.json(str(tmp_path / "in"))
+    store, held, seen = ReviewStore(spark, f"file://{tmp_path}/store"), [], str(tmp_path / "seen")
+    size = lambda: sum(i.memSize() + i.diskSize() for i in spark.sparkContext._jsc.sc().getRDDStorageInfo())
+    before = size()
+
+    def count(batches):
+        for b in batches:
+            with open(seen, "a") as out:
+                out.writelines(f"{x}\n" for x in b["review_id"])
+            yield b.assign(found=b["text"].str.len())[["review_id", "found"]]
+
+    def review(df):
+        held.append(size() - before)
+        return df.mapInPandas(count, "review_id string, found long")
+
+    def check(found):
+        assert found.count() == 40 and found.where("found <> 50000").isEmpty()
+
+    PR.serve_queue(spark, str(tmp_path / "in"), "review_id string, text string", review, store, str(tmp_path / "ckpt"), str(tmp_path / "log"), check).awaitTermination(90)
+    assert {(r.status, r.found) for r in store.read().collect()} == {("done", 50_000)} and store.read().count() == 40
+    assert held[0] < 100_000
+    assert sorted(open(seen).read().split()) == sorted(r[0] for r in rows)
+    assert size() <= before
+
+
+def test_queue_stores_nothing_that_its_check_refuses(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/1.json").write_text('{"review_id": "x", "created": 0.0}\n{"review_id": "x", "created": 1.0}\n')
+    store = ReviewStore(spark, f"file://{tmp_path}/store")
+
+    def check(found):
+        raise ValueError("no")
+
+    PR.serve_queue(spark, str(tmp_path / "in"), "review_id string, created double", lambda df: df, store, str(tmp_path / "ckpt"), str(tmp_path / "log"), check).awaitTermination(60)
+    assert store.read() is None
+    log = spark.read.parquet(str(tmp_path / "log")).orderBy("batch", "step").collect()
+    assert [(r.review_id, r.status, r.error) for r in log] == [("x", "queued", None), ("x", "running", None), ("x", "error", "no")]
+
+
 @pytest.mark.parametrize("part_bytes", [200, 1 << 20])
 def test_in_order(spark, part_bytes):
     rows = [(i * 7 % 101, "x" * i) for i in range(101)]
